@@ -5,8 +5,8 @@ WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0
 win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
 owner AS (SELECT h, min(doc_id) AS o FROM win GROUP BY h),
 hit AS (SELECT doc_id, list(i ORDER BY i) AS starts FROM win JOIN owner USING (h) WHERE o < doc_id GROUP BY doc_id),
-gone AS (SELECT doc_id, list_distinct(flatten(list_transform(starts, s -> range(s, s + 50)))) AS g FROM hit),
-k AS (SELECT d.doc_id, w, CASE WHEN g IS NULL THEN w ELSE list_transform(list_sort(list_filter(range(1, len(w) + 1), i -> NOT list_contains(g, i))), i -> w[i]) END AS kept FROM d LEFT JOIN gone USING (doc_id))
+gone AS (SELECT doc_id, list_distinct(flatten(list_transform(starts, lambda s: range(s, s + 50)))) AS g FROM hit),
+k AS (SELECT d.doc_id, w, CASE WHEN g IS NULL THEN w ELSE list_transform(list_sort(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(g, i))), lambda i: w[i]) END AS kept FROM d LEFT JOIN gone USING (doc_id))
 SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - len(kept))::BIGINT AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM k
 """
 
