@@ -10,12 +10,12 @@ removed if a window that covers it also starts in a document with a smaller id.
 3. Passages go to the buckets of documents that share a gram with them. In each bucket a pyahocorasick automaton is
    compiled from the passages' consecutive half-window tiles (every window that lies in a passage contains a whole tile).
    Words are single characters there, so that an automaton has a node for each word of the passages at most.
-4. Each bucket's documents are streamed through its automaton. Every hit is extended word by word along its passage, and
-   runs of a window's length or more are removed from documents with a larger id than the passage's owner.
+4. Each bucket's documents are streamed through its automaton. The windows around every hit are looked up among those of the
+   bucket's passages, and removed from documents with a larger id than the passage's owner.
 
 Automata are as large as their bucket's share of the repeated text, not of the corpus, and each document passes through
 one automaton. No group is gathered: windows and grams are pre-aggregated by hash before they are shuffled. Hashes have
-64 bits; hits are confirmed by the 64-bit hashes of all words of a window in sequence.
+64 bits; a hit is confirmed by the hash of its window.
 
 Nulls and ties: a null text has no words. A null id counts as smaller than all others. Rows with equal ids do not remove
 each other's words. An empty table gives an empty result; other columns are ignored."""
@@ -125,50 +125,50 @@ def as_characters(hashes: np.ndarray) -> str:
 
 
 class PhraseAutomaton:
-    """Automaton over the tiles of passages. `covered(words, key)` marks the words of a document that belong to a window
-    of a passage whose owner is smaller than key."""
+    """Automaton over the tiles of passages, and their windows by hash with the least owner of each.
+
+    `covered(words, key)` marks the words of a document that belong to a window of a passage with an owner less than key:
+    the automaton finds where tiles occur, and the windows around each occurrence are then looked up."""
 
     def __init__(self, passages: list[tuple[int, np.ndarray]], window: int):
         import ahocorasick
 
-        self.passages, self.window, self.tile = passages, window, window // 2
-        self.automaton = ahocorasick.Automaton()
-        for p, (_, words) in enumerate(passages):
+        self.window, self.tile = window, window // 2
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        hashes, owners = [], []
+        for owner, words in passages:
             text = as_characters(words)
             for at in range(0, len(text) - self.tile + 1, self.tile):
-                self._add(text[at : at + self.tile], p, at)
+                self.automaton.add_word(text[at : at + self.tile], 1)
+            hashes.append(ta.rolling_hash(words, window))
+            owners.append(np.full(len(hashes[-1]), owner, np.int64))
         self.empty = not len(self.automaton)
         if not self.empty:
             self.automaton.make_automaton()
-
-    def _add(self, phrase: str, p: int, at: int) -> None:
-        places = self.automaton.get(phrase, None)
-        if places is None:
-            self.automaton.add_word(phrase, places := [])
-        places.append((p, at))
+            by = np.lexsort((owners := np.concatenate(owners), hashes := np.concatenate(hashes)))
+            hashes, owners = hashes[by], owners[by]
+            first = np.concatenate([[True], hashes[1:] != hashes[:-1]])
+            self.windows, self.owners = hashes[first], owners[first]
 
     def covered(self, words: np.ndarray, key: int) -> np.ndarray:
         out = np.zeros(len(words), bool)
         if self.empty or len(words) < self.window:
             return out
-        done: dict[tuple[int, int], int] = {}
-        for end, places in self.automaton.iter(as_characters(words)):
-            start = end - self.tile + 1
-            for p, at in places:
-                owner, passage = self.passages[p]
-                shift = start - at
-                if owner >= key or done.get((p, shift), -1) > start:
-                    continue
-                a, b = max(0, shift), min(len(words), shift + len(passage))
-                same = words[a:b] == passage[a - shift : b - shift]
-                breaks = np.flatnonzero(~same) + a
-                i = int(np.searchsorted(breaks, start))
-                left = int(breaks[i - 1]) + 1 if i else a
-                right = int(breaks[i]) if i < len(breaks) else b
-                done[p, shift] = max(right, start + 1)
-                if right - left >= self.window:
-                    out[left:right] = True
-        return out
+        ends = np.fromiter((end for end, _ in self.automaton.iter(as_characters(words))), np.int64)
+        if not len(ends):
+            return out
+        # A window [i, i + window) contains a tile that ends at e if i <= e - tile + 1 and e < i + window.
+        marks = np.zeros(len(words) + 1, np.int32)
+        np.add.at(marks, np.maximum(ends - self.window + 1, 0), 1)
+        np.add.at(marks, ends - self.tile + 2, -1)
+        starts = np.flatnonzero(np.cumsum(marks)[: len(words) - self.window + 1] > 0)
+        found = ta.rolling_hash(words, self.window)[starts]
+        at = np.minimum(np.searchsorted(self.windows, found), len(self.windows) - 1)
+        starts = starts[(self.windows[at] == found) & (self.owners[at] < key)]
+        edges = np.zeros(len(words) + 1, np.int32)
+        edges[starts] += 1
+        edges[starts + self.window] -= 1
+        return np.cumsum(edges[:-1]) > 0
 
 
 def _stream(docs: pa.Table, passages: pa.Table, window: int) -> pa.Table:
