@@ -7,7 +7,7 @@ removed if a window that covers it also starts in a document with a smaller id.
    twenty). Documents that share a window share such a gram, so a window can recur only around a gram of two documents.
 2. Recurring passages are confirmed: the windows around recurring grams are counted by hash, each with its first document.
    That document's runs of windows that others have too are the passages; each distinct recurring window is in one.
-3. Passages go to the buckets of documents that share a gram with them. In each bucket a pyahocorasick automaton is
+3. Passages go to the buckets of documents that share a gram with them; documents that are alike are put in one bucket. In each bucket a pyahocorasick automaton is
    compiled from the passages' consecutive half-window tiles (every window that lies in a passage contains a whole tile).
    Words are single characters there, so that an automaton has a node for each word of the passages at most.
 4. Each bucket's documents are streamed through its automaton. The windows around every hit are looked up among those of the
@@ -39,6 +39,8 @@ GRAM = 10
 PIECE_WORDS = 400
 #: Bytes of candidate text in a bucket, about.
 BUCKET_BYTES = 8 << 20
+#: Documents with the same least recurring gram that stay together, about.
+CROWD = 512
 SMALLEST = -(1 << 63)
 PARTS = re.compile(rb"[^ \t-\r]+[ \t-\r]*")
 
@@ -208,8 +210,12 @@ def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, piece: int
     summary = cut(keyed.mapInArrow(partial(_summaries, window=window, gram=gram), "k long, id long, n_words long, text_sha string, kept_sha string, grams array<long>"))
     grams = summary.select("k", F.explode("grams").alias("g"))
     shared = grams.groupBy("g").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a < b").select("g")
-    hits = grams.join(shared, "g").groupBy("k").agg(F.collect_set("g").alias("hits"))
-    candidates = cut(keyed.join(hits, "k").select("k", "text", "hits"))
+    hits = grams.join(shared, "g").groupBy("k").agg(F.collect_set("g").alias("hits"), F.min("g").alias("least"))
+    # Documents with the same least recurring gram are likely to share passages: they go to one bucket, or to several if
+    # they are many.
+    crowds = hits.groupBy("least").agg(F.ceil(F.count(F.lit(1)) / CROWD).cast("int").alias("salts"))
+    hits = hits.join(crowds, "least").select("k", "hits", F.xxhash64("least", F.pmod(F.xxhash64("k"), F.col("salts"))).alias("place"))
+    candidates = cut(keyed.join(hits, "k").select("k", "text", "hits", "place"))
 
     windows = candidates.mapInArrow(partial(_windows, window=window, gram=gram), "w long, k long")
     owned = windows.groupBy("w").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a < b").groupBy(F.col("a").alias("k")).agg(F.collect_list("w").alias("owned"))
@@ -217,7 +223,7 @@ def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, piece: int
     passages = cut(passages.dropDuplicates(["passage"]))
 
     buckets = max(8, -(-(candidates.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES))
-    bucket = F.pmod(F.xxhash64("k"), F.lit(buckets)).alias("bucket")
+    bucket = F.pmod("place", F.lit(buckets)).alias("bucket")
     places = candidates.select(bucket, F.explode("hits").alias("g")).distinct()
     sent = passages.select("passage", F.explode("grams").alias("g")).join(places, "g").select("passage", "bucket").distinct()
     sent = sent.join(passages.select("passage", "owner", "words"), "passage").select("bucket", "owner", "words")
