@@ -11,7 +11,7 @@ import pyarrow as pa
 
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -19,7 +19,7 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i for i in 0..n-1."""
     if len(_powers[0]) < n:
-        size = 1 << max(16, (n - 1).bit_length())
+        size = 1 << max(18, (n - 1).bit_length())
         for at, base in enumerate((BASE, INVERSE)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
@@ -95,7 +95,8 @@ class Chunk:
 
 def chunks(column: pa.Array) -> Iterator[Chunk]:
     """The texts of a column in order (null: empty), about CHUNK_BYTES at a time and never part of a text."""
-    column = column.cast(pa.large_string()).fill_null("")
+    column = column.cast(pa.large_string())
+    column = column.fill_null("") if column.null_count else column
     if not len(column):
         return
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
