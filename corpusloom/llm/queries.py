@@ -21,6 +21,20 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule counts of each document and the verdict of a base rule and an isolation forest."""
+    from corpusloom.llm.quality_rules import quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's host and path, the rule that fits, and the verdict of the rule or of the language models."""
+    from corpusloom.llm.url_filter import url_filter
+
+    return url_filter(table(spark, sf_dir, "pages"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose sets of 5-word shingles are similar by 0.75 or more."""
     from corpusloom.llm.jaccard_join import jaccard_join
@@ -28,4 +42,4 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_suffix_dedup, op5_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_suffix_dedup, op3_quality_rules, op4_url_filter, op5_jaccard_join)}
