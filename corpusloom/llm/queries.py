@@ -42,4 +42,25 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_suffix_dedup, op3_quality_rules, op4_url_filter, op5_jaccard_join)}
+def op6_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of each document and of its edited text, and their likeness."""
+    from corpusloom.llm.spot_signatures import spot_signatures
+
+    return spot_signatures(table(spark, sf_dir, "documents"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix with targets by source takes of each document."""
+    from corpusloom.llm.mixing import mix_sources
+
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of each document after a two-pass shuffle."""
+    from corpusloom.llm.sharding import shard
+
+    return shard(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_suffix_dedup, op3_quality_rules, op4_url_filter, op5_jaccard_join, op6_spot_signatures, op8_mixing, op9_sharding)}
