@@ -49,6 +49,20 @@ def op6_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spot_signatures(table(spark, sf_dir, "documents"))
 
 
+def byte_bpe() -> dict[str, str]:
+    """The vocabulary file and pattern of the public byte-level tokenizer."""
+    import public_tokenizers
+
+    return {"path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+
+
+def op7_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of each document's ids and of the bytes that they decode to."""
+    from corpusloom.llm.prefix_bpe import encode_documents
+
+    return encode_documents(table(spark, sf_dir, "documents"), **byte_bpe())
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix with targets by source takes of each document."""
     from corpusloom.llm.mixing import mix_sources
@@ -63,4 +77,11 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_suffix_dedup, op3_quality_rules, op4_url_filter, op5_jaccard_join, op6_spot_signatures, op8_mixing, op9_sharding)}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each document, learned from three quarters of the documents."""
+    from corpusloom.llm.language_id import language_id
+
+    return language_id(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_suffix_dedup, op3_quality_rules, op4_url_filter, op5_jaccard_join, op6_spot_signatures, op7_prefix_bpe, op8_mixing, op9_sharding, op10_language_id)}
