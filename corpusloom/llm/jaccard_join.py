@@ -8,12 +8,13 @@ documents link if the Jaccard similarity of their sets is at least `percent` hun
    are frequent in a sample of documents last, so that passages which many documents share stay out of most prefixes. The
    sample changes the order, never the result.
 2. Classes that share a prefix shingle are candidates. In a small group all pairs of fitting sizes are taken; in a large one
-   each member is paired with the group's least class.
+   each member is paired with the group's least class. Pairs that share too few prefix shingles to link are left out.
 3. Candidates are dealt to tiles: one class against others of a band of sizes. A tile compares bitmaps first. A bitmap holds
    the parity of the hashed shingles, so two bitmaps differ in no more bits than the sets in shingles, which bounds the
    overlap from above. What passes is decided by intersecting sorted arrays.
-4. In large groups, members that are still in different components are compared with each other by size-banded blocks of
-   bitmaps, and what passes is decided by intersection again. Members of one component need no further link.
+4. In large groups, members of other components are compared with a few more members each, and then all that are still in
+   different components with each other by size-banded blocks of bitmaps; what passes is decided by intersection again.
+   Members of one component need no further link.
 
 A group of near copies thus costs its size, not its square, and only the hashes of prefixes, class keys and links move;
 texts move once, and sets only for candidates. The frequent shingles are a list of at most `frequent` hashes.
@@ -37,10 +38,12 @@ from corpusloom.llm.scratch import cut
 SHINGLE = 5
 PERCENT = 75
 #: Documents in this many are sampled for the order of shingles, and hashes kept of those found thrice.
-SAMPLE_OF = 16
+SAMPLE_OF = 8
 FREQUENT = 1 << 20
 #: Groups up to this size are paired in full at once.
-SMALL = 6
+SMALL = 32
+#: Members of a large group that the others are compared with before all that are still apart are.
+LEADERS = 8
 #: Members of a tile, and postings of a partition, about.
 TILE = 1024
 POSTINGS = 1 << 20
@@ -121,48 +124,54 @@ def _groups(batches):
     return s, c, size, np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1], [True]])) if len(s) else np.zeros(1, int)
 
 
-FIRST = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("s", pa.int64()), ("size", pa.int32())])
+FIRST = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("size_a", pa.int32()), ("size_b", pa.int32()), ("n", pa.int64()), ("s", pa.int64())])
+FIRST_SQL = "a long, b long, size_a int, size_b int, n long, s long"
 
 
-def _unique_pairs(a, b) -> tuple[np.ndarray, np.ndarray]:
-    """Arrays of pairs, each pair once with the lesser class first."""
-    a, b = np.concatenate(a or [np.zeros(0, np.int64)]), np.concatenate(b or [np.zeros(0, np.int64)])
-    low, high = np.minimum(a, b), np.maximum(a, b)
-    by = np.lexsort((high, low))
-    low, high = low[by], high[by]
-    new = np.ones(len(low), bool)
-    new[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
-    return low[new], high[new]
+def _unique_pairs(*columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Of columns a, b and, if given, their sizes: each pair once, the lesser class first, and how often it was there."""
+    a, b, *sizes = (np.concatenate([np.zeros(0, np.int64), *x]) for x in columns)
+    turn = a > b
+    a, b = np.where(turn, b, a), np.where(turn, a, b)
+    if sizes:
+        sizes = [np.where(turn, sizes[1], sizes[0]), np.where(turn, sizes[0], sizes[1])]
+    by = np.lexsort((b, a))
+    a, b = a[by], b[by]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return [a[new], b[new], *(x[by][new] for x in sizes), np.diff(np.flatnonzero(np.concatenate([new, [True]])))]
 
 
 def _first_pairs(batches, percent: int, small: int):
-    """All fitting pairs of small groups; in a large group its least class with each other that fits, and the group's
-    members (a, null, s, size)."""
+    """All fitting pairs of small groups with how many prefix shingles they share there; in a large group its least class
+    with each other that fits, and the group's members (a, null, size_a, s)."""
     batches = list(batches)
     if not batches:
         return
     s, c, size, edges = _groups(batches)
     counts = np.diff(edges)
-    a, b = [], []
+    out: list[list[np.ndarray]] = [[], [], [], []]
+
+    def take(x, y):
+        fit = 100 * size[x].astype(np.int64) >= percent * size[y].astype(np.int64)
+        for to, v in zip(out, (c[x[fit]], c[y[fit]], size[x[fit]], size[y[fit]]), strict=True):
+            to.append(v)
+
     for g in range(2, small + 1):  # all groups of g members at once
         at = edges[:-1][counts == g]
         for i in range(g):
             for j in range(i + 1, g):
-                x, y = at + i, at + j
-                fit = 100 * size[x].astype(np.int64) >= percent * size[y].astype(np.int64)
-                a.append(c[x[fit]])
-                b.append(c[y[fit]])
+                take(at + i, at + j)
     for g in np.flatnonzero(counts > small).tolist():
-        members, sizes = c[edges[g] : edges[g + 1]], size[edges[g] : edges[g + 1]].astype(np.int64)
-        least = int(np.argmin(members))
-        fit = (100 * np.minimum(sizes, sizes[least]) >= percent * np.maximum(sizes, sizes[least])) & (members != members[least])
-        b.append(members[fit])
-        a.append(np.full(len(b[-1]), members[least]))
-    a, b = _unique_pairs(a, b)
-    none = pa.nulls(len(a), pa.int64())
-    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none, none.cast(pa.int32())], schema=FIRST)
+        members = np.arange(edges[g], edges[g + 1])
+        least = int(members[np.argmin(c[members])])
+        take(members[members < least], np.full(int((members < least).sum()), least))
+        take(np.full(int((members > least).sum()), least), members[members > least])
+    a, b, size_a, size_b, n = _unique_pairs(*out)
+    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((a, b, size_a, size_b, n), FIRST.types, strict=False)] + [pa.nulls(len(a), pa.int64())], schema=FIRST)
     crowded = np.repeat(counts > small, counts) if len(counts) else np.zeros(0, bool)
-    yield pa.RecordBatch.from_arrays([pa.array(c[crowded]), pa.nulls(int(crowded.sum()), pa.int64()), pa.array(s[crowded]), pa.array(size[crowded])], schema=FIRST)
+    c, size, s = c[crowded], size[crowded], s[crowded]
+    yield pa.RecordBatch.from_arrays([pa.array(c), pa.nulls(len(c), pa.int64()), pa.array(size, pa.int32()), pa.nulls(len(c), pa.int32()), pa.nulls(len(c), pa.int64()), pa.array(s)], schema=FIRST)
 
 
 def bitmap(s: np.ndarray, bits: int) -> np.ndarray:
@@ -219,8 +228,9 @@ def _decided(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("a", "band", "salt").applyInArrow(lambda t: _decide(t, percent), "a long, b long")
 
 
-def _second_pairs(batches, percent: int):
-    """Of large groups, the pairs of different components whose sizes fit and whose bitmaps allow a link, in blocks."""
+def _apart_pairs(batches, percent: int, leaders: int):
+    """Of large groups, the pairs of different components whose sizes fit and whose bitmaps allow a link, in blocks. With
+    `leaders`, only pairs with that many of a group's members, those first by a hash."""
     batches = list(batches)
     if not batches:
         return
@@ -233,6 +243,19 @@ def _second_pairs(batches, percent: int):
     for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         rows = by[x:y]
         sizes = size[rows].astype(np.int64)
+        if leaders:
+            for r in rows[np.argsort(ta.mix(c[rows].view(np.uint64)))[:leaders]].tolist():
+                tail = rows[comp[rows] != comp[r]]
+                if len(tail):
+                    words = np.array([min(len(bits[r]), len(bits[t])) // 8 for t in tail])
+                    differing = np.array([np.bitwise_count(_folded(bits[r], w) ^ _folded(bits[t], w)).sum() for t, w in zip(tail, words.tolist(), strict=True)], np.int64)
+                    total = size[r] + size[tail].astype(np.int64)
+                    most = np.minimum((total - differing) // 2, np.minimum(size[r], size[tail]))
+                    fit = 100 * most >= percent * (total - most)
+                    tail = tail[fit]
+                    b_out.append(c[tail])
+                    a_out.append(np.full(len(b_out[-1]), c[r]))
+            continue
         for i in range(0, len(rows), TILE):
             head = rows[i : i + TILE]
             least_bits = min(len(bits[r]) for r in head) // 8
@@ -248,9 +271,10 @@ def _second_pairs(batches, percent: int):
                     most = np.minimum(most, np.minimum(size[r], size[tail]))
                     fit = (comp[tail] != comp[r]) & (100 * most >= percent * (total - most))
                     if fit.any():
-                        b_out.append(c[tail[fit]])
+                        found = tail[fit]
+                        b_out.append(c[found])
                         a_out.append(np.full(len(b_out[-1]), c[r]))
-    a, b = _unique_pairs(a_out, b_out)
+    a, b, _ = _unique_pairs(a_out, b_out)
     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
@@ -261,6 +285,20 @@ def _folded(bits: bytes, words: int) -> np.ndarray:
     return out
 
 
+def _likely(pairs: DataFrame, crowds: DataFrame, percent: int) -> DataFrame:
+    """The pairs that share enough of their prefixes. Of the set whose prefix ends first, each shared shingle lies in both
+    prefixes or beyond its own; so the overlap is at most the shared prefix shingles plus what is beyond. Shingles of large
+    groups were not counted pair by pair: as many as both have of them may be shared."""
+    pairs = pairs.groupBy("a", "b").agg(F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"), F.sum("n").alias("n"))
+    many = crowds.groupBy("c").agg(F.count(F.lit(1)).alias("many"))
+    for x in "ab":
+        pairs = pairs.join(many.select(F.col("c").alias(x), F.col("many").alias(f"many_{x}")), x, "left")
+    least = F.ceil(F.lit(percent) * (F.col("size_a") + F.col("size_b")) / F.lit(100 + percent))
+    beyond = [F.ceil(F.lit(percent) * F.col(f"size_{x}") / F.lit(100)) - 1 for x in "ab"]
+    most = F.col("n") + F.least(*(F.coalesce(f"many_{x}", F.lit(0)) for x in "ab")) + F.greatest(*beyond)
+    return pairs.where(most >= least - F.lit(1e-6)).select("a", "b")
+
+
 def jaccard_links(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, small: int = SMALL, sample_of: int = SAMPLE_OF, frequent: int = FREQUENT) -> tuple[DataFrame, DataFrame]:
     """Of documents (doc_id, text): members (doc_id, size, c) with the class c of each document, and links (a, b) between
     classes: enough of them to connect all that are similar."""
@@ -279,24 +317,28 @@ def jaccard_links(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, sma
     total = summary.agg(F.sum(F.size("prefix").cast("long")).alias("n")).first()[0] or 0
     parts = max(8, -(-max(0, total) // POSTINGS))
     dealt = postings.repartition(parts, "s")
-    first = cut(dealt.mapInArrow(partial(_first_pairs, percent=percent, small=small), "a long, b long, s long, size int"))
-    pairs = cut(first.where("b IS NOT NULL").select("a", "b").distinct())
-    crowds = first.where("b IS NULL").select(F.col("a").alias("c"), "s", "size")
+    first = cut(dealt.mapInArrow(partial(_first_pairs, percent=percent, small=small), FIRST_SQL))
+    crowds = first.where("b IS NULL").select(F.col("a").alias("c"), "s", F.col("size_a").alias("size"))
+    pairs = cut(_likely(first.where("b IS NOT NULL"), crowds, percent))
 
     heads = members.where("size > 0").groupBy("c").agg(F.min("doc_id").alias("d"))
     chosen = pairs.select(F.explode(F.array("a", "b")).alias("c")).union(crowds.select("c")).distinct().join(heads, "c")
     # Rows that share an id may have different texts; the class key tells which is meant.
-    sets = texts.join(chosen.withColumnRenamed("d", "doc_id"), "doc_id").select("c", "text").mapInArrow(partial(_sets, n=n), "c long, size int, set binary, bits binary")
-    sets = cut(sets.dropDuplicates(["c"]))
+    sets = texts.join(chosen.withColumnRenamed("d", "doc_id"), "doc_id").distinct().select("c", "text").mapInArrow(partial(_sets, n=n), "c long, size int, set binary, bits binary")
+    sets = cut(sets)
     links = cut(_decided(pairs, sets, percent))
 
-    label = components(links).withColumnRenamed("node", "c")
-    inside = crowds.join(label, "c", "left").withColumn("comp", F.coalesce("component", "c"))
-    apart = inside.groupBy("s").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("s")
-    inside = inside.join(apart, "s").join(sets.select("c", "bits"), "c").select("s", "c", "size", "comp", "bits")
-    more = inside.repartition(parts, "s").mapInArrow(partial(_second_pairs, percent=percent), "a long, b long").distinct()
-    more = cut(more.join(pairs, ["a", "b"], "left_anti"))
-    return members, links.union(_decided(more, sets, percent))
+    for leaders in (LEADERS, 0):
+        label = components(links).withColumnRenamed("node", "c")
+        inside = crowds.join(label, "c", "left").withColumn("comp", F.coalesce("component", "c"))
+        apart = inside.groupBy("s").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("s")
+        inside = inside.join(apart, "s")
+        inside = inside.join(sets.select("c", "bits"), "c").select("s", "c", "size", "comp", "bits")
+        more = inside.repartition(parts, "s").mapInArrow(partial(_apart_pairs, percent=percent, leaders=leaders), "a long, b long").distinct()
+        more = cut(more.join(pairs, ["a", "b"], "left_anti"))
+        pairs = pairs.union(more)
+        links = links.union(cut(_decided(more, sets, percent)))
+    return members, links
 
 
 def jaccard_join(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, **options) -> DataFrame:

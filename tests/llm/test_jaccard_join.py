@@ -51,7 +51,7 @@ def crowd(seed=3, n=90):
     return [(i * 2 + 1, t, "en", "s", len(t), 1, "k") for i, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize("small,sample_of", [(6, 16), (2, 1)])
+@pytest.mark.parametrize("small,sample_of", [(32, 8), (2, 1)])
 def test_equals_brute_force(spark, small, sample_of):
     rows = documents() + [(1000 + r[0], *r[1:]) for r in crowd()]
     got = jaccard_join(spark.createDataFrame(rows, SCHEMA), small=small, sample_of=sample_of).collect()
