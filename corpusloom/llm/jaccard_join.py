@@ -44,6 +44,8 @@ FREQUENT = 1 << 20
 SMALL = 32
 #: Members of a large group that the others are compared with before all that are still apart are.
 LEADERS = 8
+#: Groups of a member that are known when pairs are dealt to groups.
+MEETINGS = 16
 #: Members of a tile, and postings of a partition, about.
 TILE = 1024
 POSTINGS = 1 << 20
@@ -236,7 +238,14 @@ def _apart_pairs(batches, percent: int, leaders: int):
         return
     got = pa.Table.from_batches(batches)
     s, c, size, comp = (got.column(x).to_numpy() for x in ("s", "c", "size", "comp"))
-    bits = got.column("bits").to_pylist()
+    bits, keys = got.column("bits").to_pylist(), got.column("keys").to_pylist()
+    sets = [frozenset(x) for x in keys]
+
+    def met_here(r: int, others: np.ndarray) -> np.ndarray:
+        """Two members may meet in many groups: those of the pairs that do not meet in an earlier one, as far as is known."""
+        at, own = int(s[r]), sets[r]
+        return np.array([min(own & sets[t], default=at) == at for t in others.tolist()], bool)
+
     by = np.lexsort((c, size, s))
     edges = np.flatnonzero(np.concatenate([[True], s[by][1:] != s[by][:-1], [True]]))
     a_out, b_out = [], []
@@ -253,7 +262,7 @@ def _apart_pairs(batches, percent: int, leaders: int):
                     most = np.minimum((total - differing) // 2, np.minimum(size[r], size[tail]))
                     fit = 100 * most >= percent * (total - most)
                     tail = tail[fit]
-                    b_out.append(c[tail])
+                    b_out.append(c[tail[met_here(r, tail)]])
                     a_out.append(np.full(len(b_out[-1]), c[r]))
             continue
         for i in range(0, len(rows), TILE):
@@ -272,7 +281,7 @@ def _apart_pairs(batches, percent: int, leaders: int):
                     fit = (comp[tail] != comp[r]) & (100 * most >= percent * (total - most))
                     if fit.any():
                         found = tail[fit]
-                        b_out.append(c[found])
+                        b_out.append(c[found[met_here(int(r), found)]])
                         a_out.append(np.full(len(b_out[-1]), c[r]))
     a, b, _ = _unique_pairs(a_out, b_out)
     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
@@ -333,7 +342,9 @@ def jaccard_links(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, sma
         inside = crowds.join(label, "c", "left").withColumn("comp", F.coalesce("component", "c"))
         apart = inside.groupBy("s").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("s")
         inside = inside.join(apart, "s")
-        inside = inside.join(sets.select("c", "bits"), "c").select("s", "c", "size", "comp", "bits")
+        # A few of each member's groups, so that a pair that meets in several is looked at in one.
+        first = inside.groupBy("c").agg(F.slice(F.sort_array(F.collect_set("s")), 1, MEETINGS).alias("keys"))
+        inside = inside.join(first, "c").join(sets.select("c", "bits"), "c").select("s", "c", "size", "comp", "bits", "keys")
         more = inside.repartition(parts, "s").mapInArrow(partial(_apart_pairs, percent=percent, leaders=leaders), "a long, b long").distinct()
         more = cut(more.join(pairs, ["a", "b"], "left_anti"))
         pairs = pairs.union(more)
