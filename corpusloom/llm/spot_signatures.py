@@ -30,18 +30,29 @@ BUCKETS = 2048
 BUCKET_ROWS = 4096
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once for the row however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def spots(text: Column, chain: int = CHAIN) -> Column:
     """The sorted distinct hashes of a text's spots; one hash if it has none, and none if it has no words."""
-    plain = F.translate(F.lower(text), "\n\t\r\x0b\x0c" + MARKS, " " * 5)
-    common = "(?:" + "|".join(ANCHORS) + ")"
-    # A common word, then `chain` content words, each after any common words.
-    pattern = f"(?<![^ ])(?=({common}(?: +(?:{common} +)*+(?!{common}(?: |$))[^ ]++){{{chain}}}))"
-    found = F.regexp_extract_all(plain, F.lit(pattern), F.lit(1))
-    # One pass over all spots takes the skipped common words out and evens the spaces.
-    even = F.regexp_replace(F.regexp_replace(F.array_join(found, "\n"), " +", " "), f" (?:{common} )+", " ")
-    words = F.trim(F.regexp_replace(plain, " +", " "))
-    listed = F.when(F.size(found) > 0, F.split(even, "\n")).when(words != "", F.array(words)).otherwise(F.array().cast("array<string>"))
-    return F.array_sort(F.array_distinct(F.transform(listed, lambda s: F.hash(s))))
+    plain = F.translate(F.lower(text), "\n\t\r\x0b\x0c\x01" + MARKS, " " * 6)
+    marked = F.regexp_replace(plain, "(?<![^ ])(?:" + "|".join(sorted(ANCHORS, key=len, reverse=True)) + ")(?![^ ])", "\x01$0")
+    words = F.filter(F.split(marked, " "), lambda w: w != "")
+
+    def of_words(words: Column) -> Column:
+        content = F.filter(words, lambda w: ~w.startswith("\x01"))
+        at = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, i).startswith("\x01"))
+
+        def of_both(both: Column) -> Column:
+            # The j-th common word, at position i, has i - j content words before it.
+            found = F.transform(F.filter(F.transform(both["at"], lambda i, j: F.struct(i.alias("i"), (i - j).alias("k"))), lambda x: x["k"] + chain <= F.size(both["content"])), lambda x: F.hash(F.get(words, x["i"]), *(F.get(both["content"], x["k"] + n) for n in range(chain))))
+            return F.when(F.size(found) > 0, F.array_sort(F.array_distinct(found))).otherwise(F.array(F.hash(F.array_join(words, " "))))
+
+        return F.when(F.size(words) > 0, _let(F.struct(content.alias("content"), at.alias("at")), of_both)).otherwise(F.array().cast("array<int>"))
+
+    return _let(words, of_words)
 
 
 def as_text(fingerprint: Column) -> Column:
@@ -62,22 +73,23 @@ def length_band(fingerprint: Column, floor: float) -> Column:
     return F.when(F.size(fingerprint) > 0, F.floor(F.log(F.size(fingerprint).cast("double")) / F.log(F.lit(1 / floor)))).cast("int")
 
 
-def following(rows: DataFrame, id_col: str, order: list[Column], columns: list[str], total: int) -> DataFrame:
-    """rows by descending id, each with next_<column> of the row that follows; the first follows the last."""
+def following(rows: DataFrame, id_col: str, order: list[Column], derive: dict[str, Column], columns: list[str], total: int) -> DataFrame:
+    """rows by descending id with the derived columns, each row with next_<column> of the row that follows; the first row
+    follows the last."""
     wanted = max(1, min(BUCKETS, -(-total // BUCKET_ROWS)))
     bounds = rows.agg(F.percentile_approx(id_col, [i / wanted for i in range(1, wanted)], 100_000)).first()[0] if wanted > 1 else []
     bounds = sorted(set(bounds or []), reverse=True)
     # Buckets count from the greatest ids; null ids have one of their own at the end.
-    bucket = F.lit(len(bounds))
-    for lo, hi in ((0, len(bounds)),) if bounds else ():
-        bucket = F.size(F.filter(F.array(*[F.lit(int(b)) for b in bounds[lo:hi]]), lambda b: b > F.col(id_col)))
+    bucket = F.size(F.filter(F.array(*[F.lit(int(b)) for b in bounds]), lambda b: b > F.col(id_col))) if bounds else F.lit(0)
     rows = rows.withColumn("__bucket", F.when(F.col(id_col).isNull(), F.lit(len(bounds) + 1)).otherwise(bucket))
     keyed = rows.withColumn("__order", F.struct((-F.col(id_col)).alias("i"), *order))
-    heads = keyed.groupBy("__bucket").agg(F.min_by(F.struct(*columns), "__order").alias("head"))
+    firsts = keyed.groupBy("__bucket").agg(F.min("__order").alias("__least"))
     around = Window.orderBy("__bucket")  # a row for each bucket
-    heads = heads.withColumn("__to", F.coalesce(F.lag("__bucket").over(around), F.max("__bucket").over(around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-    heads = heads.select(F.col("__to").alias("__bucket"), *(F.col(f"head.{c}").alias(c) for c in columns), F.lit(1).alias("__head"))
-    every = keyed.withColumn("__head", F.lit(0)).unionByName(heads, allowMissingColumns=True)
+    to = F.coalesce(F.lag("__bucket").over(around), F.max("__bucket").over(around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    firsts = firsts.select(F.col("__bucket").alias("__b"), "__least", to.alias("__to"))  # at most BUCKETS + 2 rows
+    heads = keyed.join(F.broadcast(firsts), (F.col("__bucket") == F.col("__b")) & F.col("__order").eqNullSafe(F.col("__least")))
+    heads = heads.dropDuplicates(["__b"]).withColumn("__bucket", F.col("__to")).select(*keyed.columns).withColumn("__head", F.lit(1))
+    every = keyed.withColumn("__head", F.lit(0)).unionByName(heads).withColumns(derive)
     within = Window.partitionBy("__bucket").orderBy("__head", "__order")
     return every.select("*", *(F.lead(c).over(within).alias(f"next_{c}") for c in columns)).where("__head = 0").drop("__bucket", "__order", "__head")
 
@@ -92,7 +104,7 @@ def spot_signatures(docs: DataFrame, chain: int = CHAIN, floor: float = 0.0) ->
     """For each document doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = docs.count()
-    rows = following(rows.withColumn("spots", spots(F.col("text"), chain)), "doc_id", [F.xxhash64("text").alias("h")], ["text", "spots"], total)
+    rows = following(rows, "doc_id", [F.xxhash64("text").alias("h")], {"spots": spots(F.col("text"), chain)}, ["text", "spots"], total)
     rows = rows.select("doc_id", "text", "spots", "next_spots", edited(F.col("text"), F.col("next_text")).alias("edited"))
     rows = rows.withColumn("edited_spots", spots(F.col("edited"), chain))
     return rows.select(
