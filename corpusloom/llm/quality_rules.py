@@ -33,7 +33,7 @@ MAX_ROWS = 20_000
 TREES = 200
 SAMPLE = 256
 DEPTH = 10
-GOOD_WEIGHT = 10
+GOOD_WEIGHT = 50
 SEED = 17
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_letters", "n_marks", "n_digits")
