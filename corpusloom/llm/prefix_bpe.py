@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pieces, and pairs of tokens, that a task remembers.
-PIECES = 1 << 18
+PIECES = 1 << 19
 PAIRS = 1 << 20
 
 
@@ -32,6 +32,7 @@ class PrefixTokenizer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {i: b for b, i in ranks.items()}
+        self.table = [self.tokens.get(i, b"") for i in range(max(self.tokens, default=-1) + 1)]
         self.longest = max(map(len, ranks), default=1)
         # How long a token that ends with a byte can be at most.
         self.reach = [1] * 256
@@ -161,12 +162,12 @@ def _loaded(path: str, pattern: str):
 
 def _encoded(batches, path: str, pattern: str, with_ids: bool):
     tokenizer, known, splitter = _loaded(path, pattern)
-    tokens = tokenizer.tokens
+    token = tokenizer.table.__getitem__
     for batch in batches:
         rows: list[list] = [[], [], [], []]
         for text in batch.column("text"):
-            ids = b"".join([known[p] for p in splitter.findall(text.as_py() or "")])
-            decoded = b"".join([tokens[i] for i in np.frombuffer(ids, "<u4").tolist()])
+            ids = b"".join(map(known.__getitem__, splitter.findall(text.as_py() or "")))
+            decoded = b"".join(map(token, np.frombuffer(ids, "<u4").tolist()))
             for to, v in zip(rows, (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest(), np.frombuffer(ids, "<u4").astype(np.int32) if with_ids else None), strict=True):
                 to.append(v)
         out = [batch.column("doc_id"), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string())]
