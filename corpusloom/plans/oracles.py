@@ -20,6 +20,18 @@ def source_text(text: str = "text") -> str:
     return rf"trim(regexp_replace(replace(replace({s}, '''', ' '), chr(1), ''''), ' +', ' ', 'g'))"
 
 
+def page_text(text: str) -> str:
+    word = r"[\p{L}\p{M}\p{Nd}\p{Pc}]"
+    s = f"replace(regexp_replace(translate({text}, '‘’“”', {QUOTES}), '[—–]', '-', 'g'), '…', '...')"
+    s = f"regexp_replace({s}, '<[^>]+>', ' ', 'g')"
+    for name, c in (("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        s = f"replace({s}, '{name}', '{c}')"
+    s = rf"trim(regexp_replace({s}, '[\s\x0B\x{{85}}\p{{Z}}]+', ' ', 'g'))"
+    s = rf"regexp_replace(regexp_replace({s}, ' ([,.;:!?%)\]}}])', '\1', 'g'), '([(\[{{]) ', '\1', 'g')"
+    s = rf"regexp_replace({s}, '({word}) ?'' ?(s|t|re|ve|ll|d|m)\b', '\1''\2', 'g')"
+    return rf"regexp_replace({s}, '({word})-\s+({word})', '\1-\2', 'g')"
+
+
 LINT = r"""
 s AS (SELECT doc_id, unnest(generate_series(0, len(p) - 1)) AS no, unnest(p) AS sentence
       FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS p FROM documents)),
@@ -146,4 +158,32 @@ FROM (SELECT conv_id, role, len(regexp_extract_all(text, '[^\s\x0B]+')) AS n FRO
 WITH {LINT}, r(rule) AS (VALUES ('verdict'), ('of_the'), ('from'), ('never')), c AS (SELECT rule, CASE WHEN rule = 'never' THEN 0 ELSE (SELECT count(*) FROM documents) END AS n_checked FROM r),
 n AS (SELECT rule, count(*) AS found FROM hits GROUP BY rule)
 SELECT rule, n_checked, coalesce(found, 0) AS found, CASE WHEN n_checked = 0 THEN 'not_checked' WHEN coalesce(found, 0) > 0 THEN 'fail' ELSE 'pass' END AS status FROM c LEFT JOIN n USING (rule)""",
+    "links_extract": r"""
+SELECT DISTINCT page_id, regexp_replace(u, '[.,;:!?)]+$', '') AS link FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"#]+)"', 1)) AS u FROM pages)""",
+    "ocr_garbled_docs": f"""
+WITH w AS (SELECT doc_id, list_filter(string_split({source_text()}, ' '), lambda x: x <> '') AS ws FROM documents)
+SELECT doc_id, coalesce(len(ws) >= 12 AND len(list_filter(ws, lambda x: length(x) <= 2 OR NOT regexp_full_match(x, '[a-z'']+'))) > 0.35 * len(ws), false) AS garbled FROM w""",
+    "content_presence": f"""
+WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), w AS (SELECT doc_id, {page_text('line')} AS want FROM p),
+h AS (SELECT doc_id, regexp_replace({page_text("CASE WHEN doc_id % 3 = 0 THEN array_to_string(string_split(text, chr(10))[2:], chr(10)) ELSE text END")}, '\\s+', '', 'g') AS have
+      FROM documents WHERE doc_id % 7 <> 0)
+SELECT doc_id, count(*) AS paragraphs, count(*) FILTER (WHERE NOT coalesce(contains(have, regexp_replace(want, '\\s+', '', 'g')), false)) AS missing
+FROM w LEFT JOIN h USING (doc_id) WHERE length(want) >= 40 GROUP BY doc_id""",
+    "tag_unused": f"WITH {VOCABULARY}, {TAGS} SELECT publication, tag FROM v ANTI JOIN u USING (publication, tag)",
+    "tags_in_order": """
+SELECT o_custkey, string_agg(o_orderpriority, ',' ORDER BY CASE o_orderpriority WHEN '2-HIGH' THEN 0 WHEN '1-URGENT' THEN 1 ELSE 2 END, o_orderkey) AS tags FROM orders GROUP BY 1""",
+    "deck_compare": """
+SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN 'k' ELSE '' END || turn AS slide,
+CASE WHEN conv_id % 5 = 0 AND turn = 2 THEN 'missing' WHEN conv_id % 3 = 0 AND turn = 1 AND text IS NOT NULL THEN 'drift' ELSE 'match' END AS status,
+CASE WHEN NOT (conv_id % 5 = 0 AND turn = 2) AND conv_id % 3 = 0 AND turn = 1 AND text IS NOT NULL THEN 'text' ELSE '' END AS faults FROM conversations""",
+    "resolved_rows": f"""
+WITH x AS (SELECT doc_id, text AS t, CASE WHEN doc_id % 2 = 0 THEN text || 'd' ELSE text END AS d, CASE WHEN doc_id % 3 = 0 THEN text || 'l' ELSE text END AS l FROM documents),
+y AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN l WHEN 1 THEN d ELSE t END AS b, d, l FROM x) SELECT doc_id, {STATE} AS state FROM y""",
+    "deferrals_lapsed": "SELECT doc_id FROM labels JOIN documents USING (doc_id) WHERE doc_id % 9 = 0 OR doc_id % 4 = 0",
+    "furniture_top": f"""
+WITH {FURNITURE} SELECT source, run, on_pages, total FROM
+(SELECT source, run, on_pages, count(*) OVER (PARTITION BY source) AS total, row_number() OVER (PARTITION BY source ORDER BY on_pages DESC, run) AS r FROM f) WHERE r <= 6""",
+    "superseded_lines": r"""
+SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE regexp_matches(line, '(?i)\b(from|old)\b') GROUP BY 1""",
+    "landed_on_not_found": "SELECT page_id, contains(url, '/404') OR contains(url, '/en/') OR contains(url, 'not-found') AS lost FROM pages",
 }

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import norm
-from corpusloom.operators import reconcile, text
+from corpusloom.operators import checks, html, reconcile, text
 from corpusloom.operators.quotes import quote_verdicts as verdicts
 
 
@@ -306,6 +306,84 @@ def quote_verdicts(spark, d):
     return verdicts(spans, _streams(spark, d), "doc_id")
 
 
+def links_extract(spark, d):
+    """PJ24: the distinct links of each page."""
+    return table(spark, d, "pages").select("page_id", F.explode(text.links(F.col("html"))).alias("link"))
+
+
+def html_marks(spark, d):
+    """PJ9, PJ10, PJ13: blocks of pages with digests of their texts and marks (no SQL: nested elements)."""
+    blocks = table(spark, d, "pages").select("page_id", F.posexplode(html.blocks_of(F.col("html"))).alias("idx", "b"))
+    return blocks.select("page_id", "idx", "b.kind", norm.short_digest(F.col("b.text")).alias("h"), norm.short_digest(html.mark_keys(F.col("b.marks"))).alias("hm"), F.size("b.marks").alias("marks"))
+
+
+def ocr_garbled_docs(spark, d):
+    """FL2: documents whose normalized words are mostly no words."""
+    return _streams(spark, d).select("doc_id", checks.garbled(F.col("stream")).alias("garbled"))
+
+
+def content_presence(spark, d):
+    """FZ13: lines that copies lack; some copies have lost their first line, some documents have no copy."""
+    docs = table(spark, d, "documents")
+    lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("text"))
+    page = F.when(F.col("doc_id") % 3 == 0, F.array_join(F.slice(F.split("text", "\n"), 2, 1 << 30), "\n")).otherwise(F.col("text"))
+    return checks.content_presence(lines, docs.where("doc_id % 7 <> 0").select("doc_id", page.alias("page")), "doc_id")
+
+
+def tag_unused(spark, d):
+    """JN2, SO3: entries of the vocabulary that nothing uses."""
+    return reconcile.index_losses(_vocabulary(spark), _tags(spark, d), ["publication", "tag"])
+
+
+def tags_in_order(spark, d):
+    """ST2: customers' order priorities in a vocabulary's order, unknown ones last in the order of the orders."""
+    used = table(spark, d, "orders").select("o_custkey", F.col("o_orderpriority").alias("tag"), F.col("o_orderkey").alias("pos"))
+    out = checks.ordered_tags(used, spark.createDataFrame([("2-HIGH", 0), ("1-URGENT", 1)], "tag string, ord int"), "o_custkey")
+    return out.select("o_custkey", F.array_join("tags", ",").alias("tags"))
+
+
+def deck_compare(spark, d):
+    """FZ18, JN17: conversations as decks against copies that lack slides or have other texts; half have keys."""
+    c = table(spark, d, "conversations")
+    key = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("k"), "turn"))
+    ours = c.select("conv_id", F.col("turn").alias("n"), key.alias("key"), "role", "text")
+    theirs = ours.where("NOT (conv_id % 5 = 0 AND n = 2)").withColumn("text", F.when(F.expr("conv_id % 3 = 0 AND n = 1"), F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    return checks.deck_compare(ours, theirs, "conv_id", ["role", "text"])
+
+
+def resolved_rows(spark, d):
+    """XT3, FZ10: states of documents after decisions for drafts or live copies."""
+    edited = lambda k, x: F.md5(F.when(F.col("doc_id") % k == 0, F.concat("text", F.lit(x))).otherwise(F.col("text")))
+    docs = table(spark, d, "documents").select("doc_id", F.md5("text").alias("base"), edited(2, "d").alias("draft"), edited(3, "l").alias("live"))
+    taken = docs.where("doc_id % 5 < 2").select("doc_id", F.when(F.col("doc_id") % 5 == 0, "draft").otherwise("live").alias("take"))
+    out = checks.resolved(docs, taken, ["doc_id"])
+    return out.select("doc_id", reconcile.classify(F.col("base"), F.col("draft"), F.col("live")).alias("state"))
+
+
+def deferrals_lapsed(spark, d):
+    """TM10: labelled documents whose text has changed since, or that are gone."""
+    docs = table(spark, d, "documents")
+    held = table(spark, d, "labels").select("doc_id").join(docs, "doc_id").select("doc_id", F.sha2(F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")), 256).alias("sha"))
+    return checks.lapsed(held, docs.where("doc_id % 9 <> 0").select("doc_id", F.sha2("text", 256).alias("sha")), "doc_id")
+
+
+def furniture_top(spark, d):
+    """AG17, ST4: the six most frequent furniture runs of each source: a report."""
+    found = text.furniture(table(spark, d, "documents"), "source", "doc_id", share=0.02)
+    return reconcile.capped(found, ["source"], [F.desc("on_pages"), "run"], 6).select("source", "run", "on_pages", "total")
+
+
+def superseded_lines(spark, d):
+    """FL10: lines of each document that hold one of two words (stand-ins for retired, superseded)."""
+    lines = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    return lines.where(checks.superseded(F.col("line"), ["from", "old"])).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def landed_on_not_found(spark, d):
+    """FL16: pages whose address holds a marker."""
+    return table(spark, d, "pages").select("page_id", checks.not_found(F.col("url"), ["/404", "/en/", "not-found"]).alias("lost"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -313,5 +391,7 @@ QUERIES = {
         html_block_counts, page_reader_text, lint_hits, lint_term_threshold, sentence_stats, title_like_lines, tag_usage, tag_unknown, required_missing, fk_ownership,
         index_losses, publication_conflicts, upload_plan, three_way_rows, drift_status, aligned_lines, embargo_state, moments_due, notes_backlog, first_reference_order,
         carry_forward, merge_adjacent, interior_gaps, page_calibration_mode, index_upsert, shelf_audit, best_source_rank, hits_per_source, talk_minutes, gate_summary, quote_verdicts,
+        links_extract, html_marks, ocr_garbled_docs, content_presence, tag_unused, tags_in_order, deck_compare, resolved_rows, deferrals_lapsed, furniture_top, superseded_lines,
+        landed_on_not_found,
     )
 }
