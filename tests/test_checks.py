@@ -21,7 +21,7 @@ def test_blocks_of_pages():
 
 def test_anchor_tails_and_captions(spark):
     df = spark.createDataFrame([('<p>One<a class="footnote-anchor">1</a> two</p><figure><img><figcaption>A <b>c</b></figcaption></figure><figure></figure>',), (None,)], "h string")
-    got = df.select(F.transform(html.blocks_of(F.col("h")), html.anchor_tails).alias("t"), html.captions(F.col("h")).alias("c")).collect()
+    got = df.select(F.transform(html.blocks_of(F.col("h")), lambda b: html.anchor_tails(b)).alias("t"), html.captions(F.col("h")).alias("c")).collect()
     assert [tuple(x) for x in got[0].t[0]] == [("1", "One")] and got[0].c == ["A c", ""]
     assert got[1].t == [] and got[1].c is None
 
