@@ -16,24 +16,25 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     joined = both.join(least, "a")
     if large:
         out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    else:
-        out = joined.select("b", "m", "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x")).select("x.*")
+        return out.where("a <> b")  # no more rows than links; the small star drops repeats
+    out = joined.select("b", "m", "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x")).select("x.*")
     return out.where("a <> b").distinct()
 
 
+def _settled(links: DataFrame) -> bool:
+    """Whether every node has one target and no target has one of its own: then each component is a star."""
+    ends = links.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("into")), F.struct(F.col("b").alias("x"), F.lit(0).alias("out"), F.lit(1).alias("into")))).alias("e")).select("e.*")
+    return ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 OR out = 1 AND into = 1").isEmpty()
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """Of links (a, b): for each node that is linked, (node, component), the least node that it can reach. Self links
     and nulls are ignored; repeated links count once; no links give an empty result."""
-    links = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    links = cut(links)
-    before = None
+    links = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     for _ in range(rounds):
         links = cut(_star(_star(links, True), False))
-        # Stars point at their least nodes: the sum of targets falls until the stars are complete.
-        now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
+        if _settled(links):
             break
-        before = now
     else:
         raise RuntimeError("the components did not settle")
     roots = links.select("b").distinct()

@@ -220,9 +220,9 @@ def _sets(batches, n: int):
 
 
 def _decided(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link. A class's partners are dealt to tiles by size band and then to salts of about TILE."""
-    members = pairs.join(sets.select(F.col("c").alias("b"), "size", "set"), "b").withColumn("band", band(F.col("size")))
-    tiles = pairs.join(sets.select(F.col("c").alias("b"), "size"), "b").groupBy("a", band(F.col("size")).alias("band")).agg(F.count(F.lit(1)).alias("n"))
+    """Of pairs (a, b, size) with the size of b, those that link. A class's partners are dealt to tiles by size band and then to salts of about TILE."""
+    members = pairs.join(sets.select(F.col("c").alias("b"), "set"), "b").withColumn("band", band(F.col("size")))
+    tiles = pairs.groupBy("a", band(F.col("size")).alias("band")).agg(F.count(F.lit(1)).alias("n"))
     tiles = tiles.select("a", "band", F.ceil(F.col("n") / TILE).cast("int").alias("salts"))
     members = members.join(tiles, ["a", "band"]).select("a", "band", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.col("b").alias("c"), "size", "set")
     heads = tiles.select("a", "band", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(sets.select(F.col("c").alias("a"), "size", "set"), "a")
@@ -248,7 +248,12 @@ def _apart_pairs(batches, percent: int, leaders: int):
 
     by = np.lexsort((c, size, s))
     edges = np.flatnonzero(np.concatenate([[True], s[by][1:] != s[by][:-1], [True]]))
-    a_out, b_out = [], []
+    out: list[list[np.ndarray]] = [[], [], [], []]
+
+    def take(r: int, others: np.ndarray):
+        for to, v in zip(out, (np.full(len(others), c[r]), c[others], np.full(len(others), size[r]), size[others]), strict=True):
+            to.append(v)
+
     for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         rows = by[x:y]
         sizes = size[rows].astype(np.int64)
@@ -262,8 +267,7 @@ def _apart_pairs(batches, percent: int, leaders: int):
                     most = np.minimum((total - differing) // 2, np.minimum(size[r], size[tail]))
                     fit = 100 * most >= percent * (total - most)
                     tail = tail[fit]
-                    b_out.append(c[tail[met_here(r, tail)]])
-                    a_out.append(np.full(len(b_out[-1]), c[r]))
+                    take(r, tail[met_here(r, tail)])
             continue
         for i in range(0, len(rows), TILE):
             head = rows[i : i + TILE]
@@ -281,10 +285,9 @@ def _apart_pairs(batches, percent: int, leaders: int):
                     fit = (comp[tail] != comp[r]) & (100 * most >= percent * (total - most))
                     if fit.any():
                         found = tail[fit]
-                        b_out.append(c[found[met_here(int(r), found)]])
-                        a_out.append(np.full(len(b_out[-1]), c[r]))
-    a, b, _ = _unique_pairs(a_out, b_out)
-    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                        take(int(r), found[met_here(int(r), found)])
+    a, b, _, of_b, _ = _unique_pairs(*out)
+    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(of_b, pa.int32())], ["a", "b", "size"])
 
 
 def _folded(bits: bytes, words: int) -> np.ndarray:
@@ -305,7 +308,7 @@ def _likely(pairs: DataFrame, crowds: DataFrame, percent: int) -> DataFrame:
     least = F.ceil(F.lit(percent) * (F.col("size_a") + F.col("size_b")) / F.lit(100 + percent))
     beyond = [F.ceil(F.lit(percent) * F.col(f"size_{x}") / F.lit(100)) - 1 for x in "ab"]
     most = F.col("n") + F.least(*(F.coalesce(f"many_{x}", F.lit(0)) for x in "ab")) + F.greatest(*beyond)
-    return pairs.where(most >= least - F.lit(1e-6)).select("a", "b")
+    return pairs.where(most >= least - F.lit(1e-6)).select("a", "b", F.col("size_b").alias("size"))
 
 
 def jaccard_links(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, small: int = SMALL, sample_of: int = SAMPLE_OF, frequent: int = FREQUENT) -> tuple[DataFrame, DataFrame]:
@@ -345,7 +348,7 @@ def jaccard_links(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, sma
         # A few of each member's groups, so that a pair that meets in several is looked at in one.
         first = inside.groupBy("c").agg(F.slice(F.sort_array(F.collect_set("s")), 1, MEETINGS).alias("keys"))
         inside = inside.join(first, "c").join(sets.select("c", "bits"), "c").select("s", "c", "size", "comp", "bits", "keys")
-        more = inside.repartition(parts, "s").mapInArrow(partial(_apart_pairs, percent=percent, leaders=leaders), "a long, b long").distinct()
+        more = inside.repartition(parts, "s").mapInArrow(partial(_apart_pairs, percent=percent, leaders=leaders), "a long, b long, size int").distinct()
         more = cut(more.join(pairs, ["a", "b"], "left_anti"))
         pairs = pairs.union(more)
         links = links.union(cut(_decided(more, sets, percent)))
