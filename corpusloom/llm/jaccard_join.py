@@ -24,7 +24,6 @@ A null id takes no part: it is its own component (null). Rows with equal ids are
 gives an empty result; other columns are ignored."""
 
 import hashlib
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +32,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import textarrays as ta
 from corpusloom.llm.components import components
-from corpusloom.llm.scratch import cut
+from corpusloom.llm.scratch import cut, small_batches
 
 SHINGLE = 5
 PERCENT = 75
@@ -48,7 +47,7 @@ LEADERS = 8
 MEETINGS = 16
 #: Members of a tile, and postings of a partition, about.
 TILE = 1024
-POSTINGS = 1 << 20
+POSTINGS = 1 << 19
 
 
 def shingle_sets(c: ta.Chunk, n: int) -> list[np.ndarray]:
@@ -315,28 +314,29 @@ def jaccard_links(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, sma
     """Of documents (doc_id, text): members (doc_id, size, c) with the class c of each document, and links (a, b) between
     classes: enough of them to connect all that are similar."""
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sampled = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(sample_of)) == 0).select("text")
-    counted = sampled.mapInArrow(partial(_frequent_in_sample, n=n), "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where("n >= 3")
+    counted = sampled.mapInArrow(ta.released(_frequent_in_sample, n=n), "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where("n >= 3")
     found = counted.orderBy(F.desc("n"), "s").limit(frequent).toArrow()
     hashes, often = found.column("s").to_numpy().view(np.uint64), found.column("n").to_numpy()
     by = np.argsort(hashes)
     shared = spark.sparkContext.broadcast((hashes[by], often[by]))
-    summary = cut(texts.mapInArrow(partial(_prefixes, n=n, percent=percent, frequent=shared), "doc_id long, size int, c long, prefix array<long>"))
+    summary = cut(texts.mapInArrow(ta.released(_prefixes, n=n, percent=percent, frequent=shared), "doc_id long, size int, c long, prefix array<long>"))
     members = summary.select("doc_id", "size", "c")
 
     postings = summary.where("prefix IS NOT NULL AND doc_id IS NOT NULL").select("c", "size", F.explode("prefix").alias("s"))
     total = summary.agg(F.sum(F.size("prefix").cast("long")).alias("n")).first()[0] or 0
     parts = max(8, -(-max(0, total) // POSTINGS))
     dealt = postings.repartition(parts, "s")
-    first = cut(dealt.mapInArrow(partial(_first_pairs, percent=percent, small=small), FIRST_SQL))
+    first = cut(dealt.mapInArrow(ta.released(_first_pairs, percent=percent, small=small), FIRST_SQL))
     crowds = first.where("b IS NULL").select(F.col("a").alias("c"), "s", F.col("size_a").alias("size"))
     pairs = cut(_likely(first.where("b IS NOT NULL"), crowds, percent))
 
     heads = members.where("size > 0").groupBy("c").agg(F.min("doc_id").alias("d"))
     chosen = pairs.select(F.explode(F.array("a", "b")).alias("c")).union(crowds.select("c")).distinct().join(heads, "c")
     # Rows that share an id may have different texts; the class key tells which is meant.
-    sets = texts.join(chosen.withColumnRenamed("d", "doc_id"), "doc_id").distinct().select("c", "text").mapInArrow(partial(_sets, n=n), "c long, size int, set binary, bits binary")
+    sets = texts.join(chosen.withColumnRenamed("d", "doc_id"), "doc_id").distinct().select("c", "text").mapInArrow(ta.released(_sets, n=n), "c long, size int, set binary, bits binary")
     sets = cut(sets)
     links = cut(_decided(pairs, sets, percent))
 
@@ -348,7 +348,7 @@ def jaccard_links(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, sma
         # A few of each member's groups, so that a pair that meets in several is looked at in one.
         first = inside.groupBy("c").agg(F.slice(F.sort_array(F.collect_set("s")), 1, MEETINGS).alias("keys"))
         inside = inside.join(first, "c").join(sets.select("c", "bits"), "c").select("s", "c", "size", "comp", "bits", "keys")
-        more = inside.repartition(parts, "s").mapInArrow(partial(_apart_pairs, percent=percent, leaders=leaders), "a long, b long, size int").distinct()
+        more = inside.repartition(parts, "s").mapInArrow(ta.released(_apart_pairs, percent=percent, leaders=leaders), "a long, b long, size int").distinct()
         more = cut(more.join(pairs, ["a", "b"], "left_anti"))
         pairs = pairs.union(more)
         links = links.union(cut(_decided(more, sets, percent)))

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.scratch import small_batches
+
 #: Pieces, and pairs of tokens, that a task remembers.
 PIECES = 1 << 19
 PAIRS = 1 << 20
@@ -180,6 +182,7 @@ def _encoded(batches, path: str, pattern: str, with_ids: bool):
 def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
     """For each document doc_id, n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit integers), decoded_sha256, and the
     ids if asked for."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(partial(_encoded, path=path, pattern=pattern, with_ids=with_ids), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import textarrays as ta
-from corpusloom.llm.scratch import cut
+from corpusloom.llm.scratch import cut, small_batches
 
 #: Documents with fewer words, or with more than this percentage of repeated words, fail the base rule.
 LEAST_WORDS = 50
@@ -227,7 +227,8 @@ def fit_forest(counts: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -
 
 def quality_rules(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """For each document doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and its mean path."""
-    counts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_counted, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
+    small_batches(docs.sparkSession)
+    counts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(ta.released(_counted), "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
     counts = cut(counts)
     forest = fit_forest(counts, labels, max_rows)
     shared = docs.sparkSession.sparkContext.broadcast(forest) if forest else None
@@ -241,7 +242,8 @@ def _kept_rows(batches, forest):
 
 def keep_good(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """The documents that the rules keep, with all their columns."""
-    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_counted, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
+    small_batches(docs.sparkSession)
+    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(ta.released(_counted), "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
     forest = fit_forest(labelled, labels, max_rows)
     shared = docs.sparkSession.sparkContext.broadcast(forest) if forest else None
-    return docs.mapInArrow(partial(_kept_rows, forest=shared), docs.schema)
+    return docs.mapInArrow(ta.released(_kept_rows, forest=shared), docs.schema)

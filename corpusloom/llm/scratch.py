@@ -6,6 +6,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of rows that a task hands to Python at once, unless the session says otherwise.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the batches between Spark and Python by bytes: ten thousand rows, Spark's own bound, may be long texts."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark.conf.get(key, None):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The session's spark.checkpoint.dir; a folder of its own only where that is unset, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)

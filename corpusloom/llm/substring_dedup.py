@@ -22,7 +22,6 @@ each other's words. An empty table gives an empty result; other columns are igno
 
 import hashlib
 import re
-from functools import partial
 from itertools import compress
 
 import numpy as np
@@ -31,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import textarrays as ta
-from corpusloom.llm.scratch import cut
+from corpusloom.llm.scratch import cut, small_batches
 
 WINDOW = 50
 GRAM = 10
@@ -206,8 +205,9 @@ def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, piece: int
     """Of documents (doc_id, text): a summary of each row (k: the id or the least long, id, n_words, text_sha, kept_sha: digest
     of all words joined by a space), and for each document that loses words (k, text_sha) its n_removed, kept_sha256
     and kept_text."""
+    small_batches(docs.sparkSession)
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(SMALLEST)).alias("k"), F.col("doc_id").cast("long").alias("id"), "text")
-    summary = cut(keyed.mapInArrow(partial(_summaries, window=window, gram=gram), "k long, id long, n_words long, text_sha string, kept_sha string, grams array<long>"))
+    summary = cut(keyed.mapInArrow(ta.released(_summaries, window=window, gram=gram), "k long, id long, n_words long, text_sha string, kept_sha string, grams array<long>"))
     grams = summary.select("k", F.explode("grams").alias("g"))
     shared = grams.groupBy("g").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a < b").select("g")
     hits = grams.join(shared, "g").groupBy("k").agg(F.collect_set("g").alias("hits"), F.min("g").alias("least"))
@@ -217,9 +217,9 @@ def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, piece: int
     hits = hits.join(crowds, "least").select("k", "hits", F.xxhash64("least", F.pmod(F.xxhash64("k"), F.col("salts"))).alias("place"))
     candidates = cut(keyed.join(hits, "k").select("k", "text", "hits", "place"))
 
-    windows = candidates.mapInArrow(partial(_windows, window=window, gram=gram), "w long, k long")
+    windows = candidates.mapInArrow(ta.released(_windows, window=window, gram=gram), "w long, k long")
     owned = windows.groupBy("w").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a < b").groupBy(F.col("a").alias("k")).agg(F.collect_list("w").alias("owned"))
-    passages = candidates.select("k", "text").join(owned, "k").mapInArrow(partial(_passages, window=window, gram=gram, piece=piece), "owner long, words binary, grams array<long>, passage string")
+    passages = candidates.select("k", "text").join(owned, "k").mapInArrow(ta.released(_passages, window=window, gram=gram, piece=piece), "owner long, words binary, grams array<long>, passage string")
     passages = cut(passages.dropDuplicates(["passage"]))
 
     buckets = max(8, -(-(candidates.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES))

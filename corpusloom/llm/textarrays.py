@@ -4,7 +4,9 @@ All hashes are 64-bit polynomials modulo 2**64 over an odd base, finalised with
 equal content gives equal hashes on every executor. `chunks` bounds the memory: each step holds a few arrays of
 eight bytes for each byte of a chunk, whatever the batch is."""
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -109,6 +111,22 @@ def chunks(column: pa.Array) -> Iterator[Chunk]:
         first = last
 
 
+def _released(batches, work: Callable):
+    try:
+        yield from work(batches)
+    finally:
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # only glibc has it
+            pass
+
+
+def released(work: Callable, **options) -> Callable:
+    """work(batches, **options) whose worker gives freed memory back to the system at its end; workers outlive their tasks."""
+    return partial(_released, work=partial(work, **options))
+
+
 def owners(bounds: np.ndarray) -> np.ndarray:
     """For each item the number of the text that it belongs to."""
     return np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
