@@ -89,3 +89,29 @@ def neighbour_ranges(loci: DataFrame, reach: int = 4) -> DataFrame:
 def superseded(line: Column, words: list[str]) -> Column:
     """FL10: a line that says that it has been replaced."""
     return line.rlike(r"(?i)\b(" + "|".join(words) + r")\b")
+
+
+def source_aliases(shelf: DataFrame, stop: list[str]) -> DataFrame:
+    """PJ34: how notes may name each source (source, work): (source, alias, weight). Italic titles of two words or more weigh
+    100 and their first 4 or 3 words 80, bold names 60 and 50, words with a capital after the first dash or "tr." 40. A prefix
+    needs a word of five letters that is not in `stop`; a surname is in neither `stop`, a title, nor a bold name but the last.
+    A null or empty work has no aliases; of repeated aliases the greatest weight counts."""
+    quiet = F.array(*[F.lit(w) for w in stop]).cast("array<string>")
+    work = F.coalesce("work", F.lit(""))
+    spans = {100: F.regexp_extract_all(work, F.lit(r"(?<!\*)\*(?!\*)([^*]{4,})\*(?!\*)"), F.lit(1)), 60: F.regexp_extract_all(work, F.lit(r"\*\*([^*]{4,})\*\*"), F.lit(1))}
+    split = F.regexp_extract(work, r"(?s)^.*?(?:—|\btr\.\s)(.*)$", 1)
+    author = F.regexp_replace(F.when(work.rlike(r"—|\btr\.\s"), split).otherwise(work), "[“\"][^”\"]{4,}[”\"]", " ")
+    rows = shelf.select("source", spans[100].alias("titles"), spans[60].alias("bolds"), F.regexp_extract_all(author, F.lit(r"\b([A-Z][a-zA-Z'’-]{4,})\b"), F.lit(1)).alias("capital"))
+
+    names = rows.select("source", F.explode("titles").alias("n"), F.lit(100).alias("weight")).union(rows.select("source", F.explode("bolds"), F.lit(60)))
+    names = names.select("source", norm.source_text(F.col("n")).alias("alias"), "weight").withColumn("w", F.split("alias", " ")).where(F.size("w") >= 2)
+    less = F.when(F.col("weight") == 100, 80).otherwise(50)
+    cuts = names.select("source", less.alias("weight"), "w", F.explode(F.array(F.lit(4), F.lit(3))).alias("k")).where(F.size("w") > F.col("k"))
+    cuts = cuts.select("source", F.slice("w", 1, F.col("k")).alias("w"), "weight").where(F.exists("w", lambda x: (F.length(x) >= 5) & ~F.array_contains(quiet, x)))
+
+    taken = rows.select("source", F.explode(F.concat("titles", F.slice("bolds", 1, F.greatest(F.size("bolds") - 1, F.lit(0))))).alias("n"))
+    taken = taken.select("source", F.explode(F.split(norm.source_text(F.col("n")), " ")).alias("alias")).distinct()
+    surnames = rows.select("source", F.explode("capital").alias("n")).select("source", norm.source_text(F.col("n")).alias("alias"))
+    surnames = surnames.where((F.col("alias") != "") & ~F.array_contains(quiet, F.col("alias"))).join(taken, ["source", "alias"], "left_anti")
+    found = names.select("source", "alias", "weight").union(cuts.select("source", F.array_join("w", " "), "weight")).union(surnames.select("source", "alias", F.lit(40)))
+    return found.groupBy("source", "alias").agg(F.max("weight").alias("weight"))

@@ -94,3 +94,17 @@ def test_sitemap_files_and_references(spark, tmp_path):
     assert got == {"a": "piece", "talk/a": "talk", "b": "talk", "c": None}
     envelopes = spark.createDataFrame([("x", "00")], "scan string, sha256 string")
     assert files.scan_faults(envelopes).count() == 1
+
+
+def test_source_aliases(spark):
+    shelf = spark.createDataFrame(
+        [("a", "*The Spiritual Exercises of Saint Somebody* — **Old Writers of Asia vol. X**, tr. **Marmaduke Pickthall**"), ("b", "**Plain Name** — “An Article of Christmas” by Griffith, English"), ("c", None), ("d", "")],
+        "source string, work string",
+    )
+    got = {(r.source, r.alias): r.weight for r in checks.source_aliases(shelf, ["english"]).collect()}
+    assert got[("a", "the spiritual exercises of saint somebody")] == 100
+    assert got[("a", "the spiritual exercises")] == got[("a", "the spiritual exercises of")] == 80
+    assert got[("a", "marmaduke pickthall")] == 60 and got[("a", "pickthall")] == 40 and got[("a", "old writers of")] == 50
+    assert not {x for s, x in got if s == "a"} & {"writers", "spiritual"}
+    assert {x: w for (s, x), w in got.items() if s == "b"} == {"plain name": 60, "griffith": 40}
+    assert {s for s, _ in got} == {"a", "b"}
