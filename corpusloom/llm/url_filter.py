@@ -5,9 +5,11 @@ interpolates contexts of three, two, one and no characters: the weight of a cont
 number of distinct followers (Witten and Bell). A URL without a rule is allowed if its log-likelihood difference, divided by
 its length, is at least a threshold, which is calibrated on a fifth of the ruled URLs that the models do not count.
 
-Everything is DataFrame functions. Characters are folded to 33 symbols (letters, one digit, `/ . - =`, one for all others and
-the start), so that there are at most 33**4 grams of four however many URLs there are: their table is the only one that is
-broadcast. Counts are summed by gram before they are shuffled, and each distinct folded URL is scored once.
+Everything is DataFrame functions. The models count distinct whole URLs (host and path) with their own characters, since rules
+turn on single digits and letters; every held-out ruled URL calibrates. Gram scores grow with the URLs' characters and are
+joined, not broadcast. Counts are summed by gram before they are shuffled, and each distinct URL is scored once. judged_urls()
+can instead fold characters to 33 symbols (letters, one digit, `/ . - =`, one for all others and the start), which merges URLs
+of unlike verdicts; no query does.
 
 Nulls and ties: a null URL or one without `://` has an empty host and path, fits no rule, has a difference of 0 and is
 blocked. Rows with equal ids are judged on their own. Without ruled URLs of both kinds the difference is 0 for all and the
@@ -26,6 +28,8 @@ RULES = (
 )
 ORDER = 3
 SYMBOLS = 33
+#: Symbols of whole URLs: all code points.
+CODE_POINTS = 0x110000
 #: One ruled URL in so many calibrates the threshold.
 HELD_OUT = 5
 BIN = 0.01
@@ -59,10 +63,10 @@ def grams(text: Column) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substring(padded, i, F.lit(ORDER + 1))))
 
 
-def gram_scores(counts: DataFrame) -> DataFrame:
+def gram_scores(counts: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
     """Of (gram, accepted, rejected) the difference of log probabilities of each gram's last character."""
     out = counts.select("gram")
-    chance = {k: F.lit(1.0 / SYMBOLS) for k in ("accepted", "rejected")}
+    chance = {k: F.lit(1.0 / symbols) for k in ("accepted", "rejected")}
     for k in range(ORDER + 1):
         suffix, context = F.substring("gram", ORDER + 1 - k, k + 1), F.substring("gram", ORDER + 1 - k, k)
         by_suffix = counts.groupBy(suffix.alias(f"s{k}")).agg(*(F.sum(x).alias(f"{x}_{k}") for x in chance))
@@ -74,24 +78,24 @@ def gram_scores(counts: DataFrame) -> DataFrame:
     return out.select("gram", (F.log(chance["accepted"]) - F.log(chance["rejected"])).alias("difference"))
 
 
-def judged_urls(pages: DataFrame, rules=RULES) -> tuple[DataFrame, float]:
-    """pages with host, path, folded, rule, ruled (the rule's verdict) and difference, and the calibrated threshold."""
+def judged_urls(pages: DataFrame, rules=RULES, fold=folded, symbols: int = SYMBOLS) -> tuple[DataFrame, float]:
+    """pages with host, path, text (host and path, folded), rule, ruled (the rule's verdict) and difference, and the calibrated
+    threshold."""
     host, path = host_and_path(F.col("url"))
     urls = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, ruled = matched(F.col("host"), F.col("path"), rules)
-    urls = urls.select("*", folded(F.concat("host", "path")).alias("folded"), rule.alias("rule"), ruled.alias("ruled"))
+    urls = urls.select("*", fold(F.concat("host", "path")).alias("text"), rule.alias("rule"), ruled.alias("ruled"))
 
     # Counts of distinct URLs: copies of a page do not teach the models.
-    known = urls.groupBy("folded").agg(F.max((F.col("ruled") == "allow").cast("int")).alias("allowed"), F.max((F.col("ruled") == "block").cast("int")).alias("blocked"))
-    known = known.select("folded", F.coalesce("allowed", F.lit(0)).alias("allowed"), F.coalesce("blocked", F.lit(0)).alias("blocked"), (F.pmod(F.crc32("folded"), F.lit(HELD_OUT)) == 0).alias("held_out"))
+    known = urls.groupBy("text").agg(F.max((F.col("ruled") == "allow").cast("int")).alias("allowed"), F.max((F.col("ruled") == "block").cast("int")).alias("blocked"))
+    known = known.select("text", F.coalesce("allowed", F.lit(0)).alias("allowed"), F.coalesce("blocked", F.lit(0)).alias("blocked"), (F.pmod(F.crc32("text"), F.lit(HELD_OUT)) == 0).alias("held_out"))
     learns = (~F.col("held_out")).cast("int")
-    each = known.select((F.col("allowed") * learns).alias("a"), (F.col("blocked") * learns).alias("r"), F.explode(grams(F.col("folded"))).alias("gram"))
+    each = known.select((F.col("allowed") * learns).alias("a"), (F.col("blocked") * learns).alias("r"), F.explode(grams(F.col("text"))).alias("gram"))
     counts = each.groupBy("gram").agg(F.sum("a").alias("accepted"), F.sum("r").alias("rejected"))
-    scores = F.broadcast(gram_scores(counts))  # at most SYMBOLS ** (ORDER + 1) rows
 
-    scored = known.select("folded", "allowed", "blocked", "held_out", F.explode(grams(F.col("folded"))).alias("gram")).join(scores, "gram")
-    scored = scored.groupBy("folded", "allowed", "blocked", "held_out").agg(F.round(F.sum(F.col("difference").cast("decimal(30,12)")).cast("double") / F.length("folded"), 9).alias("difference"))
-    return urls.join(scored.select("folded", "difference"), "folded", "left"), calibrated(scored)
+    scored = known.select("text", "allowed", "blocked", "held_out", F.explode(grams(F.col("text"))).alias("gram")).join(gram_scores(counts, symbols), "gram")
+    scored = scored.groupBy("text", "allowed", "blocked", "held_out").agg(F.round(F.sum(F.col("difference").cast("decimal(30,12)")).cast("double") / F.length("text"), 9).alias("difference"))
+    return urls.join(scored.select("text", "difference"), "text", "left"), calibrated(scored)
 
 
 def calibrated(scored: DataFrame) -> float:
@@ -112,6 +116,6 @@ def calibrated(scored: DataFrame) -> float:
 
 def url_filter(pages: DataFrame, rules=RULES) -> DataFrame:
     """For each page page_id, host, path, rule, verdict and difference."""
-    urls, threshold = judged_urls(pages, rules)
-    own = F.when((F.col("folded") != "") & (F.col("difference") >= threshold), "allow").otherwise("block")
+    urls, threshold = judged_urls(pages, rules, lambda text: text, CODE_POINTS)
+    own = F.when((F.col("text") != "") & (F.col("difference") >= threshold), "allow").otherwise("block")
     return urls.select("page_id", "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), F.coalesce("difference", F.lit(0.0)).alias("difference"))

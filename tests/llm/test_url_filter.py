@@ -95,3 +95,12 @@ def test_differences_equal_brute_force(spark):
 
 def test_empty_table(spark):
     assert url_filter(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_whole_urls_teach_what_rules_turn_on(spark):
+    """Only a digit parts the accepted from the rejected; folded, each pair is one URL of both kinds."""
+    rows = [(i, f"http://h{i}.example.{host}/{lang}/{digit}{i % 10}", "", "", 0) for i in range(300) for host, lang, digit in (("com", "en", 7), ("com", "en", 1))]
+    rows += [(1000 + k, f"http://x.example.edu/en/{d}{k}", "", "", 0) for k in range(10) for d in (7, 1)]
+    got = url_filter(spark.createDataFrame(rows, SCHEMA)).where("rule IS NULL").collect()
+    assert len(got) == 20
+    assert all((r.verdict == "allow") == r.path.startswith("/en/7") for r in got)
