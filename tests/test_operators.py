@@ -64,6 +64,20 @@ def test_quotation_verdicts():
     assert quotes.longest_run(["was", "with", "god", "xx"], stream)[0] == 3
 
 
+def test_quotation_fragments_and_damaged_sources():
+    said = "awake from your slumber before it is too late for the sleeper"
+    v = lambda span, stream: quotes.verdict(span, stream)[0]
+    assert v("awake from your slumber before that is too late for all", f"one two {said} three") == "DRIFT"
+    assert v("awake from your … too late for the", said) == "MATCH"
+    assert v("too late for the … awake from your slumber", said) == "OUT OF ORDER"
+    assert v("awake from your slumber before it", "awake from your 123 slumber before it") == "MATCH"
+    assert v("awake from your slumber before it", "awa ke from yo ur slumber before it") == "MATCH"
+    salad = " ".join(f"x{i} q" for i in range(10))
+    assert v(said, said.replace("it is", f"it {salad} is")) == "MATCH"
+    assert v(said.replace("sleeper", "dreamer"), f"{salad} {said} {salad}") == "SOURCE ILLEGIBLE HERE"
+    assert v(said, said.replace("it is", f"it {'word ' * 90}is")) != "UNMARKED ELISION"
+
+
 def test_footnotes_slides_blocks(spark):
     body = "# T\n\nfirst[^b] and[^a]\n\n> q1\n\n> q2\n\n[^a]: one\n\n[^c]: two\n\n[^a]: again"
     docs = spark.createDataFrame([(1, body)], "id long, text string")
