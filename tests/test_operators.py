@@ -78,6 +78,15 @@ def test_quotation_fragments_and_damaged_sources():
     assert v(said, said.replace("it is", f"it {'word ' * 90}is")) != "UNMARKED ELISION"
 
 
+def test_candidates_lose_no_pair(spark):
+    streams = ["a a a a a a", "in the beginning was the word", "inthebeg inning wast he wo rd", "he said it 12 was 7 so 9 and 3 then 44 he 5 went home", "art of warfare"]
+    spans = ["a a a a a", "word", "the word", "in the beginning was the word", "he said it was so and then he went home", "rt of war", "xart of war then", "none of it", "a", "was the … in the beginning"]
+    got = quotes.quote_verdicts(spark.createDataFrame(list(enumerate(spans)), "span_id int, span string"), spark.createDataFrame(list(enumerate(streams)), "id int, stream string"), "id").collect()
+    rank = quotes.best_source.__globals__["RANKS"].index
+    assert {r.span_id: r.status for r in got} == {i: min((quotes.verdict(s, t)[0] for t in streams), key=rank) for i, s in enumerate(spans)}
+    assert {r.span_id for r in got if r.status == "MATCH"} >= {0, 1, 2, 3, 4, 5, 8}
+
+
 def test_footnotes_slides_blocks(spark):
     body = "# T\n\nfirst[^b] and[^a]\n\n> q1\n\n> q2\n\n[^a]: one\n\n[^c]: two\n\n[^a]: again"
     docs = spark.createDataFrame([(1, body)], "id long, text string")
