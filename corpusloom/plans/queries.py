@@ -300,9 +300,12 @@ def gate_summary(spark, d):
 
 
 def quote_verdicts(spark, d):
-    """FZ2: verdicts of benchmark items' openings against the documents that share a three-word run (no SQL)."""
-    words = F.split(norm.source_text(F.col("text"), ascii_only=True), " ")
-    spans = table(spark, d, "benchmark").where(F.size(words) >= 12).select(F.col("item_id").alias("span_id"), F.array_join(F.slice(words, 1, 12), " ").alias("span"))
+    """FZ2: verdicts of benchmark items in whole, as runs of 12 words, the last of up to 23, against documents (no SQL)."""
+    words = F.filter(F.split(norm.source_text(F.col("text"), ascii_only=True), " "), lambda w: w != "")
+    items = table(spark, d, "benchmark").select("item_id", words.alias("w")).where(F.size("w") > 0)
+    n = F.greatest(F.lit(1), F.floor(F.size("w") / 12)).cast("int")
+    runs = F.transform(F.sequence(F.lit(1), n), lambda k: F.array_join(F.when(k == n, F.slice("w", 12 * k - 11, F.size("w"))).otherwise(F.slice("w", 12 * k - 11, F.lit(12))), " "))
+    spans = items.select("item_id", F.posexplode(runs).alias("no", "span")).select(F.concat_ws(":", "item_id", "no").alias("span_id"), "span")
     return verdicts(spans, _streams(spark, d), "doc_id")
 
 
