@@ -18,6 +18,8 @@ threshold 0. An empty table gives an empty result; other columns are ignored."""
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.scratch import cut
+
 #: (verdict, host, path): a rule fits its host and all subdomains if the URL's path starts with the rule's; the longest wins.
 RULES = (
     ("block", "com", "/en/"),
@@ -91,10 +93,12 @@ def judged_urls(pages: DataFrame, rules=RULES, fold=folded, symbols: int = SYMBO
     known = known.select("text", F.coalesce("allowed", F.lit(0)).alias("allowed"), F.coalesce("blocked", F.lit(0)).alias("blocked"), (F.pmod(F.crc32("text"), F.lit(HELD_OUT)) == 0).alias("held_out"))
     learns = (~F.col("held_out")).cast("int")
     each = known.select((F.col("allowed") * learns).alias("a"), (F.col("blocked") * learns).alias("r"), F.explode(grams(F.col("text"))).alias("gram"))
-    counts = each.groupBy("gram").agg(F.sum("a").alias("accepted"), F.sum("r").alias("rejected"))
+    counts = cut(each.groupBy("gram").agg(F.sum("a").alias("accepted"), F.sum("r").alias("rejected")))
+    scores = cut(gram_scores(counts, symbols))
 
-    scored = known.select("text", "allowed", "blocked", "held_out", F.explode(grams(F.col("text"))).alias("gram")).join(gram_scores(counts, symbols), "gram")
+    scored = known.select("text", "allowed", "blocked", "held_out", F.explode(grams(F.col("text"))).alias("gram")).join(scores, "gram")
     scored = scored.groupBy("text", "allowed", "blocked", "held_out").agg(F.round(F.sum(F.col("difference").cast("decimal(30,12)")).cast("double") / F.length("text"), 9).alias("difference"))
+    scored = cut(scored)
     return urls.join(scored.select("text", "difference"), "text", "left"), calibrated(scored)
 
 
