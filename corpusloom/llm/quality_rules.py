@@ -1,18 +1,21 @@
 """Quality rules: an isolation forest over rule statistics, calibrated on labelled rows.
 
 Each document gives counts (words, symbols, repeated lines, repeated three-word windows, letters, capitals, ...). Their ratios
-are the forest's features. A tree splits the box of all labelled rows' features at random, feature by feature; a document's
-path ends where its cell holds at most one training row or at the depth limit, and the rows left in the cell add the length
-that an unsuccessful search among them would take. Trees are grown on random samples of the rows labelled good, so cells
-where such documents do not lie end paths early. Documents whose mean path is short are anomalous. The threshold is the one
-that separates the labelled rows best, with a good row's loss weighing GOOD_WEIGHT times a bad row's.
-
-The forest is fitted on at most `max_rows` labelled rows (those first by a hash of doc_id); counts cover every document whole,
-and every document is scored by the same trees in one pass without a shuffle.
-
-Nulls and ties: a null or empty text has no words and fails the base rule. Repeated rows are judged alike. Without labelled
-rows of both kinds the forest gives no verdict and only the base rule decides. An empty table gives an empty result; other
-columns are ignored."""
+are the forest's features; those that lie near nought in clean text are taken on a logarithmic scale, so that a random split
+is as likely to fall between none and a few as between a few and many. A tree splits the box of the labelled rows' features at
+random, feature by feature; a document's path ends where its cell holds at most one training row or at the depth limit, and
+the rows left in the cell add the length that an unsuccessful search among them would take. Trees are grown on random samples
+of the rows labelled good, so cells where such documents do not lie end paths early. Documents whose mean path is short are
+anomalous. The threshold is the one that separates the labelled rows best, with a good row's loss weighing GOOD_WEIGHT times a
+bad row's; it is chosen on half of the labelled rows, which no tree has seen.
+
+The forest is fitted on at most `max_rows` labels (those first by a hash of doc_id), which are broadcast; only their documents
+are counted for it. Counts and verdicts then cover every document whole, in one pass without a shuffle.
+
+Nulls and ties: a null or empty text has no words and fails the base rule; a null id is judged like any other. Repeated rows
+are judged alike. Without labelled rows of both kinds the forest gives no verdict and only the base rule decides; where one
+half of the labelled rows lacks a kind, all of them serve as both halves. An empty table gives an empty result; other columns
+are ignored."""
 
 from dataclasses import dataclass
 from functools import partial
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import textarrays as ta
-from corpusloom.llm.scratch import cut, small_batches
+from corpusloom.llm.scratch import small_batches
 
 #: Documents with fewer words, or with more than this percentage of repeated words, fail the base rule.
 LEAST_WORDS = 50
@@ -46,6 +49,7 @@ def _flags(test) -> np.ndarray:
 SYMBOLS = _flags(lambda c: c in "#*$%&|<>")
 CAPITALS = _flags(str.isupper)
 LETTERS = _flags(str.isalpha)
+LETTERS[0xC0:] = True  # the first byte of a character outside ASCII counts as a letter
 MARKS = _flags(lambda c: c in "!?;:()[]{}=+~^_@\\/\"")
 DIGITS = _flags(str.isdigit)
 
@@ -85,17 +89,22 @@ def text_counts(c: ta.Chunk) -> np.ndarray:
 
 
 def features(counts: np.ndarray) -> np.ndarray:
+    """Ratios between 0 and 1; those of symbols, repeats, marks and digits on a logarithmic scale."""
     n = counts.astype(np.float64)
     words, chars, lines, letters = (np.maximum(n[:, j], 1) for j in (0, 1, 5, 7))
+
+    def scaled(ratio: np.ndarray) -> np.ndarray:
+        return np.log1p(100 * ratio) / np.log1p(100)
+
     return np.stack(
         [
-            np.minimum(n[:, 2] / words, 2) / 2,
-            n[:, 3] / lines,
-            n[:, 4] / words,
+            scaled(np.minimum(n[:, 2] / words, 2) / 2),
+            scaled(n[:, 3] / lines),
+            scaled(n[:, 4] / words),
             np.minimum(n[:, 1] / words, 20) / 20,
             n[:, 6] / letters,
-            np.minimum(n[:, 8] / words, 2) / 2,
-            n[:, 9] / chars,
+            scaled(np.minimum(n[:, 8] / words, 2) / 2),
+            scaled(n[:, 9] / chars),
             n[:, 7] / chars,
         ],
         axis=1,
@@ -174,21 +183,7 @@ def base_failed(counts: np.ndarray) -> np.ndarray:
     return (counts[:, 0] < LEAST_WORDS) | (100 * counts[:, 4] > MOST_REPEATED_PERCENT * counts[:, 0])
 
 
-def _judged(batches, forest):
-    model = forest.value if forest is not None else None
-    for batch in batches:
-        counts = [text_counts(c) for c in ta.chunks(batch.column("text"))]
-        if not counts:
-            continue
-        counts = np.concatenate(counts)
-        failed = base_failed(counts)
-        kept = ~failed
-        if model is not None:
-            path = model.path(features(counts))
-            kept &= path >= model.threshold
-        else:
-            path = np.full(len(counts), np.nan)
-        yield batch, counts, failed, kept, path
+COUNT_SQL = ", ".join(f"{c} long" for c in COUNTS)
 
 
 def _counted(batches):
@@ -196,54 +191,75 @@ def _counted(batches):
         counts = [text_counts(c) for c in ta.chunks(batch.column("text"))]
         if counts:
             counts = np.concatenate(counts)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(counts[:, j].copy()) for j in range(len(COUNTS)))], ["doc_id", *COUNTS])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), *(pa.array(counts[:, j].copy()) for j in range(len(COUNTS)))], ["doc_id", "quality", *COUNTS])
 
 
-def _verdicts(batches, forest):
+def _judged(batches, forest):
     model = forest.value if forest is not None else None
     for batch in batches:
-        counts = np.stack([batch.column(x).to_numpy() for x in COUNTS], 1)
+        counts = [text_counts(c) for c in ta.chunks(batch.column("text"))]
+        if not counts:
+            continue
+        counts = np.concatenate(counts)
         failed = base_failed(counts)
-        path = model.path(features(counts)) if model is not None and len(counts) else np.full(len(counts), np.nan)
-        kept = ~failed & (path >= model.threshold if model is not None else True)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(batch.column(x) for x in COUNTS[:5]), pa.array(failed), pa.array(kept), pa.array(path)], ["doc_id", *COUNTS[:5], "base_failed", "kept", "path"])
+        path = model.path(features(counts)) if model is not None else np.full(len(counts), np.nan)
+        yield batch, counts, failed, ~failed & (path >= model.threshold if model is not None else True), path
 
 
-def fit_forest(counts: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> IsolationForest | None:
-    """Forest and threshold from documents' COUNTS and labels (doc_id, quality 0 or 1)."""
-    labels = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rows = counts.join(labels, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", *COUNTS).limit(max_rows).select("quality", *COUNTS).toArrow()
-    x = np.stack([rows.column(c).to_numpy() for c in COUNTS], 1) if rows.num_rows else np.zeros((0, len(COUNTS)), np.int64)
-    good = rows.column("quality").to_numpy() > 0 if rows.num_rows else np.zeros(0, bool)
-    ruled = ~base_failed(x)  # what the base rule rejects needs no forest
-    x, good = features(x[ruled]), good[ruled]
+def _verdicts(batches, forest):
+    for batch, counts, failed, kept, path in _judged(batches, forest):
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(counts[:, j].copy()) for j in range(5)), pa.array(failed), pa.array(kept), pa.array(path)], ["doc_id", *COUNTS[:5], "base_failed", "kept", "path"])
+
+
+def _kept_rows(batches, forest):
+    for batch, _, _, kept, _ in _judged(batches, forest):
+        yield batch.filter(pa.array(kept))
+
+
+def fitted(x: np.ndarray, good: np.ndarray, first: np.ndarray) -> IsolationForest | None:
+    """Forest from the rows' features, grown on the half `first` and calibrated on the other."""
     if not good.any() or good.all():
         return None
-    low, high = x.min(0), x.max(0)
-    forest = IsolationForest.fit(x[good], low, np.where(high > low, high, low + 1e-9))
-    forest.calibrate(x, good)
+    for half in (first, ~first):
+        if not good[half].any() or good[half].all():
+            grown = calibrating = np.ones(len(x), bool)
+            break
+    else:
+        grown, calibrating = first, ~first
+    low, high = x[grown].min(0), x[grown].max(0)
+    forest = IsolationForest.fit(x[grown & good], low, np.where(high > low, high, low + 1e-9))
+    forest.calibrate(x[calibrating], good[calibrating])
     return forest
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """For each document doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and its mean path."""
+def fit_forest(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> IsolationForest | None:
+    """Forest and threshold from documents (doc_id, text) and labels (doc_id, quality 0 or 1)."""
+    labels = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
+    # At most max_rows rows of two numbers.
+    labels = F.broadcast(labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
+    counts = docs.join(labels, "doc_id").select("doc_id", "quality", "text").mapInArrow(ta.released(_counted), f"doc_id long, quality int, {COUNT_SQL}")
+    rows = counts.orderBy(F.xxhash64("doc_id"), "doc_id", *COUNTS).limit(max_rows).select((F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(2)) == 0).alias("first"), "quality", *COUNTS).toArrow()
+    if not rows.num_rows:
+        return None
+    x = np.stack([rows.column(c).to_numpy() for c in COUNTS], 1)
+    ruled = ~base_failed(x)  # what the base rule rejects needs no forest
+    return fitted(features(x[ruled]), rows.column("quality").to_numpy()[ruled] > 0, rows.column("first").to_numpy()[ruled])
+
+
+def _forest(docs: DataFrame, labels: DataFrame, max_rows: int):
     small_batches(docs.sparkSession)
-    counts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(ta.released(_counted), "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
-    counts = cut(counts)
-    forest = fit_forest(counts, labels, max_rows)
-    shared = docs.sparkSession.sparkContext.broadcast(forest) if forest else None
-    return counts.mapInArrow(partial(_verdicts, forest=shared), "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS[:5]) + ", base_failed boolean, kept boolean, path double")
+    forest = fit_forest(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels, max_rows)
+    return docs.sparkSession.sparkContext.broadcast(forest) if forest else None
 
 
-def _kept_rows(batches, forest):
-    for batch, _, _, kept, _ in _judged(batches, forest):
-        yield batch.filter(pa.array(kept))
+def quality_rules(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """For each document doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and its mean path."""
+    shared = _forest(docs, labels, max_rows)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return texts.mapInArrow(ta.released(_verdicts, forest=shared), "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS[:5]) + ", base_failed boolean, kept boolean, path double")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """The documents that the rules keep, with all their columns."""
-    small_batches(docs.sparkSession)
-    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(ta.released(_counted), "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
-    forest = fit_forest(labelled, labels, max_rows)
-    shared = docs.sparkSession.sparkContext.broadcast(forest) if forest else None
+    shared = _forest(docs, labels, max_rows)
     return docs.mapInArrow(ta.released(_kept_rows, forest=shared), docs.schema)
