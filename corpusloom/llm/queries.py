@@ -44,9 +44,9 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of each document and of its edited text, and their likeness."""
-    from corpusloom.llm.spot_signatures import spot_signatures
+    from corpusloom.llm.spot_signatures import FLOOR, spot_signatures
 
-    return spot_signatures(table(spark, sf_dir, "documents"))
+    return spot_signatures(table(spark, sf_dir, "documents"), floor=FLOOR)
 
 
 def byte_bpe() -> dict[str, str]:
@@ -65,9 +65,9 @@ def op7_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix with targets by source takes of each document."""
-    from corpusloom.llm.mixing import mix_sources
+    from corpusloom.llm.mixing import by_length, mix_sources
 
-    return mix_sources(table(spark, sf_dir, "documents"))
+    return mix_sources(table(spark, sf_dir, "documents"), weight=by_length())
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
