@@ -6,7 +6,7 @@ target weights (documents are repeated or left out), and every document of the m
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm.jaccard_join import without_near_copies
-from corpusloom.llm.mixing import mixed
+from corpusloom.llm.mixing import by_length, mixed
 from corpusloom.llm.prefix_bpe import encode_documents
 from corpusloom.llm.quality_rules import keep_good
 from corpusloom.llm.queries import byte_bpe, table
@@ -31,7 +31,7 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    return mixed(docs)
+    return mixed(docs, weight=by_length())
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
