@@ -7,14 +7,16 @@ removed if a window that covers it also starts in a document with a smaller id.
    twenty). Documents that share a window share such a gram, so a window can recur only around a gram of two documents.
 2. Recurring passages are confirmed: the windows around recurring grams are counted by hash, each with its first document.
    That document's runs of windows that others have too are the passages; each distinct recurring window is in one.
-3. Passages go to the buckets of documents that share a gram with them; documents that are alike are put in one bucket. In each bucket a pyahocorasick automaton is
+3. Passages go to the buckets of documents that share a gram with them; documents that are alike are put in one bucket. A gram
+   of many passages and many buckets, such as one of a line that is common but shorter than a window, sends a passage only to
+   the buckets that hold one of its windows around that gram. In each bucket a pyahocorasick automaton is
    compiled from the passages' consecutive half-window tiles (every window that lies in a passage contains a whole tile).
    Words are single characters there, so that an automaton has a node for each word of the passages at most.
 4. Each bucket's documents are streamed through its automaton. The windows around every hit are looked up among those of the
    bucket's passages, and removed from documents with a larger id than the passage's owner.
 
-Automata are as large as their bucket's share of the repeated text, not of the corpus, and each document passes through
-one automaton. No group is gathered: windows and grams are pre-aggregated by hash before they are shuffled. Hashes have
+Automata are as large as their bucket's share of the repeated text, not of the corpus, and each document that has a recurring
+gram passes through one automaton; the others hold no occurrence. No group is gathered: windows and grams are pre-aggregated by hash before they are shuffled. Hashes have
 64 bits; a hit is confirmed by the hash of its window.
 
 Nulls and ties: a null text has no words. A null id counts as smaller than all others. Rows with equal ids do not remove
@@ -40,6 +42,8 @@ PIECE_WORDS = 400
 BUCKET_BYTES = 8 << 20
 #: Documents with the same least recurring gram that stay together, about.
 CROWD = 512
+#: Passages times buckets of a gram, above which it does not send all of them to all.
+FAN_OUT = 4096
 SMALLEST = -(1 << 63)
 PARTS = re.compile(rb"[^ \t-\r]+[ \t-\r]*")
 
@@ -89,6 +93,21 @@ def _windows(batches, window: int, gram: int):
                 yield pa.RecordBatch.from_arrays([pa.array(ta.signed(np.concatenate(out))), pa.array(np.concatenate(doc))], ["w", "k"])
 
 
+def _windows_of_passages(batches, window: int, gram: int):
+    """Hashes of the passages' windows whose least gram is among `hits`."""
+    for batch in batches:
+        out, whose = [], []
+        for words, hits, passage in zip(batch.column("words").to_pylist(), batch.column("hits"), batch.column("passage").to_pylist(), strict=True):
+            words = np.frombuffer(words, np.uint64)
+            _, least, _ = ta.local_minima(words, np.array([0, len(words)]), gram, window)
+            found = ta.rolling_hash(words, window)
+            found = np.unique(found[np.isin(least[: len(found)], np.asarray(hits.values).view(np.uint64))])
+            out.append(found)
+            whose += [passage] * len(found)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(ta.signed(np.concatenate(out))), pa.array(whose, pa.string())], ["w", "passage"])
+
+
 def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     edges = np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))
     return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
@@ -201,6 +220,24 @@ def _without(text: bytes, gone: np.ndarray) -> tuple[str, str]:
     return hashlib.sha256(kept).hexdigest(), (b"".join(parts)).decode()
 
 
+def _routes(candidates: DataFrame, passages: DataFrame, window: int, gram: int, fan_out: int | None = None) -> DataFrame:
+    """(passage, bucket): the buckets whose documents may hold a window of the passage."""
+    places = cut(candidates.select("bucket", F.explode("hits").alias("g")).distinct())
+    held = passages.select("passage", F.explode("grams").alias("g"))
+    wide = held.groupBy("g").agg(F.count(F.lit(1)).alias("p")).join(places.groupBy("g").agg(F.count(F.lit(1)).alias("b")), "g")
+    wide = cut(wide.where(F.col("p") * F.col("b") > (FAN_OUT if fan_out is None else fan_out)).select("g"))
+    if wide.isEmpty():
+        return held.join(places, "g").select("passage", "bucket").distinct()
+    sent = held.join(wide, "g", "left_anti").join(places, "g").select("passage", "bucket")
+    of_documents = candidates.select("k", F.explode("hits").alias("g")).join(wide, "g").groupBy("k").agg(F.collect_set("g").alias("hits"))
+    # The windows' key is the bucket of their document.
+    texts = candidates.select("k", F.col("bucket").cast("long").alias("b"), "text").join(of_documents, "k").select(F.col("b").alias("k"), "text", "hits")
+    there = texts.mapInArrow(ta.released(_windows, window=window, gram=gram), "w long, k long").distinct()
+    of_passages = held.join(wide, "g").groupBy("passage").agg(F.collect_set("g").alias("hits"))
+    ours = passages.select("passage", "words").join(of_passages, "passage").mapInArrow(ta.released(_windows_of_passages, window=window, gram=gram), "w long, passage string")
+    return sent.union(ours.join(there, "w").select("passage", F.col("k").cast("int").alias("bucket"))).distinct()
+
+
 def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, piece: int = PIECE_WORDS) -> tuple[DataFrame, DataFrame]:
     """Of documents (doc_id, text): a summary of each row (k: the id or the least long, id, n_words, text_sha, kept_sha: digest
     of all words joined by a space), and for each document that loses words (k, text_sha) its n_removed, kept_sha256
@@ -224,8 +261,7 @@ def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, piece: int
 
     buckets = max(8, -(-(candidates.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES))
     bucket = F.pmod("place", F.lit(buckets)).alias("bucket")
-    places = candidates.select(bucket, F.explode("hits").alias("g")).distinct()
-    sent = passages.select("passage", F.explode("grams").alias("g")).join(places, "g").select("passage", "bucket").distinct()
+    sent = _routes(candidates.select("k", "text", "hits", bucket), passages, window, gram)
     sent = sent.join(passages.select("passage", "owner", "words"), "passage").select("bucket", "owner", "words")
     streamed = candidates.select(bucket, "k", "text").groupBy("bucket").cogroup(sent.groupBy("bucket"))
     streamed = streamed.applyInArrow(lambda a, b: _stream(a, b, window), "k long, text_sha string, n_removed long, kept_sha256 string, kept_text string")

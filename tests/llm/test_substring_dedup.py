@@ -49,3 +49,28 @@ def test_documents_keep_their_columns(spark):
         assert hashlib.sha256(b" ".join((text or "").encode().split())).hexdigest() == digest
         if not n_removed:
             assert text == next(r[1] for r in rows if r[0] == doc_id)
+
+
+def test_hot_grams_are_routed_by_windows(spark, monkeypatch):
+    """A common line shorter than a window sends no passage anywhere, and no removal is lost."""
+    from corpusloom.llm import substring_dedup as s
+
+    rows = documents()
+    line = " ".join(f"line{i}" for i in range(14))
+    rows += [(5000 + i, " ".join([rows[i % 40][1] or "x", line, *(f"own{i}_{j}" for j in range(30)), line]), *rows[0][2:]) for i in range(60)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for fan_out in (0, 20):
+        monkeypatch.setattr(s, "FAN_OUT", fan_out)
+        monkeypatch.setattr(s, "BUCKET_BYTES", 4096)
+        assert sorted(map(tuple, substring_dedup(docs).collect()), key=str) == brute(rows, 50)
+
+
+def test_a_very_long_text(spark):
+    import random
+
+    r = random.Random(8)
+    long = [f"w{r.randrange(40_000)}" for _ in range(700_000)]
+    rows = [(1, " ".join(long[300_000:300_200]), "en", "s", 1, 1, "k"), (2, " ".join(long), "en", "s", 1, 1, "k")]
+    got = {r.doc_id: r for r in substring_dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert (got[1].n_removed, got[2].n_words, got[2].n_removed) == (0, 700_000, 200)
+    assert got[2].kept_sha256 == hashlib.sha256(" ".join(long[:300_000] + long[300_200:]).encode()).hexdigest()
