@@ -7,7 +7,10 @@ Texts are taken as UTF-8; matches never cross documents.
    a string can recur only if its least gram occurs twice. Grams are counted by hash, per document first.
 2. Documents with recurring grams are cut into pieces: runs of string starts with the same least gram. Every start lies in
    one piece, and equal strings lie in pieces of the same gram, so grams can be dealt to shards. Equal pieces are counted
-   before they are dealt; a hot passage is one piece with a count.
+   before they are dealt; a hot passage is one piece with a count. A gram whose distinct pieces are too many for a shard, such
+   as one of a line that unlike documents share, is split: equal strings also agree in the gram's offset and in all bytes
+   around it, so its pieces are cut by ranges of that offset and keyed by the bytes that all strings of a range hold. Ranges
+   are halved for the keys that are still too large; a range of one offset has one distinct piece for each key.
 3. Each shard sorts its pieces' suffixes in two stages (`two_stage_order`): only the suffixes that are smaller than their
    successors are sorted directly; the others are induced from them by scans over first-byte buckets. Common prefixes of
    adjacent suffixes then tell which starts recur.
@@ -16,11 +19,11 @@ Texts are taken as UTF-8; matches never cross documents.
 Shards are bounded by bytes of distinct pieces; documents are compared through grams alone, never in pairs.
 
 Nulls and ties: a null text is empty. Ids may be null or repeat; rows are told apart by id and text, and equal rows count as
-often as they occur, so that a repeated long row is removed from both. An empty table gives an empty result; other
-columns are ignored."""
+often as they occur, so that a repeated long row is removed from both. Equal texts are looked at once. An empty table gives an
+empty result; other columns are ignored."""
 
 import hashlib
-from functools import partial
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import textarrays as ta
-from corpusloom.llm.scratch import cut
+from corpusloom.llm.scratch import cut, small_batches
 
 LENGTH = 400
 GRAM = 64
 #: Bytes of distinct pieces in a shard, about.
 SHARD_BYTES = 4 << 20
+#: Offsets of a gram in a range, at first, where its pieces are too many.
+OFFSETS = 42
 
 
 def two_stage_order(text: np.ndarray, stops: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray:
@@ -175,8 +180,8 @@ def _gram_counts(batches, length: int, gram: int):
         if grams:
             lengths = pa.array(np.concatenate([[0], np.cumsum([len(g) for g in grams])]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests), pa.ListArray.from_arrays(lengths, pa.array(np.concatenate(grams))), pa.ListArray.from_arrays(lengths, pa.array(np.concatenate(counts).astype(np.int32)))],
-                ["doc_id", "n_bytes", "digest", "grams", "counts"],
+                [batch.column("doc_id"), batch.column("h"), pa.array(sizes, pa.int64()), pa.array(digests), pa.ListArray.from_arrays(lengths, pa.array(np.concatenate(grams))), pa.ListArray.from_arrays(lengths, pa.array(np.concatenate(counts).astype(np.int32)))],
+                ["doc_id", "h", "n_bytes", "digest", "grams", "counts"],
             )
 
 
@@ -184,7 +189,7 @@ def _pieces(batches, length: int, gram: int):
     """Runs of starts whose least gram recurs, cut where the least gram changes."""
     for batch in batches:
         digests, hits, copies = batch.column("digest").to_pylist(), batch.column("hits"), batch.column("copies").to_pylist()
-        out: list[list] = [[] for _ in range(7)]
+        out: list[list] = [[] for _ in PIECES]
         for c in ta.chunks(batch.column("text")):
             _, least, _ = ta.local_minima(c.data.astype(np.uint64) + np.uint64(1), c.bounds, gram, length)
             for i in range(c.size):
@@ -196,15 +201,56 @@ def _pieces(batches, length: int, gram: int):
                 known = np.isin(mine[edges[:-1]], np.asarray(hits[c.first + i].values).view(np.uint64))
                 for r in np.flatnonzero(known).tolist():
                     a, b = int(edges[r]), int(edges[r + 1])
-                    piece = c.data[base + a : base + b - 1 + length].tobytes()
-                    row = (digests[c.first + i], a, b - a, int(mine[a].view(np.int64)), hashlib.blake2b(piece, digest_size=16).digest(), piece, copies[c.first + i])
+                    piece, g = c.data[base + a : base + b - 1 + length].tobytes(), int(mine[a].view(np.int64))
+                    row = (digests[c.first + i], a, b - a, g, g, hashlib.blake2b(piece, digest_size=16).digest(), piece, copies[c.first + i])
                     for x, v in zip(out, row, strict=True):
                         x.append(v)
         if out[0]:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, PIECES.types, strict=True)], PIECES.names)
 
 
-PIECES = pa.schema([("digest", pa.string()), ("at", pa.int64()), ("starts", pa.int32()), ("g", pa.int64()), ("piece_id", pa.binary()), ("piece", pa.binary()), ("copies", pa.int64())])
+#: g: the key by which pieces are dealt; gram: the least gram of the piece's starts.
+PIECES = pa.schema([("digest", pa.string()), ("at", pa.int64()), ("starts", pa.int32()), ("g", pa.int64()), ("gram", pa.int64()), ("piece_id", pa.binary()), ("piece", pa.binary()), ("copies", pa.int64())])
+PIECES_SQL = "digest string, at long, starts int, g long, gram long, piece_id binary, piece binary, copies long"
+
+
+def _split(batches, length: int, gram: int, offsets: int):
+    """Pieces cut where the offset of the next occurrence of their gram leaves a range of `offsets`, each keyed by the bytes that
+    all strings of the range hold."""
+    for batch in batches:
+        out: list[list] = [[] for _ in PIECES]
+        for digest, at, starts, _, g, _, piece, copies in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            data = np.frombuffer(piece, np.uint8).astype(np.uint64) + np.uint64(1)
+            where = np.flatnonzero((ta.rolling_hash(data, gram) | np.uint64(1)).view(np.int64) == g)
+            p = np.arange(starts)
+            q = where[np.searchsorted(where, p)]
+            ranges = (q - p) // offsets
+            edges = np.flatnonzero(np.concatenate([[True], (q[1:] != q[:-1]) | (ranges[1:] != ranges[:-1]), [True]]))
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                r, here = int(ranges[a]), int(q[a])
+                greatest = min((r + 1) * offsets, length - gram + 1) - 1
+                held = piece[here - r * offsets : here - greatest + length]
+                key = int.from_bytes(hashlib.blake2b(held, digest_size=8, key=r.to_bytes(4, "little")).digest(), "little", signed=True)
+                part = piece[a : b - 1 + length]
+                for x, v in zip(out, (digest, at + a, b - a, key, g, hashlib.blake2b(part, digest_size=16).digest(), part, copies), strict=True):
+                    x.append(v)
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, PIECES.types, strict=True)], PIECES.names)
+
+
+def _dealt(pieces: DataFrame, length: int, gram: int, shard_bytes: int) -> list[DataFrame]:
+    """The pieces in tables whose keys have no more distinct bytes than a shard takes, or one piece."""
+    done, offsets = [], OFFSETS
+    while True:
+        each = pieces.groupBy("g", "piece_id").agg(F.max(F.octet_length("piece")).alias("size"))
+        hot = each.groupBy("g").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).where((F.col("size") > shard_bytes) & (F.col("n") > 1)).select("g")
+        if not offsets or (hot := cut(hot)).isEmpty():
+            return [*done, pieces]
+        done.append(pieces.join(hot, "g", "left_anti"))
+        pieces = cut(pieces.join(hot, "g", "left_semi").select(*PIECES.names).mapInArrow(ta.released(_split, length=length, gram=gram, offsets=offsets), PIECES_SQL))
+        offsets = 0 if offsets == 1 else -(-offsets // 2)
+
+
 FOUND = pa.schema([("g", pa.int64()), ("piece_id", pa.binary()), ("first", pa.list_(pa.int32())), ("last", pa.list_(pa.int32()))])
 
 
@@ -227,10 +273,10 @@ def _shard(table: pa.Table, length: int) -> pa.Table:
     return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(rows, FOUND.types, strict=True)], schema=FOUND)
 
 
-def _removed(batches, length: int):
+def _removed(batches, length: int, with_bytes: bool):
     """Texts without the strings that start in the given runs."""
     for batch in batches:
-        rows: list[list] = [[] for _ in range(5)]
+        rows: list[list] = [[] for _ in range(4 + with_bytes)]
         for text, digest, runs in zip(batch.column("text").to_pylist(), batch.column("digest").to_pylist(), batch.column("runs").to_pylist(), strict=True):
             data = text.encode()
             marks = np.zeros(len(data) + 1, np.int32)
@@ -240,36 +286,41 @@ def _removed(batches, length: int):
             gone = np.cumsum(marks[:-1]) > 0
             kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
             spans = int(np.count_nonzero(np.diff(np.concatenate([[0], gone.astype(np.int8)])) == 1))
-            for x, v in zip(rows, (digest, int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept), strict=True):
+            for x, v in zip(rows, (digest, int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept), strict=False):
                 x.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)], ["digest", "n_removed", "n_spans", "kept_sha256", "kept"])
+        types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, types, strict=False)], ["digest", "n_removed", "n_spans", "kept_sha256", "kept"][: len(rows)])
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_bytes: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_bytes: bool = False, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """For each document doc_id, n_bytes, n_removed, n_spans (runs of removed bytes), kept_sha256, and if asked for `kept`,
     the remaining bytes (null where nothing was removed)."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    summary = cut(texts.mapInArrow(partial(_gram_counts, length=length, gram=gram), "doc_id long, n_bytes long, digest string, grams array<long>, counts array<int>"))
-    # Equal texts are looked at once, as the row with the least id, with their number.
-    classes = summary.where(F.col("n_bytes") >= length).groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.any_value(F.arrays_zip("grams", "counts")).alias("found"))
-    classes = cut(classes)
+    small_batches(docs.sparkSession)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    summary = cut(texts.mapInArrow(ta.released(_gram_counts, length=length, gram=gram), "doc_id long, h long, n_bytes long, digest string, grams array<long>, counts array<int>"))
+    # Equal texts are looked at once, as a row with the least id, with their number; `same` rows have that id and text.
+    found = F.arrays_zip("grams", "counts")
+    classes = summary.where(F.col("n_bytes") >= length).groupBy("digest", "doc_id", "h").agg(F.count(F.lit(1)).alias("same"), F.any_value(found).alias("found"))
+    classes = cut(classes.groupBy("digest").agg(F.min(F.struct("doc_id", "h", "same")).alias("x"), F.sum("same").alias("copies"), F.any_value("found").alias("found")))
     grams = classes.select("digest", "copies", F.inline("found").alias("g", "n"))
     shared = grams.groupBy("g").agg(F.sum(F.col("n") * F.col("copies")).alias("n")).where("n > 1").select("g")
-    hits = grams.join(shared, "g").groupBy("digest").agg(F.collect_set("g").alias("hits")).join(classes.select("digest", "doc_id", "copies"), "digest")
-    # Rows that share an id are told apart by their digests; ids may be null.
-    keyed = texts.select(F.col("doc_id").alias("d"), "text")
-    candidates = keyed.join(hits, F.col("d").eqNullSafe(F.col("doc_id"))).where(F.sha2("text", 256) == F.col("digest")).select("digest", "text", "hits", "copies")
-    candidates = cut(candidates)
-    pieces = cut(candidates.mapInArrow(partial(_pieces, length=length, gram=gram), "digest string, at long, starts int, g long, piece_id binary, piece binary, copies long"))
-    distinct = pieces.groupBy("g", "piece_id").agg(F.first("piece").alias("piece"), F.first("starts").alias("starts"), F.sum("copies").alias("n"))
+    hits = grams.join(shared, "g").groupBy("digest").agg(F.collect_set("g").alias("hits")).join(classes.select("digest", "x.doc_id", "x.h", "x.same", "copies"), "digest")
+    # Rows that share an id are told apart by their texts' hashes; ids may be null.
+    keyed = texts.select(F.col("doc_id").alias("d"), F.col("h").alias("k"), "text")
+    met = keyed.join(hits, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("k") == F.col("h"))).where(F.sha2("text", 256) == F.col("digest"))
+    met = met.select("digest", "text", "hits", "copies", "same")
+    candidates = cut(met.where("same = 1").union(met.where("same > 1").dropDuplicates(["digest"])).drop("same"))
+    pieces = cut(candidates.mapInArrow(ta.released(_pieces, length=length, gram=gram), PIECES_SQL))
     size = pieces.agg(F.sum(F.octet_length("piece"))).first()[0] or 0
-    shards = max(8, -(-size // SHARD_BYTES))
+    shards = max(8, -(-size // shard_bytes))
+    pieces = reduce(DataFrame.unionByName, _dealt(pieces, length, gram, shard_bytes))
+    distinct = pieces.groupBy("g", "piece_id").agg(F.first("piece").alias("piece"), F.first("starts").alias("starts"), F.sum("copies").alias("n"))
     found = distinct.withColumn("shard", F.pmod(F.xxhash64("g"), F.lit(shards))).groupBy("shard")
     found = found.applyInArrow(lambda t: _shard(t, length), "g long, piece_id binary, first array<int>, last array<int>")
     runs = pieces.select("digest", "at", "g", "piece_id").join(found, ["g", "piece_id"])
     runs = runs.select("digest", "at", F.inline(F.arrays_zip("first", "last"))).groupBy("digest").agg(F.collect_list(F.struct((F.col("at") + F.col("first")).alias("a"), (F.col("at") + F.col("last")).alias("b"))).alias("runs"))
-    removed = candidates.select("digest", "text").dropDuplicates(["digest"]).join(runs, "digest").mapInArrow(partial(_removed, length=length), "digest string, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    removed = removed if with_bytes else removed.drop("kept")
-    out = summary.drop("grams", "counts").join(removed, "digest", "left")
+    kinds = "digest string, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes
+    removed = candidates.select("digest", "text").join(runs, "digest").mapInArrow(ta.released(_removed, length=length, with_bytes=with_bytes), kinds)
+    out = summary.drop("grams", "counts", "h").join(removed, "digest", "left")
     zero = F.lit(0).cast("long")
     return out.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "digest").alias("kept_sha256"), *(["kept"] if with_bytes else []))

@@ -51,3 +51,25 @@ def test_equals_brute_force(spark, length, gram):
 
 def test_empty_table(spark):
     assert suffix_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("shard_bytes", [1, 3000])
+def test_hot_grams_are_split(spark, shard_bytes):
+    """Passages shorter and longer than a string in many unlike documents, periodic texts, and repeated rows."""
+    r = random.Random(6)
+    own = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    short, long = own(30), own(130)
+    rows = [(i, own(r.randint(0, 90)) + r.choice([short, long, long[:60]]) + own(r.randint(0, 90)), "en", "s", 1, 1, "k") for i in range(120)]
+    rows += [(500 + i, "ab" * (25 + i) + own(5), "en", "s", 1, 1, "k") for i in range(6)] + [rows[0], rows[0], (None, *rows[3][1:]), (None, *rows[4][1:]), (rows[5][0], *rows[6][1:])]
+    got = suffix_dedup(spark.createDataFrame(rows, SCHEMA), length=40, gram=8, shard_bytes=shard_bytes).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows, 40)
+
+
+def test_a_very_long_text_and_kept_bytes(spark):
+    r = random.Random(7)
+    text = "".join(r.choice("abcdefghijklmnop é") for _ in range(2_000_000))
+    rows = [(1, text, "en", "s", 1, 1, "k"), (2, "start " + text[900_000:901_000], "en", "s", 1, 1, "k"), (3, None, "en", "s", 1, 1, "k")]
+    got = {r.doc_id: r for r in suffix_dedup(spark.createDataFrame(rows, SCHEMA), with_bytes=True).collect()}
+    gone = len(text[900_000:901_000].encode())
+    assert got[1].n_removed >= gone and got[2].n_removed >= gone and got[3].n_removed == 0
+    assert bytes(got[2].kept) in b"start " + text[900_000:900_002].encode() + text[901_000:901_000].encode() or len(got[2].kept) <= 6
