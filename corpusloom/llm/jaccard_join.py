@@ -9,15 +9,20 @@ documents link if the Jaccard similarity of their sets is at least `percent` hun
    sample changes the order, never the result.
 2. Classes that share a prefix shingle are candidates. In a small group all pairs of fitting sizes are taken; in a large one
    each member is paired with the group's least class. Pairs that share too few prefix shingles to link are left out.
-3. Candidates are dealt to tiles: one class against others of a band of sizes. A tile compares bitmaps first. A bitmap holds
-   the parity of the hashed shingles, so two bitmaps differ in no more bits than the sets in shingles, which bounds the
-   overlap from above. What passes is decided by intersecting sorted arrays.
+3. Candidates' bitmaps are compared first. A bitmap holds the parity of the hashed shingles, so two bitmaps differ in no
+   more bits than the sets in shingles, which bounds the overlap from above. Only pairs that pass are dealt to tiles, one
+   class against others of a band of sizes, where sorted arrays are intersected.
 4. In large groups, members of other components are compared with a few more members each, and then all that are still in
    different components with each other by size-banded blocks of bitmaps; what passes is decided by intersection again.
    Members of one component need no further link.
 
-A group of near copies thus costs its size, not its square, and only the hashes of prefixes, class keys and links move;
-texts move once, and sets only for candidates. The frequent shingles are a list of at most `frequent` hashes.
+A group of near copies thus costs its size, not its square, and only the hashes of prefixes, class keys, bitmaps and links
+move; texts move once, and sets only for pairs whose bitmaps allow a link. Shingles that are very frequent in the sample are
+large groups from the start: their postings never meet in one task. The frequent shingles are a list of at most `frequent`
+hashes.
+
+jaccard_links() returns links that connect all that is similar, not all links: members of a large group that are in one
+component already are not compared again.
 
 Nulls and ties: a document without words (null, empty, blank) has an empty set, links with nothing and is its own component.
 A null id takes no part: it is its own component (null). Rows with equal ids are one document for components. An empty table
@@ -43,6 +48,8 @@ FREQUENT = 1 << 20
 SMALL = 32
 #: Members of a large group that the others are compared with before all that are still apart are.
 LEADERS = 8
+#: Shingles found so often in the sample are large groups from the start.
+HOT = 64
 #: Groups of a member that are known when pairs are dealt to groups.
 MEETINGS = 16
 #: Members of a tile, and postings of a partition, about.
@@ -84,11 +91,12 @@ def _frequent_in_sample(batches, n: int):
 
 
 def _prefixes(batches, n: int, percent: int, frequent):
-    """For each document its set's size, its class key, and, once for each class and task, the prefix."""
+    """For each document its set's size, its class key, and, once for each class and task, the prefix (shingles of large
+    groups apart from the others) and the bitmap."""
     hot, rank = frequent.value
     seen: set[int] = set()
     for batch in batches:
-        sizes, keys, prefixes = [], [], []
+        sizes, keys, prefixes, crowded, maps = [], [], [], [], []
         known = batch.column("doc_id").is_valid().to_pylist()
         for c in ta.chunks(batch.column("text")):
             for i, s in enumerate(shingle_sets(c, n), c.first):
@@ -98,18 +106,30 @@ def _prefixes(batches, n: int, percent: int, frequent):
                 keys.append(key)
                 if not size or not known[i] or key in seen:
                     prefixes.append(None)
+                    crowded.append(None)
+                    maps.append(None)
                     continue
                 if len(seen) >= 1 << 18:
                     seen.clear()
                 seen.add(key)
+                maps.append(bitmap(s, bitmap_bits(size)).tobytes())
                 wanted = prefix_length(size, percent)
+                crowd = s[:0]
                 if len(hot):
                     at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
                     is_hot = hot[at] == s
                     cold = s[~is_hot]
-                    s = cold if len(cold) >= wanted else np.concatenate([cold, s[is_hot][np.argsort(rank[at[is_hot]], kind="stable")]])
+                    if len(cold) < wanted:
+                        by = np.argsort(rank[at[is_hot]], kind="stable")[: wanted - len(cold)]
+                        warm, often = s[is_hot][by], rank[at[is_hot]][by]
+                        crowd = warm[often >= HOT]
+                        s = np.concatenate([cold, warm[often < HOT]])
+                    else:
+                        s = cold
                 prefixes.append(ta.signed(s[:wanted]))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(keys, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "size", "c", "prefix"])
+                crowded.append(ta.signed(crowd))
+        arrays = [batch.column("doc_id"), batch.column("h"), pa.array(sizes, pa.int32()), pa.array(keys, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(crowded, pa.list_(pa.int64())), pa.array(maps, pa.binary())]
+        yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "h", "size", "c", "prefix", "crowd", "bits"])
 
 
 def _groups(batches):
@@ -190,20 +210,14 @@ def band(size: F.Column) -> F.Column:
 
 
 def _decide(table: pa.Table, percent: int) -> pa.Table:
-    """One tile: rows (a, c, size, set) with the row c = a first in its class; the classes that link with a."""
+    """One tile: rows (a, c, size, set) with one row c = a or more; the classes that link with a."""
     a, c, sizes = table.column("a")[0].as_py(), table.column("c").to_numpy(), table.column("size").to_numpy().astype(np.int64)
     sets = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
     own = np.flatnonzero(c == a)
     out = []
     if len(own):
         mine, size = sets[own[0]], int(sizes[own[0]])
-        rest = np.flatnonzero(c != a)
-        bits = bitmap_bits(size)
-        map_a = bitmap(mine, bits)
-        maps = np.stack([bitmap(sets[i], bits) for i in rest]) if len(rest) else np.zeros((0, bits // 64), np.uint64)
-        differing = np.bitwise_count(maps ^ map_a).sum(1, dtype=np.int64)
-        most = (size + sizes[rest] - differing) // 2  # bit counts bound the overlap from above
-        for i in rest[100 * most >= percent * (size + sizes[rest] - most)].tolist():
+        for i in np.flatnonzero(c != a).tolist():
             both = len(np.intersect1d(mine, sets[i], assume_unique=True))
             if 100 * both >= percent * (size + int(sizes[i]) - both):
                 out.append(int(c[i]))
@@ -211,20 +225,48 @@ def _decide(table: pa.Table, percent: int) -> pa.Table:
 
 
 def _sets(batches, n: int):
+    """The set of each class, once for each class and task."""
+    seen: set[int] = set()
     for batch in batches:
-        sets = [s for c in ta.chunks(batch.column("text")) for s in shingle_sets(c, n)]
-        own = [i for i, (c, s) in enumerate(zip(batch.column("c").to_pylist(), sets, strict=True)) if class_key(s) == c]
-        batch, sets = batch.take(pa.array(own, pa.int64())), [sets[i] for i in own]
-        yield pa.RecordBatch.from_arrays([batch.column("c"), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([bitmap(s, bitmap_bits(len(s))).tobytes() for s in sets], pa.binary())], ["c", "size", "set", "bits"])
+        keys, sets = [], []
+        for k, s in zip(batch.column("c").to_pylist(), (s for c in ta.chunks(batch.column("text")) for s in shingle_sets(c, n)), strict=True):
+            if k not in seen:
+                seen.add(k)
+                keys.append(k)
+                sets.append(s)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())], ["c", "size", "set"])
+
+
+def _allowed(batches, percent: int):
+    """The pairs whose bitmaps allow a link."""
+    for batch in batches:
+        size_a, size_b = (batch.column(x).to_numpy().astype(np.int64) for x in ("size_a", "size_b"))
+        maps = [[np.frombuffer(x, np.uint64) for x in batch.column(y).to_pylist()] for y in ("bits_a", "bits_b")]
+        words = [np.array([len(x) for x in m], np.int64) for m in maps]
+        differing = np.zeros(batch.num_rows, np.int64)
+        for a, b in {*zip(words[0].tolist(), words[1].tolist(), strict=True)}:
+            own = np.flatnonzero((words[0] == a) & (words[1] == b))
+            x, y = (_folded(np.stack([m[i] for i in own]), min(a, b)) for m in maps)
+            differing[own] = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+        total = size_a + size_b
+        most = np.minimum((total - differing) // 2, np.minimum(size_a, size_b))  # bit counts bound the overlap from above
+        fit = pa.array(100 * most >= percent * (total - most))
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("size_b")], ["a", "b", "size"]).filter(fit)
+
+
+def _with_bits(pairs: DataFrame, bits: DataFrame) -> DataFrame:
+    for x in "ab":
+        pairs = pairs.join(bits.select(F.col("c").alias(x), F.col("bits").alias(f"bits_{x}")).hint("merge"), x)
+    return pairs
 
 
 def _decided(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b, size) with the size of b, those that link. A class's partners are dealt to tiles by size band and then to salts of about TILE."""
-    members = pairs.join(sets.select(F.col("c").alias("b"), "set"), "b").withColumn("band", band(F.col("size")))
+    members = pairs.join(sets.select(F.col("c").alias("b"), "set").hint("merge"), "b").withColumn("band", band(F.col("size")))
     tiles = pairs.groupBy("a", band(F.col("size")).alias("band")).agg(F.count(F.lit(1)).alias("n"))
     tiles = tiles.select("a", "band", F.ceil(F.col("n") / TILE).cast("int").alias("salts"))
     members = members.join(tiles, ["a", "band"]).select("a", "band", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.col("b").alias("c"), "size", "set")
-    heads = tiles.select("a", "band", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(sets.select(F.col("c").alias("a"), "size", "set"), "a")
+    heads = tiles.select("a", "band", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(sets.select(F.col("c").alias("a"), "size", "set").hint("merge"), "a")
     rows = heads.select("a", "band", "salt", F.col("a").alias("c"), "size", "set").union(members)
     return rows.groupBy("a", "band", "salt").applyInArrow(lambda t: _decide(t, percent), "a long, b long")
 
@@ -237,7 +279,7 @@ def _apart_pairs(batches, percent: int, leaders: int):
         return
     got = pa.Table.from_batches(batches)
     s, c, size, comp = (got.column(x).to_numpy() for x in ("s", "c", "size", "comp"))
-    bits, keys = got.column("bits").to_pylist(), got.column("keys").to_pylist()
+    maps, keys = [np.frombuffer(x, np.uint64) for x in got.column("bits").to_pylist()], got.column("keys").to_pylist()
     sets = [frozenset(x) for x in keys]
 
     def met_here(r: int, others: np.ndarray) -> np.ndarray:
@@ -260,8 +302,8 @@ def _apart_pairs(batches, percent: int, leaders: int):
             for r in rows[np.argsort(ta.mix(c[rows].view(np.uint64)))[:leaders]].tolist():
                 tail = rows[comp[rows] != comp[r]]
                 if len(tail):
-                    words = np.array([min(len(bits[r]), len(bits[t])) // 8 for t in tail])
-                    differing = np.array([np.bitwise_count(_folded(bits[r], w) ^ _folded(bits[t], w)).sum() for t, w in zip(tail, words.tolist(), strict=True)], np.int64)
+                    words = np.array([min(len(maps[r]), len(maps[t])) for t in tail])
+                    differing = np.array([np.bitwise_count(_folded(maps[r], w) ^ _folded(maps[t], w)).sum() for t, w in zip(tail, words.tolist(), strict=True)], np.int64)
                     total = size[r] + size[tail].astype(np.int64)
                     most = np.minimum((total - differing) // 2, np.minimum(size[r], size[tail]))
                     fit = 100 * most >= percent * (total - most)
@@ -270,16 +312,16 @@ def _apart_pairs(batches, percent: int, leaders: int):
             continue
         for i in range(0, len(rows), TILE):
             head = rows[i : i + TILE]
-            least_bits = min(len(bits[r]) for r in head) // 8
+            least_bits = min(len(maps[r]) for r in head)
             last = int(np.searchsorted(sizes, 100 * sizes[min(i + TILE, len(rows)) - 1] // percent, "right"))
-            maps = np.stack([_folded(bits[r], least_bits) for r in head])
+            first = np.stack([_folded(maps[r], least_bits) for r in head])
             for j in range(i, last, TILE):
                 tail = rows[j : min(j + TILE, last)]
-                others = np.stack([_folded(bits[r], least_bits) for r in tail])
+                others = np.stack([_folded(maps[r], least_bits) for r in tail])
                 for h in range(len(head)):  # one row of the block at a time bounds the memory
                     r = head[h]
                     total = size[r] + size[tail].astype(np.int64)
-                    most = (total - np.bitwise_count(others ^ maps[h]).sum(1, dtype=np.int64)) // 2
+                    most = (total - np.bitwise_count(others ^ first[h]).sum(1, dtype=np.int64)) // 2
                     most = np.minimum(most, np.minimum(size[r], size[tail]))
                     fit = (comp[tail] != comp[r]) & (100 * most >= percent * (total - most))
                     if fit.any():
@@ -289,11 +331,12 @@ def _apart_pairs(batches, percent: int, leaders: int):
     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(of_b, pa.int32())], ["a", "b", "size"])
 
 
-def _folded(bits: bytes, words: int) -> np.ndarray:
-    out = np.frombuffer(bits, np.uint64)
-    while len(out) > words:
-        out = out[: len(out) // 2] ^ out[len(out) // 2 :]
-    return out
+def _folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps (in the last dimension) of fewer words: the parity of the halves laid over each other."""
+    while bits.shape[-1] > words:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
 
 
 def _likely(pairs: DataFrame, crowds: DataFrame, percent: int) -> DataFrame:
@@ -307,37 +350,48 @@ def _likely(pairs: DataFrame, crowds: DataFrame, percent: int) -> DataFrame:
     least = F.ceil(F.lit(percent) * (F.col("size_a") + F.col("size_b")) / F.lit(100 + percent))
     beyond = [F.ceil(F.lit(percent) * F.col(f"size_{x}") / F.lit(100)) - 1 for x in "ab"]
     most = F.col("n") + F.least(*(F.coalesce(f"many_{x}", F.lit(0)) for x in "ab")) + F.greatest(*beyond)
-    return pairs.where(most >= least - F.lit(1e-6)).select("a", "b", F.col("size_b").alias("size"))
+    return pairs.where(most >= least - F.lit(1e-6)).select("a", "b", "size_a", "size_b")
 
 
 def jaccard_links(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, small: int = SMALL, sample_of: int = SAMPLE_OF, frequent: int = FREQUENT) -> tuple[DataFrame, DataFrame]:
-    """Of documents (doc_id, text): members (doc_id, size, c) with the class c of each document, and links (a, b) between
-    classes: enough of them to connect all that are similar."""
+    """Of documents (doc_id, text): members (doc_id, h, size, c) with the hash h of each document's text and its class c, and
+    links (a, b) between classes: enough of them to connect all that are similar."""
     spark = docs.sparkSession
     small_batches(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
     sampled = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(sample_of)) == 0).select("text")
     counted = sampled.mapInArrow(ta.released(_frequent_in_sample, n=n), "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where("n >= 3")
     found = counted.orderBy(F.desc("n"), "s").limit(frequent).toArrow()
     hashes, often = found.column("s").to_numpy().view(np.uint64), found.column("n").to_numpy()
     by = np.argsort(hashes)
     shared = spark.sparkContext.broadcast((hashes[by], often[by]))
-    summary = cut(texts.mapInArrow(ta.released(_prefixes, n=n, percent=percent, frequent=shared), "doc_id long, size int, c long, prefix array<long>"))
-    members = summary.select("doc_id", "size", "c")
+    summary = cut(texts.mapInArrow(ta.released(_prefixes, n=n, percent=percent, frequent=shared), "doc_id long, h long, size int, c long, prefix array<long>, crowd array<long>, bits binary"))
+    members = summary.select("doc_id", "h", "size", "c")
+    classes = summary.where("prefix IS NOT NULL")
 
-    postings = summary.where("prefix IS NOT NULL AND doc_id IS NOT NULL").select("c", "size", F.explode("prefix").alias("s"))
+    postings = classes.select("c", "size", F.explode("prefix").alias("s"))
     total = summary.agg(F.sum(F.size("prefix").cast("long")).alias("n")).first()[0] or 0
     parts = max(8, -(-max(0, total) // POSTINGS))
     dealt = postings.repartition(parts, "s")
     first = cut(dealt.mapInArrow(ta.released(_first_pairs, percent=percent, small=small), FIRST_SQL))
     crowds = first.where("b IS NULL").select(F.col("a").alias("c"), "s", F.col("size_a").alias("size"))
-    pairs = cut(_likely(first.where("b IS NOT NULL"), crowds, percent))
-
-    heads = members.where("size > 0").groupBy("c").agg(F.min("doc_id").alias("d"))
+    # Of the very frequent shingles only the least class is gathered; each other one that fits it is its candidate.
+    hot = cut(classes.select("c", "size", F.explode("crowd").alias("s")).distinct())
+    least = hot.groupBy("s").agg(F.min(F.struct("c", "size")).alias("x")).select("s", F.col("x.c").alias("a"), F.col("x.size").alias("size_a"))
+    fits = F.lit(100) * F.least("size_a", "size") >= F.lit(percent) * F.greatest("size_a", "size")
+    starred = hot.join(least, "s").where((F.col("a") < F.col("c")) & fits)
+    starred = starred.groupBy("a", F.col("c").alias("b")).agg(F.first("size_a").alias("size_a"), F.first("size").alias("size_b"), F.count(F.lit(1)).alias("n"))
+    crowds = crowds.unionByName(hot)
+    found = first.where("b IS NOT NULL").select("a", "b", "size_a", "size_b", "n").unionByName(starred)
+    bits = classes.select("c", "bits").dropDuplicates(["c"])
+    pairs = cut(_with_bits(_likely(found, crowds, percent), bits).mapInArrow(ta.released(_allowed, percent=percent), "a long, b long, size int"))
+
+    # One row of each class gives its text; rows that share an id may have other texts, which their hash tells apart.
+    heads = members.where("size > 0 AND doc_id IS NOT NULL").groupBy("c").agg(F.min(F.struct("doc_id", "h")).alias("d"))
     chosen = pairs.select(F.explode(F.array("a", "b")).alias("c")).union(crowds.select("c")).distinct().join(heads, "c")
-    # Rows that share an id may have different texts; the class key tells which is meant.
-    sets = texts.join(chosen.withColumnRenamed("d", "doc_id"), "doc_id").distinct().select("c", "text").mapInArrow(ta.released(_sets, n=n), "c long, size int, set binary, bits binary")
-    sets = cut(sets)
+    # The classes grow with the documents: one plan at every size.
+    sets = texts.join(chosen.select("c", "d.doc_id", "d.h").hint("merge"), ["doc_id", "h"]).select("c", "text")
+    sets = cut(sets.mapInArrow(ta.released(_sets, n=n), "c long, size int, set binary"))
     links = cut(_decided(pairs, sets, percent))
 
     for leaders in (LEADERS, 0):
@@ -347,7 +401,7 @@ def jaccard_links(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, sma
         inside = inside.join(apart, "s")
         # A few of each member's groups, so that a pair that meets in several is looked at in one.
         first = inside.groupBy("c").agg(F.slice(F.sort_array(F.collect_set("s")), 1, MEETINGS).alias("keys"))
-        inside = inside.join(first, "c").join(sets.select("c", "bits"), "c").select("s", "c", "size", "comp", "bits", "keys")
+        inside = inside.join(first, "c").join(bits.hint("merge"), "c").select("s", "c", "size", "comp", "bits", "keys")
         more = inside.repartition(parts, "s").mapInArrow(ta.released(_apart_pairs, percent=percent, leaders=leaders), "a long, b long, size int").distinct()
         more = cut(more.join(pairs, ["a", "b"], "left_anti"))
         pairs = pairs.union(more)
@@ -355,20 +409,29 @@ def jaccard_links(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, sma
     return members, links
 
 
-def jaccard_join(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, **options) -> DataFrame:
-    """For each document doc_id, n_shingles and component_id, the least doc_id that links lead to."""
+def _grouped(docs: DataFrame, n: int, percent: int, **options) -> DataFrame:
+    """For each row doc_id, h (hash of its text), size, component_id, and whether it stays if one of each component does."""
     members, links = jaccard_links(docs, n, percent, **options)
     label = components(links)
     classes = members.where("size > 0").groupBy("c").agg(F.min("doc_id").alias("d"))
     roots = classes.join(label.withColumnRenamed("node", "c"), "c", "left").select("c", F.coalesce("component", "c").alias("root"), "d")
-    least = roots.groupBy("root").agg(F.min("d").alias("component_id"))
-    of_class = roots.join(least, "root").select("c", "component_id")
+    # Ties of an id between classes go to the least class.
+    least = roots.where("d IS NOT NULL").groupBy("root").agg(F.min(F.struct("d", "c")).alias("x")).select("root", F.col("x.d").alias("component_id"), F.col("x.c").alias("first"))
+    of_class = roots.join(least, "root").select("c", "component_id", "first")
     out = members.join(of_class, "c", "left")
     own = (F.col("size") == 0) | F.col("doc_id").isNull()
-    return out.select("doc_id", F.col("size").cast("long").alias("n_shingles"), F.when(own, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    stays = own | (F.col("doc_id") == F.col("component_id")) & (F.col("c") == F.col("first"))
+    return out.select("doc_id", "h", "size", F.when(own, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), stays.alias("stays"))
+
+
+def jaccard_join(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, **options) -> DataFrame:
+    """For each document doc_id, n_shingles and component_id, the least doc_id that links lead to."""
+    return _grouped(docs, n, percent, **options).select("doc_id", F.col("size").cast("long").alias("n_shingles"), "component_id")
 
 
-def without_near_copies(docs: DataFrame) -> DataFrame:
-    """One document of each group of near copies: the one with the least id. Rows without words and without an id stay."""
-    groups = jaccard_join(docs.select("doc_id", "text")).where("component_id <> doc_id").select(F.col("doc_id").alias("__d")).distinct()
-    return docs.join(groups, F.col("doc_id") == F.col("__d"), "left_anti").select(docs.columns)
+def without_near_copies(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """One document of each group of near copies, with all its columns: the one with the least id, and of several texts of that
+    id the one of the least class. Rows equal in id and text stay or go together; rows without words or without an id stay.
+    Rows of one id with unlike texts are judged on their own. An empty table gives an empty result."""
+    gone = _grouped(docs.select("doc_id", "text"), n, percent).where("NOT stays").select(F.col("doc_id").alias("__gone"), F.col("h").alias("__gone_h")).distinct()
+    return docs.join(gone, (F.col("doc_id").cast("long") == F.col("__gone")) & (F.xxhash64("text") == F.col("__gone_h")), "left_anti").select(docs.columns)

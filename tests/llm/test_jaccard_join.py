@@ -96,3 +96,28 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: find(x) for x in linked}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
+    """An unlike text of a repeated id stays; of several near copies with one id one stays."""
+    r = random.Random(9)
+    x, y, z = ([f"{c}{r.randrange(900)}" for _ in range(60)] for c in "xyz")
+    near = lambda w: " ".join([*w[:30], "changed", *w[31:]])
+    rows = [(1, " ".join(x)), (5, " ".join(x)), (5, " ".join(y)), (7, " ".join(z)), (7, near(z)), (8, " ".join(z)), (None, " ".join(x)), (9, None), (9, "")]
+    docs = spark.createDataFrame([(*row, "en", "s", 1, 1, "k") for row in rows], SCHEMA)
+    got = sorted(((r.doc_id, r.text) for r in without_near_copies(docs).collect()), key=str)
+    kept = [g for g in got if g[0] == 7]
+    assert len(kept) == 1 and kept[0][1] in (" ".join(z), near(z))
+    assert [g for g in got if g[0] != 7] == sorted([(1, " ".join(x)), (5, " ".join(y)), (None, " ".join(x)), (9, None), (9, "")], key=str)
+
+
+def test_one_id_holds_many_unlike_texts_and_one_text_is_very_long(spark):
+    r = random.Random(10)
+    rows = [(3, " ".join(f"w{r.randrange(10**6)}" for _ in range(30))) for _ in range(300)]
+    long = [f"w{r.randrange(50_000)}" for _ in range(400_000)]
+    rows += [(10, " ".join(long)), (11, " ".join([*long[:-50], *(f"v{i}" for i in range(50))]))]
+    docs = spark.createDataFrame([(*row, "en", "s", 1, 1, "k") for row in rows], SCHEMA)
+    got = jaccard_join(docs).collect()
+    assert len(got) == 302
+    assert {(r.doc_id, r.component_id) for r in got} == {(3, 3), (10, 10), (11, 10)}
+    assert without_near_copies(docs).count() == 301
