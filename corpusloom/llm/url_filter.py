@@ -5,11 +5,13 @@ interpolates contexts of three, two, one and no characters: the weight of a cont
 number of distinct followers (Witten and Bell). A URL without a rule is allowed if its log-likelihood difference, divided by
 its length, is at least a threshold, which is calibrated on a fifth of the ruled URLs that the models do not count.
 
-Everything is DataFrame functions. The models count distinct whole URLs (host and path) with their own characters, since rules
-turn on single digits and letters; every held-out ruled URL calibrates. Gram scores grow with the URLs' characters and are
-joined, not broadcast. Counts are summed by gram before they are shuffled, and each distinct URL is scored once. judged_urls()
-can instead fold characters to 33 symbols (letters, one digit, `/ . - =`, one for all others and the start), which merges URLs
-of unlike verdicts; no query does.
+Everything is DataFrame functions. The models count distinct whole URLs, from the host on with query and fragment, with their
+own characters, since rules turn on single digits and letters; every held-out ruled URL calibrates. Gram scores grow with the
+URLs' characters and are joined, not broadcast: each occurrence of a gram moves with a digest of its URL, not with its text.
+Counts are summed by gram before they are shuffled, and each distinct URL is scored once. The counts of all four orders come
+from one aggregation over the grams' ends, since an end's length tells its order. judged_urls() can instead read host and path
+with characters folded to 33 symbols (letters, one digit, `/ . - =`, one for all others and the start), which merges URLs of
+unlike verdicts; no query does.
 
 Nulls and ties: a null URL or one without `://` has an empty host and path, fits no rule, has a difference of 0 and is
 blocked. Rows with equal ids are judged on their own. Without ruled URLs of both kinds the difference is 0 for all and the
@@ -30,21 +32,38 @@ RULES = (
 )
 ORDER = 3
 SYMBOLS = 33
-#: Symbols of whole URLs: all code points.
+#: Symbols of URLs: all code points.
 CODE_POINTS = 0x110000
 #: One ruled URL in so many calibrates the threshold.
 HELD_OUT = 5
 BIN = 0.01
 
 
-def host_and_path(url: Column) -> tuple[Column, Column]:
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def after_scheme(url: Column) -> Column:
+    """What follows the first `://`; empty if there is none."""
     at = F.instr(url, "://")
-    rest = F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise(F.lit(""))
-    rest = F.coalesce(rest, F.lit(""))
-    host = F.translate(F.regexp_extract(rest, r"(?s)^([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.coalesce(F.when(at > 0, F.substring(url, at + 3, F.length(url))), F.lit(""))
+
+
+def host_and_path(url: Column) -> tuple[Column, Column]:
+    rest = after_scheme(url)
+    host = F.translate(F.regexp_extract(rest, r"(?s)^([^/?#]*)", 1), UPPER, LOWER)
     return host, F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)
 
 
+def whole(url: Column) -> Column:
+    """A URL from the host, in lower case, to its end."""
+    return F.concat(host_and_path(url)[0], F.regexp_replace(after_scheme(url), r"(?s)^[^/?#]*", ""))
+
+
+def folded(url: Column) -> Column:
+    """Host and path: letters in lower case, 0 for digits, / . - = as they are, ~ for the rest."""
+    return F.regexp_replace(F.regexp_replace(F.lower(F.concat(*host_and_path(url))), "[0-9]", "0"), r"(?s)[^a-z0/.\-=]", "~")
+
+
 def matched(host: Column, path: Column, rules) -> tuple[Column, Column]:
     """The rule that fits, as host and path in one string, and its verdict; nulls if none does."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -54,11 +73,6 @@ def matched(host: Column, path: Column, rules) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def folded(text: Column) -> Column:
-    """Letters in lower case, 0 for digits, / . - = as they are, ~ for the rest."""
-    return F.regexp_replace(F.regexp_replace(F.lower(text), "[0-9]", "0"), r"(?s)[^a-z0/.\-=]", "~")
-
-
 def grams(text: Column) -> Column:
     """For each character the gram of it and the ORDER before it; ^ stands before the start."""
     padded = F.concat(F.lit("^" * ORDER), text)
@@ -67,45 +81,54 @@ def grams(text: Column) -> Column:
 
 def gram_scores(counts: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
     """Of (gram, accepted, rejected) the difference of log probabilities of each gram's last character."""
-    out = counts.select("gram")
-    chance = {k: F.lit(1.0 / symbols) for k in ("accepted", "rejected")}
+    ends = F.transform(F.sequence(F.lit(1), F.lit(ORDER + 1)), lambda k: F.substring("gram", F.lit(ORDER + 2) - k, k))
+    by_end = cut(counts.select(F.explode(ends).alias("end"), "accepted", "rejected").groupBy("end").agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected")))
+    context = F.expr("substring(end, 1, length(end) - 1)")
+    kinds = ("accepted", "rejected")
+    by_context = by_end.groupBy(context.alias("context")).agg(*(e for x in kinds for e in (F.sum(x).alias(f"{x}_n"), F.sum((F.col(x) > 0).cast("long")).alias(f"{x}_t"))))
+    known = by_end.withColumn("context", context).join(by_context, "context").drop("context")
+    # Each gram with what is known of its four ends, in a row.
+    each = counts.select("gram", F.explode(ends).alias("end")).join(known, "end")
+    of = lambda k, x: F.max(F.when(F.length("end") == k + 1, F.col(x))).alias(f"{x}_{k}")
+    rows = each.groupBy("gram").agg(*(of(k, x + y) for k in range(ORDER + 1) for x in kinds for y in ("", "_n", "_t")))
+    chance = {x: F.lit(1.0 / symbols) for x in kinds}
     for k in range(ORDER + 1):
-        suffix, context = F.substring("gram", ORDER + 1 - k, k + 1), F.substring("gram", ORDER + 1 - k, k)
-        by_suffix = counts.groupBy(suffix.alias(f"s{k}")).agg(*(F.sum(x).alias(f"{x}_{k}") for x in chance))
-        by_context = by_suffix.groupBy(F.substring(f"s{k}", 1, k).alias(f"c{k}")).agg(*(e for x in chance for e in (F.sum(f"{x}_{k}").alias(f"{x}_n{k}"), F.sum((F.col(f"{x}_{k}") > 0).cast("long")).alias(f"{x}_t{k}"))))
-        out = out.withColumns({f"s{k}": suffix, f"c{k}": context}).join(by_suffix, f"s{k}").join(by_context, f"c{k}")
-        for x in chance:
-            n, t, seen = F.col(f"{x}_n{k}"), F.col(f"{x}_t{k}"), F.col(f"{x}_{k}")
+        for x in kinds:
+            seen, n, t = (F.col(f"{x}{y}_{k}") for y in ("", "_n", "_t"))
             chance[x] = F.when(n > 0, (seen + t * chance[x]) / (n + t)).otherwise(chance[x])
-    return out.select("gram", (F.log(chance["accepted"]) - F.log(chance["rejected"])).alias("difference"))
+    return rows.select("gram", (F.log(chance["accepted"]) - F.log(chance["rejected"])).alias("difference"))
 
 
-def judged_urls(pages: DataFrame, rules=RULES, fold=folded, symbols: int = SYMBOLS) -> tuple[DataFrame, float]:
-    """pages with host, path, text (host and path, folded), rule, ruled (the rule's verdict) and difference, and the calibrated
-    threshold."""
+def judged_urls(pages: DataFrame, rules=RULES, text=folded, symbols: int = SYMBOLS) -> tuple[DataFrame, float]:
+    """pages with host, path, rule, ruled (the rule's verdict) and difference (null: an empty URL), and the calibrated
+    threshold. text: what of a URL the models read, made of at most so many symbols."""
     host, path = host_and_path(F.col("url"))
-    urls = pages.select("page_id", host.alias("host"), path.alias("path"))
+    urls = pages.select("page_id", host.alias("host"), path.alias("path"), text(F.col("url")).alias("text"))
     rule, ruled = matched(F.col("host"), F.col("path"), rules)
-    urls = urls.select("*", fold(F.concat("host", "path")).alias("text"), rule.alias("rule"), ruled.alias("ruled"))
-
-    # Counts of distinct URLs: copies of a page do not teach the models.
-    known = urls.groupBy("text").agg(F.max((F.col("ruled") == "allow").cast("int")).alias("allowed"), F.max((F.col("ruled") == "block").cast("int")).alias("blocked"))
-    known = known.select("text", F.coalesce("allowed", F.lit(0)).alias("allowed"), F.coalesce("blocked", F.lit(0)).alias("blocked"), (F.pmod(F.crc32("text"), F.lit(HELD_OUT)) == 0).alias("held_out"))
-    learns = (~F.col("held_out")).cast("int")
+    # Two hashes stand for a URL's text, so that grams need not carry it.
+    urls = urls.select("*", rule.alias("rule"), ruled.alias("ruled"), F.xxhash64("text").alias("h1"), F.hash("text").alias("h2"))
+
+    # Distinct URLs: copies of a page do not teach the models. Equal whole URLs have one verdict; folded ones may have both.
+    held = F.pmod(F.crc32("text"), F.lit(HELD_OUT)) == 0
+    known = urls.where("text <> ''").groupBy("h1", "h2", "text").agg(F.max(F.coalesce((F.col("ruled") == "allow").cast("int"), F.lit(0))).alias("allowed"), F.max(F.coalesce((F.col("ruled") == "block").cast("int"), F.lit(0))).alias("blocked"))
+    known = cut(known.withColumn("held_out", held))
+    learns = (~F.col("held_out")).cast("long")
     each = known.select((F.col("allowed") * learns).alias("a"), (F.col("blocked") * learns).alias("r"), F.explode(grams(F.col("text"))).alias("gram"))
     counts = cut(each.groupBy("gram").agg(F.sum("a").alias("accepted"), F.sum("r").alias("rejected")))
     scores = cut(gram_scores(counts, symbols))
 
-    scored = known.select("text", "allowed", "blocked", "held_out", F.explode(grams(F.col("text"))).alias("gram")).join(scores, "gram")
-    scored = scored.groupBy("text", "allowed", "blocked", "held_out").agg(F.round(F.sum(F.col("difference").cast("decimal(30,12)")).cast("double") / F.length("text"), 9).alias("difference"))
+    flags = (F.col("allowed") + 2 * F.col("blocked") + 4 * F.col("held_out").cast("int")).alias("flags")
+    scored = known.select("h1", "h2", F.length("text").alias("n"), flags, F.explode(grams(F.col("text"))).alias("gram")).join(scores, "gram")
+    scored = scored.groupBy("h1", "h2", "n", "flags").agg(F.round(F.sum(F.col("difference").cast("decimal(30,12)")).cast("double") / F.col("n"), 9).alias("difference"))
     scored = cut(scored)
-    return urls.join(scored.select("text", "difference"), "text", "left"), calibrated(scored)
+    return urls.drop("text").join(scored.select("h1", "h2", "difference"), ["h1", "h2"], "left"), calibrated(scored)
 
 
 def calibrated(scored: DataFrame) -> float:
     """The threshold with the best mean of both kinds' rates on the held-out URLs, from a histogram of bounded size."""
     bins = F.greatest(F.lit(-1000), F.least(F.lit(1000), F.floor(F.col("difference") / BIN))).cast("int")
-    rows = scored.where("held_out AND allowed + blocked = 1").groupBy(bins.alias("bin")).agg(F.sum("allowed").alias("allowed"), F.sum("blocked").alias("blocked")).orderBy("bin").collect()
+    counts = [F.sum((F.col("flags") == 4 + k).cast("long")).alias(x) for k, x in ((1, "allowed"), (2, "blocked"))]
+    rows = scored.where("flags IN (5, 6)").groupBy(bins.alias("bin")).agg(*counts).orderBy("bin").collect()
     allowed, blocked = sum(r.allowed for r in rows), sum(r.blocked for r in rows)
     if not allowed or not blocked:
         return 0.0
@@ -120,6 +143,6 @@ def calibrated(scored: DataFrame) -> float:
 
 def url_filter(pages: DataFrame, rules=RULES) -> DataFrame:
     """For each page page_id, host, path, rule, verdict and difference."""
-    urls, threshold = judged_urls(pages, rules, lambda text: text, CODE_POINTS)
-    own = F.when((F.col("text") != "") & (F.col("difference") >= threshold), "allow").otherwise("block")
+    urls, threshold = judged_urls(pages, rules, whole, CODE_POINTS)
+    own = F.when(F.col("difference") >= threshold, "allow").otherwise("block")
     return urls.select("page_id", "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), F.coalesce("difference", F.lit(0.0)).alias("difference"))

@@ -4,7 +4,7 @@ import re
 import zlib
 from collections import Counter
 
-from corpusloom.llm.url_filter import HELD_OUT, RULES, judged_urls, url_filter
+from corpusloom.llm.url_filter import CODE_POINTS, HELD_OUT, RULES, judged_urls, url_filter, whole
 
 SCHEMA = "page_id long, url string, html string, host string, rule int"
 
@@ -32,11 +32,11 @@ def ruled(host, path):
     return best or (None, None)
 
 
-def brute_differences(rows):
-    fold = lambda u: re.sub(r"[^a-z0/.\-=]", "~", re.sub("[0-9]", "0", u.lower()))
+def brute_differences(rows, fold=None, of=lambda u: "".join(split(u)), symbols=33):
+    fold = fold or (lambda u: re.sub(r"[^a-z0/.\-=]", "~", re.sub("[0-9]", "0", u.lower())))
     known = {}
     for _, u, *_ in rows:
-        f = fold("".join(split(u)))
+        f = fold(of(u))
         a, b = known.get(f, (0, 0))
         said = ruled(*split(u))[1]
         known[f] = (a or int(said == "allow"), b or int(said == "block"))
@@ -56,7 +56,7 @@ def brute_differences(rows):
 
     def chance(model, g):
         n, context, types = model
-        p = 1 / 33
+        p = 1 / symbols
         for k in range(4):
             s = g[3 - k :]
             c, t = context[k, s[:-1]], types[k, s[:-1]]
@@ -104,3 +104,26 @@ def test_whole_urls_teach_what_rules_turn_on(spark):
     got = url_filter(spark.createDataFrame(rows, SCHEMA)).where("rule IS NULL").collect()
     assert len(got) == 20
     assert all((r.verdict == "allow") == r.path.startswith("/en/7") for r in got)
+
+
+def test_whole_urls_equal_brute_force(spark):
+    """Query and fragment are read, and no character is folded."""
+    rows = [r for r in pages() if r[0] is not None and r[0] < 1000]
+
+    def of(url):
+        rest = (url or "").split("://", 1)[1] if "://" in (url or "") else ""
+        return split(url)[0] + re.sub(r"(?s)^[^/?#]*", "", rest)
+
+    want, _ = brute_differences(rows, lambda u: u, of, CODE_POINTS)
+    urls, _ = judged_urls(spark.createDataFrame(rows, SCHEMA), RULES, whole, CODE_POINTS)
+    texts = {p: of(u) for p, u, *_ in rows}
+    got = urls.collect()
+    assert len(got) == len(rows) and any("?" in t for t in texts.values()) and any("#" in t for t in texts.values())
+    for r in got:
+        assert abs(r.difference - want[texts[r.page_id]]) < 1e-6
+
+
+def test_long_and_repeated_urls(spark):
+    rows = [(i, "http://a.example.com/en/" + "x" * 200_000, "", "", 0) for i in (1, 1, 2)] + [(3, "http://a.example.org/es/1", "", "", 0)]
+    got = url_filter(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.page_id, len(r.path), r.verdict) for r in got) == [(1, 200_004, "block"), (1, 200_004, "block"), (2, 200_004, "block"), (3, 5, "block")]
