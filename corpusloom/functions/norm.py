@@ -75,6 +75,7 @@ def verse_text(text: Column) -> Column:
 
 #: Entities that stand for themselves in reader text.
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
+#: Entities of page text.
 MORE_ENTITIES = (("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "))
 
 
@@ -111,17 +112,31 @@ def reader_text(html: Column) -> Column:
     return collapsed(unescaped(s))
 
 
+#: Markdown marks and what is left of them.
+PLAIN = ((r"!\[[^\]]*\]\([^)]*\)", ""), (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"(?m)^\[\^[^\]]+\]:.*$", ""), (r"\[\^[^\]]+\]", ""), (r"(?m)^#+\s*", ""), (r"(?m)^[-*]\s+", ""), (r"[*_`>]", ""))
+
+
 def plain_markdown(text: Column) -> Column:
     """Markdown as plain words."""
-    for pattern, to in ((r"!\[[^\]]*\]\([^)]*\)", ""), (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"(?m)^\[\^[^\]]+\]:.*$", ""), (r"\[\^[^\]]+\]", ""), (r"(?m)^#+\s*", ""), (r"(?m)^[-*]\s+", ""), (r"[*_`>]", "")):
+    for pattern, to in PLAIN:
         text = F.regexp_replace(text, pattern, to)
     return collapsed(text)
 
 
+def _composed():
+    @F.pandas_udf("string")
+    def compose(text: pd.Series) -> pd.Series:
+        return text.map(lambda s: unicodedata.normalize("NFC", s), na_action="ignore")
+
+    return compose
+
+
 def ingested(text: Column) -> Column:
-    """Collapsed, no space before punctuation, words joined across line-end hyphens."""
-    s = F.regexp_replace(text, "(?U)(\\w)[-­]\\s+(\\w)", "$1$2")
-    return F.regexp_replace(collapsed(s), r" ([,.;:!?])", "$1")
+    """Composed (NFC), collapsed, no space before punctuation, words joined across line-end hyphens. Only texts with
+    characters outside ASCII leave the JVM's functions."""
+    text = F.when(text.rlike(r"[^\x00-\x7F]"), _composed()(text)).otherwise(text)
+    s = F.regexp_replace(collapsed(text), r" ([,.;:!?])", "$1")
+    return F.regexp_replace(s, "(?U)(\\w)[-\u00ad] (\\w)", "$1$2")
 
 
 def scrubbed(text: Column, furniture: str) -> Column:
@@ -177,7 +192,7 @@ def body_of(text: Column, missing: str = "whole") -> Column:
     return F.when(has, rest).otherwise(F.raise_error(F.lit("a text has no front matter")) if other is None else other)
 
 
-#: Sentence splits in use; each is a different definition.
+#: Sentence splits in use; each is a different definition.
 SENTENCES = {
     "prose": r"(?<=[.!?])[*\"”\])]*\s+(?=[“\"*\[(]*[A-Z])",
     "collapsed": r"(?<=[.!?]) ",

@@ -24,9 +24,11 @@ def content_presence(paragraphs: DataFrame, pages: DataFrame, key: str, least: i
     document without a page lacks all of them; shorter paragraphs are not looked for."""
     bare = lambda c: F.regexp_replace(c, r"(?U)\s+", "")
     wanted = paragraphs.select(key, norm.page_text(F.col("text")).alias("want")).where(F.length("want") >= least)
+    # A document's paragraphs meet its page in one row, so that the page moves once.
+    wanted = wanted.groupBy(key).agg(F.collect_list(bare(F.col("want"))).alias("wants"))
     held = pages.select(key, bare(norm.page_text(F.col("page"))).alias("have"))
-    found = wanted.join(held, key, "left").withColumn("missing", ~F.coalesce(F.contains("have", bare(F.col("want"))), F.lit(False)))
-    return found.groupBy(key).agg(F.count(F.lit(1)).alias("paragraphs"), F.count_if("missing").alias("missing"))
+    lost = F.size(F.filter("wants", lambda w: ~F.coalesce(F.contains("have", w), F.lit(False))))
+    return wanted.join(held, key, "left").select(key, F.size("wants").cast("long").alias("paragraphs"), lost.cast("long").alias("missing"))
 
 
 def caption_findings(images: DataFrame, captions: DataFrame, urls: DataFrame, key: str) -> DataFrame:
@@ -73,9 +75,12 @@ def ordered_tags(used: DataFrame, vocabulary: DataFrame, owner: str) -> DataFram
 def implied_loci(bare: DataFrame, mentions: DataFrame, chapters: DataFrame, key: str) -> DataFrame:
     """PJ35, JN6: the section of each bare locus (key, at, chapter, verse): the last one named before it (key, at, section)
     that has such a chapter (section, chapter). Loci without one are left out."""
-    m = mentions.select(key, F.col("at").alias("__m"), "section")
-    met = bare.join(m, key).where("__m < at").join(chapters.select("section", "chapter").distinct(), ["section", "chapter"])
-    return met.groupBy(key, "at", "chapter", "verse").agg(F.max_by("section", "__m").alias("section"))
+    # An as-of join by key and chapter: each name stands for all chapters of its section, in the order of the text.
+    named = mentions.join(chapters.select("section", "chapter").distinct(), "section").select(key, "chapter", "at", F.lit(None).cast("int").alias("verse"), F.lit(1).alias("__kind"), "section")
+    asked = bare.select(key, "chapter", "at", "verse", F.lit(0).alias("__kind"), F.lit(None).cast("string").alias("section"))
+    before = Window.partitionBy(key, "chapter").orderBy("at", "__kind").rowsBetween(Window.unboundedPreceding, -1)
+    met = named.unionByName(asked).withColumn("section", F.when(F.col("__kind") == 0, F.last("section", ignorenulls=True).over(before)).otherwise(F.col("section")))
+    return met.where("__kind = 0 AND section IS NOT NULL").select(key, "at", "chapter", "verse", "section").distinct()
 
 
 def neighbour_ranges(loci: DataFrame, reach: int = 4) -> DataFrame:
@@ -88,7 +93,7 @@ def neighbour_ranges(loci: DataFrame, reach: int = 4) -> DataFrame:
 
 def superseded(line: Column, words: list[str]) -> Column:
     """FL10: a line that says that it has been replaced."""
-    return line.rlike(r"(?i)\b(" + "|".join(words) + r")\b")
+    return line.rlike(r"(?i)\b(" + "|".join(rf"\Q{w}\E" for w in words) + r")\b")
 
 
 def source_aliases(shelf: DataFrame, stop: list[str]) -> DataFrame:

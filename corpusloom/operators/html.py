@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 BLOCK = {"blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "ol", "p", "pre", "ul"}
 SKIPPED = {"audio", "button", "figure", "noscript", "picture", "script", "style", "svg", "video"}
-SKIPPED_CLASSES = {"footnote-number", "paywall", "poll", "pullquote", "share-dialog", "subscribe-widget", "button-wrapper", "image-link"}
+SKIPPED_CLASSES = {
+    "button-wrapper", "captioned-image-container", "comments-section", "digest-post-embed", "embedded-post", "embedded-post-wrap", "footnote-number", "image-link",
+    "native-video-embed", "paywall", "poll", "pullquote", "share-dialog", "subscribe-widget", "subscription-widget", "subscription-widget-wrap", "subscription-widget-wrap-editor", "tweet",
+}
 KINDS = {"em": "em", "i": "em", "strong": "strong", "b": "strong", "a": "link"}
 
 TOKEN = re.compile(r"<!--.*?-->|<(?P<end>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|(?P<text>[^<]+|<)", re.S)

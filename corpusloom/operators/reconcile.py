@@ -121,11 +121,14 @@ def shelf_audit(rows: DataFrame, files: DataFrame) -> DataFrame:
     return out.select("file", state.alias("state"), licence(F.col("redistribution")).alias("restricted"))
 
 
+#: The marks of a licence cell and whether they restrict.
+VERDICTS = {"✅": False, "⚠️": True, "❌": True}
+
+
 def licence(cell: Column) -> Column:
-    """FL15: the first marker of the cell decides; no verdict is a restriction."""
-    text = F.lower(F.coalesce(cell, F.lit("")))
-    at = lambda w: F.when(F.instr(text, w) > 0, F.instr(text, w)).otherwise(1 << 30)
-    return ~(at("ok") < at("no"))
+    """FL15: whether a file is restricted. The first mark of the cell decides; a cell without one (null, empty) restricts."""
+    found = F.filter(F.array(*[F.struct(F.instr(cell, mark).alias("at"), F.lit(said).alias("said")) for mark, said in VERDICTS.items()]), lambda x: x["at"] > 0)
+    return F.coalesce(F.array_min(found)["said"], F.lit(True))
 
 
 def upserted(old: DataFrame, new: DataFrame, keys: list[str], values: list[str], lists: list[str]) -> DataFrame:
@@ -145,22 +148,23 @@ def upserted(old: DataFrame, new: DataFrame, keys: list[str], values: list[str],
     return out.select(*keys, *picked, *(union[c].alias(c) for c in lists), change.alias("change"))
 
 
-MOMENT = r"^(\d{4}-\d{2}-\d{2})(?:[ T](\d{2}:\d{2}))?\s*(Z|UTC|[+-]\d{2}:?\d{2}|[A-Za-z]+/[A-Za-z_]+)$"
+#: A date, a time and a zone (Z, UTC, an offset or a region).
+MOMENT = r"^(\d{4}-\d{2}-\d{2})(?:[ T](\d{2}:\d{2})(:\d{2})?)?\s*(Z|UTC|[+-]\d{2}:?\d{2}|[A-Za-z]+/[A-Za-z_+\-]+)$"
 
 
-def moment(raw: Column, zones: list[str] | None = None) -> Column:
-    """TM1: an instant from a date, a time (00:00) and a mandatory zone; null if malformed. Named zones must be in `zones`."""
-    text = F.regexp_replace(F.trim(F.regexp_replace(raw, r"\s+#.*$", "")), "^[\"']|[\"']$", "")
-    day, clock, zone = (F.regexp_extract(text, MOMENT, i) for i in (1, 2, 3))
+def moment(raw: Column) -> Column:
+    """TM1: an instant from a date, a time (00:00) and a mandatory zone, in quotes or not, before a comment; null if malformed,
+    an unknown zone included. The session's own zone plays no part."""
+    text = F.trim(F.regexp_replace(F.trim(F.substring_index(raw, "#", 1)), "^[\"']+|[\"']+$", ""))
+    day, clock, seconds, zone = (F.regexp_extract(text, MOMENT, i) for i in (1, 2, 3, 4))
     zone = F.when(zone.isin("Z", "UTC"), "+00:00").when(zone.rlike(r"^[+-]\d{4}$"), F.concat(F.substring(zone, 1, 3), F.lit(":"), F.substring(zone, 4, 2))).otherwise(zone)
-    known = zone.rlike(r"^[+-]([01]\d|2[0-3]):[0-5]\d$") | (zone.isin(*zones) if zones else F.lit(False))
-    local = F.try_to_timestamp(F.concat(day, F.lit(" "), F.when(clock == "", "00:00").otherwise(clock)), F.lit("yyyy-MM-dd HH:mm"))
-    return F.when(known & local.isNotNull(), F.to_utc_timestamp(local, F.when(known, zone).otherwise(F.lit("+00:00"))))
+    written = F.concat(day, F.lit(" "), F.when(clock == "", "00:00").otherwise(clock), F.when(seconds == "", ":00").otherwise(seconds), F.lit(" "), zone)
+    return F.when(text.rlike(MOMENT), F.try_to_timestamp(written, F.lit("yyyy-MM-dd HH:mm:ss VV")))
 
 
-def embargo(raw: Column, now: Column, zones: list[str] | None = None) -> Column:
+def embargo(raw: Column, now: Column) -> Column:
     """TM2: none, malformed, embargoed or open at `now`, which is a parameter."""
-    at = moment(raw, zones)
+    at = moment(raw)
     return F.when(raw.isNull() | (F.trim(raw) == ""), "none").when(at.isNull(), "malformed").when(now >= at, "open").otherwise("embargoed")
 
 
@@ -196,6 +200,7 @@ def calibration(rows: DataFrame, key: str, delta: str, least: int = 3, share: fl
     return near.where(F.col("seen") >= least).select(key, "mode", "seen", "agree", (F.col("agree") >= share * F.col("seen")).alias("calibrated"))
 
 
+#: Verdicts, best first.
 RANKS = ("MATCH", "UNMARKED ELISION", "OUT OF ORDER", "DRIFT", "SOURCE ILLEGIBLE HERE", "NOT FOUND", "NO OVERLAP")
 
 
@@ -206,10 +211,17 @@ def best_source(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.*")
 
 
-def capped(rows: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
-    """AG8, WN9: the first n rows of each key, with the key's total: a report."""
-    w = Window.partitionBy(*keys)
-    return rows.withColumn("total", F.count(F.lit(1)).over(w)).withColumn("__r", F.row_number().over(w.orderBy(*order))).where(F.col("__r") <= n).drop("__r")
+def capped(rows: DataFrame, keys: list[str], order: list, n: int, parts: int = 64) -> DataFrame:
+    """AG8, WN9: the first n rows of each key, with the key's total: a report. Each key's rows are ranked in `parts` parts by a
+    hash first, so that no task sorts a whole key; totals are summed before they are shuffled."""
+    part = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(parts))
+    first = rows.withColumn("__p", part).withColumn("__r", F.row_number().over(Window.partitionBy(*keys, "__p").orderBy(*order))).where(F.col("__r") <= n)
+    best = first.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__r") <= n).drop("__r", "__p")
+    totals = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
+    met = F.lit(True)
+    for k in keys:
+        met = met & F.col(f"b.{k}").eqNullSafe(F.col(f"t.{k}"))
+    return best.alias("b").join(totals.alias("t"), met).select("b.*", "t.total")
 
 
 def in_range(loci: DataFrame, verses: DataFrame, keys: list[str]) -> DataFrame:

@@ -24,14 +24,17 @@ def exploded_shingles(docs: DataFrame, key: str, n: int) -> DataFrame:
 
 def leaked(private: DataFrame, public: DataFrame, private_key: str, public_key: str, n: int = 12, inherited: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
     """FZ15: how many n-word runs public texts share with private ones. Runs of `inherited` (shingle) are allowed, and those
-    whose sha1 is in `known` (sha1) have been accepted before. Texts meet by an equi-join on the run."""
-    own = exploded_shingles(private, private_key, n)
+    whose sha1 is in `known` (sha1) have been accepted before. Texts meet by an equi-join on two 64-bit hashes of the run, made
+    within the row, so that runs themselves do not move."""
+    hashed = lambda runs: F.transform(runs, lambda r: F.struct(F.xxhash64(r).alias("h1"), F.xxhash64(F.lit(n), r).alias("h2")))
+    own = private.select(F.col(private_key).alias("__a"), F.explode(F.array_distinct(shingles(norm.words(F.col("text")), n))).alias("shingle"))
     if inherited is not None:
         own = own.join(inherited.select("shingle").distinct(), "shingle", "left_anti")
-    shared = exploded_shingles(public, public_key, n).join(own, "shingle")
     if known is not None:
-        shared = shared.withColumn("sha1", F.sha1("shingle")).join(known.select("sha1").distinct(), "sha1", "left_anti")
-    return shared.groupBy(public_key, private_key).agg(F.count(F.lit(1)).alias("shared"))
+        own = own.withColumn("sha1", F.sha1("shingle")).join(known.select("sha1").distinct(), "sha1", "left_anti")
+    own = own.select("__a", F.xxhash64("shingle").alias("h1"), F.xxhash64(F.lit(n), "shingle").alias("h2"))
+    theirs = public.select(F.col(public_key).alias("__b"), F.inline(F.array_distinct(hashed(shingles(norm.words(F.col("text")), n)))))
+    return theirs.join(own, ["h1", "h2"]).groupBy(F.col("__b").alias(public_key), F.col("__a").alias(private_key)).agg(F.count(F.lit(1)).alias("shared"))
 
 
 def furniture(pages: DataFrame, group: str, page: str, n: int = 3, share: float = 0.5, least_pages: int = 4) -> DataFrame:
@@ -46,27 +49,47 @@ def furniture(pages: DataFrame, group: str, page: str, n: int = 3, share: float
 
 
 def without_furniture(pages: DataFrame, found: DataFrame, group: str, page: str, n: int = 3) -> DataFrame:
-    """FZ16: the pages' texts without the words that a furniture run covers. Words meet the runs by an equi-join, and each
-    page's words come back in order."""
+    """FZ16: the pages' texts without the words that a furniture run covers. Words meet the runs by an equi-join on the run's
+    hash; the positions left are found by one difference of sets."""
     words = F.filter(F.split(F.regexp_replace(F.trim(F.col("text")), r"\s+", " "), " "), lambda w: w != "")
     with_words = pages.select(group, page, words.alias("words"))
-    runs = with_words.select(group, page, F.posexplode(shingles(F.transform(F.col("words"), norm.masked), n)).alias("at", "run"))
-    hits = runs.join(found.select(group, "run"), [group, "run"]).groupBy(group, page).agg(F.collect_set("at").alias("starts"))
+    hashed = F.transform(shingles(F.transform(F.col("words"), norm.masked), n), lambda r: F.struct(F.xxhash64(r).alias("h1"), F.xxhash64(F.lit(n), r).alias("h2")))
+    runs = with_words.select(group, page, F.posexplode(hashed).alias("at", "run")).select(group, page, "at", "run.h1", "run.h2")
+    wanted = found.select(group, F.xxhash64("run").alias("h1"), F.xxhash64(F.lit(n), "run").alias("h2")).distinct()
+    hits = runs.join(wanted, [group, "h1", "h2"]).groupBy(group, page).agg(F.collect_set("at").alias("starts"))
     out = with_words.join(hits, [group, page], "left")
     covered = F.coalesce(F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (n - 1))))), F.array().cast("array<int>"))
-    kept = let(covered, lambda gone: F.filter("words", lambda w, i: ~F.array_contains(gone, i)))
+    every = F.when(F.size("words") > 0, F.sequence(F.lit(0), F.size("words") - 1)).otherwise(F.array().cast("array<int>"))
+    kept = F.transform(F.array_except(every, covered), lambda i: F.get("words", i))
     return out.select(group, page, F.array_join(kept, " ").alias("text"))
 
 
-def phrase_hits(streams: DataFrame, phrases: DataFrame, key: str, phrase_key: str, n: int) -> DataFrame:
-    """FZ1: where phrases of at least n words occur in normalized streams (`stream`): first position (1-based, code points) and
-    number of non-overlapping hits. Candidates share the phrase's first n words; `instr` decides."""
-    first = phrases.select(phrase_key, "phrase", F.array_join(F.slice(F.split("phrase", " "), 1, n), " ").alias("start"))
-    starts = streams.select(key, F.explode(F.array_distinct(shingles(F.split("stream", " "), n))).alias("start"))
-    met = starts.join(first, "start").select(key, phrase_key, "phrase").distinct()
-    found = met.join(streams.select(key, "stream"), key).withColumn("at", F.instr("stream", F.col("phrase"))).where("at > 0")
-    count = (F.length("stream") - F.length(F.replace("stream", F.col("phrase"), F.lit("")))) / F.length("phrase")
-    return found.select(key, phrase_key, "at", count.cast("long").alias("hits"))
+def phrase_hits(streams: DataFrame, phrases: DataFrame, key: str, phrase_key: str, around: int = 60) -> DataFrame:
+    """FZ1: every place where phrases occur in normalized streams (`stream`) as substrings, whole words or not, each hit
+    beginning after the last one's end: `at` (0-based, code points) and `context`, the hit with up to `around` characters
+    before and after it. A phrase of three words or more has whole words inside; candidates share the first of those, up to
+    six, by hash. Shorter phrases, a query set, are looked for in every stream. Empty phrases and null streams have no hits."""
+    cleaned = phrases.where(F.trim("phrase") != "").select(F.col(phrase_key).alias("__p"), "phrase", F.split("phrase", " ").alias("w"))
+    inner = F.greatest(F.least(F.size("w") - 2, F.lit(6)), F.lit(0))
+    cleaned = cleaned.withColumn("n", inner).withColumn("h", F.xxhash64(F.array_join(F.slice("w", 2, F.col("n")), " "))).drop("w")
+    texts = streams.where("stream IS NOT NULL").select(F.col(key).alias("__k"), "stream")
+    lengths = sorted(r.n for r in cleaned.where("n > 0").select("n").distinct().collect())  # six at most
+    found = cleaned.where("n = 0").join(texts, F.contains("stream", F.col("phrase"))).select("__k", "__p", "phrase", "stream")
+    if lengths:
+        of = lambda n: F.transform(shingles(F.split("stream", " "), n), lambda r: F.struct(F.lit(n).alias("n"), F.xxhash64(r).alias("h")))
+        met = texts.select("__k", F.inline(F.array_distinct(F.concat(*[of(n) for n in lengths])))).join(cleaned.where("n > 0"), ["n", "h"]).select("__k", "__p", "phrase")
+        found = found.unionByName(met.join(texts, "__k").where(F.contains("stream", F.col("phrase"))).select("__k", "__p", "phrase", "stream"))
+    parts = F.split("stream", F.concat(F.lit("\\Q"), F.col("phrase"), F.lit("\\E")), -1)
+    places = F.aggregate(
+        F.slice(parts, 1, F.size(parts) - 1),
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")),
+        lambda a, part: F.struct((a["at"] + F.length(part) + F.length("phrase")).alias("at"), F.concat(a["all"], F.array(a["at"] + F.length(part))).alias("all")),
+        lambda a: a["all"],
+    )
+    hits = found.select("__k", "__p", "phrase", "stream", F.explode(places).alias("at"))
+    start = F.greatest(F.col("at") - around, F.lit(0))
+    context = F.substring("stream", start + 1, F.col("at") + F.length("phrase") + around - start)
+    return hits.select(F.col("__k").alias(key), F.col("__p").alias(phrase_key), "at", context.alias("context"))
 
 
 def line_blocks(docs: DataFrame, key: str, lines: int = 40) -> DataFrame:
@@ -115,17 +138,6 @@ def carried(rows: DataFrame, key: str, order: str, value: Column, name: str, bef
     return rows.withColumn(name, F.last(value, ignorenulls=True).over(w))
 
 
-def footnote_issues(docs: DataFrame, key: str) -> DataFrame:
-    """PJ5: labels in the order of their first reference, and undefined, unreferenced and duplicated ones."""
-    refs = docs.select(key, F.posexplode(F.regexp_extract_all(F.regexp_replace("text", r"(?m)^\[\^[^\]]+\]:", ""), F.lit(r"\[\^([^\]]+)\]"), F.lit(1))).alias("at", "label"))
-    defs = docs.select(key, F.explode(F.regexp_extract_all("text", F.lit(r"(?m)^\[\^([^\]]+)\]:"), F.lit(1))).alias("label")).groupBy(key, "label").agg(F.count(F.lit(1)).alias("defined"))
-    first = refs.groupBy(key, "label").agg(F.min("at").alias("first_at"))
-    out = first.join(defs, [key, "label"], "full")
-    number = F.when(F.col("first_at").isNotNull(), F.row_number().over(Window.partitionBy(key).orderBy(F.col("first_at").asc_nulls_last(), "label")))
-    issue = F.when(F.col("defined").isNull(), "undefined").when(F.col("first_at").isNull(), "unreferenced").when(F.col("defined") > 1, "duplicated")
-    return out.select(key, "label", number.alias("number"), issue.alias("issue"))
-
-
 def slides(docs: DataFrame, key: str) -> DataFrame:
     """PJ12: sections (`## `) and slides (`<!-- slide: t -->`) with their lines; text before the first section is dropped."""
     lines = docs.select(key, F.posexplode(F.split("text", "\n")).alias("line", "content"))

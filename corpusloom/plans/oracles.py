@@ -68,10 +68,12 @@ SELECT doc_id, sha256(coalesce(array_to_string(kept, ' '), '')) AS left_sha256 F
     "doc_digests": f"SELECT doc_id, {short('text')} AS h FROM documents",
     "chunk_digests": "SELECT doc_id, sha256(replace(text, chr(10), chr(30)) || chr(30)) AS digest FROM documents",
     "exact_phrase_search": f"""
-WITH d AS (SELECT doc_id, {source_text()} AS stream FROM documents), b AS (SELECT item_id, string_split({source_text()}, ' ') AS ws FROM benchmark),
-p AS (SELECT item_id, array_to_string(ws[1:8], ' ') AS phrase FROM b WHERE len(ws) >= 8)
-SELECT doc_id, item_id, strpos(stream, phrase)::INTEGER AS "at", ((length(stream) - length(replace(stream, phrase, ''))) / length(phrase))::BIGINT AS hits
-FROM d JOIN p ON contains(' ' || stream || ' ', ' ' || phrase || ' ')""",
+WITH d AS (SELECT doc_id, {source_text()} AS stream FROM documents), b AS (SELECT item_id, list_filter(string_split({source_text()}, ' '), lambda w: w <> '') AS ws FROM benchmark),
+r AS (SELECT item_id, ws, greatest(1, len(ws) // 8) AS n, unnest(range(1, greatest(1, len(ws) // 8) + 1)) AS k FROM b WHERE len(ws) > 0),
+p AS (SELECT item_id || ':' || (k - 1) AS span_id, array_to_string(ws[8 * k - 7:CASE WHEN k = n THEN len(ws) ELSE 8 * k END], ' ') AS phrase FROM r),
+m AS (SELECT doc_id, span_id, phrase, stream, string_split(stream, phrase) AS parts FROM d JOIN p ON contains(stream, phrase)),
+h AS (SELECT doc_id, span_id, phrase, stream, unnest(list_transform(range(1, len(parts)), lambda i: list_sum(list_transform(parts[1:i], lambda x: length(x))) + (i - 1) * length(phrase)))::INTEGER AS "at" FROM m)
+SELECT doc_id, span_id, "at", substr(stream, greatest("at" - 60, 0) + 1, "at" + length(phrase) + 60 - greatest("at" - 60, 0)) AS context FROM h""",
     "phrase_locator_asof": """
 WITH l AS (SELECT doc_id, unnest(generate_series(0, len(p) - 1)) AS line, unnest(p) AS content FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)),
 s AS (SELECT doc_id, line, length(content) AS n, sum(length(content) + 1) OVER (PARTITION BY doc_id ORDER BY line) - length(content) - 1 AS "at" FROM l),
@@ -112,13 +114,12 @@ SELECT doc_id, idx, {STATE} AS state, CASE WHEN b IS NULL AND d IS NULL THEN 'ad
 SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'UNREACHABLE' WHEN doc_id % 4 = 1 AND {short('text')} <> {short("text || ' more'")} THEN 'DRIFT'
 WHEN doc_id % 4 = 2 AND lang <> 'xx' THEN 'DRIFT-MARKS' ELSE 'MATCH' END AS status FROM documents""",
     "embargo_state": """
-SELECT event_id, CASE event_id % 4 WHEN 3 THEN 'none' WHEN 0 THEN 'malformed' WHEN 1 THEN
-  CASE WHEN date_trunc('minute', ts) - INTERVAL 2 HOUR <= TIMESTAMP '2024-03-01' THEN 'open' ELSE 'embargoed' END
-  ELSE CASE WHEN date_trunc('day', ts) <= TIMESTAMP '2024-03-01' THEN 'open' ELSE 'embargoed' END END AS state FROM events""",
+SELECT event_id, CASE WHEN event_id % 7 = 3 THEN 'none' WHEN event_id % 7 IN (0, 5) THEN 'malformed' WHEN "at" <= TIMESTAMP '2024-03-01' THEN 'open' ELSE 'embargoed' END AS state
+FROM (SELECT event_id, CASE event_id % 7 WHEN 1 THEN date_trunc('minute', ts) - INTERVAL 2 HOUR WHEN 2 THEN date_trunc('day', ts) WHEN 4 THEN date_trunc('second', ts) + INTERVAL 5 HOUR ELSE date_trunc('minute', ts) END AS "at" FROM events)""",
     "moments_due": "SELECT event_id FROM events WHERE ts <= TIMESTAMP '2024-01-17'",
     "notes_backlog": """SELECT CASE WHEN o_orderkey % 7 = 0 THEN 'skip' WHEN o_orderstatus = 'F' THEN 'posted' WHEN o_orderpriority = '1-URGENT' THEN 'drafted' ELSE 'missing' END AS state,
 count(*) AS n FROM orders GROUP BY 1""",
-    "first_reference_order": """
+    "first_role_order": """
 SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY f, role)::INTEGER AS number FROM (SELECT conv_id, role, min(turn) AS f FROM conversations GROUP BY 1, 2)""",
     "carry_forward": """
 SELECT conv_id, turn, asked FROM (SELECT conv_id, turn, role, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS asked FROM conversations)
@@ -141,10 +142,10 @@ SELECT doc_id, CASE WHEN n THEN t ELSE lang END AS title, CASE WHEN n AND extra
 CASE WHEN NOT o THEN 'insert' WHEN NOT n OR (t = lang AND NOT extra) THEN 'keep' ELSE 'update' END AS change FROM x""",
     "shelf_audit": """
 WITH r AS (SELECT doc_id, 'f' || doc_id AS file, CASE WHEN doc_id % 6 = 0 THEN '0000' ELSE substr(sha256(text), 1, 12) END AS digest,
-CASE WHEN quality = 1 THEN 'ok to share' WHEN doc_id % 2 = 0 THEN 'no, not ok' END AS cell FROM labels JOIN documents USING (doc_id)),
+CASE WHEN quality = 1 THEN 'free: ✅ to share. ⚠️ OCR.' WHEN doc_id % 2 = 0 THEN '❌ no, not ✅' WHEN doc_id % 3 = 0 THEN 'book, no sharing: ok' END AS cell FROM labels JOIN documents USING (doc_id)),
 f AS (SELECT 'f' || doc_id AS file, sha256(text) AS h FROM documents WHERE doc_id % 10 <> 7)
 SELECT file, CASE WHEN h IS NULL THEN 'missing' WHEN digest IS NULL THEN 'unlisted' WHEN starts_with(h, digest) THEN 'held' ELSE 'altered' END AS state,
-coalesce(cell, '') <> 'ok to share' AS restricted FROM r FULL JOIN f USING (file)""",
+NOT starts_with(coalesce(cell, ''), 'free') AS restricted FROM r FULL JOIN f USING (file)""",
     "best_source_rank": """
 WITH x AS (SELECT l_partkey, l_suppkey AS source, CASE l_returnflag WHEN 'A' THEN 'MATCH' WHEN 'N' THEN 'DRIFT' ELSE 'OUT OF ORDER' END AS status,
 CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 4 ELSE 3 END AS k, l_quantity::BIGINT AS score, l_linenumber::BIGINT AS run FROM lineitem)

@@ -51,14 +51,18 @@ def _streams(spark, d):
     return table(spark, d, "documents").select("doc_id", norm.source_text(F.col("text"), ascii_only=True).alias("stream"))
 
 
-def _phrases(spark, d):
-    words = F.split(norm.source_text(F.col("text"), ascii_only=True), " ")
-    return table(spark, d, "benchmark").where(F.size(words) >= 8).select("item_id", F.array_join(F.slice(words, 1, 8), " ").alias("phrase"))
+def _runs_of_items(spark, d, n: int):
+    """Whole benchmark items as runs of n words, the last of up to 2n - 1: (span_id, span)."""
+    words = F.filter(F.split(norm.source_text(F.col("text"), ascii_only=True), " "), lambda w: w != "")
+    items = table(spark, d, "benchmark").select("item_id", words.alias("w")).where(F.size("w") > 0)
+    last = F.greatest(F.lit(1), F.floor(F.size("w") / n)).cast("int")
+    runs = F.transform(F.sequence(F.lit(1), last), lambda k: F.array_join(F.when(k == last, F.slice("w", n * k - (n - 1), F.size("w"))).otherwise(F.slice("w", n * k - (n - 1), F.lit(n))), " "))
+    return items.select("item_id", F.posexplode(runs).alias("no", "span")).select(F.concat_ws(":", "item_id", "no").alias("span_id"), "span")
 
 
 def exact_phrase_search(spark, d):
-    """FZ1: where benchmark items' first eight words occur in documents."""
-    return text.phrase_hits(_streams(spark, d), _phrases(spark, d), "doc_id", "item_id", 8)
+    """FZ1, WN10: where benchmark items occur in documents, every hit with its context: whole items, as runs of eight words."""
+    return text.phrase_hits(_streams(spark, d), _runs_of_items(spark, d, 8).withColumnRenamed("span", "phrase"), "doc_id", "span_id")
 
 
 def phrase_locator_asof(spark, d):
@@ -203,10 +207,14 @@ NOW = "2024-03-01 00:00:00"
 
 
 def embargo_state(spark, d):
-    """TM1, TM2: states of moments written with and without zones (events' times stand in)."""
+    """TM1, TM2: states of moments written with zones, regions, seconds, quotes and remarks, or without (events' times stand in)."""
     e = table(spark, d, "events")
-    raw = F.when(F.col("event_id") % 4 == 0, F.date_format("ts", "yyyy-MM-dd")).when(F.col("event_id") % 4 == 1, F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm"), F.lit(" +02:00"))).when(F.col("event_id") % 4 == 2, F.concat(F.date_format("ts", "yyyy-MM-dd"), F.lit(" UTC")))
-    return e.select("event_id", reconcile.embargo(raw, F.lit(NOW).cast("timestamp")).alias("state"))
+    at = lambda form: F.date_format("ts", form)
+    written = (at("yyyy-MM-dd"), F.concat(at("yyyy-MM-dd HH:mm"), F.lit(" +02:00")), F.concat(at("yyyy-MM-dd"), F.lit(" UTC")), F.lit(None).cast("string"), F.concat(F.lit('"'), at("yyyy-MM-dd HH:mm:ss"), F.lit(' America/New_York"')), F.concat(at("yyyy-MM-dd HH:mm"), F.lit(" Mars/Olympus")), F.concat(at("yyyy-MM-dd'T'HH:mm"), F.lit("Z # settled")))
+    raw = F.lit(None).cast("string")
+    for k, text_ in enumerate(written):
+        raw = F.when(F.col("event_id") % 7 == k, text_).otherwise(raw)
+    return e.select("event_id", reconcile.embargo(raw, F.to_timestamp(F.lit(NOW + " Z"), "yyyy-MM-dd HH:mm:ss VV")).alias("state"))
 
 
 def moments_due(spark, d):
@@ -222,8 +230,8 @@ def notes_backlog(spark, d):
     return o.groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def first_reference_order(spark, d):
-    """PJ5, WN1: roles of a conversation in the order of their first turns."""
+def first_role_order(spark, d):
+    """Roles of a conversation in the order of their first turns."""
     first = table(spark, d, "conversations").groupBy("conv_id", "role").agg(F.min("turn").alias("first_turn"))
     return first.select("conv_id", "role", F.row_number().over(reconcile.Window.partitionBy("conv_id").orderBy("first_turn", "role")).alias("number"))
 
@@ -264,7 +272,7 @@ def shelf_audit(spark, d):
     """JN14, FL15: labelled documents against files with altered and missing digests."""
     docs = table(spark, d, "documents")
     rows = table(spark, d, "labels").select("doc_id", "quality").join(docs, "doc_id")
-    rows = rows.select(F.concat(F.lit("f"), "doc_id").alias("file"), F.when(F.col("doc_id") % 6 == 0, "0000").otherwise(F.substring(F.sha2("text", 256), 1, 12)).alias("digest"), F.when(F.col("quality") == 1, "ok to share").when(F.col("doc_id") % 2 == 0, "no, not ok").alias("redistribution"))
+    rows = rows.select(F.concat(F.lit("f"), "doc_id").alias("file"), F.when(F.col("doc_id") % 6 == 0, "0000").otherwise(F.substring(F.sha2("text", 256), 1, 12)).alias("digest"), F.when(F.col("quality") == 1, "free: ✅ to share. ⚠️ OCR.").when(F.col("doc_id") % 2 == 0, "❌ no, not ✅").when(F.col("doc_id") % 3 == 0, "book, no sharing: ok").alias("redistribution"))
     files = docs.where("doc_id % 10 <> 7").select(F.concat(F.lit("f"), "doc_id").alias("file"), F.sha2("text", 256).alias("sha256"))
     return reconcile.shelf_audit(rows, files)
 
@@ -301,12 +309,7 @@ def gate_summary(spark, d):
 
 def quote_verdicts(spark, d):
     """FZ2: verdicts of benchmark items in whole, as runs of 12 words, the last of up to 23, against documents (no SQL)."""
-    words = F.filter(F.split(norm.source_text(F.col("text"), ascii_only=True), " "), lambda w: w != "")
-    items = table(spark, d, "benchmark").select("item_id", words.alias("w")).where(F.size("w") > 0)
-    n = F.greatest(F.lit(1), F.floor(F.size("w") / 12)).cast("int")
-    runs = F.transform(F.sequence(F.lit(1), n), lambda k: F.array_join(F.when(k == n, F.slice("w", 12 * k - 11, F.size("w"))).otherwise(F.slice("w", 12 * k - 11, F.lit(12))), " "))
-    spans = items.select("item_id", F.posexplode(runs).alias("no", "span")).select(F.concat_ws(":", "item_id", "no").alias("span_id"), "span")
-    return verdicts(spans, _streams(spark, d), "doc_id")
+    return verdicts(_runs_of_items(spark, d, 12), _streams(spark, d), "doc_id")
 
 
 def links_extract(spark, d):
@@ -392,7 +395,7 @@ QUERIES = {
     for f in (
         leak_shingles, furniture_runs, furniture_removed, doc_digests, chunk_digests, source_text_digests, exact_phrase_search, phrase_locator_asof, links_by_host,
         html_block_counts, page_reader_text, lint_hits, lint_term_threshold, sentence_stats, title_like_lines, tag_usage, tag_unknown, required_missing, fk_ownership,
-        index_losses, publication_conflicts, upload_plan, three_way_rows, drift_status, aligned_lines, embargo_state, moments_due, notes_backlog, first_reference_order,
+        index_losses, publication_conflicts, upload_plan, three_way_rows, drift_status, aligned_lines, embargo_state, moments_due, notes_backlog, first_role_order,
         carry_forward, merge_adjacent, interior_gaps, page_calibration_mode, index_upsert, shelf_audit, best_source_rank, hits_per_source, talk_minutes, gate_summary, quote_verdicts,
         links_extract, html_marks, ocr_garbled_docs, content_presence, tag_unused, tags_in_order, deck_compare, resolved_rows, deferrals_lapsed, furniture_top, superseded_lines,
         landed_on_not_found,

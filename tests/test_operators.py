@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import norm
-from corpusloom.operators import quotes, reconcile, text
+from corpusloom.operators import markdown, quotes, reconcile, text
 
 
 def one(spark, value, column):
@@ -90,8 +90,9 @@ def test_candidates_lose_no_pair(spark):
 def test_footnotes_slides_blocks(spark):
     body = "# T\n\nfirst[^b] and[^a]\n\n> q1\n\n> q2\n\n[^a]: one\n\n[^c]: two\n\n[^a]: again"
     docs = spark.createDataFrame([(1, body)], "id long, text string")
-    issues = {r.label: (r.number, r.issue) for r in text.footnote_issues(docs, "id").collect()}
-    assert issues == {"b": (1, "undefined"), "a": (2, "duplicated"), "c": (3, "unreferenced")} or issues["c"][1] == "unreferenced" and issues["b"] == (1, "undefined")
+    blocks = markdown.parsed(docs, "id")
+    assert sorted((r.label, r.issue) for r in markdown.note_issues(blocks, "id").collect()) == [("b", "undefined"), ("c", "unreferenced")]
+    assert [(r.label, r.number, r.text) for r in markdown.ordered_notes(blocks, "id").collect()] == [("a", 1, "again")]
     merged = text.merged_runs(text.blocks(docs, "id"), "id", "idx", "kind", "src", only="blockquote").where("kind = 'blockquote'").collect()
     assert [(r.n, r.src) for r in merged] == [(2, "> q1\n> q2")]
     deck = "intro\n## One\nsaid\n- on\n<!-- slide: two -->\n<!-- design: big -->\nmore"
@@ -100,10 +101,16 @@ def test_footnotes_slides_blocks(spark):
 
 
 def test_moments(spark):
-    rows = [("2024-05-01 10:30 +02:00",), ("2024-05-01 UTC",), ("2024-05-01",), ("2024-05-01 Nowhere/Land",), ("2024-13-01 UTC",), (None,), ("'2024-05-01 Z' # note",)]
-    df = spark.createDataFrame(rows, "raw string")
-    now = F.lit("2024-05-01 09:00:00").cast("timestamp")
-    assert [r.s for r in df.select(reconcile.embargo(F.col("raw"), now).alias("s")).collect()] == ["open", "open", "malformed", "malformed", "malformed", "none", "open"]
+    said = ["2024-05-01 10:30 +02:00", "2024-05-01 UTC", "2024-05-01", "2024-05-01 Nowhere/Land", "2024-13-01 UTC", None, "'2024-05-01 Z' # note", "2024-05-01 10:30 America/New_York", '"2024-05-01T04:59:59 -0400"', "2024-05-01 25:00 Z", ""]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(said)], "i int, raw string")
+    want = ["open", "open", "malformed", "malformed", "malformed", "none", "open", "embargoed", "open", "malformed", "none"]
+    for zone in ("UTC", "America/New_York", "Asia/Kolkata"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            now = F.to_timestamp(F.lit("2024-05-01 09:00:00 Z"), "yyyy-MM-dd HH:mm:ss VV")
+            assert [r.s for r in df.select("i", reconcile.embargo(F.col("raw"), now).alias("s")).orderBy("i").collect()] == want, zone
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
     minutes = spark.createDataFrame([(185,), (-2940,), (4,)], "m int").select(reconcile.human_delta(F.col("m")).alias("t")).collect()
     assert [r.t for r in minutes] == ["in 3h 5m", "2d 1h ago", "in 4m"]
 
@@ -114,8 +121,9 @@ def test_ranges_pointers_and_licences(spark):
     assert [tuple(r) for r in reconcile.in_range(loci, verses, ["section", "chapter"]).collect()] == [("gen 1:2-4", "v2 v3 v4", 3)]
     pairs = spark.createDataFrame([("a", "b", None), ("b", None, "a"), ("c", "b", None)], "slug string, target string, back string")
     assert [r.slug for r in reconcile.one_sided(pairs, "slug", "target", "back").collect()] == ["c"]
-    cells = spark.createDataFrame([("ok, no limits",), ("no: ok later",), (None,)], "c string").select(reconcile.licence(F.col("c")).alias("r")).collect()
-    assert [r.r for r in cells] == [False, True, True]
+    cells = ["✅ Public domain. ⚠️ OCR.", "⚠️ ours, then ✅", "❌ **Not redistributable.**", "book, no sharing", None, "", "quite ✅"]
+    rows = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "i int, c string").select("i", reconcile.licence(F.col("c")).alias("r")).orderBy("i").collect()
+    assert [r.r for r in rows] == [False, True, True, True, True, True, False]
 
 
 def test_nothing_checked_is_not_a_pass(spark):
