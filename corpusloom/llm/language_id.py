@@ -2,8 +2,8 @@
 
 Features are the hashed character n-grams of one to three characters of the whole lower-cased text, weighted by
 1 + log(count) and inverse document frequency, at unit length. Document frequencies are counted over every document that may
-be learned from. Weights are fitted on about `max_rows` of those (chosen by a hash of doc_id) by follow-the-regularised-leader
-with elastic-net penalties, which sets most weights to zero; a fifth of the sample is kept out to calibrate the temperature
+be learned from. Weights are fitted on about `max_rows` of those (chosen by a hash of doc_id), and on `least` rows of each language
+or all that it has, so that rare languages are learned too, by follow-the-regularised-leader with elastic-net penalties, which sets most weights to zero; a fifth of the sample is kept out to calibrate the temperature
 that divides the scores. The model is of fixed size (DIMENSIONS for each language) and is broadcast; every document is scored
 whole, without a shuffle.
 
@@ -21,8 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.scratch import small_batches
+
 DIMENSIONS = 1 << 14
 MAX_ROWS = 4000
+#: Rows of a language in the sample at least, as far as there are any.
+LEAST = 200
+#: Characters that are counted at once.
+BLOCK = 1 << 18
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1.0, 0.5
 FOLDS, HELD = 4, 2
@@ -32,16 +38,14 @@ UNKNOWN = "und"
 def counts_of(text: str, dimensions: int = DIMENSIONS) -> tuple[np.ndarray, np.ndarray]:
     """The distinct hashed n-grams of a text and how often each occurs."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    hashes = []
-    gram = np.zeros(len(points), np.uint64)
-    for n in range(1, 4):
-        if len(points) < n:
-            break
-        gram = gram[: len(points) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + points[n - 1 :] + np.uint64(n)
-        hashes.append(((gram * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(40)) % np.uint64(dimensions))
-    if not hashes:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    counts = np.bincount(np.concatenate(hashes).astype(np.int64), minlength=dimensions)
+    counts = np.zeros(dimensions, np.int64)
+    for start in range(0, len(points), BLOCK):
+        part = points[start : start + BLOCK + 2]  # grams that start in the block may end beyond it
+        gram = np.zeros(len(part), np.uint64)
+        for n in range(1, min(3, len(part)) + 1):
+            gram = gram[: len(part) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + part[n - 1 :] + np.uint64(n)
+            own = ((gram[:BLOCK] * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(40)) % np.uint64(dimensions)
+            counts += np.bincount(own.astype(np.int64), minlength=dimensions)
     found = np.flatnonzero(counts)
     return found, counts[found]
 
@@ -121,7 +125,7 @@ def fold(docs: DataFrame, folds: int = FOLDS):
     return F.pmod(F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")), F.lit(folds))
 
 
-def train(docs: DataFrame, max_rows: int = MAX_ROWS, folds: int = FOLDS, held: int = HELD) -> LanguageModel | None:
+def train(docs: DataFrame, max_rows: int = MAX_ROWS, folds: int = FOLDS, held: int = HELD, least: int = LEAST) -> LanguageModel | None:
     own = docs.where((fold(docs, folds) != held) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     totals = own.select("text").mapInArrow(_frequencies, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).toArrow()
     df = dict(zip(totals.column("f").to_pylist(), totals.column("n").to_pylist(), strict=True))
@@ -129,8 +133,11 @@ def train(docs: DataFrame, max_rows: int = MAX_ROWS, folds: int = FOLDS, held: i
     if not rows:
         return None
     idf = np.log(1 + rows) - np.log1p([df.get(i, 0) for i in range(DIMENSIONS)]) + 1
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, max_rows / rows))
-    sample = own.where(share).mapInArrow(_features, "doc_id long, lang string, f array<int>, n array<int>").toArrow()
+    # A row for each language, of which the model has some sixteen thousand weights.
+    sizes = own.groupBy(F.col("lang").alias("__lang")).agg(F.count(F.lit(1)).alias("__n"))
+    share = F.greatest(F.lit(min(1.0, max_rows / rows)), F.least(F.lit(1.0), F.lit(float(least)) / F.col("__n")))
+    chosen = own.join(F.broadcast(sizes), F.col("lang") == F.col("__lang")).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.floor(share * (1 << 30))).select("doc_id", "lang", "text")
+    sample = chosen.mapInArrow(_features, "doc_id long, lang string, f array<int>, n array<int>").toArrow()
     got = sorted(zip(*(sample.column(c).to_pylist() for c in ("doc_id", "lang")), range(sample.num_rows), strict=True), key=lambda r: ((r[0] * 0x9E3779B97F4A7C15) % (1 << 64), r[1]))
     f, n = sample.column("f").combine_chunks(), sample.column("n").combine_chunks()
     if not got:
@@ -161,6 +168,7 @@ def _predicted(batches, model):
 
 def language_id(docs: DataFrame, max_rows: int = MAX_ROWS, folds: int = FOLDS, held: int = HELD) -> DataFrame:
     """For each document doc_id, held_out, lang_pred and score (the calibrated chance of lang_pred)."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
     model = docs.sparkSession.sparkContext.broadcast(train(docs, max_rows, folds, held))
     rows = docs.select("doc_id", F.coalesce(fold(docs, folds) == held, F.lit(False)).alias("held_out"), "text")

@@ -69,3 +69,21 @@ def test_odd_rows(spark):
     assert language_id(spark.createDataFrame([], SCHEMA)).count() == 0
     unlabelled = spark.createDataFrame([(1, "abc", None, "s", 1, 1, "k")], SCHEMA)
     assert language_id(unlabelled).collect()[0].lang_pred == "und"
+
+
+def test_rare_languages_are_learned(spark):
+    """A language of one row in a hundred is in the sample, however small that is."""
+    r = random.Random(4)
+    data = rows(1500)
+    rare = [(5000 + i, " ".join("".join(r.choice(["xq", "zw", "kj"]) for _ in range(2)) for _ in range(40)), "xx", "s", 1, 1, "xx") for i in range(15)]
+    got = language_id(spark.createDataFrame(data + rare, SCHEMA), max_rows=150).collect()
+    held = [x for x in got if x.doc_id >= 5000 and x.held_out]
+    assert held and all(x.lang_pred == "xx" for x in held)
+
+
+def test_long_texts_are_counted_whole():
+    text = "aé日b" * 200_000
+    found, counts = counts_of(text)
+    assert counts.sum() == 3 * len(text) - 3
+    short, one = counts_of("aé日b" * 3)
+    assert set(short) == set(found) and len(one) == len(counts)
