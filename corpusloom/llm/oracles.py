@@ -10,4 +10,25 @@ k AS (SELECT d.doc_id, w, CASE WHEN g IS NULL THEN w ELSE list_transform(list_so
 SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - len(kept))::BIGINT AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM k
 """
 
-ORACLES = {"op1_substring_dedup": OP1}
+OP2 = """
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS x FROM documents), n AS (SELECT *, length(x) // 2 AS n FROM d),
+win AS (SELECT r, i, md5(substr(x, 2 * i + 1, 800)) AS h FROM (SELECT r, x, unnest(range(0, n - 399)) AS i FROM n WHERE n >= 400)),
+dup AS (SELECT h FROM win GROUP BY h HAVING count(*) > 1),
+hit AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 400 THEN 0 ELSE 1 END AS fresh FROM win SEMI JOIN dup USING (h)),
+run AS (SELECT r, min(i) AS a, max(i) + 400 AS b FROM (SELECT *, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS k FROM hit) GROUP BY r, k),
+cut AS (SELECT r, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b, sum(b - a) AS gone FROM run GROUP BY r),
+kept AS (SELECT doc_id, n, a, gone, CASE WHEN a IS NULL THEN x ELSE array_to_string(list_transform(range(0, len(a) + 1), lambda k: substr(x, CASE WHEN k = 0 THEN 1 ELSE 2 * b[k] + 1 END, 2 * (CASE WHEN k = len(a) THEN n ELSE a[k + 1] END - CASE WHEN k = 0 THEN 0 ELSE b[k] END))), '') END AS x FROM n LEFT JOIN cut USING (r))
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(len(a), 0)::BIGINT AS n_spans, sha256(unhex(x)) AS kept_sha256 FROM kept
+"""
+
+OP5 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+c AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT c.a, e.b FROM c JOIN e ON e.a = c.b)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM c GROUP BY a) m USING (doc_id)
+"""
+
+ORACLES = {"op1_substring_dedup": OP1, "op2_suffix_dedup": OP2, "op5_jaccard_join": OP5}
