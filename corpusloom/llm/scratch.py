@@ -26,15 +26,42 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Paths of the tables written, by application, in order.
+_written: dict[str, list[str]] = {}
+
+
+def _paths(spark: SparkSession) -> list[str]:
+    return _written.setdefault(spark.sparkContext.applicationId, [])
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it back: its lineage ends there, and an executor
-    that is lost costs only its own running tasks. The files stay until `clean`."""
+    that is lost costs only its own running tasks. The files stay until `release` or `clean`."""
     path = f"{shared_dir(df.sparkSession)}/corpusloom/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _paths(df.sparkSession).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def mark(spark: SparkSession) -> int:
+    """How many tables have been written so far, for `release`."""
+    return len(_paths(spark))
+
+
+def release(spark: SparkSession, since: int) -> None:
+    """Delete the tables written since a mark but for the last, which must not need them any more."""
+    paths = _paths(spark)
+    for path in paths[since:-1]:
+        _delete(spark, path)
+    del paths[since:-1]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def clean(spark: SparkSession) -> None:
     """Delete every intermediate table in the shared folder; call it once results are written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/corpusloom")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{shared_dir(spark)}/corpusloom")
+    _paths(spark).clear()

@@ -85,3 +85,20 @@ def test_stages(spark, made):
     whole = p.run(spark, path).collect()
     assert sorted(map(tuple, whole)) == sorted(map(tuple, out))
     assert re.fullmatch(r"[0-9a-f]{64}", whole[0].ids_sha256)
+
+
+def test_odd_rows_and_empty_tables(spark, tmp_path):
+    """Null texts, sources and ids, repeated ids and rows, no labels; then no documents at all."""
+    import corpus_pipeline as p
+
+    r = random.Random(3)
+    text = lambda: " ".join(f"w{r.randrange(5000)}" for _ in range(90))
+    shared = text()
+    rows = [(1, shared, "en", "a", 1), (1, text(), "en", "a", 1), (None, text(), None, None, None), (None, shared, "en", None, 1), (2, None, "en", "a", 1), (3, "", "en", None, 0), (4, shared, "en", "b", 1), (5, shared, "en", "b", 1), (5, shared, "en", "b", 1), (6, text(), "en", None, 1)]
+    kinds, labels = "doc_id long, text string, lang string, source string, n_chars long", "doc_id long, quality int, toxic int"
+    for name, given in (("odd", rows), ("none", [])):
+        spark.createDataFrame(given, kinds).write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame([], labels).write.parquet(str(tmp_path / name / "labels.parquet"))
+    out = p.run(spark, str(tmp_path / "odd")).collect()
+    assert {x.doc_id for x in out} <= {1, None, 6} and out
+    assert p.run(spark, str(tmp_path / "none")).count() == 0
