@@ -32,7 +32,7 @@ SCAFFOLD_CLEARANCE = (
     r"|\ball\s+scripture\s+loci\s+verified\b|\bzero\s+(?:internal\s+)?(?:verify[- ]markers?|unverified)[^.\n]{0,40}"
 )
 #: Signs of a citation: a year, a page, a chapter, a law report, a section.
-CITATION = r"\b(1[5-9]\d\d|20\d\d)\b|\bpp?\.\s*\d|\bch(?:ap)?\.\s*\w|\b\d+\s+U\.S\.\s+\d+|§\s*\d"
+CITATION = r"(?U)\b(1[5-9]\d\d|20\d\d)\b|\bpp?\.\s*\d|\bch(?:ap)?\.\s*\w|\b\d+\s+U\.S\.\s+\d+|§\s*\d"
 #: A header that is not settled, one that is, and captions that tell where an image comes from.
 UNSETTLED = r"(?i)\b(?:proposed|proposal|not (?:yet )?settled|unsettled|placeholder|tbd|tk|working title)\b"
 SETTLED, STILL_OPEN = r"(?i)(?<!not )(?<!not yet )(?<!un)settled\b", r"(?i)not (?:yet )?settled|unsettled"
