@@ -48,3 +48,23 @@ def test_written_shards(spark, tmp_path):
 
 def test_empty_table(spark):
     assert shard(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_equal_rows_are_dealt_to_many_buckets(spark, monkeypatch):
+    """A third of the rows are equal; no bucket holds much more than its share, and slots have no gaps."""
+    from pyspark.sql import functions as F
+
+    from corpusloom.llm import sharding
+
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 50)
+    rows = [(7, "the same", "en", "s", 1, 1, "k")] * 500 + [(None, None, "en", "s", 1, 1, "k")] * 20 + [(i, f"text {i}", "en", "s", 1, 1, "k") for i in range(980)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    numbered = docs.select(F.xxhash64("doc_id", "text").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).select("h", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("n"))
+    dealt, buckets = sharding._scattered(numbered, len(rows), 23)
+    assert buckets == 30 and max(r["count"] for r in dealt.groupBy("bucket").count().collect()) < 100
+    got = sharding.shard(docs).collect()
+    assert len(got) == len(rows)
+    for k in range(8):
+        slots = sorted(r.slot for r in got if r.shard == k)
+        assert slots == list(range(len(slots))) and len(slots) in (187, 188)
+    assert len({r.shard for r in got if r.doc_id == 7}) == 8
