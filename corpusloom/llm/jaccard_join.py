@@ -383,7 +383,8 @@ def jaccard_links(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, sma
     starred = starred.groupBy("a", F.col("c").alias("b")).agg(F.first("size_a").alias("size_a"), F.first("size").alias("size_b"), F.count(F.lit(1)).alias("n"))
     crowds = crowds.unionByName(hot)
     found = first.where("b IS NOT NULL").select("a", "b", "size_a", "size_b", "n").unionByName(starred)
-    bits = classes.select("c", "bits").dropDuplicates(["c"])
+    # Written once, so that joins with it read nothing but shuffles, which adaptive execution can split where a class is hot.
+    bits = cut(classes.select("c", "bits").dropDuplicates(["c"]))
     pairs = cut(_with_bits(_likely(found, crowds, percent), bits).mapInArrow(ta.released(_allowed, percent=percent), "a long, b long, size int"))
 
     # One row of each class gives its text; rows that share an id may have other texts, which their hash tells apart.
