@@ -229,3 +229,25 @@ def in_range(loci: DataFrame, verses: DataFrame, keys: list[str]) -> DataFrame:
     v = verses.select(*keys, F.col("verse").alias("__v"), F.col("text").alias("__t"))
     met = loci.join(v, keys).where(F.col("__v").between(F.col("lo"), F.col("hi")))
     return met.groupBy("locus").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__v", "__t"))), lambda x: x["__t"]), " ").alias("text"), F.count(F.lit(1)).alias("verses"))
+
+
+def page_drift(ours: DataFrame, theirs: DataFrame, key: str) -> DataFrame:
+    """FZ12: the status of each text against its live copy, from (key, header, body, fns, body_marks, fns_marks, body_anchors, fns_anchors,
+    captions: arrays of strings). Marks and anchors are compared only if both sides have as many blocks and notes, and there only
+    where the texts are equal. What differs alone names its kind; anything else is DRIFT, a missing copy UNREACHABLE."""
+    parts = ("header", "body", "fns", "body_marks", "fns_marks", "body_anchors", "fns_anchors", "captions")
+    met = ours.select(key, *parts).join(theirs.select(key, *(F.col(p).alias(f"l_{p}") for p in parts), F.lit(True).alias("__there")), key, "left")
+    same = lambda p: F.col(p).eqNullSafe(F.col(f"l_{p}"))
+    aligned = (F.size("body") == F.size("l_body")) & (F.size("fns") == F.size("l_fns"))
+
+    def unlike(part: str, of: str) -> Column:
+        rows = F.arrays_zip(F.col(of).alias("a"), F.col(f"l_{of}").alias("b"), F.col(f"{of}_{part}").alias("x"), F.col(f"l_{of}_{part}").alias("y"))
+        return aligned & F.exists(rows, lambda r: (r["a"] == r["b"]) & ~r["x"].eqNullSafe(r["y"]))
+
+    marks, anchors = (unlike(p, "body") | unlike(p, "fns") for p in ("marks", "anchors"))
+    rest, captions = same("header") & same("body") & same("fns"), ~same("captions")
+    status = (
+        F.when(F.col("__there").isNull(), "UNREACHABLE").when(rest & ~marks & ~captions & ~anchors, "MATCH").when(rest & marks & ~captions & ~anchors, "DRIFT-MARKS").when(rest & captions & ~marks & ~anchors, "DRIFT-CAPTION")
+        .when(rest & anchors & ~marks & ~captions, "DRIFT-ANCHORS").otherwise("DRIFT")
+    )
+    return met.select(key, status.alias("status"))

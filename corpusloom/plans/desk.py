@@ -417,13 +417,35 @@ def banners(spark, d):
     return docs.select("doc_id", F.sha2(once, 256).alias("sha"), (desk.without_banner(once, banner) == once).alias("settled"))
 
 
+def page_drift(spark, d):
+    """FZ12: documents against copies whose headers, texts, marks, captions or anchors differ."""
+    k = F.col("doc_id") % 9
+    lines = F.transform(F.split("text", "\n"), lambda s: F.md5(s))
+    first = lambda a, x: F.transform(a, lambda h, i: F.when(i == 0, F.lit(x)).otherwise(h))
+    base = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.array(F.coalesce("lang", F.lit(""))).alias("header"), lines.alias("body"), F.array("source").alias("fns"), lines.alias("body_marks"), F.array(F.lit("m")).alias("fns_marks"), lines.alias("body_anchors"), F.array(F.lit("a")).alias("fns_anchors"), F.array(F.lit("c")).alias("captions"))
+    live = base.where("doc_id % 9 <> 0").withColumns({
+        "header": F.when(k == 6, F.array(F.lit("other"))).otherwise(F.col("header")), "body": F.when(k == 5, first("body", "x")).when(k == 8, F.concat("body", F.array(F.lit("x")))).otherwise(F.col("body")),
+        "body_marks": F.when(k.isin(2, 5, 7, 8), first("body_marks", "x")).otherwise(F.col("body_marks")), "fns_anchors": F.when(k == 4, F.array(F.lit("b"))).otherwise(F.col("fns_anchors")), "captions": F.when(k.isin(3, 7), F.array(F.lit("d"))).otherwise(F.col("captions")),
+    })
+    return reconcile.page_drift(base, live, "doc_id")
+
+
+EDITS = {"id": "long", "src": "string", "old": "string", "new": "string"}
+EDIT_ROWS = [(1, "Some *em* and\n**bold** text.[^a]", "Some em and bold text.", "Some em or bold text!"), (2, "a [link](https://x.org) here", "a link here", "a link there"), (3, "made *for us* all", "made for us all", "made for you all"), (4, "## Head", "Head", "Head"), (5, "x *y*", "x y", "x < *y"), (6, None, "a", "b"), (7, "> q one\n> two", "q one two", "q one three")]
+
+
+def edited_blocks(spark, d):
+    """PJ27, PJ28: edits of readers' text carried into Markdown (literal rows)."""
+    return frame(spark, EDITS, EDIT_ROWS).withColumn("x", markdown.edited_source(F.col("src"), F.col("old"), F.col("new"))).select("id", "x.text", "x.note")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         tag_used_by, pieces_per_group, state_tallies, revision_detection, upper_medians, last_verses, unbacked_megabytes, newest_first, schedule_by_moment, ignored_files, outlet_policies, published_dates, canonical_debts, schedule_states,
         schedule_guards, lease_states, declared_outlets, reader_urls, live_urls, derived_urls, renames, notes_by_source, notes_by_post, same_images, unlisted_slugs, unknown_posts, preview_images, page_without_template, lost_images, lost_embeds,
         seeds, seal_verdicts, outlet_readiness, shelf_push, shelf_pull, shelf_rehash, snapshot_faults, talk_records, account_verdicts, index_times, front_matter, page_fragments, merged_fragments, placed_findings, applied_findings,
-        replaced_outside_urls, rewrapped_lines, changed_keys, tag_plans, slide_keys, banners,
+        replaced_outside_urls, rewrapped_lines, changed_keys, tag_plans, slide_keys, banners, page_drift, edited_blocks,
     )
 }
 
@@ -443,6 +465,9 @@ sh AS (SELECT DISTINCT sha AS digest FROM dc WHERE doc_id % 2 = 0)"""
 _LINES = "l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda s: md5(s)) AS b FROM documents WHERE text IS NOT NULL)"
 
 ORACLES = {
+    "page_drift": "SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'UNREACHABLE' WHEN 1 THEN 'MATCH' WHEN 2 THEN 'DRIFT-MARKS' WHEN 3 THEN 'DRIFT-CAPTION' WHEN 4 THEN 'DRIFT-ANCHORS' ELSE 'DRIFT' END AS status FROM documents WHERE text IS NOT NULL",
+    "edited_blocks": """SELECT * FROM (VALUES (1::BIGINT, 'Some *em* or' || chr(10) || '**bold** text![^a]', 'verified'), (2, 'a [link](https://x.org) there', 'verified'), (3, 'made *for you* all', 'verified'), (4, '## Head', 'no change'), (5, NULL, 'not as expected'), (6, NULL, 'not mapped'),
+(7, '> q one' || chr(10) || '> three', 'verified')) AS v(id, text, note)""",
     "tag_used_by": "SELECT o_orderstatus, o_orderpriority, string_agg(DISTINCT o_custkey::VARCHAR, ',' ORDER BY o_custkey::VARCHAR) AS used_by FROM orders GROUP BY ALL",
     "pieces_per_group": "SELECT lang, count(*) AS pieces FROM documents GROUP BY lang",
     "revision_detection": f"""WITH {_LINES}, a AS (SELECT doc_id, b, unnest([0, 1, 2, 3]) AS age FROM l),
