@@ -183,6 +183,14 @@ def rendered(docs: DataFrame, key: str) -> DataFrame:
     return out.select(key, "part", "idx", "html", "text", norm.short_digest(F.col("text")).alias("h"), "divided")
 
 
+def stray_marks(body: DataFrame) -> DataFrame:
+    """FL12: body blocks (idx, src) whose rendered text still shows asterisks that were not escaped, or that holds a single backtick beside
+    a letter, with how many asterisks there are."""
+    shown = F.regexp_count(norm.reader_text(render_block(F.col("src"))), F.lit(r"\*")) - F.regexp_count("src", F.lit(r"\\\*"))
+    ticks = F.regexp_count("src", F.lit("`"))
+    return body.withColumns({"stars": shown, "tick": (ticks % 2 == 1) & F.col("src").rlike(r"`\w|\w`")}).where("stars > 0 OR tick")
+
+
 def residual(rows: DataFrame) -> DataFrame:
     """FL7: rendered rows (html) that still hold a date of the desk or ask for verification; what an image shows is exempt."""
     seen = F.regexp_replace("html", r'\salt="[^"]*"', ' alt=""')

@@ -25,6 +25,31 @@ def three_way(base: DataFrame, draft: DataFrame, live: DataFrame, keys: list[str
     return out.select(*keys, classify(F.col("base"), F.col("draft"), F.col("live")).alias("state"), missing.alias("structure"))
 
 
+def three_way_marks(base: DataFrame, draft: DataFrame, live: DataFrame, keys: list[str]) -> DataFrame:
+    """FZ10: rows (keys, h, hm) of three states with two independent verdicts: `state` on texts, `marks` on their marks, which is
+    `unknown` where any side has none, or where texts differ and marks cannot be compared. Rows that a side lacks are left out."""
+    sides = [df.select(*keys, F.col("h").alias(name), F.col("hm").alias(f"{name}_m")) for name, df in (("base", base), ("draft", draft), ("live", live))]
+    out = sides[0].join(sides[1], keys).join(sides[2], keys)
+    marks = classify(F.col("base_m"), F.col("draft_m"), F.col("live_m"))
+    return out.select(*keys, classify(F.col("base"), F.col("draft"), F.col("live")).alias("state"), marks.alias("marks"))
+
+
+def held_states(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """JN14: manifest rows (file, digests: array) against files (file, sha256): a file is held if it begins with any of the row's
+    digests, so that a row may record a published hash and the held one; `none` if the row records no digest."""
+    out = rows.join(files.select("file", "sha256"), "file", "full")
+    said = F.filter(F.coalesce("digests", F.array().cast("array<string>")), lambda d: F.coalesce(d, F.lit("")) != "")
+    match = F.exists(said, lambda d: F.startswith("sha256", d))
+    state = F.when(F.col("sha256").isNull(), "missing").when(F.col("digests").isNull(), "unlisted").when(F.size(said) == 0, "none").when(match, "match").otherwise("mismatch")
+    return out.select("file", state.alias("state"))
+
+
+def out_of_range(rows: DataFrame, key: str, delta: str, reach: int = 1, least: int = 3, share: float = 0.6) -> DataFrame:
+    """AG7: the rows whose delta is further than `reach` from the mode of their key, of keys that agree on one."""
+    agreed = calibration(rows, key, delta, least, share).where("calibrated").select(F.col(key).alias("__k"), "mode")
+    return rows.join(agreed, F.col(key) == F.col("__k")).where(F.abs(F.col(delta) - F.col("mode")) > reach).drop("__k")
+
+
 def _aligned(pdf_key: str):
     import difflib
 

@@ -430,6 +430,34 @@ def page_drift(spark, d):
     return reconcile.page_drift(base, live, "doc_id")
 
 
+def three_way_marks(spark, d):
+    """FZ10: verdicts on texts and on marks of documents' lines."""
+    lines = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("idx", "line"))
+    side = lambda h, m: lines.select("doc_id", "idx", F.md5(F.when(F.expr(h), F.concat("line", F.lit("x"))).otherwise(F.col("line"))).alias("h"), F.when(F.expr("doc_id % 10 <> 9"), F.when(F.expr(m), F.lit("b")).otherwise("a")).alias("hm"))
+    return reconcile.three_way_marks(side("false", "false"), side("idx % 2 = 0", "idx % 3 = 0"), side("doc_id % 3 = 0", "idx % 4 = 0"), ["doc_id", "idx"])
+
+
+def held_states(spark, d):
+    """JN14: documents as files whose rows record one, several or no digests."""
+    docs = table(spark, d, "documents").where("text IS NOT NULL").select(F.concat(F.lit("f"), "doc_id").alias("file"), F.sha2("text", 256).alias("sha256"), "doc_id")
+    k = F.col("doc_id") % 5
+    digests = F.when(k == 1, F.array(F.lit("0123"), F.substring("sha256", 1, 16))).when(k == 2, F.array(F.lit("0123"))).when(k == 3, F.array(F.lit(""))).otherwise(F.array("sha256"))
+    return reconcile.held_states(docs.where("doc_id % 7 <> 0").select("file", digests.alias("digests")), docs.where("doc_id % 11 <> 0").select("file", "sha256"))
+
+
+def out_of_range(spark, d):
+    """AG7: lines of orders (page citations) that are away from their supplier's mode."""
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("source"), F.when(F.col("l_linenumber") < 6, F.col("l_suppkey") % 7).otherwise(20).cast("long").alias("delta"))
+    return reconcile.out_of_range(rows, "source", "delta").select("l_orderkey", "l_linenumber", "source", "delta", "mode")
+
+
+def stray_marks(spark, d):
+    """FL12: drafts' blocks with marks that did not render; every fifth draft gets one."""
+    docs = drafts(spark, d).withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("\n\nlone * star and \\* kept\n\na `tick"))).otherwise(F.col("text")))
+    body = markdown.body_blocks(markdown.parsed(docs, "doc_id"), "doc_id")
+    return markdown.stray_marks(body).groupBy("doc_id").agg(F.sum("stars").alias("stars"), F.count_if("tick").alias("ticks"))
+
+
 EDITS = {"id": "long", "src": "string", "old": "string", "new": "string"}
 EDIT_ROWS = [(1, "Some *em* and\n**bold** text.[^a]", "Some em and bold text.", "Some em or bold text!"), (2, "a [link](https://x.org) here", "a link here", "a link there"), (3, "made *for us* all", "made for us all", "made for you all"), (4, "## Head", "Head", "Head"), (5, "x *y*", "x y", "x < *y"), (6, None, "a", "b"), (7, "> q one\n> two", "q one two", "q one three")]
 
@@ -445,7 +473,8 @@ QUERIES = {
         tag_used_by, pieces_per_group, state_tallies, revision_detection, upper_medians, last_verses, unbacked_megabytes, newest_first, schedule_by_moment, ignored_files, outlet_policies, published_dates, canonical_debts, schedule_states,
         schedule_guards, lease_states, declared_outlets, reader_urls, live_urls, derived_urls, renames, notes_by_source, notes_by_post, same_images, unlisted_slugs, unknown_posts, preview_images, page_without_template, lost_images, lost_embeds,
         seeds, seal_verdicts, outlet_readiness, shelf_push, shelf_pull, shelf_rehash, snapshot_faults, talk_records, account_verdicts, index_times, front_matter, page_fragments, merged_fragments, placed_findings, applied_findings,
-        replaced_outside_urls, rewrapped_lines, changed_keys, tag_plans, slide_keys, banners, page_drift, edited_blocks,
+        replaced_outside_urls, rewrapped_lines, changed_keys, tag_plans, slide_keys, banners, page_drift, edited_blocks, three_way_marks,
+        held_states, out_of_range, stray_marks,
     )
 }
 
@@ -464,7 +493,18 @@ ro AS (SELECT file, CASE doc_id % 9 WHEN 2 THEN '' WHEN 3 THEN NULL WHEN 4 THEN
 sh AS (SELECT DISTINCT sha AS digest FROM dc WHERE doc_id % 2 = 0)"""
 _LINES = "l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda s: md5(s)) AS b FROM documents WHERE text IS NOT NULL)"
 
+_STATE = "CASE WHEN {b} IS NULL OR {d} IS NULL OR {l} IS NULL THEN 'unknown' WHEN {d} = {b} AND {l} = {b} THEN 'unchanged' WHEN {l} = {b} THEN 'push' WHEN {d} = {b} THEN 'pull' WHEN {d} = {l} THEN 'converged' ELSE 'conflict' END"
+
 ORACLES = {
+    "three_way_marks": f"""WITH x AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10)))))::INTEGER AS idx FROM documents WHERE text IS NOT NULL),
+y AS (SELECT *, 0 AS b, idx % 2 = 0 AS d, doc_id % 3 = 0 AS l, CASE WHEN doc_id % 10 <> 9 THEN 'a' END AS bm, CASE WHEN doc_id % 10 <> 9 THEN CASE WHEN idx % 3 = 0 THEN 'b' ELSE 'a' END END AS dm, CASE WHEN doc_id % 10 <> 9 THEN CASE WHEN idx % 4 = 0 THEN 'b' ELSE 'a' END END AS lm FROM x)
+SELECT doc_id, idx, {_STATE.format(b='b', d='d::INTEGER', l='l::INTEGER')} AS state, {_STATE.format(b='bm', d='dm', l='lm')} AS marks FROM y""",
+    "held_states": """SELECT 'f' || doc_id AS file, CASE WHEN doc_id % 11 = 0 THEN 'missing' WHEN doc_id % 7 = 0 THEN 'unlisted' WHEN doc_id % 5 = 3 THEN 'none' WHEN doc_id % 5 = 2 THEN 'mismatch' ELSE 'match' END AS state FROM documents WHERE text IS NOT NULL AND NOT (doc_id % 11 = 0 AND doc_id % 7 = 0)""",
+    "out_of_range": """WITH r AS (SELECT l_orderkey, l_linenumber, l_suppkey AS source, CASE WHEN l_linenumber < 6 THEN l_suppkey % 7 ELSE 20 END AS delta FROM lineitem),
+c AS (SELECT source, delta, count(*) AS n FROM r GROUP BY ALL), m AS (SELECT source, delta AS mode FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, delta) AS k FROM c) WHERE k = 1),
+a AS (SELECT source, mode, sum(n) AS seen, sum(n) FILTER (abs(delta - mode) <= 1) AS agree FROM c JOIN m USING (source) GROUP BY ALL)
+SELECT l_orderkey, l_linenumber, source, delta::BIGINT AS delta, mode::BIGINT AS mode FROM r JOIN a USING (source) WHERE seen >= 3 AND agree >= 0.6 * seen AND abs(delta - mode) > 1""",
+    "stray_marks": "SELECT doc_id, 1::BIGINT AS stars, 1::BIGINT AS ticks FROM documents WHERE text IS NOT NULL AND doc_id % 5 = 0",
     "page_drift": "SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'UNREACHABLE' WHEN 1 THEN 'MATCH' WHEN 2 THEN 'DRIFT-MARKS' WHEN 3 THEN 'DRIFT-CAPTION' WHEN 4 THEN 'DRIFT-ANCHORS' ELSE 'DRIFT' END AS status FROM documents WHERE text IS NOT NULL",
     "edited_blocks": """SELECT * FROM (VALUES (1::BIGINT, 'Some *em* or' || chr(10) || '**bold** text![^a]', 'verified'), (2, 'a [link](https://x.org) there', 'verified'), (3, 'made *for you* all', 'verified'), (4, '## Head', 'no change'), (5, NULL, 'not as expected'), (6, NULL, 'not mapped'),
 (7, '> q one' || chr(10) || '> three', 'verified')) AS v(id, text, note)""",
