@@ -211,6 +211,16 @@ def note_state(skip: Column, posted: Column, drafted: Column) -> Column:
     return F.when(skip, "skip").when(posted, "posted").when(drafted, "drafted").otherwise("missing")
 
 
+def notes_backlog(notes: DataFrame, today: Column) -> DataFrame:
+    """TM8: (slug, state, place, done_today) of notes (slug, published_at, posted_at, drafted, skip): what is missing has a place in the
+    backlog, oldest first; done today is what was posted today of a piece of another day."""
+    state = note_state(F.coalesce("skip", F.lit(False)), F.col("posted_at").isNotNull(), F.coalesce("drafted", F.lit(False)))
+    rows = notes.withColumn("state", state)
+    missing = rows.where("state = 'missing'").withColumn("place", F.row_number().over(Window.orderBy(F.col("published_at").asc_nulls_last(), "slug"))).select("slug", "place")
+    done = (F.col("posted_at") == today) & ~F.col("published_at").eqNullSafe(today)
+    return rows.join(missing, "slug", "left").select("slug", "state", "place", F.coalesce(done, F.lit(False)).alias("done_today"))
+
+
 def gaps(rows: DataFrame, key: str, number: str) -> DataFrame:
     """FL17, WN5: where a key's numbers do not go up by one: (key, after, next)."""
     following = F.lead(number).over(Window.partitionBy(key).orderBy(number))

@@ -152,6 +152,18 @@ def slides(docs: DataFrame, key: str) -> DataFrame:
     return lines.where("slide_no > 0").groupBy(key, "slide_no").agg(F.first("kind", True).alias("kind"), F.first("title", True).alias("title"), listed(on).alias("on"), listed(said).alias("notes"), listed(drawn).alias("design"))
 
 
+def section_words(slides_: DataFrame, budget: DataFrame, key: str, rate: int = 130) -> DataFrame:
+    """AG9: spoken words of each section of a deck (rows of slides()), the minutes that they take, and its budget (number, minutes) by the
+    numeral that its title begins with, roman or arabic; no budget where the title has none."""
+    spoken = F.aggregate(F.transform("notes", lambda n: F.size(F.filter(F.split(n, r"\s+"), lambda w: w != ""))), F.lit(0), lambda a, b: a + b)
+    rows = slides_.withColumn("words", spoken).withColumn("section", F.last(F.when(F.col("kind") == "section", F.col("title")), ignorenulls=True).over(Window.partitionBy(key).orderBy("slide_no")))
+    sums = rows.where("section IS NOT NULL").groupBy(key, "section").agg(F.min("slide_no").alias("slide_no"), F.sum("words").alias("words"))
+    numeral = F.regexp_extract("section", r"\A(\d+|[IVXLCDM]+)\b", 1)
+    number = F.when(numeral.rlike(r"\A\d+\z"), numeral.try_cast("int")).otherwise(norm.roman(numeral))
+    out = sums.withColumn("number", number).join(budget.select("number", F.col("minutes").alias("budget")), "number", "left")
+    return out.select(key, "slide_no", "section", "words", F.round(F.col("words") / rate, 4).alias("minutes"), "budget", F.coalesce(F.col("words") / rate > F.col("budget"), F.lit(False)).alias("over"))
+
+
 def rule_hits(docs: DataFrame, key: str, rules: dict[str, str], suppress_at: int | None = None) -> DataFrame:
     """FL4: sentences that match rules, with counts; a rule is a document's own habit, and not reported, if it matches there
     `suppress_at` times or more. Rules are literal patterns, so each is compiled once."""

@@ -4,7 +4,7 @@ in another role; small ones are literal rows."""
 from pyspark.sql import functions as F
 
 from corpusloom.functions import norm
-from corpusloom.operators import desk, markdown, reconcile
+from corpusloom.operators import desk, markdown, reconcile, text
 from corpusloom.plans.drafts import NOTES, RENDERED, collapse, drafts
 from corpusloom.plans.literals import frame, values
 from corpusloom.plans.oracles import ORACLES as CORE
@@ -458,6 +458,30 @@ def stray_marks(spark, d):
     return markdown.stray_marks(body).groupBy("doc_id").agg(F.sum("stars").alias("stars"), F.count_if("tick").alias("ticks"))
 
 
+def backlog_places(spark, d):
+    """TM8: the backlog of notes, oldest first (orders stand in)."""
+    o = table(spark, d, "orders")
+    k, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    notes = o.select(k.alias("slug"), day.alias("published_at"), F.when(F.col("o_orderstatus") == "F", F.date_add(day, F.pmod(k, F.lit(3)).cast("int"))).alias("posted_at"), (F.col("o_orderpriority") == "1-URGENT").alias("drafted"), (k % 7 == 0).alias("skip"))
+    return reconcile.notes_backlog(notes, F.lit("1996-01-02").cast("date"))
+
+
+DECKS = {"id": "long", "text": "string"}
+DECK_ROWS = [(1, "dropped\n## I. The start\none two three\n- on screen\n<!-- slide: a -->\nfour five\n## 2 Next\n<!-- design: big -->\nsix\n## No numeral\nseven eight"), (2, "## III\n" + "word " * 300), (3, None), (4, "no section")]
+
+
+def section_minutes(spark, d):
+    """AG9, PJ12: words of a deck's sections against their budget (literal rows)."""
+    budget = spark.createDataFrame([(1, 1.0), (2, 0.001), (3, 2.0)], "number int, minutes double")
+    return text.section_words(text.slides(frame(spark, DECKS, DECK_ROWS), "id"), budget, "id").select("id", "section", "words", "budget", "over")
+
+
+def deck_slides(spark, d):
+    """PJ12: sections and slides of decks with what is shown, said and drawn (literal rows)."""
+    s = text.slides(frame(spark, DECKS, DECK_ROWS), "id")
+    return s.select("id", "slide_no", "kind", "title", F.array_join("on", "|").alias("on"), F.array_join("notes", "|").alias("notes"), F.array_join("design", "|").alias("design"))
+
+
 EDITS = {"id": "long", "src": "string", "old": "string", "new": "string"}
 EDIT_ROWS = [(1, "Some *em* and\n**bold** text.[^a]", "Some em and bold text.", "Some em or bold text!"), (2, "a [link](https://x.org) here", "a link here", "a link there"), (3, "made *for us* all", "made for us all", "made for you all"), (4, "## Head", "Head", "Head"), (5, "x *y*", "x y", "x < *y"), (6, None, "a", "b"), (7, "> q one\n> two", "q one two", "q one three")]
 
@@ -474,7 +498,7 @@ QUERIES = {
         schedule_guards, lease_states, declared_outlets, reader_urls, live_urls, derived_urls, renames, notes_by_source, notes_by_post, same_images, unlisted_slugs, unknown_posts, preview_images, page_without_template, lost_images, lost_embeds,
         seeds, seal_verdicts, outlet_readiness, shelf_push, shelf_pull, shelf_rehash, snapshot_faults, talk_records, account_verdicts, index_times, front_matter, page_fragments, merged_fragments, placed_findings, applied_findings,
         replaced_outside_urls, rewrapped_lines, changed_keys, tag_plans, slide_keys, banners, page_drift, edited_blocks, three_way_marks,
-        held_states, out_of_range, stray_marks,
+        held_states, out_of_range, stray_marks, backlog_places, section_minutes, deck_slides,
     )
 }
 
@@ -496,6 +520,10 @@ _LINES = "l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambd
 _STATE = "CASE WHEN {b} IS NULL OR {d} IS NULL OR {l} IS NULL THEN 'unknown' WHEN {d} = {b} AND {l} = {b} THEN 'unchanged' WHEN {l} = {b} THEN 'push' WHEN {d} = {b} THEN 'pull' WHEN {d} = {l} THEN 'converged' ELSE 'conflict' END"
 
 ORACLES = {
+    "backlog_places": """WITH n AS (SELECT o_orderkey AS slug, o_orderdate::DATE AS day, CASE WHEN o_orderstatus = 'F' THEN o_orderdate::DATE + (o_orderkey % 3)::INTEGER END AS posted, CASE WHEN o_orderkey % 7 = 0 THEN 'skip' WHEN o_orderstatus = 'F' THEN 'posted' WHEN o_orderpriority = '1-URGENT' THEN 'drafted' ELSE 'missing' END AS state FROM orders)
+SELECT slug, state, CASE WHEN state = 'missing' THEN row_number() OVER (PARTITION BY state ORDER BY day, slug) END::INTEGER AS place, coalesce(posted = DATE '1996-01-02' AND day <> DATE '1996-01-02', false) AS done_today FROM n""",
+    "section_minutes": "SELECT * FROM (VALUES (1::BIGINT, 'I. The start', 5::BIGINT, 1.0::DOUBLE, false), (1, '2 Next', 1, 0.001, true), (1, 'No numeral', 2, NULL, false), (2, 'III', 300, 2.0, true)) AS v(id, section, words, budget, over)",
+    "deck_slides": f"SELECT * FROM (VALUES (1::BIGINT, 1::BIGINT, 'section', 'I. The start', '- on screen', 'one two three', ''), (1, 2, 'slide', 'a', '', 'four five', ''), (1, 3, 'section', '2 Next', '', 'six', 'big'), (1, 4, 'section', 'No numeral', '', 'seven eight', ''), (2, 1, 'section', 'III', '', '{'word ' * 300}', '')) AS v(id, slide_no, kind, title, \"on\", notes, design)",
     "three_way_marks": f"""WITH x AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10)))))::INTEGER AS idx FROM documents WHERE text IS NOT NULL),
 y AS (SELECT *, 0 AS b, idx % 2 = 0 AS d, doc_id % 3 = 0 AS l, CASE WHEN doc_id % 10 <> 9 THEN 'a' END AS bm, CASE WHEN doc_id % 10 <> 9 THEN CASE WHEN idx % 3 = 0 THEN 'b' ELSE 'a' END END AS dm, CASE WHEN doc_id % 10 <> 9 THEN CASE WHEN idx % 4 = 0 THEN 'b' ELSE 'a' END END AS lm FROM x)
 SELECT doc_id, idx, {_STATE.format(b='b', d='d::INTEGER', l='l::INTEGER')} AS state, {_STATE.format(b='bm', d='dm', l='lm')} AS marks FROM y""",
