@@ -42,8 +42,8 @@ PIECE_WORDS = 400
 BUCKET_BYTES = 8 << 20
 #: Documents with the same least recurring gram that stay together, about.
 CROWD = 512
-#: Passages times buckets of a gram, above which it does not send all of them to all.
-FAN_OUT = 4096
+#: Passages times buckets of a gram, above which it does not send all of them to all: some hundred megabytes of passages.
+FAN_OUT = 1 << 15
 SMALLEST = -(1 << 63)
 PARTS = re.compile(rb"[^ \t-\r]+[ \t-\r]*")
 
