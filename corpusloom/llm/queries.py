@@ -84,4 +84,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_suffix_dedup, op3_quality_rules, op4_url_filter, op5_jaccard_join, op6_spot_signatures, op7_prefix_bpe, op8_mixing, op9_sharding, op10_language_id)}
+def op11_token_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of a byte-level BPE and of a piece BPE line up in each document, and how often linked ids are linked at all."""
+    import public_tokenizers
+
+    from corpusloom.llm.token_links import token_links
+
+    return token_links(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_suffix_dedup, op3_quality_rules, op4_url_filter, op5_jaccard_join, op6_spot_signatures, op7_prefix_bpe, op8_mixing, op9_sharding, op10_language_id, op11_token_links)}

@@ -1,6 +1,6 @@
 """Intermediate tables in the folder that the cluster shares (spark.checkpoint.dir)."""
 
-import tempfile
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,12 +18,9 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a folder of its own only where that is unset, as in tests."""
+    """The session's spark.checkpoint.dir, or else a folder in the warehouse, which executors share as well."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    return found or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
 
 
 #: Paths of the tables written, by application, in order.
@@ -61,6 +58,13 @@ def _delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def settle(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of what has ended: it does so once the driver's collector finds them unused, which
+    a driver with little garbage of its own may put off until disks are full."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def clean(spark: SparkSession) -> None:
     """Delete every intermediate table in the shared folder; call it once results are written."""
     _delete(spark, f"{shared_dir(spark)}/corpusloom")
