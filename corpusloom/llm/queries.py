@@ -93,4 +93,11 @@ def op11_token_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_links(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_suffix_dedup, op3_quality_rules, op4_url_filter, op5_jaccard_join, op6_spot_signatures, op7_prefix_bpe, op8_mixing, op9_sharding, op10_language_id, op11_token_links)}
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of secrets in each document: patterns, and strings that tests can't tell from random ones."""
+    from corpusloom.llm.secret_scan import secret_scan
+
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_suffix_dedup, op3_quality_rules, op4_url_filter, op5_jaccard_join, op6_spot_signatures, op7_prefix_bpe, op8_mixing, op9_sharding, op10_language_id, op11_token_links, op12_secret_scan)}
