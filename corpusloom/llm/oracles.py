@@ -31,4 +31,23 @@ c AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT c.a, e.b FROM
 SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM c GROUP BY a) m USING (doc_id)
 """
 
-ORACLES = {"op1_substring_dedup": OP1, "op2_suffix_dedup": OP2, "op5_jaccard_join": OP5}
+
+
+def _round(k: int) -> str:
+    """CTEs for one round: a<k> assigns every part to its nearest entry of c<k>, c<k + 1> has the moved entries."""
+    return f"""
+a{k} AS (SELECT r, p, arg_min(k, d * 16 + k) AS k, min(d) AS d FROM (SELECT r, p, c.k, sum((x.x - c.x) * (x.x - c.x)) AS d FROM x JOIN c{k} c USING (p, j) GROUP BY r, p, c.k) GROUP BY r, p),
+s{k} AS (SELECT p, k, j, sum(x) AS s, count(*) AS n FROM x JOIN a{k} USING (r, p) GROUP BY p, k, j),
+c{k + 1} AS (SELECT p, k, j, CASE WHEN n IS NULL THEN x ELSE ((s - ((s % n) + n) % n) // n)::BIGINT END AS x FROM c{k} LEFT JOIN s{k} USING (p, k, j)),"""
+
+
+OP13 = f"""
+WITH v AS (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label, embedding AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+x AS (SELECT r, i // (len(e) // 8) AS p, i % (len(e) // 8) AS j, floor(4096 * e[i + 1]::DOUBLE)::BIGINT AS x FROM (SELECT r, e, unnest(range(0, len(e))) AS i FROM v)),
+c0 AS (SELECT p, r - 1 AS k, j, x FROM x WHERE r <= 16),{"".join(map(_round, range(7)))}
+b AS (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY p, k, j)) AS codebooks_sha256 FROM c6),
+f AS (SELECT r, string_agg(printf('%02x', k), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a6 GROUP BY r)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM f JOIN v USING (r), b
+"""
+
+ORACLES = {"op1_substring_dedup": OP1, "op2_suffix_dedup": OP2, "op5_jaccard_join": OP5, "op13_vector_codes": OP13}

@@ -100,4 +100,11 @@ def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_suffix_dedup, op3_quality_rules, op4_url_filter, op5_jaccard_join, op6_spot_signatures, op7_prefix_bpe, op8_mixing, op9_sharding, op10_language_id, op11_token_links, op12_secret_scan)}
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each embedding's code by codebooks of sixteen entries for each of eight parts, fitted in six rounds."""
+    from corpusloom.llm.vector_codes import vector_codes
+
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_suffix_dedup, op3_quality_rules, op4_url_filter, op5_jaccard_join, op6_spot_signatures, op7_prefix_bpe, op8_mixing, op9_sharding, op10_language_id, op11_token_links, op12_secret_scan, op13_vector_codes)}
