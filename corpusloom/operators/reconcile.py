@@ -50,40 +50,6 @@ def out_of_range(rows: DataFrame, key: str, delta: str, reach: int = 1, least: i
     return rows.join(agreed, F.col(key) == F.col("__k")).where(F.abs(F.col(delta) - F.col("mode")) > reach).drop("__k")
 
 
-def _aligned(pdf_key: str):
-    import difflib
-
-    import pandas as pd
-
-    def run(pdf: "pd.DataFrame") -> "pd.DataFrame":
-        rows = []
-        for r in pdf.itertuples(index=False):
-            a, b = list(r.base), list(r.side)
-            for op, i1, i2, j1, j2 in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes() if a != b else [("equal", 0, len(a), 0, len(b))]:
-                if op == "equal" or op == "replace" and i2 - i1 == j2 - j1:
-                    rows += [(getattr(r, pdf_key), i, j, "equal" if op == "equal" else "changed") for i, j in zip(range(i1, i2), range(j1, j2), strict=True)]
-                else:
-                    rows += [(getattr(r, pdf_key), i, None, "removed") for i in range(i1, i2)] + [(getattr(r, pdf_key), None, j, "added") for j in range(j1, j2)]
-        return pd.DataFrame(rows, columns=[pdf_key, "base_idx", "side_idx", "op"])
-
-    return run
-
-
-def align(docs: DataFrame, key: str) -> DataFrame:
-    """FZ9: of (key, base, side: arrays of digests) the pairs of rows that stand for each other. Ratcliff-Obershelp matching
-    needs a library, so batches go through Arrow; no shuffle, and equal sides are not compared."""
-    kind = dict(docs.dtypes)[key]
-    run = _aligned(key)
-
-    def batches(it):
-        for pdf in it:
-            out = run(pdf)
-            out["base_idx"], out["side_idx"] = out["base_idx"].astype("Int32"), out["side_idx"].astype("Int32")
-            yield out
-
-    return docs.select(key, "base", "side").mapInPandas(batches, f"{key} {kind}, base_idx int, side_idx int, op string")
-
-
 def drift(ours: DataFrame, theirs: DataFrame, key: str) -> DataFrame:
     """FZ12: of (key, h, marks) the status of each document; marks are compared only where texts agree."""
     out = ours.select(key, F.col("h").alias("h1"), F.col("marks").alias("m1")).join(theirs.select(key, F.col("h").alias("h2"), F.col("marks").alias("m2")), key, "left")

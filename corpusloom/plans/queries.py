@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import norm
-from corpusloom.operators import checks, html, reconcile, text
+from corpusloom.operators import alignment, checks, html, reconcile, text
 from corpusloom.operators.quotes import quote_verdicts as verdicts
 
 
@@ -200,7 +200,7 @@ def aligned_lines(spark, d):
     lines = F.transform(F.split("text", "\n"), lambda s: F.xxhash64(s))
     docs = table(spark, d, "documents").select("doc_id", lines.alias("base"))
     docs = docs.withColumn("side", F.concat(F.slice("base", 2, 1000000), F.array(F.col("doc_id"))))
-    return reconcile.align(docs, "doc_id").groupBy("doc_id", "op").agg(F.count(F.lit(1)).alias("n"))
+    return alignment.align(docs, "doc_id").groupBy("doc_id", "op").agg(F.count(F.lit(1)).alias("n"))
 
 
 NOW = "2024-03-01 00:00:00"
@@ -308,8 +308,13 @@ def gate_summary(spark, d):
 
 
 def quote_verdicts(spark, d):
-    """FZ2: verdicts of benchmark items in whole, as runs of 12 words, the last of up to 23, against documents (no SQL)."""
-    return verdicts(_runs_of_items(spark, d, 12), _streams(spark, d), "doc_id")
+    """FZ2 to FZ5: verdicts of benchmark items in whole, as runs of 12 words, the last of up to 23, against documents: as they are, with
+    their halves swapped, with words left out, or with another word."""
+    w, no = F.split("span", " "), F.split("span_id", ":")[1].cast("int") % 5
+    join = lambda *parts: F.array_join(F.concat(*parts), " ")
+    rest = lambda k: F.slice(w, k, F.lit(99))
+    spans = _runs_of_items(spark, d, 12).withColumn("span", F.when(no == 1, F.concat(join(rest(7)), F.lit(" … "), join(F.slice(w, 1, 6)))).when(no == 2, join(F.slice(w, 1, 5), rest(9))).when(no == 3, join(F.slice(w, 1, 5), F.array(F.lit("another")), rest(7))).otherwise(F.col("span")))
+    return verdicts(spans, _streams(spark, d), "doc_id")
 
 
 def links_extract(spark, d):

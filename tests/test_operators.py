@@ -1,8 +1,11 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import norm
-from corpusloom.operators import markdown, quotes, reconcile, text
+from corpusloom.operators import alignment, markdown, quotes, reconcile, text
 
 
 def one(spark, value, column):
@@ -50,41 +53,95 @@ def test_three_way(spark):
 
 def test_align_insert(spark):
     docs = spark.createDataFrame([(1, ["A", "B", "C"], ["A", "B", "X", "C"]), (2, ["A"], ["A"])], "k long, base array<string>, side array<string>")
-    got = sorted(((r.k, r.base_idx, r.side_idx, r.op) for r in reconcile.align(docs, "k").collect()), key=str)
+    got = sorted(((r.k, r.base_idx, r.side_idx, r.op) for r in alignment.align(docs, "k").collect()), key=str)
     assert got == sorted([(1, 0, 0, "equal"), (1, 1, 1, "equal"), (1, None, 2, "added"), (1, 2, 3, "equal"), (2, 0, 0, "equal")], key=str)
 
 
-def test_quotation_verdicts():
+def verdict(span, stream):
+    """The verdict by its definition: all runs of a fragment's words, all gaps."""
+    parts = [" ".join(p.split()) for p in span.split("…") if p.split()]
+    at, lost = 0, None
+    for part in parts:
+        if (found := stream.find(part, at)) < 0:
+            lost = part
+            break
+        at = found + len(part)
+    if lost is None:
+        return ("MATCH", sum(len(p.split()) for p in parts), 1.0) if parts else None
+    words, bare = lost.split(), lost.replace(" ", "")
+    junk = lambda t: len(t.split()) >= 12 and sum(len(w) <= 2 or not re.fullmatch("[a-z']+", w) for w in t.split()) > 0.35 * len(t.split())
+    plain = re.sub(r"\s+", " ", re.sub(r"(?<= )\d{1,4}(?= )", " ", stream))
+    if lost not in stream and (bare in stream.replace(" ", "") or lost in plain):
+        return "MATCH", len(words), 1.0
+    runs = [(j - i, -i) for i in range(len(words)) for j in range(i + 4, len(words) + 1) if " ".join(words[i:j]) in stream]
+    if not runs:
+        return None
+    run, start = max(runs)
+    if lost in stream:
+        return "OUT OF ORDER", run, 1.0
+    at = stream.index(" ".join(words[-start : run - start]))
+    window, gaps, to = f" {stream[max(0, at - 300) : at + len(lost) + 700]} ", [], 0
+    for w in words:
+        found = window.find(f" {w} ", to)
+        if found < 0:
+            gaps = []
+            break
+        gaps += [window[to:found].strip()] if to and window[to:found].strip() else []
+        to = found + len(w) + 1
+    if gaps and sum(map(len, gaps)) <= 400:
+        return "MATCH" if all(junk(g) or len(g.split()) <= 2 for g in gaps) else "UNMARKED ELISION", run, 1.0
+    near = stream[max(0, at - 300) : at + 3 * len(lost) + 300]
+    share = len({w for w in words if f" {w} " in f" {near} "}) / len(words)
+    return (("SOURCE ILLEGIBLE HERE" if junk(near) else "DRIFT"), run, share) if share >= 0.6 else None
+
+
+def best_verdicts(spans, streams):
+    """Each span's best by status, score and run; the source by its number."""
+    rank = ("MATCH", "UNMARKED ELISION", "OUT OF ORDER", "DRIFT", "SOURCE ILLEGIBLE HERE").index
+    out = {}
+    for i, span in enumerate(spans):
+        found = [(rank(v[0]), -v[2], -v[1], k, v[0]) for k, s in enumerate(streams) if s is not None and (v := verdict(span or "", s))]
+        out[i] = (min(found)[4], min(found)[3], -min(found)[2]) if found else ("NO OVERLAP", None, None)
+    return out
+
+
+def found_verdicts(spark, spans, streams):
+    rows = quotes.quote_verdicts(spark.createDataFrame(list(enumerate(spans)), "span_id int, span string"), spark.createDataFrame(list(enumerate(streams)), "id int, stream string"), "id").collect()
+    return {r.span_id: (r.status, r.source, r.run) for r in rows}
+
+
+def test_quotation_verdicts(spark):
     stream = "in the beginning was the word and the word was with god and the word was god the same was in the beginning"
-    assert quotes.verdict("the word was with god", stream)[0] == "MATCH"
-    assert quotes.verdict("in the beginning was a word that nobody wrote down", stream)[0] == "NO OVERLAP"
-    assert quotes.verdict("in the beginning was the word and some word was", stream)[0] == "DRIFT"
-    assert quotes.verdict("in the beginning was the word was god the same", stream)[0] == "UNMARKED ELISION"
-    assert quotes.verdict("", stream)[0] == "NO OVERLAP"
-    assert quotes.longest_run(["was", "with", "god", "xx"], stream)[0] == 3
-
-
-def test_quotation_fragments_and_damaged_sources():
     said = "awake from your slumber before it is too late for the sleeper"
-    v = lambda span, stream: quotes.verdict(span, stream)[0]
-    assert v("awake from your slumber before that is too late for all", f"one two {said} three") == "DRIFT"
-    assert v("awake from your … too late for the", said) == "MATCH"
-    assert v("too late for the … awake from your slumber", said) == "OUT OF ORDER"
-    assert v("awake from your slumber before it", "awake from your 123 slumber before it") == "MATCH"
-    assert v("awake from your slumber before it", "awa ke from yo ur slumber before it") == "MATCH"
     salad = " ".join(f"x{i} q" for i in range(10))
-    assert v(said, said.replace("it is", f"it {salad} is")) == "MATCH"
-    assert v(said.replace("sleeper", "dreamer"), f"{salad} {said} {salad}") == "SOURCE ILLEGIBLE HERE"
-    assert v(said, said.replace("it is", f"it {'word ' * 90}is")) != "UNMARKED ELISION"
+    cases = [  # span, stream, status
+        ("the word was with god", stream, "MATCH"), ("in the beginning was a word that nobody wrote down", stream, "NO OVERLAP"), ("in the beginning was the word and some word was", stream, "DRIFT"),
+        ("in the beginning was the word was god the same", stream, "UNMARKED ELISION"), ("", stream, "NO OVERLAP"), (None, stream, "NO OVERLAP"),
+        ("awake from your slumber before that is too late for all", f"one two {said} three", "DRIFT"), ("awake from your … too late for the", said, "MATCH"), ("too late for the … awake from your slumber", said, "OUT OF ORDER"),
+        ("awake from your slumber before it", "awake from your 123 slumber before it", "MATCH"), ("awake from your slumber before it", "awa ke from yo ur slumber before it", "MATCH"),
+        (said, said.replace("it is", f"it {salad} is"), "MATCH"), (said.replace("sleeper", "dreamer"), f"{salad} {said} {salad}", "SOURCE ILLEGIBLE HERE"), (said, said.replace("it is", f"it {'word ' * 90}is"), "NO OVERLAP"),
+    ]
+    for span, held, status in cases:
+        assert best_verdicts([span], [held])[0][0] == status, span
+    # The same with all streams at once, which share words and copies of each other.
+    spans, streams = [c[0] for c in cases], sorted({c[1] for c in cases}) + [None, ""]
+    assert found_verdicts(spark, spans, streams) == best_verdicts(spans, streams)
 
 
 def test_candidates_lose_no_pair(spark):
     streams = ["a a a a a a", "in the beginning was the word", "inthebeg inning wast he wo rd", "he said it 12 was 7 so 9 and 3 then 44 he 5 went home", "art of warfare"]
     spans = ["a a a a a", "word", "the word", "in the beginning was the word", "he said it was so and then he went home", "rt of war", "xart of war then", "none of it", "a", "was the … in the beginning"]
-    got = quotes.quote_verdicts(spark.createDataFrame(list(enumerate(spans)), "span_id int, span string"), spark.createDataFrame(list(enumerate(streams)), "id int, stream string"), "id").collect()
-    rank = quotes.best_source.__globals__["RANKS"].index
-    assert {r.span_id: r.status for r in got} == {i: min((quotes.verdict(s, t)[0] for t in streams), key=rank) for i, s in enumerate(spans)}
-    assert {r.span_id for r in got if r.status == "MATCH"} >= {0, 1, 2, 3, 4, 5, 8}
+    got = found_verdicts(spark, spans, streams)
+    assert got == best_verdicts(spans, streams) and {i for i, r in got.items() if r[0] == "MATCH"} >= {0, 1, 2, 3, 4, 5, 8}
+
+
+def test_verdicts_on_random_texts(spark):
+    """Few words, so that runs tie, overlap and end within words."""
+    r = random.Random(3)
+    words = ["a", "an", "and", "sand", "the", "then", "he", "12", "long", "longer"]
+    streams = [" ".join(r.choice(words) for _ in range(r.randint(1, 60))) for _ in range(25)]
+    spans = [" ".join(r.choice(words + ["…"] * 1) for _ in range(r.randint(1, 14))) for _ in range(60)]
+    assert found_verdicts(spark, spans, streams) == best_verdicts(spans, streams)
 
 
 def test_footnotes_slides_blocks(spark):
