@@ -3,7 +3,6 @@
 import re
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,37 +92,53 @@ def overlap(span: Column, canon: Column) -> Column:
     return let(F.struct(words.alias("w"), F.coalesce(canon, F.lit("")).alias("c")), lambda x: of(x["w"], x["c"]))
 
 
-def _plain(text: str) -> str:
-    import unicodedata
+#: What a quotation has in brackets stands for up to so many characters of the source.
+DISCLOSED = r"[\w' ]{0,24}"
 
-    text = unicodedata.normalize("NFKD", text).translate({0x2019: "'", 0x2018: "'", 0x201C: '"', 0x201D: '"'}).replace("[", "").replace("]", "")
-    return " ".join(re.sub(r"[^a-z0-9' ]+", " ", text.lower()).split())
 
+def _folded(text: Column) -> Column:
+    """Decomposed, with straight quotes: what comes before a text is cut into fragments."""
+    return norm.flat_quotes(norm.decomposed(norm.flat_quotes(text), keep_marks=True))
 
-def match_one(quote: str | None, canon: str | None) -> tuple[bool, str]:
-    """FZ6: whether a quotation's fragments follow each other in a normalized text. What the quotation has in brackets is disclosed
-    as not the source's and stands for up to 24 characters. Where it fails: the words up to the divergence, or `not found`."""
-    quote, canon = quote or "", canon or ""
-    at, parts = 0, [p for p in re.split(ELLIPSIS, quote) if _plain(p)]
-    for part in parts:
-        pieces = ["[\\w' ]{0,24}" if i % 2 else re.escape(_plain(x)).replace("\\ ", " ") for i, x in enumerate(re.split(r"(\[[^\]]*\])", part))]
-        found = re.compile(r"\s*".join(p for p in pieces if p)).search(canon, at)
-        if found is None:
-            words = _plain(part).split()
-            held = next((n for n in range(len(words), 2, -1) if " ".join(words[:n]) in canon), 0)
-            return (False, f"diverges after {' '.join(words[max(0, held - 6) : held])}" if held else "not found")
-        at = found.end()
-    return True, "whole" if len(parts) == 1 and _plain(quote) == canon else f"{len(parts)} in order"
+
+def _plain(text: Column) -> Column:
+    """N6 of a folded text."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.translate(text, "[]", "")), "[^a-z0-9' ]+", " "), " +", " "))
+
+
+def fragment_pattern(part: Column) -> Column:
+    """A fragment as a pattern: its words, and what it has in brackets as disclosed characters, with or without spaces between."""
+    pieces = F.split(F.regexp_replace(part, r"\[[^\]]*\]", "\x01"), "\x01")
+    listed = F.transform(pieces, lambda p, i: F.array(F.when(i > 0, DISCLOSED), F.when(_plain(p) != "", _plain(p))))
+    return F.array_join(F.array_compact(F.flatten(listed)), r"\s*")
 
 
 def match(quote: Column, canon: Column) -> Column:
-    """FZ6 as (ok, detail), in Arrow batches: the patterns are made of the rows."""
+    """FZ6 as (ok, detail): whether a quotation's fragments follow each other in a normalized text, by a fold over them. Where one is not
+    found: up to six words before the divergence, or `not found`. Nulls are empty texts."""
+
+    def of(x: Column) -> Column:
+        parts = F.filter(F.split(x["q"], ELLIPSIS), lambda p: _plain(p) != "")
+
+        def step(done: Column, part: Column) -> Column:
+            rest = F.substring(x["c"], done["at"] + 1, F.length(x["c"]))
+            at = F.regexp_instr(rest, fragment_pattern(part))
+            size = F.length(F.call_function("regexp_extract", rest, fragment_pattern(part), F.lit(0)))
+            return F.when(done["lost"].isNotNull(), done).when(at == 0, F.struct(done["at"].alias("at"), part.alias("lost"))).otherwise(F.struct((done["at"] + at - 1 + size).alias("at"), done["lost"].alias("lost")))
+
+        lost = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.lit(None).cast("string").alias("lost")), step, lambda done: done["lost"])
+
+        def said(y: Column) -> Column:
+            words = F.split(_plain(y["lost"]), " ")
+            held = F.get(F.filter(F.reverse(F.sequence(F.lit(0), F.size(words))), lambda n: (n > 2) & F.contains(x["c"], F.array_join(F.slice(words, F.lit(1), n), " "))), F.lit(0))
+            start = F.greatest(held - 6, F.lit(0))
+            diverges = F.when(held.isNotNull(), F.concat(F.lit("diverges after "), F.array_join(F.slice(words, start + 1, held - start), " "))).otherwise("not found")
+            whole = F.when((F.size(parts) == 1) & (_plain(x["q"]) == x["c"]), "whole").otherwise(F.concat(F.size(parts).cast("string"), F.lit(" in order")))
+            return F.struct(y["lost"].isNull().alias("ok"), F.when(y["lost"].isNull(), whole).otherwise(diverges).alias("detail"))
 
-    @F.pandas_udf("ok boolean, detail string")
-    def run(quotes: pd.Series, canons: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([match_one(q, c) for q, c in zip(quotes, canons, strict=True)], columns=["ok", "detail"])
+        return let(F.struct(lost.alias("lost")), said)
 
-    return run(quote, canon)
+    return let(F.struct(F.coalesce(_folded(quote), F.lit("")).alias("q"), F.coalesce(canon, F.lit("")).alias("c")), of)
 
 
 def locus_verdicts(spans: DataFrame, found: DataFrame, verses: DataFrame, key: str, reach: int = 4) -> DataFrame:
@@ -151,11 +166,16 @@ def locus_verdicts(spans: DataFrame, found: DataFrame, verses: DataFrame, key: s
     composite = tried.groupBy(key, "no", "s").agg(F.bool_or("ok").alias("ok")).groupBy(key, "no").agg((F.every("ok") & (F.count(F.lit(1)) > 1)).alias("composite"))
 
     # Ranges around the locus, in the order in which they are tried; every verse between must be there.
-    ranges = open_.select(key, "no", "span", "section", "chapter", "verse", F.explode(F.sequence(F.col("verse"), F.greatest(F.col("verse") - reach, F.lit(0)), F.lit(-1))).alias("lo"))
-    ranges = ranges.select("*", F.explode(F.sequence(F.col("verse"), F.col("verse") + reach)).alias("to")).where("NOT (lo = verse AND to = verse)")
-    held = ranges.join(verses.select("section", "chapter", F.col("verse").alias("__v"), F.col("text").alias("__t")), ["section", "chapter"]).where("__v BETWEEN lo AND to")
-    held = held.groupBy(key, "no", "span", "section", "chapter", "verse", "lo", "to").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__v", "__t"))), lambda v: v["__t"]), " ").alias("joined"), F.min("__v").alias("a"), F.max("__v").alias("b"))
-    held = held.where("a = lo AND b = to").where(match(F.col("span"), norm.verse_text(F.col("joined")))["ok"])
+    # A locus' verses are fetched once, by their buckets, and its ranges are parts of them.
+    near = open_.select("section", "chapter", "verse").distinct().withColumns({"lo": F.greatest(F.col("verse") - reach, F.lit(0)), "hi": F.col("verse") + reach})
+    near = reconcile.verses_in(near, verses, ["section", "chapter"]).groupBy("section", "chapter", "verse").agg(F.array_sort(F.collect_list(F.struct("__v", "__t"))).alias("around"))
+    held = open_.join(near, ["section", "chapter", "verse"])
+    held = held.select(key, "no", "span", "section", "chapter", "verse", "around", F.explode(F.sequence(F.col("verse"), F.greatest(F.col("verse") - reach, F.lit(0)), F.lit(-1))).alias("lo"))
+    held = held.select("*", F.explode(F.sequence(F.col("verse"), F.col("verse") + reach)).alias("to")).where("NOT (lo = verse AND to = verse)")
+    held = held.withColumn("range", F.filter("around", lambda v: v["__v"].between(F.col("lo"), F.col("to"))))
+    # Both ends of a range are verses of the index.
+    held = held.where((F.size("range") > 0) & (F.get("range", F.lit(0))["__v"] == F.col("lo")) & (F.element_at("range", -1)["__v"] == F.col("to")))
+    held = held.where(match(F.col("span"), norm.verse_text(F.array_join(F.transform("range", lambda v: v["__t"]), " ")))["ok"])
     wider = held.groupBy(key, "no").agg(F.min(F.struct((-F.col("lo")).alias("l"), "to")).alias("r")).select(key, "no", F.concat((-F.col("r.l")).cast("string"), F.lit("-"), F.col("r.to").cast("string")).alias("range"))
     out = best.join(composite, [key, "no"], "left").join(wider, [key, "no"], "left")
     status = F.when(~judged, "skipped").when(F.col("m.ok") | F.coalesce("composite", F.lit(False)), "MATCH").when(F.col("range").isNotNull(), "RANGE").when(F.col("x.score") < SUSPECT, "SUSPECT").otherwise("DRIFT")

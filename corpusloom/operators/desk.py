@@ -2,11 +2,13 @@
 
 Null keys meet nothing. Decisions are ordered: the first that applies counts. `now` is always a parameter."""
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import norm
-from corpusloom.operators import reconcile, text
+from corpusloom.operators import ranking, reconcile, text
 
 #: Policies of an outlet when a piece waits for its moment; anything else waits.
 IMMEDIATE, AT_MOMENT = "immediate", "at_moment"
@@ -69,14 +71,15 @@ def unbacked_megabytes(files: DataFrame, backed: DataFrame, group: str) -> DataF
 
 def newest_first(entries: DataFrame, published: str, order: str) -> DataFrame:
     """ST1: places of an index's entries, the latest published first; ties keep their order, entries without a date come last."""
-    return entries.withColumn("place", F.row_number().over(Window.orderBy(F.col(published).desc_nulls_last(), order)))
+    day = F.unix_micros(F.col(published).cast("timestamp"))
+    return ranking.placed(entries, [day.isNull(), -day, F.col(order)])
 
 
 def by_moment(rows: DataFrame, key: str, raw: str) -> DataFrame:
     """ST6, TM3: (key, raw, at) of a schedule in the order of the instants, with their place; what is malformed comes last. Moments are sorted
     as instants, not as they are written, so zones may be mixed."""
     out = rows.select(key, raw, reconcile.moment(F.col(raw)).alias("at"))
-    return out.withColumn("place", F.row_number().over(Window.orderBy(F.col("at").asc_nulls_last(), key)))
+    return ranking.placed(out, [F.col("at").isNull(), F.col("at"), F.col(key)])
 
 
 def ignored(restricted: DataFrame, ignored_: DataFrame, files: DataFrame) -> DataFrame:
@@ -331,12 +334,18 @@ def account_verdicts(answers: DataFrame, outlets: DataFrame, primary: str) -> Da
     return met.select("id", verdict.alias("verdict"))
 
 
-def changed_at(entries: DataFrame, old: DataFrame, now: Column) -> Column | DataFrame:
+def multiset(rows: DataFrame, *columns: str) -> DataFrame:
+    """A digest of rows that does not depend on their order: their number, and the sums of two hashes of each. It is one row, summed up
+    on every task first."""
+    both = (F.xxhash64(*columns), F.xxhash64(F.lit(len(columns)), *columns))
+    return rows.groupBy().agg(F.struct(F.count(F.lit(1)), *(F.sum(h.cast("decimal(38,0)")) for h in both)).alias("d"))
+
+
+def changed_at(entries: DataFrame, old: DataFrame, now: Column) -> DataFrame:
     """SK3: the time an index was generated: `now` if its entries (key, value) differ from the old index's (key, value,
-    generated_at), else the old time. One row."""
-    digest = lambda df: df.groupBy().agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("key", "value")))), 256).alias("d"))
-    was = digest(old).withColumnRenamed("d", "was").crossJoin(old.groupBy().agg(F.max("generated_at").alias("at")))
-    return digest(entries).crossJoin(was).select(F.when(F.col("d").eqNullSafe(F.col("was")) & F.col("at").isNotNull(), F.col("at")).otherwise(now).alias("generated_at"))
+    generated_at), else the old time. One row; repeated entries count as often as they stand."""
+    was = multiset(old, "key", "value").withColumnRenamed("d", "was").crossJoin(old.groupBy().agg(F.max("generated_at").alias("at")))
+    return multiset(entries, "key", "value").crossJoin(was).select(F.when(F.col("d").eqNullSafe(F.col("was")) & F.col("at").isNotNull(), F.col("at")).otherwise(now).alias("generated_at"))
 
 
 def front_matter(fields: list[str], body: Column) -> Column:
@@ -346,47 +355,130 @@ def front_matter(fields: list[str], body: Column) -> Column:
     return F.concat(F.lit("---\n"), F.array_join(lines, "\n"), F.when(F.size(lines) > 0, "\n").otherwise(""), F.lit("---\n\n"), body, F.lit("\n"))
 
 
+#: Between the ordinals of neighbouring fragments, so that others fit in.
+ORDINALS = 10
+
+
 def fragments(docs: DataFrame, key: str) -> DataFrame:
-    """SK8: (key, no, slug, chunk): a page's parts, each from its heading `## ` to the next, what stands before the first as
-    `preamble`. Joined in order they are the page."""
+    """SK8: (key, no, ordinal, slug, nth, chunk): a page's parts, each from its heading `## ` to the next, what stands before the first
+    as `preamble`; the nth of a slug that repeats. Joined in order they are the page, byte for byte."""
     parts = F.split("text", r"(?m)(?=^## )")
     head = F.trim(F.regexp_extract("chunk", r"\A## ([^\n]*)", 1))
     plain = F.regexp_extract(head, r"\A([a-z0-9][a-z0-9._-]*)(?=\z|[ *(])", 1)
     made = F.regexp_replace(F.regexp_replace(F.lower(head), "[^a-z0-9]+", "-"), r"\A-+|-+\z", "")
     slug = F.when(~F.col("chunk").startswith("## "), "preamble").when(plain != "", plain).when(made != "", made).otherwise("section")
-    return docs.select(key, F.posexplode(parts).alias("no", "chunk")).where("chunk <> ''").select(key, "no", slug.alias("slug"), "chunk")
-
-
-def merged_fragments(fragments_: DataFrame, page: DataFrame) -> DataFrame:
-    """SK8: what becomes of fragments (slug, chunk, at) and a page's parts (slug, chunk, at): the newer side wins where they
-    differ, a part without a fragment is added, a fragment without a part is kept, never deleted."""
-    a = fragments_.select("slug", F.col("chunk").alias("a"), F.col("at").alias("a_at"))
-    b = page.select("slug", F.col("chunk").alias("b"), F.col("at").alias("b_at"))
-    met = a.join(b, "slug", "full")
-    action = F.when(F.col("a").isNull(), "add").when(F.col("b").isNull(), "orphan").when(F.col("a") == F.col("b"), "same").when(F.col("b_at") > F.col("a_at"), "ingest").otherwise("keep")
-    return met.select("slug", action.alias("action"), F.when(action.isin("add", "ingest"), F.col("b")).otherwise(F.col("a")).alias("chunk"))
+    rows = docs.select(key, F.posexplode(parts).alias("no", "chunk")).where("chunk <> ''").select(key, "no", (F.col("no") * ORDINALS).alias("ordinal"), slug.alias("slug"), "chunk")
+    return rows.withColumn("nth", F.row_number().over(Window.partitionBy(key, "slug").orderBy("no")))
+
+
+def merged_fragments(fragments_: DataFrame, page: DataFrame, key: str, base: DataFrame | None = None) -> DataFrame:
+    """SK8: what becomes of fragments (key, slug, nth, ordinal, chunk, at) and a page's parts (key, slug, nth, no, chunk, at), which meet by
+    page, slug and occurrence: (key, slug, nth, ordinal, action, conflict, chunk). With a base (key, slug, nth, chunk) the side that
+    has changed since wins; where both have, or without a base, the newer one does, and `conflict` tells that both had. A part
+    without a fragment is added behind the fragments, in the page's order; a fragment without a part is kept, never deleted."""
+    keys = [key, "slug", "nth"]
+    a = fragments_.select(*keys, "ordinal", F.col("chunk").alias("a"), F.col("at").alias("a_at"))
+    b = page.select(*keys, "no", F.col("chunk").alias("b"), F.col("at").alias("b_at"))
+    met = a.join(b, keys, "full")
+    met = met.join(base.select(*keys, F.col("chunk").alias("base")), keys, "left") if base is not None else met.withColumn("base", F.lit(None).cast("string"))
+    ours, theirs = ~F.col("a").eqNullSafe(F.col("base")), ~F.col("b").eqNullSafe(F.col("base"))
+    newer = F.when(F.col("b_at") > F.col("a_at"), "ingest").otherwise("keep")
+    settled = F.when(F.col("base").isNull() | (ours & theirs), newer).when(theirs, "ingest").otherwise("keep")
+    action = F.when(F.col("a").isNull(), "add").when(F.col("b").isNull(), "orphan").when(F.col("a") == F.col("b"), "same").otherwise(settled)
+    rows = met.withColumn("action", action).withColumn("conflict", F.coalesce(F.col("base").isNotNull() & (F.col("a") != F.col("b")) & ours & theirs, F.lit(False)))
+    last = F.max("ordinal").over(Window.partitionBy(key))
+    added = F.count(F.when(F.col("a").isNull(), 1)).over(Window.partitionBy(key).orderBy(F.col("no").asc_nulls_first(), "slug", "nth"))
+    ordinal = F.coalesce("ordinal", (F.floor(F.coalesce(last, F.lit(-1)) / ORDINALS) + added) * ORDINALS)
+    chunk = F.when(F.col("action").isin("add", "ingest"), F.col("b")).otherwise(F.col("a"))
+    return rows.select(*keys, ordinal.cast("long").alias("ordinal"), "action", "conflict", chunk.alias("chunk"))
+
+
+def rendered_fragments(merged: DataFrame, key: str) -> DataFrame:
+    """SK8: (key, text): a page of its fragments in order; one without a line's end gets it, so that it can't run into the next heading."""
+    line = F.when(F.col("chunk").endswith("\n"), F.col("chunk")).otherwise(F.concat("chunk", F.lit("\n")))
+    listed = F.sort_array(F.collect_list(F.struct("ordinal", "slug", "nth", line.alias("chunk"))))
+    return merged.groupBy(key).agg(F.array_join(F.transform(listed, lambda x: x["chunk"]), "").alias("text"))
+
+
+#: White space within a paragraph: it crosses lines, but no blank line.
+WITHIN = r"(?:(?!\n[ \t]*\n)\s)+"
+
+
+def _anchor(anchor: Column) -> Column:
+    """The pattern of an anchor's words with any white space between them; null if it has none."""
+    words = F.filter(F.split(anchor, r"(?U)\s+"), lambda w: w != "")
+    return F.when(F.size(words) > 0, F.array_join(F.transform(words, lambda w: F.regexp_replace(w, r"([^\p{L}\p{N}_])", r"\\$1")), WITHIN))
+
+
+def settled_findings(texts: DataFrame, findings: DataFrame, key: str) -> DataFrame:
+    """FZ17: (key, old, old_note, text, note, states) of texts (key, text, and perhaps note: a companion's text) with findings (key, no, anchor,
+    replacement), each placed, in order, in the text as edited so far: an anchor, whatever white space it is set with, must occur
+    once in text and note together. It is `placed`, `absent`, `ambiguous`, `empty`, or `broken` where it crosses a line in the
+    note, whose lines stand. States are (no, state)."""
+    note = F.coalesce("note", F.lit("")) if "note" in texts.columns else F.lit("")
+    todo = findings.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("no", F.coalesce(_anchor(F.col("anchor")), F.lit("")).alias("pattern"), F.trim(F.regexp_replace(F.coalesce("replacement", F.lit("")), r"(?U)\s+", " ")).alias("now")))).alias("todo"))
+    rows = todo.join(texts.select(key, F.coalesce("text", F.lit("")).alias("text"), note.alias("note")), key, "left")
+    start = F.struct(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("note", F.lit("")).alias("note"), F.array().cast(f"array<struct<no:{dict(findings.dtypes)['no']},state:string>>").alias("states"))
+
+    def step(done: Column, x: Column) -> Column:
+        count = lambda t: F.when(x["pattern"] == "", 0).otherwise(F.regexp_count(t, x["pattern"]))
+        found = lambda t: F.call_function("regexp_extract", t, x["pattern"], F.lit(0))
+
+        def swapped(t: Column) -> Column:
+            at = F.regexp_instr(t, x["pattern"])
+            return F.concat(F.substring(t, F.lit(1), at - 1), x["now"], F.substring(t, at + F.length(found(t)), F.length(t)))
+
+        in_text, in_note = count(done["text"]), count(done["note"])
+        broken = (in_note == 1) & F.contains(found(done["note"]), F.lit("\n"))
+        state = F.when(x["pattern"] == "", "empty").when(in_text + in_note == 0, "absent").when(in_text + in_note > 1, "ambiguous").when(broken, "broken").otherwise("placed")
+        text_ = F.when((state == "placed") & (in_text == 1), swapped(done["text"])).otherwise(done["text"])
+        note_ = F.when((state == "placed") & (in_note == 1), swapped(done["note"])).otherwise(done["note"])
+        return F.struct(text_.alias("text"), note_.alias("note"), F.concat(done["states"], F.array(F.struct(x["no"].alias("no"), state.alias("state")))).alias("states"))
+
+    rows = rows.withColumn("done", F.aggregate("todo", start, step))
+    return rows.select(key, F.col("text").alias("old"), F.col("note").alias("old_note"), "done.*")
 
 
 def placed_findings(texts: DataFrame, findings: DataFrame, key: str) -> DataFrame:
-    """FZ17: (key, no, state) of findings (key, no, anchor, replacement) on texts (key, text): an anchor must occur once; it is
-    `placed`, `absent` or `ambiguous`."""
-    met = findings.join(texts.select(key, "text"), key, "left")
-    n = (F.length("text") - F.length(F.replace("text", F.col("anchor"), F.lit("")))) / F.length("anchor")
-    return met.select(key, "no", F.when(F.coalesce(n, F.lit(0)) == 0, "absent").when(n > 1, "ambiguous").otherwise("placed").alias("state"))
-
-
-def applied_findings(texts: DataFrame, findings: DataFrame, key: str) -> DataFrame:
-    """FZ17: (key, text): all of a text's replacements in order, or none if one of its anchors does not occur exactly once."""
-    states = placed_findings(texts, findings, key).groupBy(key).agg(F.every(F.col("state") == "placed").alias("all"))
-    ordered = findings.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("no", "anchor", F.coalesce("replacement", F.lit("")).alias("replacement")))).alias("todo"))
-    rows = texts.join(states, key, "left").join(ordered, key, "left")
-    done = F.aggregate("todo", F.col("text"), lambda t, x: F.replace(t, x["anchor"], x["replacement"]))
-    return rows.select(key, F.when(F.coalesce("all", F.lit(False)), done).otherwise(F.col("text")).alias("text"))
+    """FZ17: (key, no, state) of findings (key, no, anchor) on texts as they are: an anchor, whatever white space it is set with, must
+    occur once: `placed`, `absent`, `ambiguous`, `empty`, or `overlaps` where an earlier finding is placed."""
+    todo = findings.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("no", F.coalesce(_anchor(F.col("anchor")), F.lit("")).alias("pattern")))).alias("todo"))
+    rows = todo.join(texts.select(key, F.coalesce("text", F.lit("")).alias("text")), key, "left").withColumn("text", F.coalesce("text", F.lit("")))
+    start = F.struct(F.array().cast("array<struct<at:int,stop:int>>").alias("marks"), F.array().cast(f"array<struct<no:{dict(findings.dtypes)['no']},state:string>>").alias("states"))
+
+    def step(done: Column, x: Column) -> Column:
+        n = F.when(x["pattern"] == "", 0).otherwise(F.regexp_count("text", x["pattern"]))
+        at = F.regexp_instr("text", x["pattern"])
+        stop = at + F.length(F.call_function("regexp_extract", F.col("text"), x["pattern"], F.lit(0)))
+        clash = F.exists(done["marks"], lambda m: (at < m["stop"]) & (m["at"] < stop))
+        state = F.when(x["pattern"] == "", "empty").when(n == 0, "absent").when(n > 1, "ambiguous").when(clash, "overlaps").otherwise("placed")
+        marks = F.when(state == "placed", F.concat(done["marks"], F.array(F.struct(at.cast("int").alias("at"), stop.cast("int").alias("stop"))))).otherwise(done["marks"])
+        return F.struct(marks.alias("marks"), F.concat(done["states"], F.array(F.struct(x["no"].alias("no"), state.alias("state")))).alias("states"))
+
+    return rows.select(key, F.inline(F.aggregate("todo", start, step, lambda done: done["states"])))
+
+
+def applied_findings(texts: DataFrame, findings: DataFrame, key: str, width: int | None = None) -> DataFrame:
+    """FZ17: (key, text, note) with all of a text's replacements, or as it was if one of its findings is not placed. With a width the
+    paragraphs of the text that were changed are wrapped again; the note's lines stand."""
+    done = settled_findings(texts, findings, key)
+    good = F.coalesce(F.forall("states", lambda s: s["state"] == "placed"), F.lit(True))
+    text_ = F.col("text")
+    if width is not None:
+        blank = r"\n[ \t]*\n"
+        parts, old, between = F.split("text", blank), F.split("old", blank), F.regexp_extract_all("old", F.lit(blank), F.lit(0))
+        wrapped = F.transform(parts, lambda p, i: F.concat(F.when(p == F.get(old, i), p).otherwise(rewrapped(p, width)), F.coalesce(F.get(between, i), F.lit(""))))
+        text_ = F.array_join(wrapped, "")
+    done = done.select(key, F.when(good, text_).otherwise(F.col("old")).alias("__text"), F.when(good, F.col("note")).otherwise(F.col("old_note")).alias("__note"), F.lit(True).alias("__met"))
+    rows = texts.join(done, key, "left")
+    out = rows.select(key, F.when(F.col("__met") & F.col("text").isNotNull(), F.col("__text")).otherwise(F.col("text")).alias("text"), *([F.coalesce("__note", "note").alias("note")] if "note" in texts.columns else []))
+    return out
 
 
 def replaced_outside_urls(text_: Column, word: str, to: str) -> Column:
     """PJ29: (text, n): a whole token replaced everywhere but in addresses, with how often."""
-    url, token = r"https?://[^\s)>\]]+", rf"(?<![\w-])\Q{word}\E(?![\w-])"
+    url, token = r"https?://[^\s)>\]]+", rf"(?<![\w-]){re.escape(word)}(?![\w-])"
+    to = to.replace("\\", "\\\\").replace("$", "\\$")
     between, urls = F.split(text_, url), F.regexp_extract_all(text_, F.lit(url), F.lit(0))
     swapped = F.transform(between, lambda s: F.regexp_replace(s, token, to))
     n = F.aggregate(F.transform(between, lambda s: F.regexp_count(s, F.lit(token))), F.lit(0), lambda a, b: a + b)

@@ -40,7 +40,7 @@ PROVENANCE = r"(?i)\b(?:ai[- ]generated|generated (?:image|by|with)|not a (?:pho
 #: Lines about a former state, dated headings, claims that something is not published, and names of pieces.
 SUPERSEDED = r"(?i)retired|supersed|formerly|\bwas\b\s*[:\"“]|\(was\b|replaced|previously|no longer|what this replaced|until \d{4}-\d{2}-\d{2}"
 LOG_HEADING = r"\A#{1,6}\s+\d{4}-\d{2}-\d{2}\b"
-UNPUBLISHED = r"(?i)\bunpublished\b|\bnot yet published\b|\bprivate draft\b|\bnot published\b|\bunreleased\b|\bdraft only\b|\bawaiting publication\b"
+UNPUBLISHED = r"(?i)\bunpublished\b|\bnot yet published\b|\bprivate draft\b|\bnot published\b|\bunreleased\b|\bdraft only\b|\bawaiting publication\b|\bawaiting (?:a human )?publish\b"
 SLUG_REFERENCE, LINK, RULE_STATED = r"`([a-z0-9][a-z0-9-]{2,})`", r"\[([^\]]+)\]\((https?://[^)\s]+)\)", r"(?i)live pieces link to their reader url"
 IDENTIFIER = r"\A[a-z0-9]+(?:-[a-z0-9]+)*\z"
 #: Characters between a claim and the name that it is about, at most.

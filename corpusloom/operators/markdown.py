@@ -332,38 +332,16 @@ def article(docs: DataFrame, key: str) -> DataFrame:
     return rows.select(key, "part", "idx", html.alias("html"), figure.cast("int").alias("figure"))
 
 
-def _source_edit(src: str | None, old: str | None, new: str | None) -> str | None:
-    """src with the runs replaced in which `new` differs from `old`, its text as readers see it. Where a reader's character has no
-    counterpart in the source, the next one that has one counts."""
-    import difflib
-
-    if src is None or old is None or new is None:
-        return None
-    place: list[int | None] = [None] * len(old) + [len(src)]
-    for i, j, n in difflib.SequenceMatcher(None, src.replace("\n", " "), old, autojunk=False).get_matching_blocks():
-        place[j : j + n] = range(i, i + n)
-    place[len(old)] = len(src)
-    for j in range(len(old) - 1, -1, -1):
-        place[j] = place[j + 1] if place[j] is None else place[j]
-    for op, a, b, c, d in reversed(difflib.SequenceMatcher(None, old, new, autojunk=False).get_opcodes()):
-        if op == "equal":
-            continue
-        start, stop = place[a], place[b - 1] + 1 if b > a else place[a]
-        if start > stop:
-            return None
-        src = src[:start] + new[c:d] + src[stop:]
-    return src
-
-
 def edited_source(src: Column, old: Column, new: Column) -> Column:
     """PJ27, PJ28: (text, note): a block's Markdown with an edit of its reader's text applied to the runs that differ, marks left
-    alone. The result is rendered again; if readers would not see `new`, the edit is refused with a null text. Offsets come
-    from matching blocks, in Arrow batches."""
+    alone. The result is rendered again; if readers would not see `new`, the edit is refused with a null text."""
     import pandas as pd
 
+    from corpusloom.operators.places import edited
+
     @F.pandas_udf("string")
     def run(srcs: pd.Series, olds: pd.Series, news: pd.Series) -> pd.Series:
-        return pd.Series([_source_edit(*x) for x in zip(srcs, olds, news, strict=True)], dtype=object)
+        return pd.Series([edited(*x) for x in zip(srcs, olds, news, strict=True)], dtype=object)
 
     made = run(src, old, new)
     seen = norm.flat_quotes(norm.reader_text(render_block(made)))

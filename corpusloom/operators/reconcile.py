@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators import ranking
+
 
 def classify(base: Column, draft: Column, live: Column) -> Column:
     """FZ10: what changed since the base; `unknown` if a side is missing, never `unchanged`."""
@@ -140,7 +142,7 @@ def upserted(old: DataFrame, new: DataFrame, keys: list[str], values: list[str],
 
 
 #: A date, a time and a zone (Z, UTC, an offset or a region).
-MOMENT = r"^(\d{4}-\d{2}-\d{2})(?:[ T](\d{2}:\d{2})(:\d{2})?)?\s*(Z|UTC|[+-]\d{2}:?\d{2}|[A-Za-z]+/[A-Za-z_+\-]+)$"
+MOMENT = r"^(\d{4}-\d{2}-\d{2})(?:[ T](\d{2}:\d{2})(:\d{2})?)?\s*(Z|UTC|[+-]\d{2}:?\d{2}|[A-Za-z][A-Za-z0-9_+\-]*(?:/[A-Za-z0-9_+\-]+)+)$"
 
 
 def moment(raw: Column) -> Column:
@@ -182,7 +184,7 @@ def notes_backlog(notes: DataFrame, today: Column) -> DataFrame:
     backlog, oldest first; done today is what was posted today of a piece of another day."""
     state = note_state(F.coalesce("skip", F.lit(False)), F.col("posted_at").isNotNull(), F.coalesce("drafted", F.lit(False)))
     rows = notes.withColumn("state", state)
-    missing = rows.where("state = 'missing'").withColumn("place", F.row_number().over(Window.orderBy(F.col("published_at").asc_nulls_last(), "slug"))).select("slug", "place")
+    missing = ranking.placed(rows.where("state = 'missing'"), [F.col("published_at").isNull(), F.col("published_at"), F.col("slug")]).select("slug", "place")
     done = (F.col("posted_at") == today) & ~F.col("published_at").eqNullSafe(today)
     return rows.join(missing, "slug", "left").select("slug", "state", "place", F.coalesce(done, F.lit(False)).alias("done_today"))
 
@@ -225,10 +227,23 @@ def capped(rows: DataFrame, keys: list[str], order: list, n: int, parts: int = 6
     return best.alias("b").join(totals.alias("t"), met).select("b.*", "t.total")
 
 
+#: Verses of a bucket, by which ranges and verses meet.
+BUCKET = 16
+
+
+def verses_in(ranges: DataFrame, verses: DataFrame, keys: list[str], width: int = BUCKET) -> DataFrame:
+    """JN8: each range (keys, lo, hi, and more) with the verses (keys, verse, text) in it, as __v and __t. Verses meet ranges by their bucket
+    of `width` neighbouring numbers, and a range is in the few buckets that it touches, so that no verse meets ranges far from
+    it. In a range that is upside down there is nothing."""
+    buckets = F.when(F.col("hi") >= F.col("lo"), F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width)))
+    v = verses.select(*keys, F.floor(F.col("verse") / width).alias("__bucket"), F.col("verse").alias("__v"), F.col("text").alias("__t"))
+    met = ranges.withColumn("__bucket", F.explode(buckets)).join(v, [*keys, "__bucket"])
+    return met.where(F.col("__v").between(F.col("lo"), F.col("hi"))).drop("__bucket")
+
+
 def in_range(loci: DataFrame, verses: DataFrame, keys: list[str]) -> DataFrame:
-    """JN8: the verses lo..hi of each locus, joined in order; the range condition rides on the equi keys."""
-    v = verses.select(*keys, F.col("verse").alias("__v"), F.col("text").alias("__t"))
-    met = loci.join(v, keys).where(F.col("__v").between(F.col("lo"), F.col("hi")))
+    """JN8: (locus, text, verses): the verses lo..hi of each locus, joined in order."""
+    met = verses_in(loci, verses, keys)
     return met.groupBy("locus").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__v", "__t"))), lambda x: x["__t"]), " ").alias("text"), F.count(F.lit(1)).alias("verses"))
 
 

@@ -6,6 +6,10 @@ from pyspark.sql import functions as F
 from corpusloom.functions import norm
 
 
+#: Characters of a short phrase that streams are searched by, and hashes of phrases that a stream's are filtered by before they move.
+GRAM, PROBES = 12, 4096
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value computed once for the row: a lambda would compute what stands outside it for each element."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -22,19 +26,29 @@ def exploded_shingles(docs: DataFrame, key: str, n: int) -> DataFrame:
     return with_words.select(key, F.explode(F.array_distinct(shingles(F.col("words"), n))).alias("shingle"))
 
 
+def shingle_hashes(words: Column, n: int) -> Column:
+    """The distinct runs of n words of an array as 64-bit hashes: a hash of each word, then of each run of them."""
+    return let(words, lambda w: F.when(F.size(w) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.xxhash64(F.slice(w, i, n))))).otherwise(F.array().cast("array<long>")))
+
+
 def leaked(private: DataFrame, public: DataFrame, private_key: str, public_key: str, n: int = 12, inherited: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
     """FZ15: how many n-word runs public texts share with private ones. Runs of `inherited` (shingle) are allowed, and those
-    whose sha1 is in `known` (sha1) have been accepted before. Texts meet by an equi-join on two 64-bit hashes of the run, made
-    within the row, so that runs themselves do not move."""
-    hashed = lambda runs: F.transform(runs, lambda r: F.struct(F.xxhash64(r).alias("h1"), F.xxhash64(F.lit(n), r).alias("h2")))
-    own = private.select(F.col(private_key).alias("__a"), F.explode(F.array_distinct(shingles(norm.words(F.col("text")), n))).alias("shingle"))
+    whose sha1 is in `known` (sha1) have been accepted before. Runs meet by one 64-bit hash, which is all that moves of a public text;
+    then each pair's private runs are looked for in the words of its public text, so that a hash that two runs share counts
+    for nothing. A text's distinct runs are found in time linear in its words."""
+    text_words = lambda c: norm.words(F.col(c))
+    own = private.select(F.col(private_key).alias("__a"), F.explode(F.array_distinct(shingles(text_words("text"), n))).alias("shingle"))
     if inherited is not None:
         own = own.join(inherited.select("shingle").distinct(), "shingle", "left_anti")
     if known is not None:
         own = own.withColumn("sha1", F.sha1("shingle")).join(known.select("sha1").distinct(), "sha1", "left_anti")
-    own = own.select("__a", F.xxhash64("shingle").alias("h1"), F.xxhash64(F.lit(n), "shingle").alias("h2"))
-    theirs = public.select(F.col(public_key).alias("__b"), F.inline(F.array_distinct(hashed(shingles(norm.words(F.col("text")), n)))))
-    return theirs.join(own, ["h1", "h2"]).groupBy(F.col("__b").alias(public_key), F.col("__a").alias(private_key)).agg(F.count(F.lit(1)).alias("shared"))
+    own = own.select("__a", "shingle", F.xxhash64(F.split("shingle", " ")).alias("h"))
+    theirs = public.select(F.col(public_key).alias("__b"), F.explode(shingle_hashes(text_words("text"), n)).alias("h"))
+    met = theirs.join(own, "h").groupBy("__b").agg(F.collect_list(F.struct("__a", "shingle")).alias("runs"))
+    padded = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    checked = met.join(public.select(F.col(public_key).alias("__b"), padded(F.array_join(text_words("text"), " ")).alias("words")), "__b")
+    held = checked.select("__b", F.explode(F.filter("runs", lambda r: F.contains("words", padded(r["shingle"])))).alias("r"))
+    return held.groupBy(F.col("__b").alias(public_key), F.col("r.__a").alias(private_key)).agg(F.count_distinct("r.shingle").alias("shared"))
 
 
 def furniture(pages: DataFrame, group: str, page: str, n: int = 3, share: float = 0.5, least_pages: int = 4) -> DataFrame:
@@ -64,32 +78,59 @@ def without_furniture(pages: DataFrame, found: DataFrame, group: str, page: str,
     return out.select(group, page, F.array_join(kept, " ").alias("text"))
 
 
+def places(stream: Column, phrase: Column) -> Column:
+    """The 0-based places of a phrase in a stream, each beginning after the last one's end, by a fold over the parts between them."""
+    parts = F.split(stream, F.regexp_replace(phrase, r"([^\p{L}\p{N}\s])", r"\\$1"), -1)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+    step = lambda a, part: F.struct((a["at"] + F.length(part) + F.length(phrase)).alias("at"), F.concat(a["all"], F.array(a["at"] + F.length(part))).alias("all"))
+    return let(parts, lambda p: F.aggregate(F.slice(p, 1, F.size(p) - 1), start, step, lambda a: a["all"]))
+
+
 def phrase_hits(streams: DataFrame, phrases: DataFrame, key: str, phrase_key: str, around: int = 60) -> DataFrame:
     """FZ1: every place where phrases occur in normalized streams (`stream`) as substrings, whole words or not, each hit
     beginning after the last one's end: `at` (0-based, code points) and `context`, the hit with up to `around` characters
     before and after it. A phrase of three words or more has whole words inside; candidates share the first of those, up to
-    six, by hash. Shorter phrases, a query set, are looked for in every stream. Empty phrases and null streams have no hits."""
+    six, by hash. Shorter phrases, a query set, share the hash of a run of characters, as long as the phrase or GRAM. A stream's
+    candidates are gathered, so that it moves and is read once. Empty phrases and null streams have no hits. Only what is in the
+    streams counts: marks in phrases are no patterns."""
     cleaned = phrases.where(F.trim("phrase") != "").select(F.col(phrase_key).alias("__p"), "phrase", F.split("phrase", " ").alias("w"))
     inner = F.greatest(F.least(F.size("w") - 2, F.lit(6)), F.lit(0))
-    cleaned = cleaned.withColumn("n", inner).withColumn("h", F.xxhash64(F.array_join(F.slice("w", 2, F.col("n")), " "))).drop("w")
+    cleaned = cleaned.withColumn("n", F.when(inner > 0, inner).otherwise(-F.least(F.length("phrase"), F.lit(GRAM))))
+    probe = F.when(F.col("n") > 0, F.xxhash64(F.slice("w", 2, F.abs("n")))).otherwise(F.xxhash64(F.substring("phrase", F.lit(1), F.abs("n"))))
+    cleaned = cleaned.withColumn("h", probe).drop("w")
     texts = streams.where("stream IS NOT NULL").select(F.col(key).alias("__k"), "stream")
-    lengths = sorted(r.n for r in cleaned.where("n > 0").select("n").distinct().collect())  # six at most
-    found = cleaned.where("n = 0").join(texts, F.contains("stream", F.col("phrase"))).select("__k", "__p", "phrase", "stream")
-    if lengths:
-        of = lambda n: F.transform(shingles(F.split("stream", " "), n), lambda r: F.struct(F.lit(n).alias("n"), F.xxhash64(r).alias("h")))
-        met = texts.select("__k", F.inline(F.array_distinct(F.concat(*[of(n) for n in lengths])))).join(cleaned.where("n > 0"), ["n", "h"]).select("__k", "__p", "phrase")
-        found = found.unionByName(met.join(texts, "__k").where(F.contains("stream", F.col("phrase"))).select("__k", "__p", "phrase", "stream"))
-    parts = F.split("stream", F.concat(F.lit("\\Q"), F.col("phrase"), F.lit("\\E")), -1)
-    places = F.aggregate(
-        F.slice(parts, 1, F.size(parts) - 1),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")),
-        lambda a, part: F.struct((a["at"] + F.length(part) + F.length("phrase")).alias("at"), F.concat(a["all"], F.array(a["at"] + F.length(part))).alias("all")),
-        lambda a: a["all"],
-    )
-    hits = found.select("__k", "__p", "phrase", "stream", F.explode(places).alias("at"))
-    start = F.greatest(F.col("at") - around, F.lit(0))
-    context = F.substring("stream", start + 1, F.col("at") + F.length("phrase") + around - start)
-    return hits.select(F.col("__k").alias(key), F.col("__p").alias(phrase_key), "at", context.alias("context"))
+    sizes = sorted(r.n for r in cleaned.select("n").distinct().collect())  # six and GRAM at most
+    if not sizes:
+        return texts.select(F.col("__k").alias(key), F.lit(None).cast(dict(phrases.dtypes)[phrase_key]).alias(phrase_key), F.lit(0).alias("at"), "stream").limit(0).withColumnRenamed("stream", "context")
+
+    def runs(n: int) -> Column:
+        if n > 0:
+            return shingle_hashes(F.split("stream", " "), n)
+        every = F.sequence(F.lit(1), F.length("stream") + 1 + n)
+        return F.when(F.length("stream") >= -n, F.array_distinct(F.transform(every, lambda i: F.xxhash64(F.substring("stream", i, F.lit(-n))))))
+
+    wanted = {n: [r.h for r in cleaned.where(F.col("n") == n).select("h").distinct().limit(PROBES + 1).collect()] for n in sizes}
+
+    def met(n: int) -> DataFrame:
+        found = texts.select("__k", F.lit(n).alias("n"), F.explode(runs(n)).alias("h"))
+        return found.where(F.col("h").isin(wanted[n])) if len(wanted[n]) <= PROBES else found
+
+    every = met(sizes[0])
+    for n in sizes[1:]:
+        every = every.unionByName(met(n))
+    pairs = every.join(cleaned, ["n", "h"]).groupBy("__k").agg(F.collect_list(F.struct("__p", "phrase")).alias("phrases"))
+    # A stream is joined once with all its candidates, and moves on only as the hits' contexts.
+    found = pairs.join(texts, "__k").select("__k", "stream", F.filter("phrases", lambda p: F.contains("stream", p["phrase"])).alias("phrases"))
+
+    def hits(p: Column) -> Column:
+        def hit(at: Column) -> Column:
+            start = F.greatest(at - around, F.lit(0))
+            return F.struct(p["__p"].alias("p"), at.alias("at"), F.substring("stream", start + 1, at + F.length(p["phrase"]) + around - start).alias("context"))
+
+        return F.transform(places(F.col("stream"), p["phrase"]), hit)
+
+    rows = found.select("__k", F.inline(F.flatten(F.transform("phrases", hits))))
+    return rows.select(F.col("__k").alias(key), F.col("p").alias(phrase_key), "at", "context")
 
 
 def line_blocks(docs: DataFrame, key: str, lines: int = 40) -> DataFrame:

@@ -347,11 +347,15 @@ def page_fragments(spark, d):
 
 
 def merged_fragments(spark, d):
-    """SK8: fragments and a page's parts, newer ones winning (documents stand in)."""
-    docs = table(spark, d, "documents").select(F.concat(F.lit("s"), "doc_id").alias("slug"), F.substring(F.coalesce("text", F.lit("")), 1, 20).alias("chunk"), "doc_id")
-    page = docs.where("doc_id % 5 <> 0").select("slug", F.when(F.col("doc_id") % 3 == 0, F.concat("chunk", F.lit("!"))).otherwise(F.col("chunk")).alias("chunk"), (F.col("doc_id") % 2).alias("at"))
-    out = desk.merged_fragments(docs.where("doc_id % 7 <> 0").select("slug", "chunk", F.lit(0).cast("long").alias("at")), page)
-    return out
+    """SK8: fragments and parts of drafts that both were edited since their base, some parts new, some gone; headings repeat."""
+    parts = desk.fragments(drafts(spark, d), "doc_id")
+    of, edit = lambda k, n: F.pmod(F.col("doc_id") + F.col("no"), F.lit(k)) == n, lambda c, x: F.when(c, F.concat("chunk", F.lit(x))).otherwise(F.col("chunk")).alias("chunk")
+    keys = ["doc_id", "slug", "nth"]
+    ours = parts.where(~of(7, 0)).select(*keys, "ordinal", edit(of(3, 0), "ours"), F.lit(1).alias("at"))
+    page = parts.where(~of(5, 0)).select(*keys, "no", edit(of(4, 0), "page"), F.pmod("doc_id", F.lit(3)).alias("at"))
+    merged = desk.merged_fragments(ours, page, "doc_id", parts.select(*keys, "chunk"))
+    text_ = desk.rendered_fragments(merged, "doc_id").select("doc_id", F.sha2("text", 256).alias("sha"))
+    return merged.groupBy("doc_id").agg(*(F.count_if(F.col("action") == a).alias(a) for a in ("add", "orphan", "same", "ingest", "keep")), F.count_if("conflict").alias("conflicts")).join(text_, "doc_id")
 
 
 def placed_findings(spark, d):
@@ -363,10 +367,13 @@ def placed_findings(spark, d):
 
 
 def applied_findings(spark, d):
-    """FZ17: replacements applied as a whole or not at all (literal rows)."""
-    texts = spark.createDataFrame([(1, "one two three"), (2, "one one two"), (3, "a b"), (4, None)], "id long, text string")
-    todo = spark.createDataFrame([(1, 1, "one", "1"), (1, 2, "three", None), (2, 1, "two", "2"), (2, 2, "one", "1"), (4, 1, "x", "y")], "id long, no int, anchor string, replacement string")
-    return desk.applied_findings(texts, todo, "id")
+    """FZ17: replacements in documents, the second one of what the first has put there, applied as a whole or not at all."""
+    docs = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text")
+    w = lambda k: F.coalesce(F.get(F.split("text", " "), F.lit(k)), F.lit(""))
+    finding = lambda no, anchor, to: F.struct(F.lit(no).alias("no"), anchor.alias("anchor"), F.lit(to).alias("replacement"))
+    every = F.array(finding(1, F.concat(w(0), F.lit(" \n"), w(1)), "first  $1\nSECOND"), finding(2, F.lit("SECOND"), "\\third"), finding(3, F.when(F.col("doc_id") % 3 == 0, "no such").otherwise("first"), "last"))
+    made = docs.select("doc_id", F.explode(every).alias("x")).select("doc_id", "x.*")
+    return desk.applied_findings(docs, made, "doc_id").select("doc_id", F.sha2("text", 256).alias("sha"))
 
 
 def replaced_outside_urls(spark, d):
@@ -594,13 +601,23 @@ SELECT slug, plain, 'sha256:' || sha256(plain) AS digest, CASE WHEN slug IS NULL
     "index_times": "SELECT '2026-01-01' AS generated_at, 'nation' AS index UNION ALL SELECT '2026-02-02', 'region'",
     "front_matter": r"""SELECT doc_id, sha256('---' || chr(10) || CASE WHEN doc_id % 3 <> 0 AND coalesce(lang, '') <> '' THEN 'title: "' || lang || '"' || chr(10) ELSE '' END || CASE WHEN source IS NULL THEN '' ELSE 'source: "a \"b\" ' || source || '"' || chr(10) END || '---' || chr(10) || chr(10) || text || chr(10)) AS sha FROM documents WHERE text IS NOT NULL""",
     "page_fragments": f"WITH {NOTES}, g AS (SELECT doc_id, text, string_split_regex(chr(10) || text, '\\n## ') AS p FROM dr) SELECT doc_id, len(p)::BIGINT AS n, sha256(text) AS sha, list_min(list_concat(['preamble'], list_transform(p[2:], lambda x: CASE WHEN regexp_matches(string_split(x, chr(10))[1], '^[a-z0-9][a-z0-9._-]*($|[ *(])') THEN regexp_extract(string_split(x, chr(10))[1], '^([a-z0-9][a-z0-9._-]*)', 1) ELSE coalesce(nullif(regexp_replace(regexp_replace(lower(string_split(x, chr(10))[1]), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'section') END))) AS first_slug FROM g",
-    "merged_fragments": """WITH c AS (SELECT 's' || doc_id AS slug, substr(coalesce(text, ''), 1, 20) AS chunk, doc_id FROM documents), a AS (SELECT slug, chunk AS a FROM c WHERE doc_id % 7 <> 0),
-b AS (SELECT slug, CASE WHEN doc_id % 3 = 0 THEN chunk || '!' ELSE chunk END AS b, doc_id % 2 AS b_at FROM c WHERE doc_id % 5 <> 0), m AS (SELECT slug, a, b, CASE WHEN a IS NULL THEN 'add' WHEN b IS NULL THEN 'orphan' WHEN a = b THEN 'same' WHEN b_at > 0 THEN 'ingest' ELSE 'keep' END AS action FROM a FULL JOIN b USING (slug))
-SELECT slug, action, CASE WHEN action IN ('add', 'ingest') THEN b ELSE a END AS chunk FROM m""",
-    "placed_findings": """WITH w AS (SELECT doc_id, text, string_split(text, ' ') AS s FROM documents WHERE text IS NOT NULL), a AS (SELECT doc_id, text, 1 AS no, array_to_string(s[1:2], ' ') AS anchor FROM w UNION ALL SELECT doc_id, text, 2, s[3] FROM w UNION ALL SELECT doc_id, text, 3, '~~no such~~' FROM w),
-n AS (SELECT *, len(string_split(text, anchor)) - 1 AS n FROM a WHERE anchor <> '')
-SELECT doc_id, no, CASE WHEN n = 0 THEN 'absent' WHEN n > 1 THEN 'ambiguous' ELSE 'placed' END AS state FROM n""",
-    "applied_findings": "SELECT * FROM (VALUES (1::BIGINT, '1 two '), (2, 'one one two'), (3, 'a b'), (4, NULL)) AS v(id, text)",
+    "merged_fragments": rf"""WITH {NOTES}, g AS (SELECT doc_id, unnest(p) AS part, unnest(range(len(p))) AS i, text FROM (SELECT doc_id, text, string_split_regex(chr(10) || text, '\n## ') AS p FROM dr)),
+fr AS (SELECT doc_id, i AS no, CASE WHEN i = 0 THEN substr(part, 2) ELSE '## ' || part END || CASE WHEN i < max(i) OVER (PARTITION BY doc_id) THEN chr(10) ELSE '' END AS chunk, string_split(part, chr(10))[1] AS h FROM g),
+f0 AS (SELECT doc_id, no, chunk, CASE WHEN no = 0 THEN 'preamble' WHEN regexp_matches(trim(h), '^[a-z0-9][a-z0-9._-]*($|[ *(])') THEN regexp_extract(trim(h), '^([a-z0-9][a-z0-9._-]*)', 1) ELSE coalesce(nullif(regexp_replace(regexp_replace(lower(trim(h)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'section') END AS slug FROM fr WHERE chunk <> ''),
+f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, slug ORDER BY no) AS nth FROM f0),
+m AS (SELECT doc_id, no, slug, nth, (doc_id + no) % 7 <> 0 AS has_a, (doc_id + no) % 5 <> 0 AS has_b, (doc_id + no) % 3 = 0 AS ea, (doc_id + no) % 4 = 0 AS eb, doc_id % 3 > 1 AS newer, chunk FROM f),
+a AS (SELECT *, CASE WHEN NOT has_a THEN 'add' WHEN NOT has_b THEN 'orphan' WHEN NOT ea AND NOT eb THEN 'same' WHEN ea AND eb THEN CASE WHEN newer THEN 'ingest' ELSE 'keep' END WHEN eb THEN 'ingest' ELSE 'keep' END AS action FROM m WHERE has_a OR has_b),
+t AS (SELECT *, CASE WHEN action IN ('add', 'ingest') THEN CASE WHEN eb THEN chunk || 'page' ELSE chunk END ELSE CASE WHEN ea THEN chunk || 'ours' ELSE chunk END END AS out, CASE WHEN action = 'add' THEN 1 ELSE 0 END AS late FROM a)
+SELECT doc_id, count(*) FILTER (action = 'add') AS add, count(*) FILTER (action = 'orphan') AS orphan, count(*) FILTER (action = 'same') AS same, count(*) FILTER (action = 'ingest') AS ingest, count(*) FILTER (action = 'keep') AS keep, count(*) FILTER (has_a AND has_b AND ea AND eb) AS conflicts,
+ sha256(string_agg(CASE WHEN ends_with(out, chr(10)) THEN out ELSE out || chr(10) END, '' ORDER BY late, no)) AS sha FROM t GROUP BY doc_id""",
+    "placed_findings": r"""WITH w AS (SELECT doc_id, text, string_split(text, ' ') AS s FROM documents WHERE text IS NOT NULL), a AS (SELECT doc_id, text, 1 AS no, array_to_string(s[1:2], ' ') AS anchor FROM w UNION ALL SELECT doc_id, text, 2, s[3] FROM w UNION ALL SELECT doc_id, text, 3, '~~no such~~' FROM w),
+n AS (SELECT *, array_to_string(list_transform(list_filter(string_split_regex(anchor, '\s+'), lambda x: x <> ''), lambda x: regexp_escape(x)), '\s+') AS p FROM a WHERE anchor <> ''),
+c AS (SELECT doc_id, no, p, CASE WHEN p <> '' THEN len(regexp_extract_all(text, p)) END AS n, CASE WHEN p <> '' THEN instr(text, regexp_extract(text, p)) END AS b, CASE WHEN p <> '' THEN length(regexp_extract(text, p)) END AS l FROM n)
+SELECT c.doc_id, c.no, CASE WHEN c.p = '' THEN 'empty' WHEN c.n = 0 THEN 'absent' WHEN c.n > 1 THEN 'ambiguous' WHEN c.no = 2 AND o.n = 1 AND c.b < o.b + o.l AND o.b < c.b + c.l THEN 'overlaps' ELSE 'placed' END AS state FROM c LEFT JOIN c o ON o.doc_id = c.doc_id AND o.no = 1""",
+    "applied_findings": r"""WITH w AS (SELECT doc_id, text, list_filter(string_split_regex(coalesce(string_split(text, ' ')[1], '') || ' ' || coalesce(string_split(text, ' ')[2], ''), '\s+'), lambda x: x <> '') AS a FROM documents WHERE text IS NOT NULL),
+p AS (SELECT *, array_to_string(list_transform(a, lambda x: regexp_escape(x)), '\s+') AS p FROM w), n AS (SELECT *, CASE WHEN p = '' THEN 0 ELSE len(regexp_extract_all(text, p)) END AS n FROM p),
+t AS (SELECT doc_id, text, n, CASE WHEN n = 1 THEN replace(text, regexp_extract(text, p), 'first $1 SECOND') ELSE text END AS t1 FROM n)
+SELECT doc_id, sha256(CASE WHEN n = 1 AND doc_id % 3 <> 0 AND len(regexp_extract_all(t1, 'SECOND')) = 1 AND len(regexp_extract_all(replace(t1, 'SECOND', '\third'), 'first')) = 1 THEN replace(replace(t1, 'SECOND', '\third'), 'first', 'last') ELSE text END) AS sha FROM t""",
     "replaced_outside_urls": f"""WITH {NOTES}, g AS (SELECT doc_id, text || ' example and https://example.org/example an-example' AS t FROM dr)
 SELECT doc_id, list_sum(list_transform(s, lambda x: len(regexp_extract_all(x, '(?:^|[^\\w-])example(?:$|[^\\w-])'))))::INTEGER AS n, sha256(array_to_string(list_transform(list_zip(list_transform(s, lambda x: regexp_replace(x, '(^|[^\\w-])example($|[^\\w-])', '\\1sample\\2', 'g')), u), lambda z: z[1] || coalesce(z[2], '')), '')) AS sha
 FROM (SELECT doc_id, string_split_regex(t, 'https?://[^\\s)>\\]]+') AS s, regexp_extract_all(t, 'https?://[^\\s)>\\]]+') AS u FROM g)""",
