@@ -4,7 +4,7 @@ in another role; small ones are literal rows."""
 from pyspark.sql import functions as F
 
 from corpusloom.functions import norm
-from corpusloom.operators import desk, markdown, reconcile, text
+from corpusloom.operators import commonmark, desk, history, markdown, reconcile, text
 from corpusloom.plans.drafts import NOTES, RENDERED, collapse, drafts
 from corpusloom.plans.literals import frame, values
 from corpusloom.plans.oracles import ORACLES as CORE
@@ -68,15 +68,42 @@ def state_tallies(spark, d):
     return desk.tallies(three_way_rows(spark, d), "doc_id", ["unchanged", "push", "pull", "converged", "conflict", "unknown"])
 
 
-def revision_detection(spark, d):
-    """FZ11, AG11: which of four revisions of a document's lines a live copy still matches."""
+def _revisions(spark, d):
+    """Four revisions of each document's lines with marks, and a live copy, of which some have no marks."""
     docs = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.transform(F.split("text", "\n"), lambda s: F.md5(s)).alias("base"))
     revs = docs.select("doc_id", F.explode(F.array(*[F.lit(i) for i in range(4)])).alias("age"), "base")
     edited = F.transform("base", lambda h, i: F.when(F.pmod(i + F.col("age"), F.lit(4)) < F.col("age"), F.lit("x")).otherwise(h))
     marks = F.transform("base", lambda h, i: F.when(F.pmod(i, F.col("age") + 2) == 0, F.lit("m")).otherwise(F.lit("")))
     revs = revs.select("doc_id", F.concat(F.lit("r"), "age").alias("rev"), "age", F.when(F.col("age") == 3, F.slice("base", 1, 2)).otherwise(edited).alias("rows"), marks.alias("marks"))
     live = docs.select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("base")).when(F.col("doc_id") % 3 == 1, F.transform("base", lambda h, i: F.when(i % 4 == 3, F.lit("x")).otherwise(h))).otherwise(F.slice("base", 1, 2)).alias("rows"), F.when(F.col("doc_id") % 2 == 0, F.transform("base", lambda h, i: F.when(i % 3 == 0, F.lit("m")).otherwise(F.lit("")))).alias("marks"))
-    return desk.matching_revisions(revs, live, "doc_id").select("doc_id", "rev", "matched", F.round("score", 6).alias("score"))
+    return revs, live
+
+
+def revision_detection(spark, d):
+    """FZ11, AG11: which of four revisions of a document's lines a live copy still matches."""
+    return desk.matching_revisions(*_revisions(spark, d), "doc_id").select("doc_id", "rev", "matched", F.round("score", 6).alias("score"))
+
+
+def revision_history(spark, d):
+    """SC21: the same from validity intervals."""
+    revs, live = _revisions(spark, d)
+    return history.matching(history.intervals(revs, "doc_id"), history.sizes(revs, "doc_id"), live, "doc_id").select("doc_id", "rev", "matched", F.round("score", 6).alias("score"))
+
+
+def revision_intervals(spark, d):
+    """SC21: how many validity intervals each document's revisions have, and how many revisions they span."""
+    found = history.intervals(_revisions(spark, d)[0], "doc_id")
+    return found.groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("until") - F.col("since") + 1).alias("spanned"))
+
+
+def locus_ranges(spark, d):
+    """JN8, JN9: ranges of an order's number and four before and behind it, among the orders that a supplier's lines belong to (verses of
+    a chapter)."""
+    items = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("chapter"), F.col("l_orderkey").alias("verse")).distinct()
+    verses = items.withColumn("text", F.concat(F.lit("o"), "verse"))
+    loci = items.where("verse % 3 = 0").select(F.struct("chapter", "verse").alias("locus"), "chapter", (F.col("verse") - 400).alias("lo"), (F.col("verse") + 400).alias("hi"))
+    found = reconcile.in_range(loci, verses, ["chapter"])
+    return found.select("locus.chapter", "locus.verse", "text", "verses")
 
 
 def upper_medians(spark, d):
@@ -465,6 +492,13 @@ def stray_marks(spark, d):
     return markdown.stray_marks(body).groupBy("doc_id").agg(F.sum("stars").alias("stars"), F.count_if("tick").alias("ticks"))
 
 
+def strict_marks(spark, d):
+    """FL12: asterisks that a strict reading leaves in drafts' blocks (no SQL: a stack of runs)."""
+    docs = drafts(spark, d).withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("\n\nlone * star and *closed* one, *(*a) and [x](y*) `c*`"))).otherwise(F.col("text")))
+    found = commonmark.strict_marks(markdown.body_blocks(markdown.parsed(docs, "doc_id"), "doc_id"))
+    return found.groupBy("doc_id").agg(F.sum("stars").alias("stars"), F.count_if("tick").alias("ticks"))
+
+
 def backlog_places(spark, d):
     """TM8: the backlog of notes, oldest first (orders stand in)."""
     o = table(spark, d, "orders")
@@ -501,11 +535,11 @@ def edited_blocks(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        tag_used_by, pieces_per_group, state_tallies, revision_detection, upper_medians, last_verses, unbacked_megabytes, newest_first, schedule_by_moment, ignored_files, outlet_policies, published_dates, canonical_debts, schedule_states,
+        tag_used_by, pieces_per_group, state_tallies, revision_detection, revision_history, revision_intervals, locus_ranges, upper_medians, last_verses, unbacked_megabytes, newest_first, schedule_by_moment, ignored_files, outlet_policies, published_dates, canonical_debts, schedule_states,
         schedule_guards, lease_states, declared_outlets, reader_urls, live_urls, derived_urls, renames, notes_by_source, notes_by_post, same_images, unlisted_slugs, unknown_posts, preview_images, page_without_template, lost_images, lost_embeds,
         seeds, seal_verdicts, outlet_readiness, shelf_push, shelf_pull, shelf_rehash, snapshot_faults, talk_records, account_verdicts, index_times, front_matter, page_fragments, merged_fragments, placed_findings, applied_findings,
         replaced_outside_urls, rewrapped_lines, changed_keys, tag_plans, slide_keys, banners, page_drift, edited_blocks, three_way_marks,
-        held_states, out_of_range, stray_marks, backlog_places, section_minutes, deck_slides,
+        held_states, out_of_range, stray_marks, strict_marks, backlog_places, section_minutes, deck_slides,
     )
 }
 
@@ -551,6 +585,11 @@ v AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN b WHEN 1 THEN list_transform(b,
 m AS (SELECT doc_id, age, len(rws) AS n, len(lr) AS ln, len(list_filter(list_zip(rws, lr), lambda z: coalesce(z[1] = z[2], false))) AS matched, coalesce(len(list_filter(list_zip(marks, lm), lambda z: coalesce(z[1] = z[2], false)))::DOUBLE / len(marks), 0) AS bonus FROM r JOIN v USING (doc_id)),
 s AS (SELECT *, matched + CASE WHEN n = ln AND matched = n THEN 10000 ELSE 0 END + bonus AS score FROM m)
 SELECT doc_id, 'r' || age AS rev, matched::INTEGER AS matched, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, age) AS k FROM s) WHERE k = 1""",
+    "revision_intervals": f"""WITH {_LINES}, a AS (SELECT doc_id, b, unnest([0, 1, 2, 3]) AS age FROM l),
+r AS (SELECT doc_id, age, CASE WHEN age = 3 THEN b[1:2] ELSE list_transform(b, lambda h, i: CASE WHEN (i - 1 + age) % 4 < age THEN 'x' ELSE h END) END AS rws, list_transform(b, lambda h, i: CASE WHEN (i - 1) % (age + 2) = 0 THEN 'm' ELSE '' END) AS marks FROM a),
+p AS (SELECT doc_id, age, 'row' AS kind, unnest(rws) AS h, unnest(range(len(rws))) AS i FROM r UNION ALL SELECT doc_id, age, 'mark', unnest(marks), unnest(range(len(marks))) FROM r),
+c AS (SELECT *, CASE WHEN lag(h) OVER (PARTITION BY doc_id, kind, i ORDER BY age) = h AND lag(age) OVER (PARTITION BY doc_id, kind, i ORDER BY age) = age - 1 THEN 0 ELSE 1 END AS fresh FROM p)
+SELECT doc_id, kind, sum(fresh)::BIGINT AS n, count(*)::BIGINT AS spanned FROM c GROUP BY ALL""",
     "upper_medians": "SELECT source, list_min(v) AS least, v[len(v) // 2 + 1] AS median, list_max(v) AS greatest FROM (SELECT source, list_sort(list(n_chars)) AS v FROM documents WHERE n_chars IS NOT NULL GROUP BY source)",
     "last_verses": "SELECT o_orderkey AS section, coalesce(max(l_linenumber), 0)::BIGINT AS last FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_orderkey % 3 <> 0) ON l_orderkey = o_orderkey GROUP BY o_orderkey",
     "unbacked_megabytes": "SELECT source, count(*) AS files, round(sum(coalesce(octet_length(encode(text)), 0)) / 1048576, 3) AS mb FROM documents ANTI JOIN labels USING (doc_id) GROUP BY source",
@@ -633,3 +672,6 @@ CASE WHEN any_value(publication) IS NULL THEN 'no publication' WHEN any_value(pu
 ('d', 7, 'pos-07', 'Slide 7'), ('d', 8, 'a-very-long-title-that-goes-on-and-on-be', 'a very long title that goes on and on beyond'), ('e', 3, 's3', '!!!')) AS v(deck, n, key, label)""",
     "banners": "SELECT doc_id, sha256(CASE WHEN doc_id % 3 = 0 THEN text ELSE '> **Live as ' || doc_id || '**' || chr(10) || chr(10) || text END) AS sha, true AS settled FROM documents WHERE text IS NOT NULL",
 }
+ORACLES["revision_history"] = ORACLES["revision_detection"]
+ORACLES["locus_ranges"] = """WITH v AS (SELECT DISTINCT l_suppkey AS chapter, l_orderkey AS verse FROM lineitem)
+SELECT a.chapter, a.verse, string_agg('o' || b.verse, ' ' ORDER BY b.verse) AS text, count(*) AS verses FROM v a JOIN v b ON b.chapter = a.chapter AND b.verse BETWEEN a.verse - 400 AND a.verse + 400 WHERE a.verse % 3 = 0 GROUP BY ALL"""
