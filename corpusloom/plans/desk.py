@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import norm
 from corpusloom.operators import commonmark, desk, history, markdown, reconcile, text
+from corpusloom.plans import pieces
 from corpusloom.plans.drafts import NOTES, RENDERED, collapse, drafts
 from corpusloom.plans.literals import frame, values
 from corpusloom.plans.oracles import ORACLES as CORE
@@ -20,34 +21,12 @@ OUTLET_ROWS = [
     ("site", "site_url", 1, " Immediate ", "https://site.org/p", True, None, None, "web"), ("feed", "public_url", 2, "at_moment", "https://feed.org", None, "@Writer", None, "mail"), ("pro", "pro_url", 3, None, "https://pro.org/x/", None, "", "Work", "mail"),
     ("bare", "bare_url", 4, "immediately", None, None, None, "Home", "web"), ("second", "second_url", 5, "later", "https://second.org", None, "other", "Home", "mail"),
 ]
-PIECES = {"slug": "string", "folder": "string", "outlets": "array<string>", "published_at": "string", "publish_at": "string", "former": "array<string>"}
-PIECE_ROWS = [
-    ("towel", "towel", ["site", "feed"], "2026-01-02", "2026-03-01 09:00 UTC", ["old-towel", "towel", " ", "rag"]), ("mask", "thousand-faces", ["feed", "site", "feed", "nowhere"], None, "2026-04-01 09:00 America/New_York", None),
-    ("peak", "peak", [], None, "2026-04-01", []), ("calf", "calf", ["pro", "bare"], "", None, ["calf"]), ("none", "none", None, None, "2026-05-01T10:00:30+0200", None),
-]
-#: (slug, outlet, date) of the outlets on which pieces are live.
-DATES = {"slug": "string", "outlet": "string", "date": "string"}
-DATE_ROWS = [("mask", "feed", "2026-02-01"), ("calf", "bare", "2026-02-02"), ("towel", "feed", "")]
-FIELDS = {"slug": "string", "field": "string", "url": "string"}
-FIELD_ROWS = [("towel", "site_url", "https://site.org/p/towel/"), ("towel", "public_url", "https://feed.org/p/towel"), ("towel", "canonical", "https://feed.org/p/towel/"), ("mask", "public_url", "https://feed.org/p/mask"), ("mask", "pro_url", "https://pro.org/x/mask"), ("mask", "canonical", "https://else.org"), ("peak", "title", "Peak"), ("calf", "bare_url", "")]
-NOW = "2026-03-15 12:00:00"
-
-
 def _outlets(spark):
     return frame(spark, OUTLETS, OUTLET_ROWS)
 
 
-def _pieces(spark):
-    dates = frame(spark, DATES, DATE_ROWS).groupBy("slug").agg(F.map_from_entries(F.collect_list(F.struct("outlet", "date"))).alias("published"))
-    return frame(spark, PIECES, PIECE_ROWS).join(dates, "slug", "left")
-
-
-def _manifests(spark):
-    return frame(spark, FIELDS, FIELD_ROWS).groupBy("slug").agg(F.map_from_entries(F.collect_list(F.struct("field", "url"))).alias("fields"))
-
-
 def _now():
-    return F.to_timestamp(F.lit(NOW + " Z"), "yyyy-MM-dd HH:mm:ss VV")
+    return F.to_timestamp(F.lit(pieces.NOW + " Z"), "yyyy-MM-dd HH:mm:ss VV")
 
 
 def tag_used_by(spark, d):
@@ -124,13 +103,13 @@ def unbacked_megabytes(spark, d):
 
 
 def newest_first(spark, d):
-    """ST1: places of pieces by date, latest first, ties in their order (literal rows)."""
-    return desk.newest_first(frame(spark, PIECES, PIECE_ROWS).select("slug", F.when(F.col("published_at") != "", F.col("published_at")).alias("published_at"), F.length("slug").alias("ord")), "published_at", "slug").select("slug", "place")
+    """ST1: places of pieces by date, latest first, ties in their order."""
+    return desk.newest_first(pieces.pieces(spark, d).select("slug", F.when(F.col("published_at") != "", F.col("published_at")).alias("published_at"), F.length("slug").alias("ord")), "published_at", "slug").select("slug", "place")
 
 
 def schedule_by_moment(spark, d):
-    """ST6, TM3: a schedule in the order of its instants (literal rows)."""
-    out = desk.by_moment(frame(spark, PIECES, PIECE_ROWS), "slug", "publish_at")
+    """ST6, TM3: a schedule in the order of its instants."""
+    out = desk.by_moment(pieces.pieces(spark, d), "slug", "publish_at")
     return out.select("slug", "place", F.date_format(F.to_utc_timestamp("at", F.current_timezone()), "yyyy-MM-dd HH:mm:ss").alias("at"))
 
 
@@ -147,26 +126,24 @@ def outlet_policies(spark, d):
 
 
 def published_dates(spark, d):
-    """TM6: dates of pieces on each outlet (literal rows)."""
-    rows = _pieces(spark).crossJoin(F.broadcast(_outlets(spark).select(F.col("name").alias("outlet"))))  # five outlets
+    """TM6: dates of pieces on each outlet."""
+    rows = pieces.dated(spark, d).crossJoin(F.broadcast(_outlets(spark).select(F.col("name").alias("outlet"))))  # five outlets
     return rows.select("slug", "outlet", desk.published_on(F.col("published"), F.col("published_at"), F.col("outlet")).alias("date"))
 
 
 def canonical_debts(spark, d):
-    """TM5: immediate outlets on which a piece is not live yet (literal rows)."""
-    return desk.canonical_debt(_pieces(spark), _outlets(spark), "slug")
+    """TM5: immediate outlets on which a piece is not live yet."""
+    return desk.canonical_debt(pieces.dated(spark, d), _outlets(spark), "slug")
 
 
 def schedule_states(spark, d):
-    """TM7: whether outlets that wait know of a piece's moment (literal rows)."""
-    records = spark.createDataFrame([("mask", "feed"), ("towel", "feed")], "slug string, outlet string")
-    return desk.schedule_states(_pieces(spark), _outlets(spark), records, "slug", _now()).distinct()
+    """TM7: whether outlets that wait know of a piece's moment."""
+    return desk.schedule_states(pieces.dated(spark, d), _outlets(spark), pieces.records(spark, d), "slug", _now()).distinct()
 
 
 def schedule_guards(spark, d):
-    """XT16: requests to record a schedule (literal rows)."""
-    asked = spark.createDataFrame([("towel", "feed", "E, 2026-02-01"), ("mask", "feed", "E"), ("mask", "site", "E"), ("mask", "feed", " "), ("peak", "feed", "E"), ("zz", "feed", "E")], "slug string, outlet string, approved string")
-    return desk.schedule_guards(asked, _pieces(spark), _outlets(spark), "slug")
+    """XT16: requests to record a schedule."""
+    return desk.schedule_guards(pieces.requests(spark, d), pieces.dated(spark, d), _outlets(spark), "slug")
 
 
 def lease_states(spark, d):
@@ -176,18 +153,18 @@ def lease_states(spark, d):
 
 
 def declared_outlets(spark, d):
-    """JN3: declared outlets and whether the registry has them (literal rows)."""
-    return desk.declared_outlets(frame(spark, PIECES, PIECE_ROWS), _outlets(spark), "slug")
+    """JN3: declared outlets and whether the registry has them."""
+    return desk.declared_outlets(pieces.pieces(spark, d), _outlets(spark), "slug")
 
 
 def reader_urls(spark, d):
-    """PJ36: addresses of pieces by outlet (literal rows)."""
-    return desk.reader_urls(_manifests(spark), _outlets(spark), "slug").select("slug", "outlet", "url")
+    """PJ36: addresses of pieces by outlet."""
+    return desk.reader_urls(pieces.manifests(spark, d), _outlets(spark), "slug").select("slug", "outlet", "url")
 
 
 def live_urls(spark, d):
-    """PJ36: the one address of each piece (literal rows)."""
-    return desk.live_urls(_manifests(spark), _outlets(spark), "slug")
+    """PJ36: the one address of each piece."""
+    return desk.live_urls(pieces.manifests(spark, d), _outlets(spark), "slug")
 
 
 def derived_urls(spark, d):
@@ -199,8 +176,8 @@ def derived_urls(spark, d):
 
 
 def renames(spark, d):
-    """PJ38: other addresses of pieces (literal rows)."""
-    return desk.renames(frame(spark, PIECES, PIECE_ROWS))
+    """PJ38: other addresses of pieces."""
+    return desk.renames(pieces.pieces(spark, d))
 
 
 ALIASES = {"source": "string", "alias": "string", "weight": "long"}
@@ -290,8 +267,8 @@ def seal_verdicts(spark, d):
 
 
 def outlet_readiness(spark, d):
-    """XT11: what stands behind declared outlets (literal rows)."""
-    return desk.outlet_readiness(frame(spark, PIECES, PIECE_ROWS), _outlets(spark), "slug", "feed").distinct()
+    """XT11: what stands behind declared outlets."""
+    return desk.outlet_readiness(pieces.pieces(spark, d), _outlets(spark), "slug", "feed").distinct()
 
 
 def _shelf(spark, d):
@@ -544,13 +521,10 @@ QUERIES = {
 }
 
 
-_OUT, _PIE, _DAT = values("o", OUTLETS, OUTLET_ROWS), values("p", PIECES, PIECE_ROWS), values("t", DATES, DATE_ROWS)
+_OUT, _PIE, _DAT, _MOMENTS, _FLD = values("o", OUTLETS, OUTLET_ROWS), pieces.PIECES, pieces.DATES, pieces.MOMENTS, pieces.FIELDS
 _POLICY = "CASE WHEN lower(trim(on_schedule)) = 'immediate' THEN 'immediate' ELSE 'at_moment' END"
-#: Instants of the literal moments; those without a zone have none.
-_MOMENTS = "w(slug, \"at\") AS (VALUES ('towel', TIMESTAMP '2026-03-01 09:00:00'), ('mask', TIMESTAMP '2026-04-01 13:00:00'), ('none', TIMESTAMP '2026-05-01 08:00:30'))"
 _DATES = f"{_PIE}, {_OUT}, {_DAT}, dd AS (SELECT p.slug, o.name AS outlet, coalesce(nullif(t.date, ''), nullif(p.published_at, '')) AS date FROM p CROSS JOIN o LEFT JOIN t ON t.slug = p.slug AND t.outlet = o.name)"
 _DEBT = f"{_DATES}, db AS (SELECT slug, outlet FROM (SELECT slug, unnest(outlets) AS outlet FROM p) JOIN dd USING (slug, outlet) JOIN o ON o.name = outlet WHERE {_POLICY} = 'immediate' AND date IS NULL)"
-_FLD = values("f", FIELDS, FIELD_ROWS)
 _URLS = f"{_FLD}, {_OUT}, u AS (SELECT slug, name AS outlet, ord, regexp_replace(url, '/+$', '') AS url FROM f JOIN o ON o.manifest_url_key = f.field WHERE url <> '')"
 _SHELF = r"""
 dc AS (SELECT 'f' || doc_id AS file, sha256(text) AS sha, doc_id FROM documents WHERE text IS NOT NULL), fi AS (SELECT file, sha FROM dc WHERE doc_id % 9 <> 8),
@@ -599,9 +573,9 @@ SELECT doc_id, kind, sum(fresh)::BIGINT AS n, count(*)::BIGINT AS spanned FROM c
     "outlet_policies": f"WITH {_OUT} SELECT name, {_POLICY} AS policy FROM o",
     "published_dates": f"WITH {_DATES} SELECT * FROM dd",
     "canonical_debts": f"WITH {_DEBT} SELECT * FROM db",
-    "schedule_states": f"""WITH {_PIE}, {_OUT}, {_MOMENTS}, e AS (SELECT DISTINCT slug, unnest(outlets) AS outlet FROM p)
-SELECT slug, outlet, CASE WHEN {_POLICY} = 'at_moment' AND "at" > TIMESTAMP '{NOW}' THEN CASE WHEN (slug, outlet) IN (('mask', 'feed'), ('towel', 'feed')) THEN 'scheduled' ELSE 'unscheduled' END END AS state FROM e JOIN o ON o.name = outlet LEFT JOIN w USING (slug)""",
-    "schedule_guards": f"""WITH {_DEBT}, {_MOMENTS}, q(slug, outlet, approved) AS (VALUES ('towel', 'feed', 'E, 2026-02-01'), ('mask', 'feed', 'E'), ('mask', 'site', 'E'), ('mask', 'feed', ' '), ('peak', 'feed', 'E'), ('zz', 'feed', 'E'))
+    "schedule_states": f"""WITH {_PIE}, {_OUT}, {_MOMENTS}, {pieces.RECORDS}, e AS (SELECT DISTINCT slug, unnest(outlets) AS outlet FROM p)
+SELECT slug, outlet, CASE WHEN {_POLICY} = 'at_moment' AND "at" > TIMESTAMP '{pieces.NOW}' THEN CASE WHEN (slug, outlet) IN (SELECT (slug, outlet) FROM rec) THEN 'scheduled' ELSE 'unscheduled' END END AS state FROM e JOIN o ON o.name = outlet LEFT JOIN w USING (slug)""",
+    "schedule_guards": f"""WITH {_DEBT}, {_MOMENTS}, {pieces.REQUESTS}
 SELECT q.slug, q.outlet, CASE WHEN "at" IS NULL THEN 'no moment' WHEN trim(approved) = '' THEN 'no approval' WHEN {_POLICY} <> 'immediate' AND q.slug IN (SELECT slug FROM db) THEN 'canonical first' ELSE 'record' END AS verdict FROM q LEFT JOIN w ON w.slug = q.slug LEFT JOIN o ON o.name = q.outlet""",
     "lease_states": """SELECT event_id AS id, floor((epoch(TIMESTAMP '2024-01-02') - floor(epoch(ts))) / 60)::BIGINT AS age,
 NOT coalesce(CASE WHEN event_type <> 'error' THEN event_type = 'click' END, false) AND floor((epoch(TIMESTAMP '2024-01-02') - floor(epoch(ts))) / 60) > 240 AS abandoned FROM events""",

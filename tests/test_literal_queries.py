@@ -5,8 +5,8 @@ import pytest
 
 from corpusloom.plans.registry import ORACLES, QUERIES
 
-NAMES = """titles title_claims citation_signals identifiers verification_findings verification_states manifest_findings status_findings companion_findings title_disagreements claims_by_slug newest_first
-schedule_by_moment outlet_policies published_dates canonical_debts schedule_states schedule_guards declared_outlets reader_urls live_urls renames preview_images outlet_readiness snapshot_faults talk_records account_verdicts applied_findings
+NAMES = """titles title_claims citation_signals identifiers verification_findings verification_states manifest_findings status_findings companion_findings title_disagreements claims_by_slug 
+outlet_policies preview_images snapshot_faults talk_records account_verdicts 
 slide_keys edited_blocks deck_slides page_rows marked_verses embedded_posts manifest_lines repeated_keys locus_texts quotation_matches locus_verdicts scripture_spans""".split()
 
 
