@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import norm
 from corpusloom.operators import markdown as md
-from corpusloom.plans.literals import frame, values
+from corpusloom.plans import made
 from corpusloom.plans.oracles import page_text, short, source_text
 
 HEAD = "title: a title\n---\n<!-- hidden\nremark -->\n"
@@ -195,26 +195,15 @@ def draft_article(spark, d):
     return md.article(drafts(spark, d), "doc_id").select("doc_id", "part", "idx", F.sha2("html", 256).alias("sha"), "figure")
 
 
-TITLES = [
-    ("a", "# Secondhand *(slug `hearing`)*\ntext", "*None but He*", "poem", "one\ntwo\n\nthree\n"),
-    ("b", "intro\n# In the Name (The Ambassador)\n# Other", "***Deep* title***", "letter", "one\ntwo\n\n\t\nthree  four"),
-    ("c", "## no first level", "_under_ score", "poem", ""),
-    ("d", "#no space\n#   ", "**two** **parts**", None, "x\r\ny"),
-    ("e", None, None, "letter", None),
-    ("f", "## the-towel *(working title **The Towel**)*\n- [*The Mask*](https://x.org/the-mask/)\n  (`the-mask`) and *Peak* (`peak-two`)", "__wide__", "letter", "see [*The Highest Peak*](../the-optimal/README.md) and [two\nlines](pieces/x/)\n\nbroken [a](https://x.org/p/\nb)"),
-]
-TITLE_TYPES = {"id": "string", "text": "string", "name": "string", "form": "string", "body": "string"}
-
-
 def titles(spark, d):
-    """PJ31, PJ32, PJ33, PJ25: headings, names without emphasis, stanzas by form, broken addresses (literal rows)."""
-    t = frame(spark, TITLE_TYPES, TITLES)
+    """PJ31, PJ32, PJ33, PJ25: headings, names without emphasis, stanzas by form, broken addresses."""
+    t = made.rows(spark, d, made.TITLES)
     return t.select("id", md.h1_title(F.col("text")).alias("title"), md.unemphasized(F.col("name")).alias("name"), F.array_join(md.stanzas(F.col("body"), F.col("form")), "|").alias("parts"), md.has_wrapped_url(F.col("body")).alias("wrapped"))
 
 
 def title_claims(spark, d):
-    """PJ33, JN19, AG16: titles that texts claim for slugs (literal rows)."""
-    t = frame(spark, TITLE_TYPES, TITLES)
+    """PJ33, JN19, AG16: titles that texts claim for slugs."""
+    t = made.rows(spark, d, made.TITLES)
     both = t.select("id", F.explode(md.title_claims(F.concat_ws("\n", "text", "body"))).alias("c"))
     return both.select("id", "c.slug", "c.title")
 
@@ -247,6 +236,9 @@ _PLAIN = "t"
 for _p, _to in ((r"!\[[^\]]*\]\([^)]*\)", ""), (r"\[([^\]]*)\]\([^)]*\)", r"\1"), (r"(?m)^\[\^[^\]]+\]:.*$", ""), (r"\[\^[^\]]+\]", ""), (r"(?m)^#+\s*", ""), (r"(?m)^[-*]\s+", ""), (r"[*_`>]", "")):
     _PLAIN = f"regexp_replace({_PLAIN}, '{_p}', '{_to}', 'g')"
 
+#: Marks of emphasis as patterns, the longest first.
+MARKS = (r"\*\*\*", r"\*\*", r"\*", "__", "_")
+
 ORACLES = {
     "page_reader_text": f"SELECT page_id, sha256({reader_sql('html')}) AS sha256 FROM pages",
     "source_text_digests": f"SELECT item_id, {source_text('strip_accents(text)')} AS normal FROM benchmark",
@@ -291,12 +283,14 @@ r AS (SELECT doc_id, list_concat(regexp_extract_all(t, '\*([^*]{12,})\*', 1), re
 u AS (SELECT doc_id, unnest(l) AS span, unnest(range(len(l))) AS pos FROM r),
 k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(regexp_replace(span, '[^A-Za-z0-9]+', ' ', 'g')) ORDER BY pos) AS nth FROM u WHERE regexp_matches(span, '[A-Za-z0-9]'))
 SELECT doc_id, span FROM k WHERE nth = 1""",
-    "titles": f"WITH {values('t', TITLE_TYPES, TITLES)} "
-    r"""SELECT id, nullif(trim(regexp_replace(trim(regexp_extract(text, '(?m)^# (.*)$', 1)), '\s*\*\(.*\z', '')), '') AS title,
-CASE id WHEN 'a' THEN 'None but He' WHEN 'b' THEN 'Deep* title' WHEN 'f' THEN 'wide' WHEN 'd' THEN 'two** **parts' ELSE name END AS name,
+    "titles": f"WITH {made.SQL['titles']}, "
+    + ", ".join(f"u{i} AS (SELECT * REPLACE (trim(CASE {' '.join(f"WHEN regexp_matches(name, '(?s)\\A{m}(.+?){m}\\z') THEN regexp_extract(name, '(?s)\\A{m}(.+?){m}\\z', 1)" for m in MARKS)} ELSE name END) AS name) FROM {source})" for i, source in enumerate(("(SELECT * REPLACE (trim(name) AS name) FROM t)", "u0", "u1")))
+    + r""" SELECT id, nullif(trim(regexp_replace(trim(regexp_extract(text, '(?m)^# (.*)$', 1)), '\s*\*\(.*\z', '')), '') AS title,
+name,
 array_to_string(list_filter(list_transform(string_split_regex(body, '\n[ \t]*\n'), lambda p: CASE WHEN form = 'poem' THEN regexp_replace(p, '\A\s+|\s+\z', '', 'g') ELSE trim(regexp_replace(p, '\s+', ' ', 'g')) END), lambda p: p <> ''), '|') AS parts,
-regexp_matches(body, '\]\(\s*https?://[^)]*?\n[^)]*?\)') AS wrapped FROM t""",
-    "title_claims": "SELECT * FROM (VALUES ('f', 'the-towel', 'The Towel'), ('f', 'the-mask', 'The Mask'), ('f', 'peak-two', 'Peak'), ('f', 'the-optimal', 'The Highest Peak'), ('f', 'x', 'two lines')) AS v(id, slug, title)",
+regexp_matches(body, '\]\(\s*https?://[^)]*?\n[^)]*?\)') AS wrapped FROM u2""",
+    "title_claims": f"""WITH d AS (SELECT k::VARCHAR AS id, w FROM {made.DOCS} WHERE k % 6 = 5)
+SELECT id, 'long-walk' AS slug, w AS title FROM d WHERE w <> '' UNION ALL SELECT id, 'the-gate', trim('A ' || w) FROM d UNION ALL SELECT id, 'hill-two', trim('Hill ' || w) FROM d UNION ALL SELECT id, 'long-walk', trim('The ' || w) FROM d UNION ALL SELECT id, 'x', 'two lines' FROM d""",
     "normal_forms": f"WITH {_T} SELECT item_id, {_FLAT} AS n1, 'say “it’s” (‘so’)' AS n2, {short('m')} AS n4, "
     rf"CASE WHEN NOT regexp_matches(t, '[^\x00-\x7F“”–]') THEN trim(regexp_replace(regexp_replace(lower(translate({_FLAT}, '[]', '')), '[^a-z0-9'' ]+', ' ', 'g'), ' +', ' ', 'g')) END AS n6, "
     rf"trim(regexp_replace(replace({_FLAT}, '–', '-'), '\s+', ' ', 'g')) AS n8, trim(regexp_replace({_FLAT}, '\s+', ' ', 'g')) AS n9, trim(regexp_replace({_PLAIN}, '\s+', ' ', 'g')) AS n11, "

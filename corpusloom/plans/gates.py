@@ -1,41 +1,11 @@
-"""Queries of the gates, and their DuckDB SQL; most subjects are literal rows, as no table holds scaffolds or manifests."""
+"""Queries of the gates, and their DuckDB SQL: scaffolds, manifests and claims are made of documents."""
 
 from pyspark.sql import functions as F
 
 from corpusloom.operators import gates
-from corpusloom.plans.literals import frame, values
-
-NOTE_TYPES = {"id": "long", "note": "string"}
-NOTE_ROWS = [(1, "Smith, 1984, p. 12"), (2, "pp. 12-13 of it"), (3, "see ch. II"), (4, "505 U.S. 833"), (5, "§ 12 holds"), (6, "Qur'an 112 (al-Ikhlas)"), (7, "only my own view"), (8, None), (9, ""), (10, "chap. iv, about 1499"), (11, "the year 2099 and 3000")]
-NAME_TYPES = {"name": "string"}
-NAME_ROWS = [("a",), ("the-towel-2",), ("The-Towel",), ("a--b",), ("-a",), ("a-",), ("",), (None,), ("a b",), ("0",)]
-PIECE_TYPES = {"slug": "string", "manifest": "string", "draft": "string"}
-PIECE_ROWS = [
-    ("clear", "title: x\nverified:\n  date: 2026-01-01\n", "all anchors verified against print\n---\nBody † checked on the page."),
-    ("logged", "title: x\n", "head\n---\nBody."),
-    ("lapsed", "verified: 2026-02-02 by us\n", "head\n---\nBody † verify this claim † (internal: confirmed)"),
-    ("scaffolded", "title: y\n", "head\n---\nzero † markers remain"),
-    ("doubtful", "verified: yes", "this is UNVERIFIED here\n---\nUNVERIFIED below counts for nothing"),
-    ("bare", None, None),
-]
-FILE_TYPES = {"slug": "string", "name": "string", "text": "string"}
-FILE_ROWS = [
-    ("clear", "README.md", "Nothing unverified is asserted. All 12 references were checked."),
-    ("clear", "log/2026-01.md", "the full unverified anchor ledger"),
-    ("logged", "log/a.md", "the full unverified anchor ledger, and a standing caveat.\nSecond line: must be checked against the print"),
-    ("lapsed", "notes.md", "Please verify the quote before publishing it. Nothing else."),
-    ("scaffolded", "README.md", "All scripture loci verified 2026-03-01.\nconfirm the date before print? no: zero unverified markers"),
-    ("doubtful", "other.md", "UNVERIFIED but not looked at"),
-    ("bare", "notes.md", None),
-]
-MANIFEST_TYPES = {"slug": "string", "type": "string", "title": "string", "title_note": "string", "subtitle": "string", "subtitle_note": "string", "cover_caption": "string", "cover_alt": "string"}
-MANIFEST_ROWS = [
-    ("full", None, "A", "settled 2026-09-02 (replaced the working title B)", "S", None, "What the towel means", "A towel on a rail"),
-    ("open", "post", "A", "working title, not yet settled", " ", "proposed", "An imagined scene, not a likeness", None),
-    ("page", "page", "A", None, None, None, None, None),
-    ("none", "page", "", "TBD", None, "unsettled", "The old towel on a rail again", "An old towel on a rail, seen at dawn"),
-    ("null", None, None, None, None, None, "Photo by X", "x"),
-]
+from corpusloom.plans import made
+from corpusloom.plans.literals import frame
+
 STATUS_TYPES = {"file": "string", "text": "string"}
 STATUS_ROWS = [
     ("index.md", "Live pieces link to their reader URL.\n\n- `alpha-piece` is unpublished so far.\n  It waits.\n- `beta-piece` stands here without a link\n- [Gamma Piece](https://site.org/p/gamma) is `gamma-piece`, live\n| `alpha-piece` | x |\n| unpublished | `beta-piece` |\n\nFour are unpublished drafts. The live ones: `alpha-piece`.\n\n`alpha-piece` was formerly unpublished.\n\n# 2026-01-01 log\n- `alpha-piece` is unpublished"),
@@ -43,17 +13,11 @@ STATUS_ROWS = [
     ("none.md", None),
 ]
 STATUS_MANIFESTS = [("alpha-piece", "Alpha", [("site", "https://site.org/p/alpha"), ("feed", "https://feed.org/alpha")]), ("beta-piece", "Beta", [("feed", "https://feed.org/beta")]), ("gamma-piece", "Gamma Piece", []), ("delta-piece", "The Delta", [])]
-COMPANION_TYPES = {"slug": "string", "form": "string", "voice": "string", "kind": "string", "body": "string"}
-COMPANION_ROWS = [("a", "poem", "bard", "plain", "some **bold** lines"), ("b", "sonnet", "bard", "note", "see https://x.org"), ("c", "letter", "bard", "plain", "fine"), ("d", None, None, None, " "), ("e", "letter", None, "note", "fine")]
-CLAIM_TYPES = {"slug": "string", "title": "string", "file": "string", "line": "long"}
-CLAIM_ROWS = [("a", "They/Them", "x.md", 1), ("a", "They/Them: The Pronoun", "x.md", 2), ("a", "They / Them", "y.md", 1), ("b", "“Be”  good", "y.md", 3), ("a", "They/Them", "x.md", 1), ("zz", "Unknown", "y.md", 9), ("b", "Be good — Now", "z.md", 1), ("b", None, "z.md", 2)]
-OWN_TYPES = {"slug": "string", "title": "string", "subtitle": "string"}
-OWN_ROWS = [("a", "They/Them", "The Pronoun"), ("b", '"Be" good', None)]
 
 
 def citation_signals(spark, d):
-    """FL3: notes that cite (literal rows), with a canon that has no index."""
-    return frame(spark, NOTE_TYPES, NOTE_ROWS).select("id", gates.is_citation(F.col("note")).alias("plain"), gates.is_citation(F.col("note"), r"\b(Qur'an|Gita)\s+\d+").alias("with_canon"))
+    """FL3: notes that cite, with a canon that has no index."""
+    return made.rows(spark, d, made.NOTES).select("id", gates.is_citation(F.col("note")).alias("plain"), gates.is_citation(F.col("note"), r"\b(Qur'an|Gita)\s+\d+").alias("with_canon"))
 
 
 def citing_lines(spark, d):
@@ -63,8 +27,8 @@ def citing_lines(spark, d):
 
 
 def identifiers(spark, d):
-    """FL19: names that may be slugs or tags (literal rows)."""
-    return frame(spark, NAME_TYPES, NAME_ROWS).select("name", gates.is_identifier(F.col("name")).alias("ok"))
+    """FL19: names that may be slugs or tags."""
+    return made.rows(spark, d, made.NAMES).select("name", gates.is_identifier(F.col("name")).alias("ok"))
 
 
 def source_identifiers(spark, d):
@@ -74,18 +38,18 @@ def source_identifiers(spark, d):
 
 
 def verification_findings(spark, d):
-    """FL5: doubts that scaffolds and drafts still record (literal rows)."""
-    return gates.verification_findings(frame(spark, PIECE_TYPES, PIECE_ROWS), frame(spark, FILE_TYPES, FILE_ROWS), "slug").select("slug", "file", "label", "blocks")
+    """FL5: doubts that scaffolds and drafts still record."""
+    return gates.verification_findings(made.rows(spark, d, made.PIECES), made.files(spark, d), "slug").select("slug", "file", "label", "blocks")
 
 
 def verification_states(spark, d):
-    """FL5: where a clearance stands, and whether a piece is clear (literal rows)."""
-    return gates.verification_states(frame(spark, PIECE_TYPES, PIECE_ROWS), frame(spark, FILE_TYPES, FILE_ROWS), "slug")
+    """FL5: where a clearance stands, and whether a piece is clear."""
+    return gates.verification_states(made.rows(spark, d, made.PIECES), made.files(spark, d), "slug")
 
 
 def manifest_findings(spark, d):
-    """FL6, WN8: what manifests lack and what their remarks leave open (literal rows)."""
-    return gates.manifest_findings(frame(spark, MANIFEST_TYPES, MANIFEST_ROWS), "slug")
+    """FL6, WN8: what manifests lack and what their remarks leave open."""
+    return gates.manifest_findings(made.rows(spark, d, made.MANIFESTS), "slug")
 
 
 def status_findings(spark, d):
@@ -103,8 +67,8 @@ def status_blocks(spark, d):
 
 
 def companion_findings(spark, d):
-    """FL13: companions that break a rule (literal rows)."""
-    return gates.companion_findings(frame(spark, COMPANION_TYPES, COMPANION_ROWS), ["poem", "letter"], {"bard": "poem"}, "slug")
+    """FL13: companions that break a rule."""
+    return gates.companion_findings(made.rows(spark, d, made.COMPANIONS), ["poem", "letter"], {"bard": "poem"}, "slug")
 
 
 def text_layer_missing(spark, d):
@@ -115,13 +79,13 @@ def text_layer_missing(spark, d):
 
 
 def title_disagreements(spark, d):
-    """JN19: claims that name a piece otherwise than it is called (literal rows)."""
-    return gates.title_disagreements(frame(spark, CLAIM_TYPES, CLAIM_ROWS), frame(spark, OWN_TYPES, OWN_ROWS)).distinct()
+    """JN19: claims that name a piece otherwise than it is called."""
+    return gates.title_disagreements(made.claims(spark, d), made.rows(spark, d, made.OWN)).distinct()
 
 
 def claims_by_slug(spark, d):
-    """AG16: distinct claims by slug (literal rows)."""
-    return gates.claims_by_slug(frame(spark, CLAIM_TYPES, CLAIM_ROWS))
+    """AG16: distinct claims by slug."""
+    return gates.claims_by_slug(made.claims(spark, d))
 
 
 def shape_hits(spark, d):
@@ -140,7 +104,7 @@ QUERIES = {
 }
 
 _CITES = r"regexp_matches({0}, '\b(1[5-9]\d\d|20\d\d)\b|\bpp?\.\s*\d|\bch(?:ap)?\.\s*\w|\b\d+\s+U\.S\.\s+\d+|§\s*\d')"
-_PIECES, _FILES = values("p", PIECE_TYPES, PIECE_ROWS), values("f", FILE_TYPES, FILE_ROWS)
+_PIECES, _FILES = made.SQL["p"], made.SQL["f"]
 _CLEAR = gates.CLEARED.replace("'", "''")
 #: Sentences end with . ! ? or a line's end; the last may have no end.
 _SENTENCES = r"regexp_extract_all({0}, '[^.!?\n]*[.!?\n]|[^.!?\n]+\z')"
@@ -155,13 +119,13 @@ v AS (SELECT slug, file, label, log FROM h UNION ALL SELECT slug, 'draft.md', 'd
 k AS (SELECT slug, coalesce(regexp_matches(manifest, '(?m)^\\s*verified\\s*:'), false) AS cleared FROM p),
 w AS (SELECT slug, file, label, NOT (log AND cleared) AS blocks FROM v JOIN k USING (slug))"""
 _SCAFFOLD = gates.SCAFFOLD_CLEARANCE.replace("'", "''")
-_MANIFESTS = values("m", MANIFEST_TYPES, MANIFEST_ROWS)
+_MANIFESTS = made.SQL["m"]
 _OPEN = "regexp_matches({0}, '" + gates.UNSETTLED + r"') AND NOT (regexp_matches(regexp_replace({0}, '(?i)not (yet )?settled|unsettled', '', 'g'), '(?i)settled\b') AND NOT regexp_matches({0}, '(?i)not (?:yet )?settled|unsettled'))"
 
 ORACLES = {
-    "citation_signals": f"WITH {values('n', NOTE_TYPES, NOTE_ROWS)} SELECT id, coalesce({_CITES.format('note')}, false) AS plain, coalesce({_CITES.format('note')} OR regexp_matches(note, '\\b(Qur''an|Gita)\\s+\\d+'), false) AS with_canon FROM n",
+    "citation_signals": f"WITH {made.SQL['n']} SELECT id, coalesce({_CITES.format('note')}, false) AS plain, coalesce({_CITES.format('note')} OR regexp_matches(note, '\\b(Qur''an|Gita)\\s+\\d+'), false) AS with_canon FROM n",
     "citing_lines": f"SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE {_CITES.format("regexp_replace(line, '[À-ɏ]', 'x', 'g')")} GROUP BY doc_id",
-    "identifiers": f"WITH {values('n', NAME_TYPES, NAME_ROWS)} SELECT name, coalesce(regexp_full_match(name, '[a-z0-9]+(-[a-z0-9]+)*'), false) AS ok FROM n",
+    "identifiers": f"WITH {made.SQL['names']} SELECT name, coalesce(regexp_full_match(name, '[a-z0-9]+(-[a-z0-9]+)*'), false) AS ok FROM n",
     "source_identifiers": "SELECT source, count(*) AS n, coalesce(regexp_full_match(source, '[a-z0-9]+(-[a-z0-9]+)*'), false) AS ok FROM documents GROUP BY source",
     "verification_findings": f"WITH {_FOUND} SELECT * FROM w",
     "verification_states": f"""WITH {_FOUND}, o AS (SELECT slug, count(*) AS n FROM w WHERE blocks GROUP BY slug),
@@ -180,14 +144,14 @@ m AS (SELECT doc_id, n, CASE (doc_id + n) % 5 WHEN 0 THEN '- ' || s WHEN 1 THEN
 s AS (SELECT *, CASE WHEN starts_with(ltrim(c), '|') OR regexp_matches(c, '\A[-*+] ') OR coalesce(lag(starts_with(ltrim(c), '|') OR trim(c) = '') OVER (PARTITION BY doc_id ORDER BY n), true) THEN 1 ELSE 0 END AS first FROM m),
 g AS (SELECT *, sum(first) OVER (PARTITION BY doc_id ORDER BY n) AS g FROM s)
 SELECT doc_id, (min(n) + 1)::INTEGER AS line, sha256(string_agg(c, chr(10) ORDER BY n)) AS sha FROM g WHERE trim(c) <> '' GROUP BY doc_id, g""",
-    "companion_findings": f"""WITH {values('c', COMPANION_TYPES, COMPANION_ROWS)} SELECT slug, 'unknown form' AS finding FROM c WHERE coalesce(form, '') NOT IN ('poem', 'letter')
+    "companion_findings": f"""WITH {made.SQL['companions']} SELECT slug, 'unknown form' AS finding FROM c WHERE coalesce(form, '') NOT IN ('poem', 'letter')
 UNION ALL SELECT slug, 'voice writes another form' FROM c WHERE voice = 'bard' AND coalesce(form, '') <> 'poem' UNION ALL SELECT slug, 'markdown in plain text' FROM c WHERE kind = 'plain' AND (contains(body, '**') OR contains(body, '__') OR contains(body, ']('))
 UNION ALL SELECT slug, 'address in a note' FROM c WHERE kind = 'note' AND regexp_matches(body, 'https?://') UNION ALL SELECT slug, 'empty' FROM c WHERE trim(coalesce(body, '')) = ''""",
     "text_layer_missing": r"SELECT page_id, octet_length(encode(html)) > 3000 AND length(regexp_replace(html, '(?s)<script.*?</script>|<[^>]+>', '', 'g')) < 1500 AS missing FROM pages",
-    "title_disagreements": f"""WITH {values('c', CLAIM_TYPES, CLAIM_ROWS)}, {values('o', OWN_TYPES, OWN_ROWS)},
+    "title_disagreements": f"""WITH {made.SQL['claims']}, {made.SQL['own']},
 n AS (SELECT c.*, trim(regexp_replace(translate(c.title, '‘’“”', '''''""'), '\\s+', ' ', 'g')) AS t, o.title AS a, o.subtitle AS b FROM c JOIN o USING (slug))
 SELECT DISTINCT slug, title, file, line FROM n WHERE t <> a AND coalesce(t <> a || ': ' || b, true) AND coalesce(t <> a || ' — ' || b, true) AND coalesce(t <> a || ' - ' || b, true)""",
-    "claims_by_slug": f"WITH {values('c', CLAIM_TYPES, CLAIM_ROWS)} SELECT slug, count(DISTINCT (title, file, line)) FILTER (title IS NOT NULL) AS claims, count(DISTINCT title) AS titles FROM c GROUP BY slug",
+    "claims_by_slug": f"WITH {made.SQL['claims']} SELECT slug, count(DISTINCT (title, file, line)) FILTER (title IS NOT NULL) AS claims, count(DISTINCT title) AS titles FROM c GROUP BY slug",
     "shape_hits": r"""
 WITH f AS (SELECT doc_id, regexp_replace(text, '[\s\x0B]+', ' ', 'g') AS t FROM documents WHERE text IS NOT NULL), p(shape, pattern) AS (VALUES ('opening', '(?i)\b(that is|this is)\b'), ('opening', '(?i)\bof the\b'), ('terms', '(?i)\bfrom (?:a|an|the)\b'), ('terms', '(?i)\band the\b')),
 q AS (SELECT doc_id, shape, pattern, t FROM f, p WHERE NOT (shape = 'terms' AND len(regexp_extract_all(t, pattern)) >= 3)),

@@ -5,7 +5,7 @@ import pytest
 
 from corpusloom.plans.registry import ORACLES, QUERIES
 
-NAMES = """titles title_claims citation_signals identifiers verification_findings verification_states manifest_findings status_findings companion_findings title_disagreements claims_by_slug 
+NAMES = """status_findings 
 outlet_policies preview_images snapshot_faults talk_records account_verdicts 
 slide_keys edited_blocks deck_slides page_rows marked_verses embedded_posts manifest_lines repeated_keys locus_texts quotation_matches locus_verdicts scripture_spans""".split()
 
