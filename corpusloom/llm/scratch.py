@@ -1,6 +1,6 @@
 """Intermediate tables in the folder that the cluster shares (spark.checkpoint.dir)."""
 
-import gc
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,16 +53,38 @@ def release(spark: SparkSession, since: int) -> None:
     del paths[since:-1]
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that cut() has written and that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for path in [p for p in _paths(spark) if any(f"/{p.rpartition('/')[2]}/" in f for f in df.inputFiles())]:
+            _delete(spark, path)
+            _paths(spark).remove(path)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def settle(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of what has ended: it does so once the driver's collector finds them unused, which
-    a driver with little garbage of its own may put off until disks are full."""
-    gc.collect()
-    spark._jvm.System.gc()
+@contextlib.contextmanager
+def settings(spark: SparkSession, **values: str):
+    """Settings of the session, named with _ for a dot, that hold within."""
+    keys = {k.replace("_", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def tidy(spark: SparkSession):
+    """Within, a query's shuffle files are deleted when it ends, instead of when the driver's collector finds them unused. For queries
+    whose result is written."""
+    return settings(spark, spark_sql_classic_shuffleDependency_fileCleanup_enabled="true")
 
 
 def clean(spark: SparkSession) -> None:

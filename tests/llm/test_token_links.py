@@ -1,6 +1,5 @@
 import hashlib
 from collections import Counter
-from functools import partial
 
 import pytest
 from tests.llm.cases import SCHEMA, documents
@@ -65,6 +64,11 @@ def test_equals_whole_texts(spark):
     assert found(docs) == brute([r[:2] for r in rows])
 
 
+def test_segments_of_plain_and_odd_texts():
+    for text in ODD + [r[1] for r in documents() if r[1]]:
+        assert T._cut(text) == [s[1:] for s in T._PLACE.split(" " + text)] and " " + " ".join(T._cut(text)) == " " + text
+
+
 def test_tables_without_tokens(spark):
     assert found(spark.createDataFrame([], SCHEMA)) == []
     rows = [(1, None, "", "", 0, 0, ""), (2, "", "", "", 0, 0, ""), (3, "a▁", "", "", 0, 0, "")]
@@ -78,11 +82,11 @@ def test_texts_that_differ_are_left_out(spark, monkeypatch):
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        for b in T._tokens(batches, byte_json, piece_model):
-            yield b.set_column(2, "same", pc.and_(b.column("same"), pc.not_equal(b.column("segment"), pa.scalar(" bad"))))
+        for b in real(batches, byte_json, piece_model):
+            yield b.set_column(2, "same", pc.and_(b.column("same"), pc.not_equal(b.column("segment"), pa.scalar("bad"))))
 
-    real = partial
-    monkeypatch.setattr(T, "partial", lambda f, **options: real(odd, **options))
+    real = T._tokens
+    monkeypatch.setattr(T, "_tokens", odd)
     rows = [(i, t, "", "", 0, 0, "") for i, t in enumerate(["some good words", "a bad word", "good", "bad bad", "words of bad"])]
     docs = spark.createDataFrame(rows, SCHEMA)
     want = brute([(i, t) if "bad" not in t else (i, None) for i, t, *_ in rows])
