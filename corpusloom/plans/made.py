@@ -85,6 +85,25 @@ TITLES = {
 }
 
 
+YAML = {"source": ["y{k}"], "text": ["title: T {w}  # settled\nimages:\n  images/a{k}.png: https://x.org/{k}\n\tb: c # d\nnot a line\nempty:\nsite: true\n  lost: x\ntitle: again", "# only a remark\n  nested: without block", None, "tags: [a, b]\nurl: https://x.org/{k}\nurl : twice\nurl: thrice"]}
+LOCI = {
+    "id": ["{k}"],
+    "text": [
+        "{w} Luke 15:18-19 and Lk 15:28; {w} (15:28–29). And 22:17 is none.", "Matthew {w}, as it has it (15:18).", "Matthew 15:18; {w} (15:18–19) and (99:1).", "*Gita* 4.7, Gita XII, Song 99, *Song*, 1885 and Gita 2.3-5 {w}", "1 John 4:19 {w} is not John 4:19", None, "Luke 15:18 then {w} Luke 15:18–20",
+    ],
+}
+#: The loci of each of those texts: section, chapter, verse, end.
+FOUND_LOCI = {0: [("Luke", 15, 18, 19), ("Luke", 15, 28, 29)], 2: [("Matthew", 15, 18, 19)], 3: [("gita", 4, 7, 7), ("gita", 12, 0, 0), ("gita", 2, 3, 5)], 4: [("1 John", 4, 19, 19), ("John", 4, 19, 19)], 6: [("Luke", 15, 18, 20)]}
+
+
+def words(spark, d) -> DataFrame:
+    """(k, a): the first words, in small letters, of documents that have twelve or more among their first characters."""
+    return docs(spark, d).select("k", F.split(F.lower("w"), " ").alias("a")).where(F.size("a") >= 12)
+
+
+WORDS = f"(SELECT k, string_split(lower(w), ' ') AS a FROM {DOCS} WHERE len(string_split(lower(w), ' ')) >= 12)"
+
+
 def files(spark, d) -> DataFrame:
     out = None
     for fields, where in FILES:
@@ -108,4 +127,5 @@ SQL = {
     "own": f"o AS ({rows_sql(OWN)})",
     "claims": f"c AS (SELECT slug, title, file, line::BIGINT AS line FROM ({' UNION ALL '.join(rows_sql(*x) for x in CLAIMS)}))",
     "titles": f"t AS ({rows_sql(TITLES)})",
+    "yaml": f"y AS ({rows_sql(YAML)})",
 }

@@ -60,18 +60,13 @@ def garbled(text: str) -> str:
     return f"(len({words}) >= 12 AND len(list_filter({words}, lambda x: length(x) <= 2 OR NOT regexp_full_match(x, '[a-z'']+'))) > 0.35 * len({words}))"
 
 
-#: Every run of four words or more is looked for in every stream that has one; gaps are found word by word.
-QUOTE_VERDICTS = rf"""
-WITH RECURSIVE d AS (SELECT doc_id, {source_text()} AS stream FROM documents), b AS (SELECT item_id, list_filter(string_split({source_text()}, ' '), lambda w: w <> '') AS ws FROM benchmark),
-r AS (SELECT item_id, ws, greatest(1, len(ws) // 12) AS n, unnest(range(1, greatest(1, len(ws) // 12) + 1)) AS k FROM b WHERE len(ws) > 0),
-s0 AS (SELECT item_id || ':' || (k - 1) AS span_id, (k - 1) % 5 AS kind, ws[12 * k - 11:CASE WHEN k = n THEN len(ws) ELSE 12 * k END] AS w FROM r),
-sp AS (SELECT span_id, CASE kind WHEN 1 THEN array_to_string(w[7:], ' ') || '…' || array_to_string(w[:6], ' ') WHEN 2 THEN array_to_string(w[:5] || w[9:], ' ') WHEN 3 THEN array_to_string(w[:5] || ['another'] || w[7:], ' ') ELSE array_to_string(w, ' ') END AS span FROM s0),
-pt AS (SELECT span_id, list_filter(string_split(span, '…'), lambda p: p <> '') AS parts FROM sp),
+#: Verdicts of pairs pr(span_id, doc_id) of spans sp(span_id, span) and streams d(doc_id, stream); every run of four words or more is looked
+#: for, and gaps are found word by word. The best of a span has rank 1 in v8.
+JUDGED = rf"""pt AS (SELECT span_id, list_filter(string_split(span, '…'), lambda p: p <> '') AS parts FROM sp),
 fr AS (SELECT span_id, unnest(parts) AS part FROM pt),
 f4 AS (SELECT span_id, array_to_string(w[i:i + 3], ' ') AS run FROM (SELECT span_id, string_split(part, ' ') AS w, unnest(range(1, greatest(1, len(string_split(part, ' ')) - 2))) AS i FROM fr)),
 dd AS (SELECT doc_id, stream, replace(stream, ' ', '') AS bare, trim(regexp_replace(regexp_replace(regexp_replace(' ' || replace(stream, ' ', '  ') || ' ', ' \d{{1,4}} ', '  ', 'g'), ' +', ' ', 'g'), '^ | $', ' ', 'g')) AS plain FROM d WHERE stream IS NOT NULL),
-pr AS (SELECT span_id, doc_id FROM f4 JOIN dd ON contains(stream, run) UNION SELECT span_id, doc_id FROM fr JOIN dd ON contains(stream, part) OR contains(bare, replace(part, ' ', '')) OR contains(plain, part)),
-v0 AS (SELECT *, instr(stream, parts[1]) AS f1 FROM pr JOIN pt USING (span_id) JOIN dd USING (doc_id) WHERE len(parts) > 0),
+{{pairs}}v0 AS (SELECT *, instr(stream, parts[1]) AS f1 FROM pr JOIN pt USING (span_id) JOIN dd USING (doc_id) WHERE len(parts) > 0),
 v1 AS (SELECT *, CASE WHEN f1 = 0 THEN parts[1] WHEN len(parts) = 2 AND instr(substr(stream, f1 + length(parts[1])), parts[2]) = 0 THEN parts[2] END AS lost FROM v0),
 v2 AS (SELECT *, string_split(lost, ' ') AS w, contains(stream, lost) AS earlier FROM v1),
 rn AS (SELECT span_id, doc_id, max(ROW(j - i, -i, array_to_string(w[i:j - 1], ' '))) AS x FROM (SELECT *, unnest(range(i + 4, len(w) + 2)) AS j FROM (SELECT *, unnest(range(1, len(w) - 2)) AS i FROM v2 WHERE lost IS NOT NULL)) WHERE contains(stream, array_to_string(w[i:j - 1], ' ')) GROUP BY ALL),
@@ -86,6 +81,16 @@ v6 AS (SELECT span_id, doc_id, CASE WHEN lost IS NULL THEN 'MATCH' WHEN NOT earl
  WHEN elided THEN CASE WHEN len(list_filter(gaps, lambda x: NOT ({garbled("x")} OR len(string_split(x, ' ')) <= 2))) = 0 THEN 'MATCH3' ELSE 'UNMARKED ELISION' END WHEN share >= 0.6 THEN CASE WHEN {garbled("near")} THEN 'SOURCE ILLEGIBLE HERE' ELSE 'DRIFT' END END AS st, run, share, w, parts FROM v5),
 v7 AS (SELECT span_id, doc_id, CASE WHEN st LIKE 'MATCH%' THEN 'MATCH' ELSE st END AS status, CASE st WHEN 'MATCH' THEN list_sum(list_transform(parts, lambda p: len(string_split(p, ' '))))::BIGINT WHEN 'MATCH2' THEN len(w) ELSE run END AS run, CASE WHEN st IN ('DRIFT', 'SOURCE ILLEGIBLE HERE') THEN share ELSE 1.0 END AS score FROM v6 WHERE st IS NOT NULL),
 v8 AS (SELECT *, row_number() OVER (PARTITION BY span_id ORDER BY CASE status WHEN 'MATCH' THEN 1 WHEN 'UNMARKED ELISION' THEN 2 WHEN 'OUT OF ORDER' THEN 3 WHEN 'DRIFT' THEN 4 ELSE 5 END, score DESC, run DESC, doc_id) AS rk FROM v7)
+"""
+#: Every pair that shares a run of four words, or a fragment in some form.
+SHARING = """pr AS (SELECT span_id, doc_id FROM f4 JOIN dd ON contains(stream, run) UNION SELECT span_id, doc_id FROM fr JOIN dd ON contains(stream, part) OR contains(bare, replace(part, ' ', '')) OR contains(plain, part)),
+"""
+QUOTE_VERDICTS = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, {source_text()} AS stream FROM documents), b AS (SELECT item_id, list_filter(string_split({source_text()}, ' '), lambda w: w <> '') AS ws FROM benchmark),
+r AS (SELECT item_id, ws, greatest(1, len(ws) // 12) AS n, unnest(range(1, greatest(1, len(ws) // 12) + 1)) AS k FROM b WHERE len(ws) > 0),
+s0 AS (SELECT item_id || ':' || (k - 1) AS span_id, (k - 1) % 5 AS kind, ws[12 * k - 11:CASE WHEN k = n THEN len(ws) ELSE 12 * k END] AS w FROM r),
+sp AS (SELECT span_id, CASE kind WHEN 1 THEN array_to_string(w[7:], ' ') || '…' || array_to_string(w[:6], ' ') WHEN 2 THEN array_to_string(w[:5] || w[9:], ' ') WHEN 3 THEN array_to_string(w[:5] || ['another'] || w[7:], ' ') ELSE array_to_string(w, ' ') END AS span FROM s0),
+{JUDGED.replace("{pairs}", SHARING)}
 SELECT sp.span_id, doc_id AS source, coalesce(status, 'NO OVERLAP') AS status, score, run FROM sp LEFT JOIN v8 ON v8.span_id = sp.span_id AND rk = 1
 """
 

@@ -4,9 +4,11 @@ letters and spaces only; small subjects are literal rows."""
 from pyspark.sql import functions as F
 
 from corpusloom.functions import norm
-from corpusloom.operators import canons
-from corpusloom.plans.literals import frame, values
-from corpusloom.plans.oracles import source_text
+from corpusloom.operators import canons, markdown, quotes
+from corpusloom.operators.reconcile import best_source
+from corpusloom.plans import made
+from corpusloom.plans.literals import frame
+from corpusloom.plans.oracles import JUDGED, source_text
 from corpusloom.sources import builders
 
 
@@ -105,18 +107,14 @@ def embedded_posts(spark, d):
     return frame(spark, POSTS, POST_ROWS).select("id", F.get_json_object(post, "$.id").alias("post"), F.get_json_object(post, "$.body_html").alias("body"))
 
 
-YAMLS = {"source": "string", "text": "string"}
-YAML_ROWS = [("a", "title: The Towel  # settled\nimages:\n  images/a.png: https://x.org/a\n\tb: c # d\nnot a line\nempty:\nsite: true\n  lost: x\ntitle: again"), ("b", "# only a remark\n  nested: without block"), ("c", None), ("d", "tags: [a, b]\nurl: https://x.org/y\nurl : twice\nurl: thrice")]
-
-
 def manifest_lines(spark, d):
-    """SC5: fields of manifests, line by line (literal rows)."""
-    return builders.manifest_lines(frame(spark, YAMLS, YAML_ROWS)).select("source", "field", "sub", "value")
+    """SC5: fields of manifests, line by line."""
+    return builders.manifest_lines(made.rows(spark, d, made.YAML)).select("source", "field", "sub", "value")
 
 
 def repeated_keys(spark, d):
-    """SC6: keys that manifests state more than once (literal rows)."""
-    return builders.repeated_keys(frame(spark, YAMLS, YAML_ROWS))
+    """SC6: keys that manifests state more than once."""
+    return builders.repeated_keys(made.rows(spark, d, made.YAML))
 
 
 GENESIS = {"section": "string", "chapter": "int", "verse": "int", "text": "string"}
@@ -127,23 +125,12 @@ GENESIS_ROWS = [
 ]
 NAMED = canons.Canon("bible", sections=["Luke", "John", "James", "Matthew", "1 John"], aliases={"Lk": "Luke"})
 NUMBERED = canons.Canon("gita", prefixes=["Gita", "Song"], separator=".", depth=2, section_count=18)
-LOCUS_TEXTS = {"id": "long", "text": "string"}
-LOCUS_ROWS = [
-    (1, "Luke 15:18-19 and Lk 15:28; the father came out (15:28–29). And 22:17 is none."), (2, "Matthew says so, as the King James has it (15:18)."), (3, "Matthew 15:18; the King James has it again (15:18–19) and (99:1)."), (4, "*Gita* 4.7, Gita XII, Song 99, *Song*, 1885 and Gita 2.3-5"), (5, "1 John 4:19 is not John 4:19"), (6, None), (7, "Luke 15:18 then Luke 15:18–20"),
-]
-SPANS = {"id": "long", "no": "int", "span": "string"}
-SPAN_ROWS = [
-    (1, 1, "I will arise and go to my father"), (1, 2, "I will arise ... and will say unto him"), (1, 3, "I will arise and go to [Their] father"), (1, 4, "I will arise and go to my mother, and will say"), (1, 5, "only my own words here"),
-    (1, 6, "before thee, and am no more worthy to be called thy son"), (2, 1, "I and my Father are one. Before Abraham was, I am."), (2, 2, "I and my Father are of one mind and of one accord for ever"), (3, 1, "a span without a locus"), (4, 1, "make me as one of thy hired servants, and I will arise and go to my father"),
-]
-UNITS = {"id": "long", "section": "string", "chapter": "int", "verse": "int", "hi": "int", "at": "int"}
-UNIT_ROWS = [(1, "Luke", 15, 18, 18, 0), (2, "John", 10, 30, 30, 0), (2, "John", 8, 58, 58, 9), (2, "John", 99, 1, 1, 20), (4, "Luke", 15, 18, 19, 0)]
-
 
 def locus_texts(spark, d):
-    """PJ35, JN6: loci of a canon of named sections, book-implied ones among them, and of one of numbered sections (literal rows)."""
-    texts, chapters = frame(spark, LOCUS_TEXTS, LOCUS_ROWS), frame(spark, GENESIS, GENESIS_ROWS).select("section", "chapter")
-    return canons.loci(texts, NAMED, "id", chapters).unionByName(canons.loci(texts, NUMBERED, "id")).select("id", "section", "chapter", "verse", "hi")
+    """PJ35, JN6: loci of a canon of named sections, book-implied ones among them, and of one of numbered sections."""
+    texts, chapters = made.rows(spark, d, made.LOCI), frame(spark, GENESIS, GENESIS_ROWS).select("section", "chapter")
+    found = canons.loci(texts, NAMED, "id", chapters).unionByName(canons.loci(texts, NUMBERED, "id"))
+    return found.select("id", "section", "chapter", "verse", "hi")
 
 
 def locus_overlaps(spark, d):
@@ -155,28 +142,74 @@ def locus_overlaps(spark, d):
     return met.select("item_id", "x.run", F.round("x.score", 6).alias("score"))
 
 
-def quotation_matches(spark, d):
-    """FZ6: quotations against a verse (literal rows)."""
-    verse = norm.verse_text(F.lit(GENESIS_ROWS[0][3]))
-    return frame(spark, SPANS, SPAN_ROWS).withColumn("m", canons.match(F.col("span"), verse)).select("id", "no", "m.ok", "m.detail")
+def _quotations(spark, d):
+    """(k, a, span): a document's words as they are, with words left out or disclosed in brackets, with another word, or none of them."""
+    said = lambda i, n: F.array_join(F.slice("a", i, n), " ")
+    k = F.col("k") % 5
+    span = F.when(k == 0, said(3, 7)).when(k == 1, F.concat(F.initcap(said(1, 4)), F.lit(" ... "), said(7, 4))).when(k == 2, F.concat(said(3, 3), F.lit(" [Xx] "), said(7, 3))).when(k == 3, F.concat(said(3, 5), F.lit(" zzz "), said(9, 2))).otherwise("zzz yyy, xxx www")
+    return made.words(spark, d).withColumn("span", span)
 
 
-def locus_verdicts(spark, d):
-    """FZ7: verdicts on quotations beside loci (literal rows)."""
-    out = canons.locus_verdicts(frame(spark, SPANS, SPAN_ROWS), frame(spark, UNITS, UNIT_ROWS), frame(spark, GENESIS, GENESIS_ROWS), "id")
-    return out.select("id", "no", "status", "section", "chapter", "verse", F.when(F.col("status") == "RANGE", F.col("detail")).otherwise("").alias("range"))
+def quotation_matches(spark, d):
+    """FZ6: quotations against documents' first words."""
+    return _quotations(spark, d).withColumn("m", canons.match(F.col("span"), F.array_join("a", " "))).select("k", "m.ok", "m.detail")
 
 
 def scripture_spans(spark, d):
-    """FZ14: spans that are verses (literal rows)."""
-    stream = F.lit(" ".join(r[3] for r in GENESIS_ROWS))
-    return frame(spark, SPANS, SPAN_ROWS).select("id", "no", canons.is_scripture(F.col("span"), norm.source_text(stream, ascii_only=True)).alias("scripture"))
+    """FZ14: which of the quotations are verses."""
+    return _quotations(spark, d).select("k", canons.is_scripture(F.col("span"), F.array_join("a", " ")).alias("scripture"))
+
+
+def locus_verdicts(spark, d):
+    """FZ7: verdicts on quotations beside loci: each document is a section of two verses, the second of every third one missing."""
+    docs = made.words(spark, d)
+    said = lambda i, n: F.array_join(F.slice("a", i, n), " ")
+    section = F.concat(F.lit("b"), "k").alias("section")
+    verse = lambda n, text: F.struct(F.lit(n).alias("verse"), text.alias("text"))
+    verses = docs.select(section, F.lit(1).alias("chapter"), F.inline(F.array_compact(F.array(verse(1, said(1, 6)), F.when(F.col("k") % 3 != 2, verse(2, said(7, 6)))))))
+    k = F.col("k") % 5
+    spans = docs.select("k", F.lit(1).alias("no"), F.when(k == 0, said(1, 5)).when(k == 1, said(3, 6)).when(k == 2, F.concat(said(1, 4), F.lit(" zzz"))).when(k == 3, F.concat(said(1, 4), F.lit(" zzz yyy xxx www"))).otherwise("only my own words").alias("span"))
+    found = docs.select("k", section, F.lit(1).alias("chapter"), F.when(F.col("k") % 7 == 0, 9).otherwise(1).alias("verse"), F.lit(1).alias("hi"), F.lit(0).alias("at"))
+    out = canons.locus_verdicts(spans, found, verses, "k")
+    return out.select("k", "no", "status", "section", "chapter", "verse", F.when(F.col("status") == "RANGE", F.col("detail")).otherwise("").alias("range"))
+
+
+def whole_quotations(spark, d):
+    """PJ20, JN5, JN10, FZ2 to FZ5: quotations of drafts go to the notes behind them, notes to the sources that they name, and each
+    quotation gets the best verdict of its note's sources; quotations without a held source are told."""
+    spans = _cited(spark, d)
+    sources = _sources(spark, d)
+    pairs = spans.join(sources.select("source", "name"), "name").select(F.col("span_id"), F.col("source"), "span")
+    judged = quotes.judged(pairs.withColumnRenamed("source", "__s"), sources.select(F.col("source").alias("__s"), "stream"), "__s").withColumnRenamed("__s", "source")
+    best = best_source(judged, ["span_id"])
+    held = pairs.select("span_id").distinct().withColumn("held", F.lit(True))
+    out = spans.select("span_id", "name").join(held, "span_id", "left").join(best, "span_id", "left")
+    return out.select("span_id", "name", "source", F.when(F.col("held").isNull(), "NOT HELD").otherwise(F.coalesce("status", F.lit("NO OVERLAP"))).alias("status"), "run")
+
+
+def _cited(spark, d):
+    """(span_id, span, name): a document's words in italics before a note that names a source."""
+    k = F.col("k")
+    said = lambda i, n: F.array_join(F.slice("a", i, n), " ")
+    body = F.concat(F.lit("x *"), said(2, 8), F.lit("*[^1] y *"), said(1, 5), F.lit(" zzz "), said(7, 4), F.lit("*[^2]\n\n[^1]: in Source "), (k % 4).cast("string"), F.lit("\n\n[^2]: Source "), (k % 7).cast("string"), F.lit(", p. 1"))
+    drafts = made.words(spark, d).select("k", body.alias("text"))
+    paras = drafts.select("k", F.posexplode(F.split("text", "\n\n")).alias("para", "text"))
+    spans = markdown.spans_by_note(paras, "k").select("k", "label", "span")
+    notes = markdown.notes(markdown.parsed(drafts, "k"), "k").select("k", "label", F.regexp_extract("text", r"Source \d", 0).alias("name"))
+    return spans.join(notes, ["k", "label"]).select(F.concat_ws(":", "k", "label").alias("span_id"), norm.source_text(F.col("span"), ascii_only=True).alias("span"), "name")
+
+
+def _sources(spark, d):
+    """Five named sources, each of a fifth of the documents' first words in order."""
+    listed = F.array_sort(F.collect_list(F.struct("k", F.array_join("a", " ").alias("t"))))
+    parts = made.words(spark, d).groupBy((F.col("k") % 5).alias("s"), F.floor(F.col("k") / 500).alias("part")).agg(F.array_join(F.transform(listed, lambda x: x["t"]), " ").alias("stream"))
+    return parts.select(F.concat_ws("/", "s", "part").alias("source"), F.concat(F.lit("Source "), F.col("s").cast("string")).alias("name"), "stream")
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        titled_verses, numbered_rows, contiguity, chapter_rows, chapter_findings, page_rows, marked_verses, index_findings, embedded_posts, manifest_lines, repeated_keys, locus_texts, locus_overlaps, quotation_matches, locus_verdicts,
+        titled_verses, numbered_rows, contiguity, chapter_rows, chapter_findings, page_rows, marked_verses, index_findings, embedded_posts, manifest_lines, repeated_keys, locus_texts, locus_overlaps, quotation_matches, locus_verdicts, whole_quotations,
         scripture_spans,
     )
 }
@@ -211,15 +244,30 @@ UNION ALL SELECT source, 'not ascending', NULL, c FROM (SELECT *, lag(c) OVER (P
 UNION ALL SELECT source, 'repeated', 'g', c FROM c GROUP BY source, c HAVING count(*) > 1 UNION ALL SELECT source, 'short', 'g', c FROM c WHERE length(s) < 200
 UNION ALL SELECT source, 'missing', 'g', x::INTEGER FROM (SELECT source, unnest(range(1, max(c)::BIGINT + 1)) AS x FROM c GROUP BY source EXCEPT SELECT source, c FROM c)""",
     "embedded_posts": _rows("id, post, body", [(1, "7", "<p>x</p>"), (2, None, None), (3, None, None), (4, None, None)], "id::BIGINT AS id, post, body"),
-    "manifest_lines": _rows("source, field, sub, value", [("a", "title", None, "The Towel"), ("a", "images", "images/a.png", "https://x.org/a"), ("a", "images", "b", "c"), ("a", "site", None, "true"), ("a", "title", None, "again"), ("d", "tags", None, "[a, b]"), ("d", "url", None, "https://x.org/y"), ("d", "url", None, "twice"), ("d", "url", None, "thrice")]),
     "repeated_keys": r"SELECT source, field, count(*) AS n FROM (SELECT source, unnest(regexp_extract_all(text, '(?m)^([A-Za-z_][\w-]*)\s*:', 1)) AS field FROM y) GROUP BY ALL HAVING count(*) > 1",
-    "locus_texts": _rows("id, section, chapter, verse, hi", [(1, "Luke", 15, 18, 19), (1, "Luke", 15, 28, 29), (3, "Matthew", 15, 18, 19), (4, "gita", 4, 7, 7), (4, "gita", 12, 0, 0), (4, "gita", 2, 3, 5), (5, "1 John", 4, 19, 19), (5, "John", 4, 19, 19), (7, "Luke", 15, 18, 20)], "id::BIGINT AS id, section, chapter, verse, hi"),
-    "quotation_matches": _rows("id, no, ok, detail", [(1, 1, True, "1 in order"), (1, 2, True, "2 in order"), (1, 3, True, "1 in order"), (1, 4, False, "diverges after will arise and go to my"), (1, 5, False, "not found"), (1, 6, False, "not found"), (2, 1, False, "not found"), (2, 2, False, "not found"), (3, 1, False, "not found"), (4, 1, False, "not found")], "id::BIGINT AS id, no, ok, detail"),
-    "locus_verdicts": _rows("id, no, status, section, chapter, verse, range", [(1, 1, "MATCH", "Luke", 15, 18, ""), (1, 2, "MATCH", "Luke", 15, 18, ""), (1, 3, "MATCH", "Luke", 15, 18, ""), (1, 4, "DRIFT", "Luke", 15, 18, ""), (1, 5, "skipped", "Luke", 15, 18, ""), (1, 6, "skipped", "Luke", 15, 18, ""), (2, 1, "MATCH", "John", 10, 30, ""), (2, 2, "SUSPECT", "John", 10, 30, ""), (4, 1, "SUSPECT", "Luke", 15, 18, ""), (2, None, "NOT IN INDEX", "John", 99, 1, "")], "id::BIGINT AS id, no, status, section, chapter, verse, range"),
-    "scripture_spans": _rows("id, no, scripture", [(1, 1, True), (1, 2, True), (1, 3, True), (1, 4, False), (1, 5, False), (1, 6, True), (2, 1, False), (2, 2, False), (3, 1, False), (4, 1, False)], "id::BIGINT AS id, no, scripture"),
+    "locus_texts": " UNION ALL ".join(f"SELECT k::VARCHAR AS id, '{x}' AS section, {c} AS chapter, {v} AS verse, {hi} AS hi FROM {made.DOCS} WHERE k % 7 = {n}" for n, rows in made.FOUND_LOCI.items() for x, c, v, hi in rows),
+    "quotation_matches": f"SELECT k, k % 5 < 3 AS ok, CASE k % 5 WHEN 0 THEN '1 in order' WHEN 1 THEN '2 in order' WHEN 2 THEN '1 in order' WHEN 3 THEN 'diverges after ' || array_to_string(a[3:7], ' ') ELSE 'not found' END AS detail FROM {made.WORDS}",
+    "scripture_spans": f"SELECT k, k % 5 < 2 AS scripture FROM {made.WORDS}",
+    "locus_verdicts": f"""SELECT k, CASE WHEN k % 7 > 0 THEN 1 END AS no, CASE WHEN k % 7 = 0 THEN 'NOT IN INDEX' ELSE CASE k % 5 WHEN 0 THEN 'MATCH' WHEN 1 THEN CASE WHEN contains(array_to_string(a[1:6], ' '), array_to_string(a[3:8], ' ')) THEN 'MATCH' WHEN k % 3 = 2 THEN 'DRIFT' ELSE 'RANGE' END WHEN 2 THEN 'DRIFT' WHEN 3 THEN 'SUSPECT' ELSE 'skipped' END END AS status,
+ 'b' || k AS section, 1 AS chapter, CASE WHEN k % 7 = 0 THEN 9 ELSE 1 END AS verse, CASE WHEN k % 7 > 0 AND k % 5 = 1 AND k % 3 <> 2 AND NOT contains(array_to_string(a[1:6], ' '), array_to_string(a[3:8], ' ')) THEN '1-2' ELSE '' END AS range FROM {made.WORDS}""",
+    "manifest_lines": f"""SELECT 'y' || k AS source, unnest(['title', 'images', 'images', 'site', 'title']) AS field, unnest([NULL, 'images/a' || k || '.png', 'b', NULL, NULL]) AS sub, unnest([trim('T ' || w), 'https://x.org/' || k, 'c', 'true', 'again']) AS value FROM {made.DOCS} WHERE k % 4 = 0
+UNION ALL SELECT 'y' || k, unnest(['tags', 'url', 'url', 'url']), NULL, unnest(['[a, b]', 'https://x.org/' || k, 'twice', 'thrice']) FROM {made.DOCS} WHERE k % 4 = 3""",
+    "whole_quotations": f"""WITH RECURSIVE wd AS (SELECT k, a FROM {made.WORDS}), st AS (SELECT k % 5 AS s, k // 500 AS part, string_agg(array_to_string(a, ' '), ' ' ORDER BY k) AS stream FROM wd GROUP BY ALL),
+d AS (SELECT s || '/' || part AS doc_id, s, stream FROM st), sq AS (SELECT k || ':1' AS span_id, k % 4 AS n, array_to_string(a[2:9], ' ') AS span FROM wd UNION ALL SELECT k || ':2', k % 7, array_to_string(a[1:5], ' ') || ' zzz ' || array_to_string(a[7:10], ' ') FROM wd),
+sp AS (SELECT span_id, span FROM sq), """
+    + JUDGED.replace("{pairs}", "pr AS (SELECT span_id, doc_id FROM sq JOIN d ON s = n),\n")
+    + """ SELECT sq.span_id, 'Source ' || n AS name, doc_id AS source, CASE WHEN n > 4 THEN 'NOT HELD' ELSE coalesce(status, 'NO OVERLAP') END AS status, run FROM sq LEFT JOIN v8 ON v8.span_id = sq.span_id AND rk = 1""",
+    "repeated_keys": r"SELECT source, field, count(*) AS n FROM (SELECT source, unnest(regexp_extract_all(text, '(?m)^([A-Za-z_][\w-]*)\s*:', 1)) AS field FROM y) GROUP BY ALL HAVING count(*) > 1",
+    "locus_texts": " UNION ALL ".join(f"SELECT k::VARCHAR AS id, '{x}' AS section, {c} AS chapter, {v} AS verse, {hi} AS hi FROM {made.DOCS} WHERE k % 7 = {n}" for n, rows in made.FOUND_LOCI.items() for x, c, v, hi in rows),
+    "quotation_matches": f"SELECT k, k % 5 < 3 AS ok, CASE k % 5 WHEN 0 THEN '1 in order' WHEN 1 THEN '2 in order' WHEN 2 THEN '1 in order' WHEN 3 THEN 'diverges after ' || array_to_string(a[3:7], ' ') ELSE 'not found' END AS detail FROM {made.WORDS}",
+    "scripture_spans": f"SELECT k, k % 5 < 2 AS scripture FROM {made.WORDS}",
+    "locus_verdicts": f"""SELECT k, CASE WHEN k % 7 > 0 THEN 1 END AS no, CASE WHEN k % 7 = 0 THEN 'NOT IN INDEX' ELSE CASE k % 5 WHEN 0 THEN 'MATCH' WHEN 1 THEN CASE WHEN contains(array_to_string(a[1:6], ' '), array_to_string(a[3:8], ' ')) THEN 'MATCH' WHEN k % 3 = 2 THEN 'DRIFT' ELSE 'RANGE' END WHEN 2 THEN 'DRIFT' WHEN 3 THEN 'SUSPECT' ELSE 'skipped' END END AS status,
+ 'b' || k AS section, 1 AS chapter, CASE WHEN k % 7 = 0 THEN 9 ELSE 1 END AS verse, CASE WHEN k % 7 > 0 AND k % 5 = 1 AND k % 3 <> 2 AND NOT contains(array_to_string(a[1:6], ' '), array_to_string(a[3:8], ' ')) THEN '1-2' ELSE '' END AS range FROM {made.WORDS}""",
+    "manifest_lines": f"""SELECT 'y' || k AS source, unnest(['title', 'images', 'images', 'site', 'title']) AS field, unnest([NULL, 'images/a' || k || '.png', 'b', NULL, NULL]) AS sub, unnest([trim('T ' || w), 'https://x.org/' || k, 'c', 'true', 'again']) AS value FROM {made.DOCS} WHERE k % 4 = 0
+UNION ALL SELECT 'y' || k, unnest(['tags', 'url', 'url', 'url']), NULL, unnest(['[a, b]', 'https://x.org/' || k, 'twice', 'thrice']) FROM {made.DOCS} WHERE k % 4 = 3""",
 }
 _W = "list_filter(string_split(" + source_text() + ", ' '), lambda w: w <> '')"
 ORACLES["locus_overlaps"] = f"""WITH i AS (SELECT item_id, ({_W})[1:12] AS w FROM benchmark), d AS (SELECT doc_id AS item_id, coalesce({source_text()}, '') AS c FROM documents),
 p AS (SELECT item_id, w, c, unnest(range(1, len(w) + 1)) AS a FROM i JOIN d USING (item_id)), q AS (SELECT *, unnest(range(a, len(w) + 1)) AS b FROM p)
 SELECT item_id, coalesce(max(b - a + 1) FILTER (contains(c, array_to_string(w[a:b], ' '))), 0)::INTEGER AS run, round(coalesce(max(b - a + 1) FILTER (contains(c, array_to_string(w[a:b], ' '))), 0) / max(len(w)), 6) AS score FROM q GROUP BY item_id"""
-ORACLES["repeated_keys"] = f"WITH {values('y', YAMLS, YAML_ROWS)} " + ORACLES["repeated_keys"]
+ORACLES["repeated_keys"] = f"WITH {made.SQL['yaml']} " + ORACLES["repeated_keys"]

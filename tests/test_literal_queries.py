@@ -7,7 +7,7 @@ from corpusloom.plans.registry import ORACLES, QUERIES
 
 NAMES = """status_findings 
 outlet_policies preview_images snapshot_faults talk_records account_verdicts 
-slide_keys edited_blocks deck_slides page_rows marked_verses embedded_posts manifest_lines repeated_keys locus_texts quotation_matches locus_verdicts scripture_spans""".split()
+slide_keys edited_blocks deck_slides page_rows marked_verses embedded_posts """.split()
 
 
 def key(row):
