@@ -1,6 +1,8 @@
 """Queries over registries, outlets, schedules, shelves and baselines, and their DuckDB SQL. Large subjects are the driver's tables
 in another role; small ones are literal rows."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corpusloom.functions import norm
@@ -10,6 +12,7 @@ from corpusloom.plans.drafts import NOTES, RENDERED, collapse, drafts
 from corpusloom.plans.literals import frame, values
 from corpusloom.plans.oracles import ORACLES as CORE
 from corpusloom.plans.oracles import source_text
+from corpusloom.sources import archive
 
 
 def table(spark, d, name):
@@ -210,6 +213,19 @@ def unlisted_slugs(spark, d):
     return desk.unlisted(slugs, pages.select(F.col("page_id").cast("string").alias("outlet"), "html"))
 
 
+def archive_walk(spark, d):
+    """SC18: orders as an archive's pages, of which some are short and some repeat an item of the page before; each order once."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("slug"))
+    page = F.floor(F.col("id") / 500).cast("int")
+    items = o.withColumn("page", page).where("NOT (page % 3 = 1 AND id % 500 > 100)")
+    # The last item of a full page is the first one of the next page too.
+    again = items.where("id % 500 = 499").withColumn("page", F.col("page") + 1)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{shared.rstrip('/')}/corpusloom-pages-{uuid.uuid4().hex}"
+    archive.written(items.unionByName(again.join(items.select("page").distinct(), "page", "left_semi")), path)
+    return archive.walked(spark, path, "id long, slug string", "id")
+
+
 def unknown_posts(spark, d):
     """JN22, SC18: orders of a status as an archive, against customers' known ones."""
     archive = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").cast("string").alias("slug"), F.when(F.col("o_orderkey") % 4 == 0, "page").alias("type"), F.col("o_orderstatus").alias("outlet"))
@@ -513,7 +529,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         tag_used_by, pieces_per_group, state_tallies, revision_detection, revision_history, revision_intervals, locus_ranges, upper_medians, last_verses, unbacked_megabytes, newest_first, schedule_by_moment, ignored_files, outlet_policies, published_dates, canonical_debts, schedule_states,
-        schedule_guards, lease_states, declared_outlets, reader_urls, live_urls, derived_urls, renames, notes_by_source, notes_by_post, same_images, unlisted_slugs, unknown_posts, preview_images, page_without_template, lost_images, lost_embeds,
+        schedule_guards, lease_states, declared_outlets, reader_urls, live_urls, derived_urls, renames, notes_by_source, notes_by_post, same_images, unlisted_slugs, unknown_posts, archive_walk, preview_images, page_without_template, lost_images, lost_embeds,
         seeds, seal_verdicts, outlet_readiness, shelf_push, shelf_pull, shelf_rehash, snapshot_faults, talk_records, account_verdicts, index_times, front_matter, page_fragments, merged_fragments, placed_findings, applied_findings,
         replaced_outside_urls, rewrapped_lines, changed_keys, tag_plans, slide_keys, banners, page_drift, edited_blocks, three_way_marks,
         held_states, out_of_range, stray_marks, strict_marks, backlog_places, section_minutes, deck_slides,
@@ -649,3 +665,4 @@ CASE WHEN any_value(publication) IS NULL THEN 'no publication' WHEN any_value(pu
 ORACLES["revision_history"] = ORACLES["revision_detection"]
 ORACLES["locus_ranges"] = """WITH v AS (SELECT DISTINCT l_suppkey AS chapter, l_orderkey AS verse FROM lineitem)
 SELECT a.chapter, a.verse, string_agg('o' || b.verse, ' ' ORDER BY b.verse) AS text, count(*) AS verses FROM v a JOIN v b ON b.chapter = a.chapter AND b.verse BETWEEN a.verse - 400 AND a.verse + 400 WHERE a.verse % 3 = 0 GROUP BY ALL"""
+ORACLES["archive_walk"] = "SELECT (o_orderkey // 500)::INTEGER AS page, o_orderkey AS id, o_orderpriority AS slug FROM orders WHERE NOT ((o_orderkey // 500) % 3 = 1 AND o_orderkey % 500 > 100)"
