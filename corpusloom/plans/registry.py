@@ -1,8 +1,8 @@
 """All queries of the library's own operators and their SQL, by name."""
 
-from corpusloom.plans import desk, drafts, gates, oracles, pronouns, queries, shelf
+from corpusloom.plans import desk, drafts, gates, oracles, pronouns, queries, reading, shelf
 
-PARTS = (drafts, gates, desk, shelf, pronouns)
+PARTS = (drafts, gates, desk, shelf, pronouns, reading)
 QUERIES, ORACLES = dict(queries.QUERIES), dict(oracles.ORACLES)
 for _part in PARTS:
     if repeated := QUERIES.keys() & _part.QUERIES.keys():

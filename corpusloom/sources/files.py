@@ -32,7 +32,8 @@ def manifest_rows(lines: DataFrame) -> DataFrame:
     inner = F.regexp_replace(F.trim("value"), r"^\||\|$", "")
     cells = F.transform(F.split(inner, r"(?<!\\)\|"), lambda c: F.replace(F.trim(c), F.lit("\\|"), F.lit("|")))
     body = lines.where(F.col("value").startswith("|") & ~F.col("value").rlike(r"^\|\s*(File\s*\||:?-{3})"))
-    name = F.regexp_replace(F.regexp_replace(F.get(cells, F.lit(0)), r"^\[[^\]]*\]\(([^)]*)\)$", "$1"), "^`|`$|^.*/", "")
+    name = F.regexp_replace(F.regexp_replace(F.get(cells, F.lit(0)), r"^\[[^\]]*\]\(([^)]*)\)$", "$1"), "^`|`$", "")
+    name = F.regexp_replace(name, "^.*/", "")
     good = (F.size(cells) >= 6) & (name != "")
     at = lambda i: F.when(good, F.get(cells, F.lit(i)))
     return body.select("line", F.when(good, name).alias("file"), at(1).alias("book"), at(2).alias("work"), at(3).alias("edition"), at(4).alias("added"), at(5).alias("redistribution"), F.when(~good, F.col("value")).alias("unparsed"))
