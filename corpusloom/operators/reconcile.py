@@ -124,20 +124,24 @@ def licence(cell: Column) -> Column:
     return F.coalesce(F.array_min(found)["said"], F.lit(True))
 
 
-def upserted(old: DataFrame, new: DataFrame, keys: list[str], values: list[str], lists: list[str]) -> DataFrame:
-    """SK2, SO6: new values win, lists are sorted unions with the old ones; `change` tells inserts, updates and kept rows."""
-    a = old.select(*keys, *(F.col(c).alias(f"old_{c}") for c in values + lists), F.lit(True).alias("__old"))
-    b = new.select(*keys, *(F.col(c).alias(f"new_{c}") for c in values + lists), F.lit(True).alias("__new"))
+def upserted(old: DataFrame, new: DataFrame, keys: list[str], values: list[str], lists: list[str], owner: str | None = None) -> DataFrame:
+    """SK2, SO6: new values win, lists are sorted unions with the old ones; `change` tells inserts, updates and kept rows. With an owner
+    column, a key that another owner holds is `refused` and stays as it is; a key whose old owner isn't stated may be taken."""
+    own = [owner] if owner else []
+    a = old.select(*keys, *(F.col(c).alias(f"old_{c}") for c in values + lists + own), F.lit(True).alias("__old"))
+    b = new.select(*keys, *(F.col(c).alias(f"new_{c}") for c in values + lists + own), F.lit(True).alias("__new"))
     out = a.join(b, keys, "full")
+    foreign = F.coalesce((F.col(f"old_{owner}") != "") & ~F.col(f"old_{owner}").eqNullSafe(F.col(f"new_{owner}")) & F.col("__new"), F.lit(False)) if owner else F.lit(False)
+    out = out.withColumn("__takes", F.col("__new").isNotNull() & ~foreign).withColumn("__foreign", foreign)
     same = F.lit(True)
-    for c in values:
+    for c in values + own:
         same = same & F.col(f"old_{c}").eqNullSafe(F.col(f"new_{c}"))
     empty = F.array().cast("array<string>")
-    union = {c: F.array_sort(F.array_union(F.coalesce(f"old_{c}", empty), F.coalesce(f"new_{c}", empty))) for c in lists}
+    union = {c: F.array_sort(F.array_union(F.coalesce(f"old_{c}", empty), F.when(F.col("__foreign"), empty).otherwise(F.coalesce(f"new_{c}", empty)))) for c in lists}
     for c in lists:
         same = same & (union[c] == F.coalesce(f"old_{c}", empty))
-    change = F.when(F.col("__old").isNull(), "insert").when(F.col("__new").isNull() | same, "keep").otherwise("update")
-    picked = [F.when(F.col("__new"), F.col(f"new_{c}")).otherwise(F.col(f"old_{c}")).alias(c) for c in values]
+    change = F.when(F.col("__foreign"), "refused").when(F.col("__old").isNull(), "insert").when(F.col("__new").isNull() | same, "keep").otherwise("update")
+    picked = [F.when(F.col("__takes"), F.col(f"new_{c}")).otherwise(F.col(f"old_{c}")).alias(c) for c in values + own]
     return out.select(*keys, *picked, *(union[c].alias(c) for c in lists), change.alias("change"))
 
 

@@ -5,6 +5,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from corpusloom.functions import norm
 from corpusloom.operators import checks, html, reconcile
 from corpusloom.sources import files
 
@@ -111,7 +112,23 @@ def anchor_tails(spark, d):
     return blocks.select("page_id", F.array_join(F.transform(html.anchor_tails(F.col("b"), 12), lambda a: F.concat_ws(":", a["label"], a["tail"])), "|").alias("tails"))
 
 
-QUERIES = {f.__name__: f for f in (references, sitemaps, scan_faults, manifest_table, index_files, file_tree, captions, caption_findings, neighbour_ranges, one_way_companions, human_deltas, anchor_tails)}
+def owned_upsert(spark, d):
+    """SK2: an index of documents by address, merged with a newer one: addresses that another source holds are refused."""
+    docs = table(spark, d, "documents")
+    k = F.col("doc_id")
+    old = docs.where("doc_id % 4 <> 0").select("doc_id", F.col("lang").alias("title"), F.array("lang").alias("tags"), F.when(k % 6 > 0, F.col("source")).alias("owner"))
+    new = docs.where("doc_id % 3 <> 0").select("doc_id", F.when(k % 5 == 0, "new").otherwise(F.col("lang")).alias("title"), F.array("source").alias("tags"), F.when(k % 7 == 0, "other").otherwise(F.col("source")).alias("owner"))
+    out = reconcile.upserted(old, new, ["doc_id"], ["title"], ["tags"], "owner")
+    return out.select("doc_id", "title", "owner", F.array_join("tags", ",").alias("tags"), "change")
+
+
+def sentence_splits(spark, d):
+    """PJ22: sentences of documents by each of the splits in use."""
+    docs = table(spark, d, "documents").where("text IS NOT NULL")
+    return docs.select("doc_id", *(F.size(norm.sentences(F.col("text"), kind)).alias(kind) for kind in norm.SENTENCES), F.sha2(F.array_join(norm.sentences(F.col("text"), "prose"), "|"), 256).alias("sha"))
+
+
+QUERIES = {f.__name__: f for f in (owned_upsert, sentence_splits, references, sitemaps, scan_faults, manifest_table, index_files, file_tree, captions, caption_findings, neighbour_ranges, one_way_companions, human_deltas, anchor_tails)}
 
 ORACLES = {
     "references": """WITH t AS (SELECT DISTINCT CASE WHEN o_orderkey % 2 = 0 THEN 'piece' ELSE 'talk' END AS kind, 's' || o_custkey AS slug FROM orders),
@@ -136,3 +153,20 @@ SELECT l_orderkey, l_linenumber, lo, hi, (row_number() OVER (PARTITION BY l_orde
 t AS (SELECT event_id, m, CASE WHEN n // 1440 > 0 THEN (n // 1440) || 'd ' || (n % 1440 // 60) || 'h' WHEN n // 60 > 0 THEN (n // 60) || 'h ' || (n % 60) || 'm' ELSE n || 'm' END AS x FROM a) SELECT event_id, CASE WHEN m >= 0 THEN 'in ' || x ELSE x || ' ago' END AS delta FROM t""",
     "anchor_tails": "SELECT page_id, '1:' || right('Some words of page ' || page_id || ' here', 12) || '|2:' || right(page_id || ' here and on', 12) AS tails FROM pages",
 }
+
+
+def _split(pattern: str, to: str) -> str:
+    return f"list_filter(string_split(regexp_replace(text, {pattern}, {to}, 'g'), chr(1)), lambda s: trim(s) <> '')"
+
+
+#: The splits with the characters before and behind them as groups, as there is no looking around.
+_AFTER, _BETWEEN = "'\\1' || chr(1)", "'\\1' || chr(1) || '\\2'"
+_PROSE = _split(r"""'([.!?])[*"”\])]*\s+([“"*\[(]*[A-Z])'""", _BETWEEN)
+ORACLES["sentence_splits"] = f"""SELECT doc_id, len({_PROSE})::INTEGER AS prose, len({_split("'([.!?]) '", _AFTER)})::INTEGER AS collapsed, len({_split("'([.!?:])" + chr(92) + "s+([A-Z*`" + chr(92) + "[(])'", _BETWEEN)})::INTEGER AS status,
+ len({_split("'([.!?" + chr(92) + "n])'", _AFTER)})::INTEGER AS clauses, len({_split("'([.?!])" + chr(92) + "s+'", _AFTER)})::INTEGER AS plain, sha256(array_to_string({_PROSE}, '|')) AS sha FROM documents WHERE text IS NOT NULL"""
+ORACLES["owned_upsert"] = """WITH a AS (SELECT doc_id, lang AS title, [lang] AS tags, CASE WHEN doc_id % 6 > 0 THEN source END AS owner FROM documents WHERE doc_id % 4 <> 0),
+b AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'new' ELSE lang END AS title, [source] AS tags, CASE WHEN doc_id % 7 = 0 THEN 'other' ELSE source END AS owner FROM documents WHERE doc_id % 3 <> 0),
+m AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.title AS ta, b.title AS tb, a.tags AS ga, b.tags AS gb, a.owner AS oa, b.owner AS ob, a.doc_id IS NOT NULL AS old, b.doc_id IS NOT NULL AS fresh FROM a FULL JOIN b ON a.doc_id = b.doc_id),
+f AS (SELECT *, old AND fresh AND coalesce(oa, '') <> '' AND oa IS DISTINCT FROM ob AS foreign_, list_sort(list_distinct(list_concat(coalesce(ga, []), coalesce(gb, [])))) AS u FROM m)
+SELECT doc_id, CASE WHEN fresh AND NOT foreign_ THEN tb ELSE ta END AS title, CASE WHEN fresh AND NOT foreign_ THEN ob ELSE oa END AS owner, array_to_string(CASE WHEN foreign_ THEN ga ELSE u END, ',') AS tags,
+ CASE WHEN foreign_ THEN 'refused' WHEN NOT old THEN 'insert' WHEN NOT fresh OR (ta IS NOT DISTINCT FROM tb AND oa IS NOT DISTINCT FROM ob AND u = ga) THEN 'keep' ELSE 'update' END AS change FROM f"""
