@@ -8,8 +8,8 @@ spot_matches() searches: which documents are alike to a set of queries by a floo
 length band, each in its own and the next, and there by the spots of their prefixes in one order of all spots, rare ones
 first; lengths are compared again before sets are intersected. It is exact.
 
-spot_signatures() compares each document with its edited text and with the next document. Pairs whose lengths rule out the
-floor have a likeness of 0 without an intersection; with a floor of 0 every likeness is exact. A fingerprint holds all spots
+spot_signatures() compares each document with its edited text and with the next document, and reports the exact likeness of each pair;
+with a floor, pairs whose lengths rule it out have a likeness of 0 without an intersection. A fingerprint holds all spots
 of its text (eight digits for each, about three tenths of the text's length), so likeness is that of whole texts.
 
 Words are runs of characters other than spaces, in lower case, without the punctuation marks of MARKS. A text without a
@@ -37,8 +37,6 @@ MARKS = '.,;:!?"()'
 #: Ranges of ids between quantiles, at most, and rows in a bucket, about.
 RANGES = 2048
 BUCKET_ROWS = 4096
-#: The query reports likeness below this as 0 where lengths rule out more.
-FLOOR = 0.05
 SIMILAR = 0.75
 
 
