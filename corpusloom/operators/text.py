@@ -46,7 +46,8 @@ def leaked(private: DataFrame, public: DataFrame, private_key: str, public_key:
     theirs = public.select(F.col(public_key).alias("__b"), F.explode(shingle_hashes(text_words("text"), n)).alias("h"))
     met = theirs.join(own, "h").groupBy("__b").agg(F.collect_list(F.struct("__a", "shingle")).alias("runs"))
     padded = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
-    checked = met.join(public.select(F.col(public_key).alias("__b"), padded(F.array_join(text_words("text"), " ")).alias("words")), "__b")
+    # Words are made again for the few texts that met.
+    checked = met.join(public.select(F.col(public_key).alias("__b"), "text"), "__b").withColumn("words", padded(F.array_join(text_words("text"), " ")))
     held = checked.select("__b", F.explode(F.filter("runs", lambda r: F.contains("words", padded(r["shingle"])))).alias("r"))
     return held.groupBy(F.col("__b").alias(public_key), F.col("r.__a").alias(private_key)).agg(F.count_distinct("r.shingle").alias("shared"))
 
