@@ -84,6 +84,16 @@ def _paragraphs(seen: Seen) -> Seen:
     return Seen("".join(p.text for p in parts), [x for p in parts for x in p.starts], [x for p in parts for x in p.stops])
 
 
+def _common(a: str, b: str) -> int:
+    """How many characters both begin with."""
+    n = 0
+    for x, y in zip(a, b, strict=False):
+        if x != y:
+            break
+        n += 1
+    return n
+
+
 def edited(source: str | None, old: str | None, new: str | None) -> str | None:
     """source with the runs of its reader's text `old` that `new` has otherwise put in their places, the last first. Null if `old` isn't
     what readers see, or if a run's places are out of order."""
@@ -93,7 +103,12 @@ def edited(source: str | None, old: str | None, new: str | None) -> str | None:
     if seen.text != old:
         return None
     starts = [*seen.starts, len(source)]
-    for i, x, j, y in reversed(list(gaps(blocks(old, new), (len(old), len(new))))):
+    # What both begin and end with stays as it is, so that marks around recurring words are not moved.
+    head = _common(old, new)
+    tail = _common(old[head:][::-1], new[head:][::-1])
+    inner = blocks(old[head : len(old) - tail], new[head : len(new) - tail])
+    same = [(0, 0, head), *((i + head, j + head, n) for i, j, n in inner), (len(old) - tail, len(new) - tail, tail)]
+    for i, x, j, y in reversed(list(gaps([b for b in same if b[2]], (len(old), len(new))))):
         start, stop = starts[i], seen.stops[x - 1] if x > i else starts[i]
         if start > stop:
             return None

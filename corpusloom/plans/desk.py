@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import norm
 from corpusloom.operators import commonmark, desk, history, markdown, reconcile, text
-from corpusloom.plans import pieces
+from corpusloom.plans import made, pieces
 from corpusloom.plans.drafts import NOTES, RENDERED, collapse, drafts
 from corpusloom.plans.literals import frame, values
 from corpusloom.plans.oracles import ORACLES as CORE
@@ -233,16 +233,15 @@ def unknown_posts(spark, d):
     return desk.unknown_posts(archive.union(archive.where("id % 8 = 1")), pieces, "F")
 
 
-META = {"id": "long", "html": "string", "url": "string"}
-META_ROWS = [
-    (1, '<meta property="og:image:width" content="3"><META content=\'/a.png?x=1&amp;y=2\' property="og:image"/>', "https://x.org/p/q?z"), (2, '<meta name="og:image" content="//cdn.org/b.png">', "http://x.org/p"), (3, '<meta property="og:image" content="c.png">', "https://x.org/p/q#f"),
-    (4, '<meta property="og:image" content="https://y.org/d.png">', "https://x.org"), (5, "<p>none</p>", "https://x.org"), (6, None, "https://x.org"), (7, '<meta property="og:image" content="e.png">', "https://x.org"),
-]
-
-
 def preview_images(spark, d):
-    """PJ15: preview images of pages (literal rows)."""
-    return frame(spark, META, META_ROWS).select("id", desk.preview_image(F.col("html"), F.col("url")).alias("image"))
+    """PJ15: preview images of pages, by whole, rooted, relative and schemeless addresses; some pages have none."""
+    k = F.col("page_id")
+    meta = lambda i, *parts: F.when(k % 6 == i, F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts), "html"))
+    html = F.coalesce(
+        meta(0, '<meta property="og:image:width" content="3"><META content=\'/a', k, '.png?x=1&amp;y=2\' property="og:image"/>'), meta(1, '<meta name="og:image" content="//cdn.org/b', k, '.png">'), meta(2, '<meta property="og:image" content="c', k, '.png">'),
+        meta(3, '<meta property="og:image" content="https://y.org/d', k, '.png">'), F.when(k % 6 == 4, F.col("html")),
+    )
+    return table(spark, d, "pages").select("page_id", desk.preview_image(html, F.concat(F.lit("https://x.org/p"), k, F.lit("/q?z"))).alias("image"))
 
 
 def page_without_template(spark, d):
@@ -516,13 +515,16 @@ def deck_slides(spark, d):
     return s.select("id", "slide_no", "kind", "title", F.array_join("on", "|").alias("on"), F.array_join("notes", "|").alias("notes"), F.array_join("design", "|").alias("design"))
 
 
-EDITS = {"id": "long", "src": "string", "old": "string", "new": "string"}
-EDIT_ROWS = [(1, "Some *em* and\n**bold** text.[^a]", "Some em and bold text.", "Some em or bold text!"), (2, "a [link](https://x.org) here", "a link here", "a link there"), (3, "made *for us* all", "made for us all", "made for you all"), (4, "## Head", "Head", "Head"), (5, "x *y*", "x y", "x < *y"), (6, None, "a", "b"), (7, "> q one\n> two", "q one two", "q one three")]
-
-
 def edited_blocks(spark, d):
-    """PJ27, PJ28: edits of readers' text carried into Markdown (literal rows)."""
-    return frame(spark, EDITS, EDIT_ROWS).withColumn("x", markdown.edited_source(F.col("src"), F.col("old"), F.col("new"))).select("id", "x.text", "x.note")
+    """PJ27, PJ28: blocks of documents' words with marks, and edits of what readers see of them: a word within bold, the text of a link,
+    nothing, and an edit of another text."""
+    w = lambda i: F.get("a", F.lit(i - 1))
+    src = F.concat(w(1), F.lit(" *"), w(2), F.lit("* **"), w(3), F.lit(" "), w(4), F.lit("** "), w(5), F.lit(" ["), w(6), F.lit("](https://x.org/"), F.col("k").cast("string"), F.lit(") "), w(7), F.lit("[^n]\n"), w(8))
+    old = F.array_join(F.slice("a", 1, 8), " ")
+    put = lambda i, x: F.concat_ws(" ", *(F.lit(x) if j == i else w(j) for j in range(1, 9)))
+    k = F.col("k") % 4
+    rows = made.words(spark, d).select("k", src.alias("src"), F.when(k == 3, F.concat(old, F.lit(" more"))).otherwise(old).alias("old"), F.when(k == 0, put(4, "ZZZ")).when(k == 2, put(6, "ZZZ")).otherwise(old).alias("new"))
+    return rows.withColumn("x", markdown.edited_source(F.col("src"), F.col("old"), F.col("new"))).select("k", "x.text", "x.note")
 
 
 QUERIES = {
@@ -565,8 +567,8 @@ a AS (SELECT source, mode, sum(n) AS seen, sum(n) FILTER (abs(delta - mode) <= 1
 SELECT l_orderkey, l_linenumber, source, delta::BIGINT AS delta, mode::BIGINT AS mode FROM r JOIN a USING (source) WHERE seen >= 3 AND agree >= 0.6 * seen AND abs(delta - mode) > 1""",
     "stray_marks": "SELECT doc_id, 1::BIGINT AS stars, 1::BIGINT AS ticks FROM documents WHERE text IS NOT NULL AND doc_id % 5 = 0",
     "page_drift": "SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'UNREACHABLE' WHEN 1 THEN 'MATCH' WHEN 2 THEN 'DRIFT-MARKS' WHEN 3 THEN 'DRIFT-CAPTION' WHEN 4 THEN 'DRIFT-ANCHORS' ELSE 'DRIFT' END AS status FROM documents WHERE text IS NOT NULL",
-    "edited_blocks": """SELECT * FROM (VALUES (1::BIGINT, 'Some *em* or' || chr(10) || '**bold** text![^a]', 'verified'), (2, 'a [link](https://x.org) there', 'verified'), (3, 'made *for you* all', 'verified'), (4, '## Head', 'no change'), (5, NULL, 'not as expected'), (6, NULL, 'not mapped'),
-(7, '> q one' || chr(10) || '> three', 'verified')) AS v(id, text, note)""",
+    "edited_blocks": f"""WITH w AS (SELECT k, a, CASE WHEN k % 4 = 0 THEN 'ZZZ' ELSE a[4] END AS w4, CASE WHEN k % 4 = 2 THEN 'ZZZ' ELSE a[6] END AS w6 FROM {made.WORDS})
+SELECT k, CASE WHEN k % 4 < 3 THEN a[1] || ' *' || a[2] || '* **' || a[3] || ' ' || w4 || '** ' || a[5] || ' [' || w6 || '](https://x.org/' || k || ') ' || a[7] || '[^n]' || chr(10) || a[8] END AS text, CASE k % 4 WHEN 1 THEN 'no change' WHEN 3 THEN 'not mapped' ELSE 'verified' END AS note FROM w""",
     "tag_used_by": "SELECT o_orderstatus, o_orderpriority, string_agg(DISTINCT o_custkey::VARCHAR, ',' ORDER BY o_custkey::VARCHAR) AS used_by FROM orders GROUP BY ALL",
     "pieces_per_group": "SELECT lang, count(*) AS pieces FROM documents GROUP BY lang",
     "revision_detection": f"""WITH {_LINES}, a AS (SELECT doc_id, b, unnest([0, 1, 2, 3]) AS age FROM l),
@@ -606,7 +608,7 @@ ELSE 'https://base.org/p/' || CASE WHEN c_custkey % 3 = 0 THEN 'site' || c_custk
     "unlisted_slugs": """WITH h AS (SELECT page_id::VARCHAR AS outlet, coalesce(array_to_string(regexp_extract_all(html, 'href="([^"]+)"', 1), ' '), '') AS hrefs FROM pages), s(slug) AS (VALUES ('the'), ('und'), ('x.org'))
 SELECT outlet, slug FROM h, s WHERE NOT contains(hrefs, '/' || slug)""",
     "unknown_posts": "SELECT o_orderkey AS id, o_custkey::VARCHAR AS slug FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 4 <> 0 AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)",
-    "preview_images": "SELECT * FROM (VALUES (1::BIGINT, 'https://x.org/a.png?x=1&y=2'), (2, 'http://cdn.org/b.png'), (3, 'https://x.org/p/c.png'), (4, 'https://y.org/d.png'), (5, NULL), (6, NULL), (7, 'https://x.org/e.png')) AS v(id, image)",
+    "preview_images": "SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'https://x.org/a' || page_id || '.png?x=1&y=2' WHEN 1 THEN 'https://cdn.org/b' || page_id || '.png' WHEN 2 THEN 'https://x.org/p' || page_id || '/c' || page_id || '.png' WHEN 3 THEN 'https://y.org/d' || page_id || '.png' END AS image FROM pages",
     "page_without_template": r"""SELECT page_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html || '<A class="x" href="#footnote-1">1</A>a<SUP>2</SUP>b', '(?is)<script\b.*?</script>', ' ', 'g'), '(?is)<style\b.*?</style>', ' ', 'g'), '(?is)<a\b[^>]*href="#footnote[^"]*"[^>]*>.*?</a>', ' ', 'g'), '(?is)<sup\b.*?</sup>', ' ', 'g')) AS sha FROM pages""",
     "lost_images": f"""WITH {NOTES}, i AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '!\\[[^\\]]*\\]\\((images/[^)\\s]+)', 1)) AS file FROM dr),
 v AS (SELECT doc_id, 'https://s3.org/' || replace(file, '/', '_') AS image, file FROM i UNION SELECT doc_id, 'https://s3.org/only-live.png', NULL FROM dr UNION SELECT doc_id, 'images/' || doc_id || '-6.png', NULL FROM dr)

@@ -97,14 +97,13 @@ def index_findings(spark, d):
     return builders.index_findings(verses.unionByName(blocks).unionByName(chapters))
 
 
-POSTS = {"id": "long", "html": "string"}
-POST_ROWS = [(1, '<script>window._preloads        = JSON.parse("{\\"post\\":{\\"id\\":7,\\"body_html\\":\\"<p>x</p>\\"},\\"o\\":1}")</script>'), (2, "<p>none</p>"), (3, None), (4, 'window._preloads = JSON.parse("{\\"pub\\":1}") ; </script>')]
-
-
 def embedded_posts(spark, d):
-    """SC16: posts that pages carry (literal rows)."""
-    post = builders.embedded_post(F.col("html"))
-    return frame(spark, POSTS, POST_ROWS).select("id", F.get_json_object(post, "$.id").alias("post"), F.get_json_object(post, "$.body_html").alias("body"))
+    """SC16: posts that pages carry; some carry none, some another record, some are missing."""
+    k = F.col("page_id")
+    script = F.concat(F.lit('<script>window._preloads        = JSON.parse("{\\"post\\":{\\"id\\":'), k, F.lit(',\\"body_html\\":\\"<p>x '), k, F.lit('</p>\\"},\\"o\\":1}")</script>'))
+    page = F.when(k % 4 == 0, F.concat("html", script)).when(k % 4 == 1, F.col("html")).when(k % 4 == 2, F.concat("html", F.lit('window._preloads = JSON.parse("{\\"pub\\":1}") ; </script>')))
+    post = builders.embedded_post(page)
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.get_json_object(post, "$.id").alias("post"), F.get_json_object(post, "$.body_html").alias("body"))
 
 
 def manifest_lines(spark, d):
@@ -243,7 +242,7 @@ SELECT 'verses' AS source, 'furniture' AS finding, 's' AS section, o::INTEGER AS
 UNION ALL SELECT source, 'not ascending', NULL, c FROM (SELECT *, lag(c) OVER (PARTITION BY source ORDER BY i) AS p FROM b) WHERE p > c
 UNION ALL SELECT source, 'repeated', 'g', c FROM c GROUP BY source, c HAVING count(*) > 1 UNION ALL SELECT source, 'short', 'g', c FROM c WHERE length(s) < 200
 UNION ALL SELECT source, 'missing', 'g', x::INTEGER FROM (SELECT source, unnest(range(1, max(c)::BIGINT + 1)) AS x FROM c GROUP BY source EXCEPT SELECT source, c FROM c)""",
-    "embedded_posts": _rows("id, post, body", [(1, "7", "<p>x</p>"), (2, None, None), (3, None, None), (4, None, None)], "id::BIGINT AS id, post, body"),
+    "embedded_posts": "SELECT page_id, CASE WHEN page_id % 4 = 0 THEN page_id::VARCHAR END AS post, CASE WHEN page_id % 4 = 0 THEN '<p>x ' || page_id || '</p>' END AS body FROM pages",
     "repeated_keys": r"SELECT source, field, count(*) AS n FROM (SELECT source, unnest(regexp_extract_all(text, '(?m)^([A-Za-z_][\w-]*)\s*:', 1)) AS field FROM y) GROUP BY ALL HAVING count(*) > 1",
     "locus_texts": " UNION ALL ".join(f"SELECT k::VARCHAR AS id, '{x}' AS section, {c} AS chapter, {v} AS verse, {hi} AS hi FROM {made.DOCS} WHERE k % 7 = {n}" for n, rows in made.FOUND_LOCI.items() for x, c, v, hi in rows),
     "quotation_matches": f"SELECT k, k % 5 < 3 AS ok, CASE k % 5 WHEN 0 THEN '1 in order' WHEN 1 THEN '2 in order' WHEN 2 THEN '1 in order' WHEN 3 THEN 'diverges after ' || array_to_string(a[3:7], ' ') ELSE 'not found' END AS detail FROM {made.WORDS}",

@@ -6,8 +6,8 @@ import pytest
 from corpusloom.plans.registry import ORACLES, QUERIES
 
 NAMES = """status_findings 
-outlet_policies preview_images snapshot_faults talk_records account_verdicts 
-slide_keys edited_blocks deck_slides page_rows marked_verses embedded_posts """.split()
+outlet_policies snapshot_faults talk_records account_verdicts 
+slide_keys deck_slides page_rows marked_verses """.split()
 
 
 def key(row):
