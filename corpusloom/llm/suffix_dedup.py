@@ -48,28 +48,27 @@ def two_stage_order(text: np.ndarray, stops: np.ndarray, wanted: np.ndarray, dep
     piece. Suffixes of type B are smaller than their successors and are sorted directly; a suffix of type A is greater
     than its successor and is placed when the scan passes the successor."""
     n = len(text)
-    successor = np.arange(n) + 1
-    last = successor >= stops
-    following = np.where(last, -1, text[np.minimum(successor, n - 1)].astype(np.int16))
-    step = np.sign(following - text.astype(np.int16))  # 1: smaller than its successor, by first bytes; 0: look further
-    decided = np.where(step != 0, np.arange(n), n)
-    nearest = np.minimum.accumulate(decided[::-1])[::-1]  # the last position of a piece is always decided: its successor is empty
+    every = np.arange(n, dtype=np.int32 if n < 1 << 31 else np.int64)
+    last = every + 1 >= stops
+    following = np.where(last, -1, text[np.minimum(every + 1, n - 1)].astype(np.int16))
+    step = np.sign(following - text).astype(np.int8)  # 1: smaller than its successor, by first bytes; 0: look further
+    del following
+    nearest = np.minimum.accumulate(np.where(step != 0, every, n).astype(every.dtype)[::-1])[::-1]  # the last position of a piece is always decided: its successor is empty
     type_b = step[np.minimum(nearest, n - 1)] > 0
+    del nearest, step
 
     # What the wanted suffixes depend on: the positions after them up to the next one of type B or the piece's end.
-    need = np.zeros(n, bool)
-    need[wanted] = True
-    ends = type_b | last
-    run_end = np.minimum.accumulate(np.where(ends, np.arange(n), n)[::-1])[::-1]
+    run_end = np.minimum.accumulate(np.where(type_b | last, every, n).astype(every.dtype)[::-1])[::-1]
     marks = np.zeros(n + 1, np.int32)
     np.add.at(marks, wanted, 1)
     np.add.at(marks, run_end[wanted] + 1, -1)
-    need = np.cumsum(marks[:n]) > 0
+    need = np.cumsum(marks[:n], dtype=np.int32) > 0
+    del marks, run_end
 
-    order_b = _direct(text, stops, np.flatnonzero(need & type_b), depth)
+    order_b = _direct(text, stops, np.flatnonzero(need & type_b).astype(every.dtype), depth)
     by_first = [order_b[a:b] for a, b in _cuts(text[order_b])]
     # Type A suffixes that end with their piece after one byte have an empty successor, which sorts before all others.
-    seeds = np.flatnonzero(need & ~type_b & last)
+    seeds = np.flatnonzero(need & ~type_b & last).astype(every.dtype)
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
     for c, (a, b) in enumerate(_cuts(text[seeds := seeds[np.argsort(text[seeds], kind="stable")]])):
         if b > a:
@@ -77,14 +76,24 @@ def two_stage_order(text: np.ndarray, stops: np.ndarray, wanted: np.ndarray, dep
     induced = need & ~type_b
     starts_piece = np.ones(n, bool)
     starts_piece[1:] = last[:-1]
+    # A run of one byte is induced within its own bucket: how far it goes before each position.
+    same = induced.copy()
+    same[-1:] = False
+    same[:-1] &= (text[:-1] == text[1:]) & ~starts_piece[1:]
+    broken = np.maximum.accumulate(np.where(same, -1, every).astype(every.dtype))
+    del same
     out = []
     for c in range(256):
-        done, fresh = [], np.concatenate(waiting[c]) if waiting[c] else np.zeros(0, np.int64)
-        while len(fresh):  # a run of the same byte is induced within its own bucket
-            done.append(fresh)
-            before = fresh[~starts_piece[fresh]] - 1
-            fresh = before[induced[before] & (text[before] == c)]
-        bucket = np.concatenate([*done, by_first[c]]) if done or len(by_first[c]) else np.zeros(0, np.int64)
+        fresh = np.concatenate(waiting[c]) if waiting[c] else np.zeros(0, every.dtype)
+        waiting[c] = []
+        done = []
+        if len(fresh):
+            # All of the bucket's seeds, then what is before each of them, and so on.
+            length = np.where(fresh > 0, fresh - broken[np.maximum(fresh - 1, 0)], 1)
+            level = np.arange(length.sum(), dtype=every.dtype) - np.repeat((np.cumsum(length) - length).astype(every.dtype), length)
+            placed = np.repeat(fresh, length) - level
+            done = [placed[np.argsort(level, kind="stable")]]
+        bucket = np.concatenate([*done, by_first[c]]) if done or len(by_first[c]) else np.zeros(0, every.dtype)
         out.append(bucket)
         before = bucket[~starts_piece[bucket]] - 1
         before = before[induced[before] & (text[before] > c)]
@@ -107,33 +116,90 @@ def _cuts(ordered: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _direct(text: np.ndarray, stops: np.ndarray, which: np.ndarray, depth: int) -> np.ndarray:
-    """`which` sorted by up to `depth` bytes: by the first eight as numbers, then ties by their bytes."""
+    """`which` sorted by up to `depth` bytes: the first eight as numbers, then only what ties. Groups whose suffixes agree in the next
+    WIDE bytes need no sorting there, as most do that agree at all; of the others, members are sorted by eight bytes at a time.
+    Each step holds a few numbers for each tied suffix, and WIDE bytes of some of them at once."""
     if not len(which):
         return which
-    keys = _eights(text, stops, which)
+    padded = _padded(text)
+    keys = _eights(padded, stops, which)
     by = np.argsort(keys, kind="stable")
-    which, keys = which[by], keys[by]
-    edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
-    sizes = np.diff(edges)
-    whole = text.tobytes()
-    out = which.copy()
-    limit = np.minimum(which + depth, stops[which])
-    positions, limits = which.tolist(), limit.tolist()
-    for g in np.flatnonzero(sizes > 1).tolist():
-        a, b = int(edges[g]), int(edges[g + 1])
-        slices = [whole[positions[i] + 8 : limits[i]] for i in range(a, b)]
-        slices_order = sorted(range(b - a), key=slices.__getitem__)
-        out[a:b] = which[a:b][slices_order]
+    out, keys = which[by], keys[by]
+    # Places in `out` that tie with a neighbour, and the first place of their group.
+    first = np.maximum.accumulate(np.where(np.concatenate([[True], keys[1:] != keys[:-1]]), np.arange(len(out)), 0))
+    del keys, by
+    alive = _tied(first)
+    first = first[alive]
+    shift = 8
+    while len(alive) and shift < depth:
+        width = min(WIDE, -(-(depth - shift) // 8) * 8)
+        split = _differing(padded, stops, out[alive], first, shift, width)
+        for step in range(shift, shift + width, 8):
+            if not len(split):
+                break
+            mine, groups = alive[split], first[split]
+            keys = _eights(padded, stops, out[mine], step)
+            by = np.lexsort((keys, groups))
+            out[mine] = out[mine[by]]
+            keys = keys[by]
+            new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (groups[1:] != groups[:-1])])
+            first[split] = np.maximum.accumulate(np.where(new, mine, 0))
+            # Members that tie no more leave; groups that are equal from here on are not looked at again in this step.
+            split = split[_tied(first[split])]
+        still = _tied(first)
+        alive, first = alive[still], first[still]
+        shift += width
+    if len(alive):  # bytes beyond a piece count as zeros: the shorter of two equal ones comes first
+        left = np.minimum(stops[out[alive]] - out[alive], depth)
+        out[alive] = out[alive[np.lexsort((left, first))]]
     return out
 
 
-def _eights(text: np.ndarray, stops: np.ndarray, at: np.ndarray, shift: int = 0) -> np.ndarray:
+#: Bytes of tied suffixes that are compared at once, and suffixes whose bytes are held for it.
+WIDE, HELD = 64, 1 << 17
+
+
+def _differing(padded: np.ndarray, stops: np.ndarray, at: np.ndarray, first: np.ndarray, shift: int, width: int) -> np.ndarray:
+    """Which of the suffixes at `at`, in groups by `first`, are in a group whose next `width` bytes are not all equal."""
+    inside = at.astype(np.int64) + (shift + width) <= stops[at]
+    unequal = (first[1:] == first[:-1]) & ~(inside[1:] & inside[:-1] & _equal(padded, at[1:], at[:-1], shift, width))
+    groups = np.unique(first[1:][unequal])
+    if not len(groups):
+        return np.zeros(0, np.int64)
+    found = np.minimum(np.searchsorted(groups, first), len(groups) - 1)
+    return np.flatnonzero(groups[found] == first)
+
+
+def _tied(first: np.ndarray) -> np.ndarray:
+    """The places of groups of two or more."""
+    same = np.concatenate([[False], first[1:] == first[:-1], [False]])
+    return np.flatnonzero(same[1:] | same[:-1])
+
+
+def _padded(text: np.ndarray) -> np.ndarray:
+    """The text with room for WIDE bytes from any place on."""
+    return np.concatenate([text, np.zeros(WIDE, np.uint8)])
+
+
+def _eights(padded: np.ndarray, stops: np.ndarray, at: np.ndarray, shift: int = 0) -> np.ndarray:
     """The eight bytes from at + shift on as one number, zeros beyond the piece."""
-    out = np.zeros(len(at), np.uint64)
-    n = len(text)
-    for j in range(8):
-        p = at + (shift + j)
-        out = (out << np.uint64(8)) | np.where(p < stops[at], text[np.minimum(p, n - 1)], 0).astype(np.uint64)
+    rows = np.lib.stride_tricks.as_strided(padded, (len(padded) - 7, 8), (1, 1))
+    place = at.astype(np.int64) + shift
+    out = rows[np.minimum(place, len(padded) - 8)].view(">u8")[:, 0].astype(np.uint64)
+    held = np.clip(stops[at] - place, 0, 8)
+    short = np.flatnonzero(held < 8)
+    bits = ((8 - held[short]) * 8).astype(np.uint64)
+    out[short] = np.where(bits == 64, 0, (out[short] >> np.minimum(bits, np.uint64(63))) << np.minimum(bits, np.uint64(63)))
+    return out
+
+
+def _equal(padded: np.ndarray, a: np.ndarray, b: np.ndarray, shift: int, width: int) -> np.ndarray:
+    """Which of the places a and b hold the same `width` bytes from shift on; a part of them at a time."""
+    rows = np.lib.stride_tricks.as_strided(padded, (len(padded) - width + 1, width), (1, 1))
+    out = np.empty(len(a), bool)
+    for i in range(0, len(a), HELD):
+        x, y = (rows[np.minimum(p[i : i + HELD].astype(np.int64) + shift, len(rows) - 1)] for p in (a, b))
+        out[i : i + HELD] = (x.view(np.uint64) == y.view(np.uint64)).all(1) if width % 8 == 0 else (x == y).all(1)
     return out
 
 
@@ -142,18 +208,10 @@ def recurring(text: np.ndarray, stops: np.ndarray, wanted: np.ndarray, length: i
     order = two_stage_order(text, stops, wanted, length)
     same = np.zeros(len(order), bool)
     alive = np.arange(len(order) - 1)
-    shift = 0
-    packed = None
-    if length >= 8 and len(text) >= 8:
-        packed = np.lib.stride_tricks.as_strided(np.ascontiguousarray(text), (len(text) - 7, 8), (1, 1))
-    while len(alive) and shift < length:  # adjacent common prefixes, eight bytes at a time
-        width = min(8, length - shift)
-        if width == 8 and packed is not None:
-            equal = (packed[order[alive] + shift] == packed[order[alive + 1] + shift]).all(1)
-            alive = alive[equal]
-        else:
-            for j in range(width):
-                alive = alive[text[order[alive] + shift + j] == text[order[alive + 1] + shift + j]]
+    padded, shift = _padded(text), 0
+    while len(alive) and shift < length:  # adjacent common prefixes
+        width = min(WIDE, length - shift)
+        alive = alive[_equal(padded, order[alive], order[alive + 1], shift, width)]
         shift += width
     same[alive] = True
     same[alive + 1] = True

@@ -73,3 +73,16 @@ def test_a_very_long_text_and_kept_bytes(spark):
     gone = len(text[900_000:901_000].encode())
     assert got[1].n_removed >= gone and got[2].n_removed >= gone and got[3].n_removed == 0
     assert bytes(got[2].kept) in b"start " + text[900_000:900_002].encode() + text[901_000:901_000].encode() or len(got[2].kept) <= 6
+
+
+@pytest.mark.parametrize("text", [b"-" * 1_000_000, b"| --- " * 170_000, b"\0\0a" * 300_000], ids=["dashes", "rules", "zeros"])
+def test_memory_of_texts_that_tie(text):
+    """Numpy's own memory for a megabyte of one text whose strings are all equal."""
+    import tracemalloc
+
+    data = np.frombuffer(text, np.uint8)
+    starts = np.arange(len(data) - 399)
+    tracemalloc.start()
+    assert recurring(data, np.full(len(data), len(data)), starts, 400).all()
+    assert tracemalloc.get_traced_memory()[1] < 90 * len(data)
+    tracemalloc.stop()
