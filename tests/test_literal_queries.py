@@ -6,7 +6,7 @@ import pytest
 from corpusloom.plans.registry import ORACLES, QUERIES
 
 NAMES = """status_findings 
-outlet_policies snapshot_faults talk_records account_verdicts 
+snapshot_faults talk_records account_verdicts 
 slide_keys deck_slides page_rows marked_verses """.split()
 
 
