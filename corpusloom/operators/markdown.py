@@ -240,9 +240,11 @@ def locus_spans(text: Column, least: int = 12) -> Column:
     normal form for verses."""
     clear = F.regexp_replace(text, r"\[\*[^*]+\*\]\([^)]*\)", " ")
     runs = F.concat(F.regexp_extract_all(clear, F.lit(rf"\*([^*]{{{least},}})\*"), F.lit(1)), F.regexp_extract_all(F.regexp_replace(clear, r"[*_]+", ""), F.lit(rf"[“\"]([^”\"]{{{least},}})[”\"]"), F.lit(1)))
-    keyed = F.transform(runs, lambda r: F.struct(F.lower(F.regexp_replace(r, r"[^A-Za-z0-9]+", " ")).alias("k"), r.alias("r")))
-    once = F.filter(keyed, lambda x: F.trim(x["k"]) != "")
-    return F.transform(F.filter(once, lambda x, i: F.array_position(F.transform(once, lambda y: y["k"]), x["k"]) == i + 1), lambda x: x["r"])
+    keyed = F.transform(runs, lambda r, i: F.struct(F.lower(F.regexp_replace(r, r"[^A-Za-z0-9]+", " ")).alias("k"), i.alias("i"), r.alias("r")))
+    # Sorted by form and place, the first of a form is the one whose neighbour before has another.
+    first = lambda s: F.filter(s, lambda x, j: (F.trim(x["k"]) != "") & ((j == 0) | (F.get(s, j - 1)["k"] != x["k"])))
+    placed = F.transform(let(F.array_sort(keyed), first), lambda x: F.struct(x["i"].alias("i"), x["r"].alias("r")))
+    return F.transform(F.array_sort(placed), lambda x: x["r"])
 
 
 def spans_by_note(paragraphs: DataFrame, key: str) -> DataFrame:
