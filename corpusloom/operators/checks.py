@@ -1,5 +1,7 @@
 """Checks of texts, captions, decks, loci and decisions: DataFrame in, DataFrame out."""
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -8,10 +10,11 @@ from corpusloom.functions import norm
 
 def garbled(stream: Column, least: int = 12, share: float = 0.35) -> Column:
     """FL2: of at least so many words of a normalized stream, more than a share are of one or two letters or hold other
-    characters than a-z and apostrophes. False for null and for fewer words."""
+    characters than a-z and apostrophes. False for null and for fewer words. The share is a decimal: 49 of 140 words are not
+    more than 0.35 of them."""
     words = F.filter(F.split(F.coalesce(stream, F.lit("")), " "), lambda w: w != "")
     junk = F.filter(words, lambda w: (F.length(w) <= 2) | ~w.rlike("^[a-z']+$"))
-    return (F.size(words) >= least) & (F.size(junk) > share * F.size(words))
+    return (F.size(words) >= least) & (F.size(junk) > F.lit(Decimal(str(share))) * F.size(words))
 
 
 def not_found(url: Column, markers: list[str]) -> Column:
