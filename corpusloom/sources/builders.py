@@ -50,6 +50,8 @@ def titled_verses(docs: DataFrame, names: list[str] | None = None, errata: DataF
     name the titles; a title opens a section only once the last one has a verse, so a title of several lines is one. Sections
     are called by `names` in order, or by their titles. errata: (section, chapter, verse, wrong, right)."""
     lines = _lines(docs, enclosed(F.col("text"))).where("line <> ''")
+    # A mark alone on its line is a verse without text, not text of the verse before it.
+    lines = lines.withColumn("line", F.when(F.col("line").rlike(r"\A\d+:\d+\z"), F.concat("line", F.lit(" "))).otherwise(F.col("line")))
     of_source = Window.partitionBy("source")
     lines = lines.withColumn("__v", F.col("line").rlike(rf"\A{VERSE}")).withColumn("__first", F.min(F.when(F.col("__v"), F.col("n"))).over(of_source))
     toc = lines.where((F.col("n") < F.col("__first")) & ~F.col("line").rlike(TESTAMENT)).select("source", "line", F.lit(True).alias("__title")).distinct()
