@@ -63,7 +63,7 @@ def source_text(text: Column, ascii_only: bool = False) -> Column:
     s = flat_quotes(text if ascii_only else decomposed(flat_quotes(text)))
     s = F.lower(F.replace(F.regexp_replace(s, "[—–]", " "), F.lit("‐"), F.lit("-")))
     s = F.regexp_replace(s, "[^a-z0-9' ]+", " ")
-    s = F.regexp_replace(s, "(?<![a-z0-9])'|'(?![a-z0-9])", " ")
+    s = F.regexp_replace(s, "'(?:(?![a-z0-9])|(?<![a-z0-9]'))", " ")
     return F.trim(F.regexp_replace(s, " +", " "))
 
 
