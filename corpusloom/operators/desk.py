@@ -168,10 +168,10 @@ def renames(pieces: DataFrame) -> DataFrame:
 
 def notes_by_source(notes: DataFrame, aliases: DataFrame, key: str) -> DataFrame:
     """JN10: (key, source, score): the sources whose aliases (source, alias, weight) a note (key, note) holds as substrings of its
-    normal form, with the greatest weight. Aliases meet notes by the words inside them, short ones by a scan."""
+    normal form, with the greatest weight. Aliases meet notes by the words inside them, short ones by a scan; their places are not made."""
     streams = notes.select(key, norm.source_text(F.col("note"), ascii_only=True).alias("stream"))
     names = aliases.select(F.monotonically_increasing_id().alias("__a"), "source", "alias", "weight")
-    hits = text.phrase_hits(streams, names.select("__a", F.col("alias").alias("phrase")).distinct(), key, "__a").select(key, "__a").distinct()
+    hits = text.held_phrases(streams, names.select("__a", F.col("alias").alias("phrase")).distinct(), key, "__a")
     return hits.join(names, "__a").groupBy(key, "source").agg(F.max("weight").alias("score"))
 
 

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 from corpusloom.functions import norm
 
 
-#: Characters of a short phrase that streams are searched by, and hashes of phrases that a stream's are filtered by before they move.
-GRAM, PROBES = 12, 4096
+#: Characters of a short phrase that streams are searched by, phrases that a stream is probed for in its own row, and short ones
+#: that it is scanned for one by one.
+GRAM, PROBES, SCANNED = 12, 4096, 256
 
 
 def let(value: Column, body) -> Column:
@@ -87,51 +88,67 @@ def places(stream: Column, phrase: Column) -> Column:
     return let(parts, lambda p: F.aggregate(F.slice(p, 1, F.size(p) - 1), start, step, lambda a: a["all"]))
 
 
-def phrase_hits(streams: DataFrame, phrases: DataFrame, key: str, phrase_key: str, around: int = 60) -> DataFrame:
-    """FZ1: every place where phrases occur in normalized streams (`stream`) as substrings, whole words or not, each hit
-    beginning after the last one's end: `at` (0-based, code points) and `context`, the hit with up to `around` characters
-    before and after it. A phrase of three words or more has whole words inside; candidates share the first of those, up to
-    six, by hash. Shorter phrases, a query set, share the hash of a run of characters, as long as the phrase or GRAM. A stream's
-    candidates are gathered, so that it moves and is read once. Empty phrases and null streams have no hits. Only what is in the
-    streams counts: marks in phrases are no patterns."""
+def holding(streams: DataFrame, phrases: DataFrame, key: str, phrase_key: str) -> DataFrame:
+    """(__k, stream, __p, phrase): the normalized streams (`stream`) that hold each phrase as a substring, whole words or not. A phrase
+    of three words or more has whole words inside; candidates share the first of those, up to six, by hash. Shorter phrases, a
+    query set, are scanned for where there are SCANNED at most, else share the hash of a run of characters, as long as the phrase
+    or GRAM. Up to PROBES phrases are met in the stream's own row, which is read once and never moves. Of more, a stream's
+    candidates are gathered, so that it moves once. Empty phrases and null streams hold nothing."""
     cleaned = phrases.where(F.trim("phrase") != "").select(F.col(phrase_key).alias("__p"), "phrase", F.split("phrase", " ").alias("w"))
     inner = F.greatest(F.least(F.size("w") - 2, F.lit(6)), F.lit(0))
     cleaned = cleaned.withColumn("n", F.when(inner > 0, inner).otherwise(-F.least(F.length("phrase"), F.lit(GRAM))))
     probe = F.when(F.col("n") > 0, F.xxhash64(F.slice("w", 2, F.abs("n")))).otherwise(F.xxhash64(F.substring("phrase", F.lit(1), F.abs("n"))))
     cleaned = cleaned.withColumn("h", probe).drop("w")
-    texts = streams.where("stream IS NOT NULL").select(F.col(key).alias("__k"), "stream")
+    texts = streams.select(F.col(key).alias("__k"), "stream")
     sizes = sorted(r.n for r in cleaned.select("n").distinct().collect())  # six and GRAM at most
     if not sizes:
-        return texts.select(F.col("__k").alias(key), F.lit(None).cast(dict(phrases.dtypes)[phrase_key]).alias(phrase_key), F.lit(0).alias("at"), "stream").limit(0).withColumnRenamed("stream", "context")
-
-    def runs(n: int) -> Column:
-        if n > 0:
-            return shingle_hashes(F.split("stream", " "), n)
-        every = F.sequence(F.lit(1), F.length("stream") + 1 + n)
-        return F.when(F.length("stream") >= -n, F.array_distinct(F.transform(every, lambda i: F.xxhash64(F.substring("stream", i, F.lit(-n))))))
-
+        return texts.select("__k", "stream", F.lit(None).cast(dict(phrases.dtypes)[phrase_key]).alias("__p"), F.lit("").alias("phrase")).limit(0)
+    few = len(cleaned.select("h").limit(PROBES + 1).collect()) <= PROBES
+    short = [(r.h, r.phrase) for r in cleaned.where("n < 0").select("h", "phrase").distinct().limit(SCANNED + 1).collect()]
+    scanned = short if few and len(short) <= SCANNED else []
     wanted = {n: [r.h for r in cleaned.where(F.col("n") == n).select("h").distinct().limit(PROBES + 1).collect()] for n in sizes}
 
-    def met(n: int) -> DataFrame:
-        found = texts.select("__k", F.lit(n).alias("n"), F.explode(runs(n)).alias("h"))
-        return found.where(F.col("h").isin(wanted[n])) if len(wanted[n]) <= PROBES else found
+    def met(stream: Column, n: int) -> Column:
+        size = F.lit(abs(n))
+        joined = (lambda w, i: F.slice(w, i, size)) if n > 0 else (lambda w, i: F.array_join(F.slice(w, i, size), ""))
+        parts = F.split(stream, " ") if n > 0 else F.filter(F.split(stream, ""), lambda c: c != "")
+        every = let(parts, lambda w: F.when(F.size(w) >= size, F.transform(F.sequence(F.lit(1), F.size(w) - (size - 1)), lambda i: F.xxhash64(joined(w, i)))).otherwise(F.array().cast("array<long>")))
+        return F.filter(every, lambda h: h.isin(wanted[n])) if len(wanted[n]) <= PROBES else every
+
+    def candidates(stream: Column) -> Column:
+        found = [met(stream, n) for n in sizes if n > 0 or not scanned]
+        if scanned:
+            probes = F.array(*[F.struct(F.lit(h).alias("h"), F.lit(phrase).alias("phrase")) for h, phrase in scanned])
+            found.append(F.transform(F.filter(probes, lambda p: F.contains(stream, p["phrase"])), lambda p: p["h"]))
+        return F.array_distinct(F.concat(*found))
+
+    # The stream is made once for the row: a filter on it would make it again.
+    of_row = F.filter(F.transform(F.array("stream"), lambda s: F.struct(s.alias("stream"), candidates(s).alias("hs"))), lambda x: F.size(x["hs"]) > 0)
+    rows = texts.select("__k", F.inline(of_row))
+    if few:
+        # PROBES phrases at most.
+        pairs = rows.select("__k", "stream", F.explode("hs").alias("h")).join(F.broadcast(cleaned.select("h", "__p", "phrase")), "h")
+        return pairs.where(F.contains("stream", F.col("phrase"))).select("__k", "stream", "__p", "phrase")
+    pairs = rows.select("__k", F.explode("hs").alias("h")).join(cleaned, "h").groupBy("__k").agg(F.collect_list(F.struct("__p", "phrase")).alias("phrases"))
+    found = pairs.join(texts, "__k").select("__k", "stream", F.inline("phrases"))
+    return found.where(F.contains("stream", F.col("phrase")))
 
-    every = met(sizes[0])
-    for n in sizes[1:]:
-        every = every.unionByName(met(n))
-    pairs = every.join(cleaned, ["n", "h"]).groupBy("__k").agg(F.collect_list(F.struct("__p", "phrase")).alias("phrases"))
-    # A stream is joined once with all its candidates, and moves on only as the hits' contexts.
-    found = pairs.join(texts, "__k").select("__k", "stream", F.filter("phrases", lambda p: F.contains("stream", p["phrase"])).alias("phrases"))
 
-    def hits(p: Column) -> Column:
-        def hit(at: Column) -> Column:
-            start = F.greatest(at - around, F.lit(0))
-            return F.struct(p["__p"].alias("p"), at.alias("at"), F.substring("stream", start + 1, at + F.length(p["phrase"]) + around - start).alias("context"))
-
-        return F.transform(places(F.col("stream"), p["phrase"]), hit)
-
-    rows = found.select("__k", F.inline(F.flatten(F.transform("phrases", hits))))
-    return rows.select(F.col("__k").alias(key), F.col("p").alias(phrase_key), "at", "context")
+def phrase_hits(streams: DataFrame, phrases: DataFrame, key: str, phrase_key: str, around: int = 60) -> DataFrame:
+    """FZ1: every place where phrases occur in normalized streams (`stream`) as substrings, whole words or not, each hit
+    beginning after the last one's end: `at` (0-based, code points) and `context`, the hit with up to `around` characters
+    before and after it. A stream moves on only as its hits' contexts. Empty phrases and null streams have no hits. Only what is
+    in the streams counts: marks in phrases are no patterns."""
+    start = lambda at: F.greatest(at - around, F.lit(0))
+    context = lambda at: F.substring("stream", start(at) + 1, at + F.length("phrase") + around - start(at))
+    hits = F.transform(places(F.col("stream"), F.col("phrase")), lambda at: F.struct(at.alias("at"), context(at).alias("context")))
+    rows = holding(streams, phrases, key, phrase_key).select("__k", "__p", F.inline(hits))
+    return rows.select(F.col("__k").alias(key), F.col("__p").alias(phrase_key), "at", "context")
+
+
+def held_phrases(streams: DataFrame, phrases: DataFrame, key: str, phrase_key: str) -> DataFrame:
+    """JN10: (key, phrase_key): which phrases streams hold, wherever and however often."""
+    return holding(streams, phrases, key, phrase_key).select(F.col("__k").alias(key), F.col("__p").alias(phrase_key)).distinct()
 
 
 def line_blocks(docs: DataFrame, key: str, lines: int = 40) -> DataFrame:
