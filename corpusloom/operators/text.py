@@ -53,29 +53,64 @@ def leaked(private: DataFrame, public: DataFrame, private_key: str, public_key:
     return held.groupBy(F.col("__b").alias(public_key), F.col("r.__a").alias(private_key)).agg(F.count_distinct("r.shingle").alias("shared"))
 
 
+def _masked_words(text: Column) -> tuple[Column, Column]:
+    """A text's words, and the same masked: at once for the whole text, as neither case nor digits make or end a word."""
+    flat = F.regexp_replace(F.trim(text), r"\s+", " ")
+    words = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
+    return words(flat), words(norm.masked(flat))
+
+
+def _run_starts(words: Column, n: int) -> Column:
+    return F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.array().cast("array<int>"))
+
+
+def _run_hash(words: Column, at: Column, n: int) -> Column:
+    """The hash of the array of n words from `at`, without making one."""
+    return F.xxhash64(*[F.get(words, at + k) for k in range(n)])
+
+
 def furniture(pages: DataFrame, group: str, page: str, n: int = 3, share: float = 0.5, least_pages: int = 4) -> DataFrame:
     """AG6, FZ16: masked n-word runs on max(2, int(share * pages)) pages of a group or more; groups of fewer than
-    `least_pages` pages have none."""
-    words = F.filter(F.split(F.regexp_replace(F.trim(F.col("text")), r"\s+", " "), " "), lambda w: w != "")
-    runs = pages.select(group, page, F.explode(F.array_distinct(shingles(F.transform(words, norm.masked), n))).alias("run"))
+    `least_pages` pages have none. Runs are counted by a 64-bit hash first, which is on as many pages as any run of it; only those that
+    are on enough pages are counted themselves. Up to PROBES of them are told in the page's own row."""
+    masked = pages.select(group, _masked_words(F.col("text"))[1].alias("words"))
+    hashed = lambda w: F.array_distinct(F.transform(_run_starts(w, n), lambda i: _run_hash(w, i, n)))
     totals = pages.groupBy(group).agg(F.countDistinct(page).alias("pages")).where(F.col("pages") >= least_pages)
-    counts = runs.groupBy(group, "run").agg(F.count(F.lit(1)).alias("on_pages"))
     cut = F.greatest(F.lit(2), F.floor(F.col("pages") * share).cast("long"))
-    return counts.join(totals, group).where(F.col("on_pages") >= cut).select(group, "run", "on_pages", "pages")
+    enough = lambda counts: counts.join(totals, group).where(F.col("on_pages") >= cut)
+    count = F.count(F.lit(1)).alias("on_pages")
+    hashes = enough(masked.select(group, F.explode(let(F.col("words"), hashed)).alias("__h")).groupBy(group, "__h").agg(count)).select(group, "__h").persist()
+    few = [r[0] for r in hashes.select("__h").distinct().limit(PROBES + 1).collect()]
+    if len(few) <= PROBES:
+        hashes.unpersist()
+        told = let(F.col("words"), lambda w: F.transform(F.filter(_run_starts(w, n), lambda i: _run_hash(w, i, n).isin(few)), lambda i: F.array_join(F.slice(w, i + 1, n), " ")))
+        runs = masked.select(group, F.explode(F.array_distinct(told)).alias("run"))
+    else:
+        runs = masked.select(group, F.explode(F.array_distinct(shingles(F.col("words"), n))).alias("run")).withColumn("__h", F.xxhash64(F.split("run", " "))).join(hashes, [group, "__h"])
+    return enough(runs.groupBy(group, "run").agg(count)).select(group, "run", "on_pages", "pages")
 
 
 def without_furniture(pages: DataFrame, found: DataFrame, group: str, page: str, n: int = 3) -> DataFrame:
-    """FZ16: the pages' texts without the words that a furniture run covers. Words meet the runs by an equi-join on the run's
-    hash; the positions left are found by one difference of sets."""
-    words = F.filter(F.split(F.regexp_replace(F.trim(F.col("text")), r"\s+", " "), " "), lambda w: w != "")
-    with_words = pages.select(group, page, words.alias("words"))
-    hashed = F.transform(shingles(F.transform(F.col("words"), norm.masked), n), lambda r: F.struct(F.xxhash64(r).alias("h1"), F.xxhash64(F.lit(n), r).alias("h2")))
-    runs = with_words.select(group, page, F.posexplode(hashed).alias("at", "run")).select(group, page, "at", "run.h1", "run.h2")
-    wanted = found.select(group, F.xxhash64("run").alias("h1"), F.xxhash64(F.lit(n), "run").alias("h2")).distinct()
-    hits = runs.join(wanted, [group, "h1", "h2"]).groupBy(group, page).agg(F.collect_set("at").alias("starts"))
-    out = with_words.join(hits, [group, page], "left")
-    covered = F.coalesce(F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (n - 1))))), F.array().cast("array<int>"))
-    every = F.when(F.size("words") > 0, F.sequence(F.lit(0), F.size("words") - 1)).otherwise(F.array().cast("array<int>"))
+    """FZ16: the pages' texts without the words that a furniture run covers; the positions left are found by one difference of
+    sets. Up to PROBES runs are told in the page's own row; words meet more by an equi-join on the run's hash."""
+    words, masked = _masked_words(F.col("text"))
+    wanted = found.select(group, "run").distinct().persist()
+    # A group's length tells it from the run that follows.
+    keyed = lambda run: F.concat(F.length(F.col(group).cast("string")).cast("string"), F.lit(":"), F.col(group).cast("string"), run)
+    few = wanted.select(keyed(F.col("run")).alias("k"), F.xxhash64(F.split("run", " ")).alias("h")).limit(PROBES + 1).collect()
+    none = F.array().cast("array<int>")
+    if len(few) <= PROBES:
+        wanted.unpersist()
+        keys, hashes = [r.k for r in few], [r.h for r in few]
+        starts = let(masked, lambda w: F.filter(_run_starts(w, n), lambda i: _run_hash(w, i, n).isin(hashes) & keyed(F.array_join(F.slice(w, i + 1, n), " ")).isin(keys)))
+        out = pages.select(group, page, words.alias("words"), starts.alias("starts"))
+    else:
+        hashed = F.transform(shingles(masked, n), lambda r: F.struct(F.xxhash64(r).alias("h1"), F.xxhash64(F.lit(n), r).alias("h2")))
+        runs = pages.select(group, page, F.posexplode(hashed).alias("at", "run")).select(group, page, "at", "run.h1", "run.h2")
+        hits = runs.join(wanted.select(group, F.xxhash64("run").alias("h1"), F.xxhash64(F.lit(n), "run").alias("h2")), [group, "h1", "h2"]).groupBy(group, page).agg(F.collect_set("at").alias("starts"))
+        out = pages.select(group, page, words.alias("words")).join(hits, [group, page], "left")
+    covered = F.coalesce(F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (n - 1))))), none)
+    every = F.when(F.size("words") > 0, F.sequence(F.lit(0), F.size("words") - 1)).otherwise(none)
     kept = F.transform(F.array_except(every, covered), lambda i: F.get("words", i))
     return out.select(group, page, F.array_join(kept, " ").alias("text"))
 
