@@ -55,7 +55,9 @@ def _decomposed(keep_marks: bool):
 
 def decomposed(text: Column, keep_marks: bool = False) -> Column:
     """NFKD, with or without combining marks; only texts with characters outside ASCII leave the JVM's functions."""
-    return F.when(text.rlike(r"[^\x00-\x7F]"), _decomposed(keep_marks)(text)).otherwise(text)
+    wide = text.rlike(r"[^\x00-\x7F]")
+    # What the condition rules out would be sent too; a null is sent in its place.
+    return F.when(wide, _decomposed(keep_marks)(F.when(wide, text))).otherwise(text)
 
 
 def source_text(text: Column, ascii_only: bool = False) -> Column:
@@ -123,6 +125,10 @@ def plain_markdown(text: Column) -> Column:
     return collapsed(text)
 
 
+#: All but characters that NFC leaves alone wherever they stand: Latin letters and signs below U+0300, and dashes and quotes.
+COMPOSABLE = "[^\\x00-\\u02FF\\u2010-\\u2027]"
+
+
 def _composed():
     @F.pandas_udf("string")
     def compose(text: pd.Series) -> pd.Series:
@@ -133,8 +139,9 @@ def _composed():
 
 def ingested(text: Column) -> Column:
     """Composed (NFC), collapsed, no space before punctuation, words joined across line-end hyphens. Only texts with
-    characters outside ASCII leave the JVM's functions."""
-    text = F.when(text.rlike(r"[^\x00-\x7F]"), _composed()(text)).otherwise(text)
+    characters that composition can touch leave the JVM's functions."""
+    open_ = text.rlike(COMPOSABLE)
+    text = F.when(open_, _composed()(F.when(open_, text))).otherwise(text)
     s = F.regexp_replace(collapsed(text), r" ([,.;:!?])", "$1")
     return F.regexp_replace(s, "(?U)(\\w)[-\u00ad] (\\w)", "$1$2")
 
