@@ -104,20 +104,23 @@ def chapters(docs: DataFrame) -> DataFrame:
     order = Window.partitionBy("source").orderBy("n")
     lines = lines.withColumn("__h", F.regexp_extract("line", CHAPTER, 1)).withColumn("ord", F.sum(F.when(F.col("__h") != "", 1).otherwise(0)).over(order)).where("ord > 0")
     rows = lines.groupBy("source", "ord").agg(F.max("__h").alias("__h"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("__h") == "", F.struct("n", "line")))), lambda x: x["line"]), " ").alias("text"))
-    return rows.select("source", "ord", norm.roman(F.col("__h")).alias("chapter"), cleaned(F.regexp_replace("text", NOTE_MARK, " ")).alias("text")).where("text <> ''")
+    # As by cleaned(), in steps, so that each is made once for the row; a filter on the text would make it again.
+    rows = rows.select("source", "ord", norm.roman(F.col("__h")).alias("chapter"), F.trim(norm.scrubbed(F.regexp_replace("text", NOTE_MARK, " "), FURNITURE)).alias("text"))
+    made = F.filter(F.array(norm.ingested(F.col("text"))), lambda x: x != "")
+    return rows.select("source", "ord", "chapter", F.explode(made).alias("text"))
 
 
 def chapter_findings(rows: DataFrame, expected: int, times: int = 4) -> DataFrame:
     """SC11, AG12: (source, finding, chapter): chapters that are not exactly 1 to `expected` in order, and chapters longer than
-    `times` the upper median."""
-    from corpusloom.operators.desk import upper_median
-
-    median = upper_median(rows, "source", F.length("text")).select("source", "median")
-    fat = rows.join(median, "source").where(F.length("text") > times * F.col("median")).select("source", F.lit("far longer than the median").alias("finding"), "chapter")
-    wrong = rows.where("chapter <> ord").select("source", F.lit("out of order").alias("finding"), "chapter")
-    held = rows.groupBy("source").agg(F.collect_set("chapter").alias("s"))
-    missing = held.select("source", F.lit("missing").alias("finding"), F.explode(F.array_except(F.sequence(F.lit(1), F.lit(expected)), F.col("s"))).alias("chapter"))
-    return fat.union(wrong).union(missing)
+    `times` the upper median. Texts are made once, and only their lengths are gathered by source."""
+    held = rows.select("source", F.struct(F.length("text").alias("n"), "chapter", "ord").alias("x")).groupBy("source").agg(F.collect_list("x").alias("xs"))
+    held = held.withColumn("median", F.get(F.array_sort(F.transform("xs", lambda x: x["n"])), F.floor(F.size("xs") / 2).cast("int")))
+    found = lambda name, chapters: F.transform(chapters, lambda c: F.struct(F.lit(name).alias("finding"), c.alias("chapter")))
+    chapter_of = lambda xs: F.transform(xs, lambda x: x["chapter"])
+    fat = found("far longer than the median", chapter_of(F.filter("xs", lambda x: x["n"] > times * F.col("median"))))
+    wrong = found("out of order", chapter_of(F.filter("xs", lambda x: x["chapter"] != x["ord"])))
+    missing = found("missing", F.array_except(F.sequence(F.lit(1), F.lit(expected)), chapter_of(F.col("xs"))))
+    return held.select("source", F.inline(F.concat(fat, wrong, missing)))
 
 
 def pages(docs: DataFrame, share: float = 0.5) -> DataFrame:
