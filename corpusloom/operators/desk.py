@@ -134,13 +134,14 @@ def lease_states(leases: DataFrame, now: Column, hours: int = ABANDONED_AFTER) -
 def declared_outlets(pieces: DataFrame, outlets: DataFrame, key: str) -> DataFrame:
     """JN3: (key, outlet, known) for each outlet that a piece declares, each once."""
     names = outlets.select(F.col("name").alias("outlet"), F.lit(True).alias("known")).distinct()
-    return pieces.select(key, F.explode(F.array_distinct("outlets")).alias("outlet")).join(names, "outlet", "left").select(key, "outlet", F.coalesce("known", F.lit(False)).alias("known"))
+    return pieces.select(key, F.explode(F.array_distinct("outlets")).alias("outlet")).join(F.broadcast(names), "outlet", "left").select(key, "outlet", F.coalesce("known", F.lit(False)).alias("known"))
 
 
 def reader_urls(manifests: DataFrame, outlets: DataFrame, key: str) -> DataFrame:
-    """PJ36: (key, outlet, url) by each outlet's own manifest key; manifests: (key, fields: map)."""
+    """PJ36: (key, outlet, url) by each outlet's own manifest key; manifests: (key, fields: map). The registry of outlets goes to every
+    task: a field is on most pieces, so that by field a few tasks would sort all of them."""
     rows = manifests.select(key, F.explode("fields").alias("field", "url")).where("url <> ''")
-    return rows.join(outlets.select(F.col("name").alias("outlet"), F.col("manifest_url_key").alias("field"), "ord"), "field").select(key, "outlet", "ord", without_slash(F.col("url")).alias("url"))
+    return rows.join(F.broadcast(outlets.select(F.col("name").alias("outlet"), F.col("manifest_url_key").alias("field"), "ord")), "field").select(key, "outlet", "ord", without_slash(F.col("url")).alias("url"))
 
 
 def live_urls(manifests: DataFrame, outlets: DataFrame, key: str) -> DataFrame:
@@ -259,7 +260,7 @@ def seal_verdicts(drafts: DataFrame, live: DataFrame, key: str) -> DataFrame:
 def outlet_readiness(pieces: DataFrame, outlets: DataFrame, key: str, main: str | None = None) -> DataFrame:
     """XT11: (key, outlet, state) of declared outlets: `store`, `browser`, or `unknown`; a piece that declares none is refused with
     a null outlet. main: the outlet that is never a store by its address alone."""
-    rows = pieces.select(key, F.explode_outer(F.when(F.size("outlets") > 0, F.col("outlets"))).alias("outlet")).join(outlets.withColumnRenamed("name", "outlet"), "outlet", "left")
+    rows = pieces.select(key, F.explode_outer(F.when(F.size("outlets") > 0, F.col("outlets"))).alias("outlet")).join(F.broadcast(outlets.withColumnRenamed("name", "outlet")), "outlet", "left")
     has = lambda c: F.coalesce(F.col(c) != "", F.lit(False))
     store = F.coalesce("store", F.lit(False)) | (~F.col("outlet").eqNullSafe(F.lit(main)) & has("reader_base") & ~has("account_handle"))
     return rows.select(key, "outlet", F.when(F.col("outlet").isNull(), "none declared").when(store, "store").when(has("account_handle"), "browser").otherwise("unknown").alias("state"))
