@@ -14,7 +14,8 @@ CURLY, STRAIGHT = "‘’“”", "''\"\""
 
 def collapsed(text: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    # A run that is one space already stays, and most are.
+    return F.trim(F.regexp_replace(text, r"(?U)(?! (?!\s))\s+", " "))
 
 
 def flat_quotes(text: Column) -> Column:

@@ -39,7 +39,7 @@ def without_daggers(text: Column) -> Column:
 
 def raw_blocks(body: Column) -> Column:
     """PJ1: parts between blank lines, those without text left out; indentation is kept."""
-    return F.filter(F.split(body, r"\n[ \t]*\n"), lambda b: stripped(b) != "")
+    return F.filter(F.split(body, r"\n[ \t]*\n"), lambda b: b.rlike(r"(?U)\S"))
 
 
 def block_kind(block: Column) -> Column:
@@ -55,8 +55,14 @@ def inline(text: Column, images: Column | None = None, captions: Column | None =
     mapped by `images`, their captions by `captions`), links, bold, italics."""
     marks = {"*": "\x01A", "_": "\x01U", "[": "\x01L", "]": "\x01R"}
     out = F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    for mark, parked in marks.items():
-        out = F.replace(out, F.lit("\\" + mark), F.lit(parked))
+
+    def swapped(t: Column, pairs: list[tuple[str, str]], sign: str) -> Column:
+        done = t
+        for a, b in pairs:
+            done = F.replace(done, F.lit(a), F.lit(b))
+        return F.when(F.contains(t, F.lit(sign)), done).otherwise(t)
+
+    out = let(out, lambda t: swapped(t, [("\\" + mark, parked) for mark, parked in marks.items()], "\\"))
     out = F.regexp_replace(out, r"\[\^(\w+)\]", "[[FN$1]]")
     picture = r"!\[(.*?)\]\((.*?)\)"
 
@@ -68,23 +74,22 @@ def inline(text: Column, images: Column | None = None, captions: Column | None =
         said = F.when(F.coalesce(said, F.lit("")) != "", F.concat(F.lit("<figcaption>"), said, F.lit("</figcaption>"))).otherwise("")
         return F.concat(F.lit('<figure><img src="'), source, F.lit('" alt="'), alt, F.lit('">'), said, F.lit("</figure>"))
 
-    out = F.aggregate(F.array_distinct(F.regexp_extract_all(out, F.lit(picture), F.lit(0))), out, lambda done, found: F.replace(done, found, figure(found)))
+    # A lambda's variables are computed once, what stands outside of it wherever it is named.
+    out = let(out, lambda t: F.when(F.contains(t, F.lit("![")), F.aggregate(F.array_distinct(F.regexp_extract_all(t, F.lit(picture), F.lit(0))), t, lambda done, found: F.replace(done, found, figure(found)))).otherwise(t))
     out = F.regexp_replace(out, r"\[([^\[\]]+?)\]\(([^)]+?)\)", '<a href="$2">$1</a>')
     out = F.regexp_replace(F.regexp_replace(out, r"\*\*(.+?)\*\*", "<strong>$1</strong>"), r"\*(.+?)\*", "<em>$1</em>")
-    for mark, parked in marks.items():
-        out = F.replace(out, F.lit(parked), F.lit(mark))
-    return out
+    return let(out, lambda t: swapped(t, [(parked, mark) for mark, parked in marks.items()], "\x01"))
 
 
-def render_block(block: Column, images: Column | None = None, captions: Column | None = None) -> Column:
-    """PJ2: one stripped block as HTML; a quotation of several parts holds a paragraph for each."""
+def render_block(block: Column, images: Column | None = None, captions: Column | None = None, kind: Column | None = None) -> Column:
+    """PJ2: one stripped block as HTML; a quotation of several parts holds a paragraph for each. kind: the block's kind, if it is known."""
     own = lambda text: inline(text, images, captions)
     tag = lambda name, text: F.concat(F.lit(f"<{name}>"), text, F.lit(f"</{name}>"))
     lines = F.regexp_replace(F.regexp_replace(block, r"[ \t]*\n[ \t]*", "\n"), r"\n(?![-*]\s)", " ")
     items = F.transform(F.split(lines, "\n"), lambda item: tag("li", own(F.regexp_replace(item, r"\A[-*]\s+", ""))))
     paragraphs = F.filter(F.split(block, r"\n\s*\n"), lambda q: stripped(q) != "")
     quoted = F.transform(paragraphs, lambda q: tag("p", own(F.replace(F.regexp_replace(q, r"(?m)^>[ \t]?", ""), F.lit("\n"), F.lit(" ")))))
-    kind = block_kind(block)
+    kind = block_kind(block) if kind is None else kind
     return (
         F.when(kind == "hr", "<hr>")
         .when(kind == "h3", tag("h3", own(F.substring(block, F.lit(5), F.length(block)))))
@@ -107,9 +112,12 @@ def clean_note(raw: Column) -> Column:
 def parsed(docs: DataFrame, key: str) -> DataFrame:
     """PJ1, PJ4: a row (key, idx, part, label, src, kind) for each block: `body`, `note` (a definition), `more` (an indented block
     that continues the note before it) or `orphan` (a paragraph right after a note, which may be a lost continuation)."""
-    rows = docs.select(key, F.posexplode(raw_blocks(published(F.col("text")))).alias("idx", "raw")).withColumn("src", stripped(F.col("raw")))
-    label = F.regexp_extract("src", DEFINITION, 1)
-    indented = F.col("raw").rlike(r"\A(?: {4,}|\t)\S")
+    rows = docs.select(key, F.posexplode(raw_blocks(published(F.col("text")))).alias("idx", "raw"))
+    bare = F.when(F.concat(F.substring("raw", 1, 1), F.substring("raw", -1, 1)).rlike(r"(?U)\s"), stripped(F.col("raw"))).otherwise(F.col("raw"))
+    rows = rows.select(key, "idx", bare.alias("src"), F.col("raw").rlike(r"\A(?: {4,}|\t)\S").alias("indented"))
+    # Readers of bodies and of notes need all of these columns, so that texts are split and dealt once for both.
+    rows = rows.repartition(key)
+    label, indented = F.when(F.col("src").startswith("[^"), F.regexp_extract("src", DEFINITION, 1)).otherwise(""), F.col("indented")
     defines = (label != "") & ~indented
     order = Window.partitionBy(key).orderBy("idx")
     # The last block that is not indented: the label of a definition, or nothing.
@@ -154,8 +162,12 @@ def references(body: DataFrame, key: str) -> DataFrame:
 
 def ordered_notes(blocks: DataFrame, key: str) -> DataFrame:
     """PJ5, WN1: the notes that the body refers to, numbered from 1 by first reference."""
-    own = notes(blocks, key).join(references(body_blocks(blocks, key), key), [key, "label"])
-    return own.withColumn("number", F.row_number().over(Window.partitionBy(key).orderBy("at"))).drop("at", "refs")
+    # No reference crosses blocks, so quotations need not be merged to find them in order. Notes and references meet as rows of one group,
+    # where they are dealt already; a join would have them split and dealt again for each side.
+    own = notes(blocks, key).select(key, "label", F.struct("raw", "text", "removed").alias("x"), F.lit(None).cast("struct<idx:int,pos:int>").alias("at"))
+    seen = references(blocks.where("part IN ('body', 'orphan')"), key).select(key, "label", F.lit(None).cast(own.schema["x"].dataType).alias("x"), "at")
+    met = own.union(seen).groupBy(key, "label").agg(F.max("x").alias("x"), F.min("at").alias("at")).where("x IS NOT NULL AND at IS NOT NULL")
+    return met.select(key, "label", "x.*", F.row_number().over(Window.partitionBy(key).orderBy("at")).alias("number"))
 
 
 def note_issues(blocks: DataFrame, key: str) -> DataFrame:
@@ -172,15 +184,23 @@ def note_issues(blocks: DataFrame, key: str) -> DataFrame:
 def rendered(docs: DataFrame, key: str) -> DataFrame:
     """PJ8, XT6: the reader's view: (key, part, idx, html, text, h) of the body's blocks and of the notes in the order of their
     references, without dividers and empty blocks; `divided` tells that a divider stands before a block."""
+    return _labelled(docs, key).select(key, "part", "idx", "html", "text", "h", "divided")
+
+
+def _labelled(docs: DataFrame, key: str) -> DataFrame:
+    """The reader's view, with the labels of notes."""
     blocks = parsed(docs, key)
-    body = body_blocks(blocks, key).withColumn("html", render_block(F.col("src")))
-    divided = F.coalesce(F.lag("kind").over(Window.partitionBy(key).orderBy("idx")) == "hr", F.lit(False))
-    body = body.withColumns({"text": norm.reader_text(F.col("html")), "divided": divided}).where("kind <> 'hr' AND text <> ''")
-    body = body.select(key, F.lit("body").alias("part"), F.col("idx").alias("at"), "html", "text", "divided")
+    body = body_blocks(blocks, key).withColumn("html", render_block(F.col("src"), kind=F.col("kind"))).withColumn("text", norm.reader_text(F.col("html")))
+    # Texts are made below the window, as a filter on them would be pushed beneath and make them twice.
+    order, shown = Window.partitionBy(key).orderBy("idx"), (F.col("kind") != "hr") & (F.col("text") != "")
+    divided = F.coalesce(F.lag("kind").over(order) == "hr", F.lit(False))
+    place = F.sum(shown.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1
+    body = body.withColumns({"divided": divided, "at": place.cast("int")}).where(shown)
+    body = body.select(key, F.lit("body").alias("part"), F.col("at").alias("idx"), "html", "text", "divided", F.lit(None).cast("string").alias("label"))
     fns = ordered_notes(blocks, key).withColumn("html", inline(F.col("text")))
-    fns = fns.select(key, F.lit("fns").alias("part"), F.col("number").alias("at"), "html", norm.reader_text(F.col("html")).alias("text"), F.lit(False).alias("divided"))
-    out = body.union(fns).withColumn("idx", F.row_number().over(Window.partitionBy(key, "part").orderBy("at")) - 1)
-    return out.select(key, "part", "idx", "html", "text", norm.short_digest(F.col("text")).alias("h"), "divided")
+    fns = fns.select(key, F.lit("fns").alias("part"), (F.col("number") - 1).alias("idx"), "html", norm.reader_text(F.col("html")).alias("text"), F.lit(False).alias("divided"), "label")
+    # Readers' texts are collapsed already.
+    return body.union(fns).select(key, "part", "idx", "html", "text", F.substring(F.sha2(norm.flat_quotes(F.col("text")), 256), 1, 16).alias("h"), "divided", "label")
 
 
 def stray_marks(body: DataFrame) -> DataFrame:
@@ -323,12 +343,11 @@ def title_claims(text: Column) -> Column:
 def article(docs: DataFrame, key: str) -> DataFrame:
     """XT7: (key, part, idx, html) of the reader's view for a place without notes: the cover (the first block, if it is a figure)
     left out, references as numbers in brackets, figures numbered from 1 (`figure`)."""
-    rows = rendered(docs, key)
-    numbers = ordered_notes(parsed(docs, key), key).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("label", F.col("number").cast("string")))).alias("numbers"))
-    rows = rows.where("NOT (part = 'body' AND idx = 0 AND startswith(html, '<figure>'))").join(numbers, key, "left")
-    none = F.create_map().cast("map<string,string>")
+    numbers = F.collect_list(F.when(F.col("part") == "fns", F.struct("label", (F.col("idx") + 1).cast("string").alias("number")))).over(Window.partitionBy(key))
+    rows = _labelled(docs, key).withColumn("numbers", F.map_from_entries(numbers))
+    rows = rows.where("NOT (part = 'body' AND idx = 0 AND startswith(html, '<figure>'))")
     labels = F.array_distinct(F.regexp_extract_all("html", F.lit(r"\[\[FN(\w+)\]\]"), F.lit(1)))
-    html = F.aggregate(labels, F.col("html"), lambda done, label: F.replace(done, F.concat(F.lit("[[FN"), label, F.lit("]]")), F.concat(F.lit("["), F.coalesce(F.try_element_at(F.coalesce("numbers", none), label), F.lit("0")), F.lit("]"))))
+    html = F.aggregate(labels, F.col("html"), lambda done, label: F.replace(done, F.concat(F.lit("[[FN"), label, F.lit("]]")), F.concat(F.lit("["), F.coalesce(F.try_element_at("numbers", label), F.lit("0")), F.lit("]"))))
     shown = F.col("html").startswith("<figure>").cast("int")
     figure = F.when(shown == 1, F.sum(shown).over(Window.partitionBy(key, "part").orderBy("idx")))
     return rows.select(key, "part", "idx", html.alias("html"), figure.cast("int").alias("figure"))
