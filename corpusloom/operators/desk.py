@@ -239,7 +239,7 @@ def lost_embeds(live: DataFrame, recorded: DataFrame, key: str) -> DataFrame:
 
 def seeds(rows: DataFrame, key: str) -> DataFrame:
     """XT2: a baseline for each text of rows (key, part, idx, h, hm): digests in order; marks only where all rows have them."""
-    listed = lambda part, c: F.transform(F.array_sort(F.collect_list(F.when(F.col("part") == part, F.struct("idx", c)))), lambda x: x[c])
+    listed = lambda part, c: F.transform(F.sort_array(F.collect_list(F.when(F.col("part") == part, F.struct("idx", c)))), lambda x: x[c])
     marked = F.every(F.col("hm").isNotNull())
     out = rows.groupBy(key).agg(listed("body", "h").alias("body"), listed("fns", "h").alias("fns"), listed("body", "hm").alias("bm"), listed("fns", "hm").alias("fm"), marked.alias("m"))
     return out.select(key, "body", "fns", F.when(F.col("m"), F.col("bm")).alias("body_marks"), F.when(F.col("m"), F.col("fm")).alias("fns_marks"))
