@@ -368,20 +368,27 @@ def fragments(docs: DataFrame, key: str) -> DataFrame:
     plain = F.regexp_extract(head, r"\A([a-z0-9][a-z0-9._-]*)(?=\z|[ *(])", 1)
     made = F.regexp_replace(F.regexp_replace(F.lower(head), "[^a-z0-9]+", "-"), r"\A-+|-+\z", "")
     slug = F.when(~F.col("chunk").startswith("## "), "preamble").when(plain != "", plain).when(made != "", made).otherwise("section")
-    rows = docs.select(key, F.posexplode(parts).alias("no", "chunk")).where("chunk <> ''").select(key, "no", (F.col("no") * ORDINALS).alias("ordinal"), slug.alias("slug"), "chunk")
-    return rows.withColumn("nth", F.row_number().over(Window.partitionBy(key, "slug").orderBy("no")))
+    rows = docs.select(key, F.posexplode(parts).alias("no", "chunk")).where("chunk <> ''").select(key, "no", slug.alias("slug"), "chunk")
+    # Parts are dealt by page, once: what meets or is summed up by page afterwards finds them there.
+    rows = rows.repartition(F.col(key)).withColumn("nth", F.row_number().over(Window.partitionBy(key, "slug").orderBy("no")))
+    return rows.select(key, "no", (F.col("no") * ORDINALS).alias("ordinal"), "slug", "chunk", "nth")
 
 
 def merged_fragments(fragments_: DataFrame, page: DataFrame, key: str, base: DataFrame | None = None) -> DataFrame:
     """SK8: what becomes of fragments (key, slug, nth, ordinal, chunk, at) and a page's parts (key, slug, nth, no, chunk, at), which meet by
-    page, slug and occurrence: (key, slug, nth, ordinal, action, conflict, chunk). With a base (key, slug, nth, chunk) the side that
-    has changed since wins; where both have, or without a base, the newer one does, and `conflict` tells that both had. A part
+    page, slug and occurrence, each once on a side: (key, slug, nth, ordinal, action, conflict, chunk). With a base (key, slug, nth, chunk)
+    the side that has changed since wins; where both have, or without a base, the newer one does, and `conflict` tells that both had. A part
     without a fragment is added behind the fragments, in the page's order; a fragment without a part is kept, never deleted."""
     keys = [key, "slug", "nth"]
-    a = fragments_.select(*keys, "ordinal", F.col("chunk").alias("a"), F.col("at").alias("a_at"))
-    b = page.select(*keys, "no", F.col("chunk").alias("b"), F.col("at").alias("b_at"))
-    met = a.join(b, keys, "full")
-    met = met.join(base.select(*keys, F.col("chunk").alias("base")), keys, "left") if base is not None else met.withColumn("base", F.lit(None).cast("string"))
+    side = lambda rows, name, place, at: rows.select(*keys, F.lit(name).alias("side"), place.alias("place"), "chunk", at.alias("at"))
+    sides = side(fragments_, "a", F.col("ordinal"), F.col("at")).union(side(page, "b", F.col("no"), F.col("at")))
+    if base is not None:
+        sides = sides.union(side(base, "base", F.lit(None), F.lit(None)))
+    # Sides meet as rows of one group, dealt by page alone: nothing moves that lies so already, as what `fragments` makes does.
+    apart = F.when(F.col(key).isNull() | F.col("slug").isNull() | F.col("nth").isNull(), F.col("side")).alias("apart")
+    of = lambda name: F.max(F.when(F.col("side") == name, F.struct("place", "chunk", "at"))).alias(name)
+    met = sides.repartition(F.col(key)).groupBy(*keys, apart).agg(of("a"), of("b"), of("base")).where("a IS NOT NULL OR b IS NOT NULL")
+    met = met.select(*keys, F.col("a.place").alias("ordinal"), F.col("b.place").alias("no"), F.col("a.at").alias("a_at"), F.col("b.at").alias("b_at"), *(F.col(f"{x}.chunk").alias(x) for x in ("a", "b", "base")))
     ours, theirs = ~F.col("a").eqNullSafe(F.col("base")), ~F.col("b").eqNullSafe(F.col("base"))
     newer = F.when(F.col("b_at") > F.col("a_at"), "ingest").otherwise("keep")
     settled = F.when(F.col("base").isNull() | (ours & theirs), newer).when(theirs, "ingest").otherwise("keep")
@@ -394,11 +401,12 @@ def merged_fragments(fragments_: DataFrame, page: DataFrame, key: str, base: Dat
     return rows.select(*keys, ordinal.cast("long").alias("ordinal"), "action", "conflict", chunk.alias("chunk"))
 
 
-def rendered_fragments(merged: DataFrame, key: str) -> DataFrame:
-    """SK8: (key, text): a page of its fragments in order; one without a line's end gets it, so that it can't run into the next heading."""
+def rendered_fragments(merged: DataFrame, key: str, *beside: Column) -> DataFrame:
+    """SK8: (key, text): a page of its fragments in order; one without a line's end gets it, so that it can't run into the next heading.
+    Other sums over a page's fragments may stand beside its text."""
     line = F.when(F.col("chunk").endswith("\n"), F.col("chunk")).otherwise(F.concat("chunk", F.lit("\n")))
     listed = F.sort_array(F.collect_list(F.struct("ordinal", "slug", "nth", line.alias("chunk"))))
-    return merged.groupBy(key).agg(F.array_join(F.transform(listed, lambda x: x["chunk"]), "").alias("text"))
+    return merged.groupBy(key).agg(F.array_join(F.transform(listed, lambda x: x["chunk"]), "").alias("text"), *beside)
 
 
 #: White space within a paragraph: it crosses lines, but no blank line.
