@@ -63,11 +63,13 @@ def decomposed(text: Column, keep_marks: bool = False) -> Column:
 
 def source_text(text: Column, ascii_only: bool = False) -> Column:
     """No accents, straight quotes, dashes as spaces, lower case, a-z 0-9 and apostrophes between two of them."""
-    s = flat_quotes(text if ascii_only else decomposed(flat_quotes(text)))
-    s = F.lower(F.replace(F.regexp_replace(s, "[—–]", " "), F.lit("‐"), F.lit("-")))
-    s = F.regexp_replace(s, "[^a-z0-9' ]+", " ")
+    # Double quotes and dashes are spaces with all else, so only single quotes are made straight first; translate reads letter by letter.
+    straight = lambda t: F.replace(F.replace(t, F.lit("‘"), F.lit("'")), F.lit("’"), F.lit("'"))
+    s = F.lower(straight(text if ascii_only else decomposed(straight(text))))
+    # All but a-z, 0-9, apostrophes and spaces, in ranges: the same as an excluding class takes the regular expressions five times as long.
+    s = F.regexp_replace(s, r"[\x00-\x1f!-&(-/:-`{-\x{10FFFF}]+", " ")
     s = F.regexp_replace(s, "'(?:(?![a-z0-9])|(?<![a-z0-9]'))", " ")
-    return F.trim(F.regexp_replace(s, " +", " "))
+    return F.trim(F.regexp_replace(s, "  +", " "))
 
 
 def verse_text(text: Column) -> Column:
